@@ -11,7 +11,9 @@ For a chunk of text, the state map says for each state before it the state after
 tokens between. As white space brings all states together, the map of a chunk is: the piece
 before its first white space (read in whatever state the chunk begins), the count of the
 closed part, and the open piece at the end. Such maps form a monoid, so the chunks of a text
-compose by a parallel prefix scan; see ``ChunkMap``.
+compose by a parallel prefix scan; see ``ChunkMap``. Most runs between white space are simple
+(ASCII and the letters of U+00C0 to U+00FF); ``Lanes`` reads the pre-tokens of a whole step of
+such runs side by side through one transition table and adds them up by prefix sums.
 """
 
 from __future__ import annotations
@@ -22,18 +24,17 @@ import unicodedata
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-import public_tokenizers
 
-from .common import texts_of
+from .common import LOWER, Texts, steps, texts_of
 
 #: Distinct words whose counts one task keeps; the table starts anew beyond it.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 #: States of the transducer that one task keeps.
-STATES_KEPT = 300_000
+STATES_KEPT = 150_000
 #: Code points of a chunk, the unit that is mapped on its own.
 CHUNK_CHARS = 1 << 16
 #: str.split() takes these for white space, the tokenizer does not.
@@ -183,8 +184,6 @@ class Merger:
 
     def count(self, piece: bytes) -> int:
         """Tokens of one pre-token, by running the machine over its bytes."""
-        if len(self.states) > STATES_KEPT:
-            self.reset()
         state, total, moves = 0, 0, self.moves
         *inner, last = piece
         for b in inner:
@@ -219,6 +218,7 @@ class WordCounts(dict):
         self.special = re.compile("|".join(map(re.escape, self.merger.specials)))
 
     def __missing__(self, run: str) -> int:
+        # Runs of a chunk: no white space of any kind inside.
         if len(self) >= WORDS_KEPT:
             self.clear()
         if run[-1] in ",.!?;:" and run[:-1].isalpha() and "İ" not in run:  # letters and one sign are two pre-tokens
@@ -266,6 +266,14 @@ class WordCounts(dict):
         chunks = (text[i : i + CHUNK_CHARS] for i in range(0, len(text), CHUNK_CHARS))
         return self.applied(reduce(self.compose, map(self.chunk_map, chunks), ChunkMap("", None, "")))
 
+    def run(self, run: str) -> int:
+        """Tokens of a run without ASCII white space."""
+        if run not in self:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[run] = self.count(run)
+        return self[run]
+
     def count(self, text: str) -> int:
         """Tokens of a whole text; each special string is one token and parts what stands around it."""
         if "<|" not in text:
@@ -274,14 +282,130 @@ class WordCounts(dict):
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
-_counters: dict[str, WordCounts] = {}
-
-
-def word_counts(path: str) -> WordCounts:
+class Lanes:
+    """Runs the merger over many pre-tokens at once: one gather a byte position."""
+
+    #: Bytes that simple runs can have once in lower case, by number; two-byte letters are C3 and 80 to BF.
+    SYMBOLS = np.array([b for b in range(256) if not (65 <= b <= 90 or b in b"\t\n\v\f\r ") and (b < 128 or b == 0xC3 or 0x80 <= b < 0xC0)])
+    LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 0
+    #: Longer pre-tokens, and longer texts, are read one by one.
+    LONGEST, TEXT_BYTES = 64, 1 << 22
+
+    def __init__(self, counts: WordCounts):
+        self.counts, self.merger = counts, counts.merger
+        self.number = np.zeros(256, np.int64)
+        self.number[self.SYMBOLS] = np.arange(len(self.SYMBOLS))
+        self.width = len(self.SYMBOLS)
+        self.kind = np.full(256, self.SIGN, np.uint8)
+        self.kind[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = self.LETTER
+        self.kind[48:58] = self.DIGIT
+        self.renew()
+
+    def renew(self) -> None:
+        self.merger.reset()
+        self.rows = 0
+        self.next = np.empty(0, np.int32)
+        self.delta = np.empty(0, np.int8)
+        self.end = np.empty(0, np.int8)
+        self.grow()
+
+    def grow(self) -> None:
+        """Room for the states that the merger has by now."""
+        if len(self.merger.states) <= self.rows:
+            return
+        rows = max(4096, 2 * self.rows, len(self.merger.states))
+        more = (rows - self.rows) * self.width
+        self.next = np.concatenate([self.next, np.full(more, -1, np.int32)])
+        self.delta = np.concatenate([self.delta, np.zeros(more, np.int8)])
+        self.end = np.concatenate([self.end, np.full(more, -128, np.int8)])
+        self.rows = rows
+
+    def _learn(self, at: np.ndarray, end: bool) -> None:
+        for u in np.unique(at).tolist():
+            state, symbol = divmod(u, self.width)
+            after, delta = self.merger.step(state, self.merger.symbol[self.SYMBOLS[symbol]], end)
+            self.grow()
+            if end:
+                self.end[u] = delta
+            else:
+                self.next[u], self.delta[u] = after, delta
+
+    def run(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token; ``symbols`` are numbers of bytes."""
+        order = np.argsort(-lengths.astype(np.int16), kind="stable")
+        at, size = starts[order], lengths[order]
+        longer = np.searchsorted(-size, -np.arange(1, self.LONGEST + 2), "right")  # how many have that length or more
+        total, state = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for j in range(int(size[0]) if len(size) else 0):
+            go, stop = longer[j + 1], longer[j]  # lanes below go read on, those from go to stop end here
+            key = state[:stop] * self.width + symbols[at[:stop] + j]
+            ends = self.end[key[go:]]
+            if (missing := ends == -128).any():
+                self._learn(key[go:][missing], True)
+                ends = self.end[key[go:]]
+            total[go:stop] += ends
+            key = key[:go]
+            after = self.next[key]
+            if (missing := after < 0).any():
+                self._learn(key[missing], False)
+                after = self.next[key]
+            total[:go] += self.delta[key]
+            state[:go] = after
+        out = np.empty(len(at), np.int64)
+        out[order] = total
+        return out
+
+    def count(self, t: Texts) -> np.ndarray:
+        """Tokens of each text."""
+        if len(self.merger.states) > STATES_KEPT:
+            self.renew()
+        buf, n = t.buf, len(t.buf)
+        if not len(t.starts):
+            return np.zeros(t.n, np.int64)
+        if n > self.TEXT_BYTES:  # steps hold one such text alone
+            return np.array([self.counts.count(t.text(i).decode()) for i in range(t.n)])
+        low = LOWER[buf]
+        ahead = np.append(buf[1:], 32)
+        wide = buf >= 0x80
+        odd = buf == 0x27
+        odd |= (buf == 0x3C) & (ahead == 0x7C)
+        if wide.any():
+            lead = buf == 0xC3
+            trail = np.append(False, lead[:-1])
+            odd |= wide & ~lead & ~trail
+            odd |= trail & ((buf == 0x97) | (buf == 0xB7))
+            low = low + (np.uint8(0x20) * (trail & (buf >= 0x80) & (buf <= 0x9E) & (buf != 0x97)))
+        sums = np.zeros(n + 1, np.int32)
+        np.cumsum(odd, out=sums[1:])
+        slow = sums[t.ends] > sums[t.starts]
+        kind = self.kind[low]
+        kind[t.space] = self.OTHER
+        border = np.append(True, kind[1:] != kind[:-1])
+        border |= kind == self.DIGIT
+        border[t.starts] = True
+        border &= ~t.space
+        starts = np.flatnonzero(border)
+        word = np.searchsorted(t.starts, starts, "right") - 1
+        stops = np.minimum(np.append(starts[1:], n), t.ends[word])
+        size = stops - starts
+        slow[word[size > self.LONGEST]] = True
+        fast = ~slow[word]
+        starts, word = starts[fast], word[fast]
+        got = np.bincount(word, self.run(self.number[low], starts, size[fast]), len(t.starts)).astype(np.int64)
+        raw = buf.tobytes()
+        for i in np.flatnonzero(slow).tolist():
+            got[i] = self.counts.run(raw[t.starts[i] : t.ends[i]].decode())
+        return np.diff(np.concatenate([[0], np.cumsum(got)])[t.first])
+
+
+_lanes: dict[str, Lanes] = {}
+
+
+def lanes(path: str) -> Lanes:
     """One machine for each worker process."""
-    if path not in _counters:
-        _counters[path] = WordCounts(path)
-    return _counters[path]
+    if path not in _lanes:
+        _lanes[path] = Lanes(WordCounts(path))
+    return _lanes[path]
 
 
 def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
@@ -289,20 +413,17 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
 
     Null and empty texts have no bytes and no tokens. Rows are independent: repeated rows and
     null ids give a row each, other columns are ignored, and no row is moved. Texts of any
-    length are read chunk by chunk.
+    length are read, very long ones chunk by chunk.
     """
     path = public_tokenizers.path(tokenizer)
 
     def run(batches):
-        counter = word_counts(path)
+        machine = lanes(path)
         for batch in batches:
-            texts = [x or "" for x in texts_of(batch).to_pylist()]
-            n = [counter.count(x) for x in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("n_bytes")), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit"],
-            )
+            ids = batch.column(batch.schema.get_field_index("doc_id"))
+            for row, t in steps(texts_of(batch)):
+                n = machine.count(t)
+                yield pa.RecordBatch.from_arrays([ids.slice(row, t.n), pa.array(np.diff(t.offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return sized.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

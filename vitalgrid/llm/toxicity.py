@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -27,10 +28,10 @@ _LEET = str.maketrans("013457@$!", "oieastasi")
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~“”„«»…"
 _STRETCHED = regex.compile(r"(.)\1{2,}")
 _INSIDE = regex.compile(r"\p{L}[*@$!0-9#]+\p{L}")
-_SPELLED = regex.compile(r"(?<!\S)(?:\p{L}[ .\-]){3,}\p{L}(?!\S)")
+_SPELLED = re.compile(rb"[\x80-\xff]{4,}")
 
 #: kinds of a word, as bits
-SEED, LEARNED, STEM, YOU, UPPER, OBFUSCATED, STRETCHED = 1, 2, 4, 8, 16, 32, 64
+SEED, LEARNED, STEM, YOU, UPPER, OBFUSCATED, STRETCHED, SINGLE = 1, 2, 4, 8, 16, 32, 64, 128
 FEATURES = ("seed_density", "learned_density", "stem_density", "any_density", "distinct_hits", "near_you", "you_density", "upper_words", "capitals", "exclamations", "questions", "signs", "obfuscated", "stretched", "spelled", "longest_run", "log_words")
 
 
@@ -56,7 +57,7 @@ class WordKinds(dict):
             low = short if out & STRETCHED else low
         out |= SEED * (low in SEED_LEXICON) | LEARNED * (low in self.learned) | YOU * (low in SECOND_PERSON)
         out |= STEM * any(low[:k] in self.stems for k in STEMS if len(low) > k)
-        out |= UPPER * (len(word) > 2 and word.isupper())
+        out |= UPPER * (len(word) > 2 and word.isupper()) | SINGLE * (len(word) == 1 and word.isalpha())
         self[word] = out
         return out
 
@@ -94,18 +95,16 @@ def features(text: str, kinds: WordKinds) -> list[float]:
         gaps = np.diff(at)
         run = 1 + max((len(x) for x in bytes((gaps <= 3).astype(np.uint8)).split(b"\0")), default=0)
     chars = max(1, len(text))
-    capitals = 0 if text.islower() else len(text) - len(text.translate(_NO_CAPITALS))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    capitals = int(np.count_nonzero(raw - np.uint8(65) < 26))
     signs = sum(text.count(c) for c in "*#$%&@~^")
     return [
         1000 * have(SEED) / n, 1000 * have(LEARNED) / n, 1000 * have(STEM) / n, 1000 * hits / n, len(distinct), near, 1000 * have(YOU) / n,
         1000 * have(UPPER) / n, capitals / chars, 1000 * text.count("!") / chars, 1000 * text.count("?") / chars, 1000 * signs / chars,
-        1000 * have(OBFUSCATED) / n, 1000 * have(STRETCHED) / n, len(_SPELLED.findall(text)), run, float(np.log1p(len(words))),
+        1000 * have(OBFUSCATED) / n, 1000 * have(STRETCHED) / n, len(_SPELLED.findall(codes)), run, float(np.log1p(len(words))),
     ]
 
 
-_NO_CAPITALS = dict.fromkeys(range(65, 91))
-
-
 @dataclass
 class Boosted:
     """Trees of the boosted log-odds over binned features, and the isotonic map from log-odds to probability."""
