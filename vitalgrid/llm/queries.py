@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dedup import without_repeats, word_digest
+
+    return word_digest(without_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
@@ -31,6 +37,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_counts, op6_fingerprints, op8_toxicity, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_token_counts, op6_fingerprints, op8_toxicity, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
