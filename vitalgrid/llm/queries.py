@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract_pages
+
+    return extract_pages(common.table(spark, sf_dir, "pages"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .dedup import without_repeats, word_digest
 
@@ -37,6 +43,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op5_token_counts, op6_fingerprints, op8_toxicity, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op5_token_counts, op6_fingerprints, op8_toxicity, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
