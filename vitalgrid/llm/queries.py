@@ -31,6 +31,12 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(common.table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(common.table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_scores
 
@@ -43,6 +49,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op5_token_counts, op6_fingerprints, op8_toxicity, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
