@@ -19,6 +19,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_digest(without_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(common.table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_counts
 
@@ -49,6 +55,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op4_packing, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules)}
 
 ORACLES: dict[str, str] = {}
