@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common
+from . import common, licenses
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,15 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_digest(without_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, one posterior a domain, and the rate of every document."""
+    from .mixing import mixing_rates
+
+    rows, report = mixing_rates(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+    posteriors = [F.col("posteriors")[i].alias(f"p_{d}") for i, d in enumerate(report["domains"])]
+    return rows.select("doc_id", "n_tokens", *posteriors, "rate")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -55,6 +65,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op4_packing, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules)}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mixing_rates, op4_packing, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_license_scan)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op10_license_scan": licenses.ORACLE}

@@ -12,6 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from .common import texts_of
 
@@ -251,14 +252,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS)
     return ToxicityModel(learned, stems, boosted)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = TRAIN_ROWS, model: ToxicityModel | None = None) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, max_rows: int = TRAIN_ROWS, model: ToxicityModel | None = None, keep: list[str] | None = None) -> DataFrame:
     """doc_id, held_out, score (0 to 1) and predicted (1 from ``threshold`` on) of every whole text.
 
     The score depends on the text alone. Null and empty texts get the score of a text without
-    words. Repeated rows get equal scores; null ids are scored too; other columns are ignored.
+    words. Repeated rows get equal scores; null ids are scored too. Other columns are left out,
+    or with ``keep`` these columns come before the three new ones.
     """
     model = model or fit_toxicity(docs, labels, max_rows)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    keep = keep or ["doc_id"]
+    schema = StructType([*(docs.schema[c] for c in keep), StructField("held_out", BooleanType()), StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    read = list(dict.fromkeys(["doc_id", "text", *keep]))
 
     def run(batches):
         kinds = WordKinds(model.learned, model.stems)
@@ -268,6 +272,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
                 continue
             x = np.array([features(t or "", kinds) for t in texts_of(batch).to_pylist()])
             score = model.boosted.probability(x)
-            yield pa.RecordBatch.from_arrays([ids, pa.array([held_out(i) for i in ids.to_pylist()]), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+            out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
+            yield pa.RecordBatch.from_arrays([*out, pa.array([held_out(i) for i in ids.to_pylist()]), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select(*read).mapInArrow(run, schema)
