@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cohort, groups, metrics  # noqa: F401
+from . import cohort, groups, metrics, text  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
