@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cohort, graph, groups, metrics, text  # noqa: F401
+from . import cohort, graph, groups, metrics, text, traces  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
