@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -54,7 +55,7 @@ def smoothed(values: Column, weight: Column) -> Column:
     return F.aggregate(values, start, add, lambda acc: acc["out"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
     """F1 of the longest common word subsequence; 0 without words."""
 
