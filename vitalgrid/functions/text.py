@@ -152,7 +152,12 @@ def safe_name(*parts: Column | str) -> Column:
 
 
 def ngrams(w: Column, n: int) -> Column:
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    """Runs of n words; the array is read once for each of the n places, not once for each run."""
+    size = F.greatest(F.size(w) - (n - 1), F.lit(0))
+    out = F.slice(w, 1, size)
+    for j in range(2, n + 1):
+        out = F.zip_with(out, F.slice(w, j, size), lambda x, y: F.concat(x, F.lit(" "), y))
+    return out
 
 
 def bag_f1(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
