@@ -1,0 +1,76 @@
+"""Metrics of generated text that need a loop over n-grams, in Arrow batches: BLEU, SARI and reading grade."""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+def _grams(words: list[str], n: int) -> Counter:
+    return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+
+
+def bleu(candidate: list[str], reference: list[str], most: int = 4) -> float:
+    """Geometric mean of add-one smoothed n-gram precisions with the brevity penalty; 0 without tokens."""
+    if not candidate or not reference:
+        return 0.0
+    logs = 0.0
+    for n in range(1, most + 1):
+        c = _grams(candidate, n)
+        hit, total = sum((c & _grams(reference, n)).values()), sum(c.values())
+        if n == 1 and not hit:
+            return 0.0
+        logs += math.log((hit + (n > 1)) / (total + (n > 1)))
+    return math.exp(logs / most + min(0.0, 1 - len(reference) / len(candidate)))
+
+
+def sari(source: list[str], candidate: list[str], reference: list[str], most: int = 4) -> float:
+    """Mean F1 of kept and added n-grams and precision of deleted ones, over n; ratios of nothing are 1."""
+    ratio = lambda a, b: a / b if b else 1.0
+    scores = []
+    for n in range(1, most + 1):
+        s, c, r = (set(_grams(x, n)) for x in (source, candidate, reference))
+        f = []
+        for got, want in ((c & s, r & s), (c - s, r - s)):
+            p, q = ratio(len(got & want), len(got)), ratio(len(got & want), len(want))
+            f.append(2 * p * q / (p + q) if p + q else 0.0)
+        scores.append((f[0] + f[1] + ratio(len((s - c) - r), len(s - c))) / 3)
+    return sum(scores) / most
+
+
+def syllables(word: str) -> int:
+    """Runs of vowels, less a silent final e; one at least."""
+    return max(1, len(re.findall(r"[aeiouyáéíóúèêàäöü]+", word.lower())) - (word.lower().endswith("e") and not word.lower().endswith("le")))
+
+
+def reading_grade(text: str | None) -> float | None:
+    """Flesch-Kincaid grade; null without words."""
+    words = re.findall(r"[^\W\d_]+", text or "")
+    if not words:
+        return None
+    sentences = max(1, len(re.findall(r"[.!?]+", text)))
+    return 0.39 * len(words) / sentences + 11.8 * sum(map(syllables, words)) / len(words) - 15.59
+
+
+def _list(x) -> list[str]:
+    return [] if x is None else list(x)
+
+
+@F.pandas_udf(DoubleType())
+def bleu_score(candidate: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([bleu(_list(a), _list(b)) for a, b in zip(candidate, reference)])
+
+
+@F.pandas_udf(DoubleType())
+def sari_score(source: pd.Series, candidate: pd.Series, reference: pd.Series) -> pd.Series:
+    return pd.Series([sari(_list(a), _list(b), _list(c)) for a, b, c in zip(source, candidate, reference)])
+
+
+@F.pandas_udf(DoubleType())
+def grade(text: pd.Series) -> pd.Series:
+    return pd.Series([reading_grade(x) for x in text])
