@@ -7,13 +7,24 @@ values in a polynomial modulo 2**64, then mixed; every task draws the same value
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import zstandard
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+# Freed arrays go back to the system at once: glibc otherwise keeps ever larger blocks in worker processes.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -51,6 +62,12 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def batched(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, after telling its session to hand Python so many rows at a time: texts may be long."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -164,3 +181,64 @@ def steps(column: pa.Array, lower: bool = False, most: int = STEP_BYTES) -> Iter
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     col = batch.column(batch.schema.get_field_index(column))
     return col.cast(pa.string()) if not (pa.types.is_string(col.type) or pa.types.is_large_string(col.type)) else col
+
+
+def compress(x: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(x)
+
+
+def expand(x: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
+@lru_cache(1)
+def _filter(x: bytes) -> np.ndarray:
+    return np.frombuffer(expand(x), np.uint8)
+
+
+#: Bits of the filter that tells which rows may have spans; a fixed size, whatever the table's.
+FILTER_BITS = 1 << 26
+
+
+def _bits(key: np.ndarray) -> np.ndarray:
+    h = mix(key.view(np.uint64))
+    return np.stack([h, h >> np.uint64(32)], 1) % np.uint64(FILTER_BITS)
+
+
+def _filter_bytes(keys: DataFrame) -> bytes:
+    """A compressed Bloom filter of one 64-bit column, joined from the parts of all tasks."""
+    part = FILTER_BITS // 8 // 128
+
+    def mark(batches):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy()).ravel()
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (np.uint64(1) << (at & np.uint64(7))).astype(np.uint8))
+        full = [i for i in range(128) if bits[i * part : (i + 1) * part].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([compress(bits[i * part : (i + 1) * part].tobytes()) for i in full], pa.binary())], ["part", "bits"])
+
+    def either(group: pa.Table) -> pa.Table:
+        bits = np.bitwise_or.reduce([np.frombuffer(expand(x), np.uint8) for x in group.column("bits").to_pylist()])
+        return pa.table([group.column("part").slice(0, 1), pa.array([compress(bits.tobytes())], pa.binary())], names=["part", "bits"])
+
+    out = bytearray(FILTER_BITS // 8)
+    for r in keys.mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(either, "part int, bits binary").collect():
+        out[r["part"] * part : (r["part"] + 1) * part] = expand(bytes(r["bits"]))
+    return compress(bytes(out))
+
+
+def key_filter(keys: DataFrame) -> Callable[[Column], Column]:
+    """A column function: whether a 64-bit key may be among ``keys`` (one column); never no for one that is.
+
+    The filter has a fixed size. With more keys it says yes more often, so what follows
+    it stays right and only gets more rows.
+    """
+    shared = keys.sparkSession.sparkContext.broadcast(_filter_bytes(keys))
+
+    @F.pandas_udf(BooleanType())
+    def may_have(key: pd.Series) -> pd.Series:
+        at = _bits(key.to_numpy().astype(np.int64)).astype(np.int64)
+        bits = _filter(shared.value)
+        return pd.Series(((bits[at >> 3] >> (at & 7)) & 1).all(1))
+
+    return may_have

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, steps, texts_of
+from .common import batched, materialise, steps, texts_of
 
 #: Labelled rows that the classifier learns from at most, those of the smallest hashed ids.
 TRAIN_ROWS = 8_000
@@ -156,7 +156,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", weigh
     which no rate is below one. Null and empty texts have no tokens; their rate counts for nothing. An empty
     table gives none. Columns with the added names are replaced.
     """
-    model = fit_domains(docs, labels, domain, max_rows)
+    model = fit_domains(batched(docs), labels, domain, max_rows)
     k = len(model.domains)
     rest = [c for c in docs.columns if c not in ("text", "tokens", "posteriors", "n_tokens", "rate")]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)

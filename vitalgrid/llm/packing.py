@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, steps, texts_of
+from .common import batched, materialise, steps, texts_of
 from .tokens import lanes
 
 #: Tokens of a grain: lengths are counted in grains, and documents are cut only where one ends.
 GRAIN = 16
 #: Pieces that one task ranks or packs greedily, about.
-PART_PIECES = 20_000
+PART_PIECES = 2_000
 
 
 def shift_tables(n_bytes: int) -> np.ndarray:
@@ -174,7 +174,7 @@ def pack_documents(docs: DataFrame, window: int = 4096, tokenizer: str = "word_b
                         crcs.append(part[s // GRAIN : s // GRAIN + grains].tobytes())
                 yield pa.RecordBatch.from_arrays([doc.take(pa.array(rows)), *(pa.array(x, pa.int64()) for x in (start, length, total)), pa.array(crcs, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "crcs"])
 
-    pieces = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, crcs binary")
+    pieces = batched(docs.select("doc_id", "text")).mapInArrow(cut, f"doc_id {kind}, start long, length long, doc_tokens long, crcs binary")
     pieces = materialise(pieces.withColumns({"rid": F.monotonically_increasing_id(), "grains": F.ceil(F.col("length") / GRAIN).cast("int")}))
     histogram = np.zeros(grains + 1, np.int64)
     for r in pieces.groupBy("grains").count().collect():

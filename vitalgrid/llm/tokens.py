@@ -29,12 +29,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import LOWER, Texts, steps, texts_of
+from .common import LOWER, Texts, batched, steps, texts_of
 
 #: Distinct words whose counts one task keeps; the table starts anew beyond it.
 WORDS_KEPT = 200_000
 #: States of the transducer that one task keeps.
-STATES_KEPT = 150_000
+STATES_KEPT = 120_000
 #: Code points of a chunk, the unit that is mapped on its own.
 CHUNK_CHARS = 1 << 16
 #: str.split() takes these for white space, the tokenizer does not.
@@ -164,24 +164,25 @@ class Merger:
         delta = found[1]
         if end:
             return self.vocab[found[0]], delta
-        marks = (*((m if m is None else (m[0], m[1] - delta)) for m in marks), (found[0], 0))
-        marks = tuple(m if at == len(text) or text[at:] in self.begins else None for at, m in enumerate(marks))
+        same = self.marks.setdefault  # equal marks are one object
+        marks = (*marks, (found[0], delta))
+        marks = tuple(same(x := (m[0], m[1] - delta), x) if m is not None and (at == len(text) or text[at:] in self.begins) else None for at, m in enumerate(marks))
         first = next(at for at, m in enumerate(marks) if m is not None)
         known = (text[first:], marks[first:])
         after = self.numbers.get(known)
         if after is None:
             after = self.numbers[known] = len(self.states)
             self.states.append(known)
-            self.moves.append({})
-            self.ends.append({})
         return after, delta
 
     def reset(self) -> None:
         """The machine with its start state alone."""
         start = ("", (("", 0),))
         self.states, self.numbers = [start], {start: 0}
-        self.moves: list[dict[int, tuple[int, int]]] = [{}]
-        self.ends: list[dict[int, int]] = [{}]
+        #: what was read one by one: state and byte to (state, delta), and with an end to delta
+        self.moves: dict[int, tuple[int, int]] = {}
+        self.ends: dict[int, int] = {}
+        self.marks: dict[tuple[str, int], tuple[str, int]] = {}
         self.follows.clear()
 
     def count(self, piece: bytes) -> int:
@@ -189,14 +190,16 @@ class Merger:
         state, total, moves = 0, 0, self.moves
         *inner, last = piece
         for b in inner:
-            try:
-                state, delta = moves[state][b]
-            except KeyError:
-                state, delta = moves[state].setdefault(b, self.step(state, self.symbol[b], False))
-            total += delta
-        delta = self.ends[state].get(last)
+            key = state << 8 | b
+            got = moves.get(key)
+            if got is None:
+                got = moves[key] = self.step(state, self.symbol[b], False)
+            state = got[0]
+            total += got[1]
+        key = state << 8 | last
+        delta = self.ends.get(key)
         if delta is None:
-            delta = self.ends[state][last] = self.step(state, self.symbol[last], True)[1]
+            delta = self.ends[key] = self.step(state, self.symbol[last], True)[1]
         return total + delta
 
 
@@ -287,8 +290,8 @@ class WordCounts(dict):
 class Lanes:
     """Runs the merger over many pre-tokens at once: one gather a byte position."""
 
-    #: Bytes that simple runs can have once in lower case, by number; two-byte letters are C3 and 80 to BF.
-    SYMBOLS = np.array([b for b in range(256) if not (65 <= b <= 90 or b in b"\t\n\v\f\r ") and (b < 128 or b == 0xC3 or 0x80 <= b < 0xC0)])
+    #: Bytes that simple runs can have once in lower case, by number; two-byte letters are C3 and 9F to BF.
+    SYMBOLS = np.array([b for b in range(33, 256) if (b < 127 and not 65 <= b <= 90) or b == 0xC3 or 0x9F <= b < 0xC0])
     LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 0
     #: Longer pre-tokens, and longer texts, are read one by one.
     LONGEST, TEXT_BYTES = 64, 1 << 22
@@ -314,7 +317,7 @@ class Lanes:
         self.rows = 0
         self.next = np.empty(0, np.int32)
         self.last = np.empty(0, np.int32)
-        self.end_last = np.empty(0, np.int32)
+        self.end_last = np.empty(0, np.uint16)
         self.delta = np.empty(0, np.int8)
         self.end = np.empty(0, np.int8)
         self.grow()
@@ -323,12 +326,12 @@ class Lanes:
         """Room for the states that the merger has by now."""
         if len(self.merger.states) <= self.rows:
             return
-        rows = max(4096, 2 * self.rows, len(self.merger.states))
+        rows = max(self.rows + 16_384, len(self.merger.states))
         more = (rows - self.rows) * self.width
         self.next = np.concatenate([self.next, np.full(more, -1, np.int32)])
         self.delta = np.concatenate([self.delta, np.zeros(more, np.int8)])
         self.end = np.concatenate([self.end, np.full(more, -128, np.int8)])
-        self.end_last = np.concatenate([self.end_last, np.zeros(more, np.int32)])
+        self.end_last = np.concatenate([self.end_last, np.zeros(more, np.uint16)])
         self.last = np.concatenate([self.last, np.zeros(rows - self.rows, np.int32)])
         self.rows = rows
 
@@ -383,6 +386,7 @@ class Lanes:
         wide = buf >= 0x80
         odd = buf == 0x27
         odd |= (buf == 0x3C) & (ahead == 0x7C)
+        odd |= ((buf < 0x20) | (buf == 0x7F)) & ~t.space
         if wide.any():
             lead = buf == 0xC3
             trail = np.append(False, lead[:-1])
@@ -496,4 +500,4 @@ def token_counts(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
                 yield pa.RecordBatch.from_arrays([ids.slice(row, t.n), pa.array(np.diff(t.offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return batched(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from .common import texts_of
+from .common import batched, texts_of
 
 #: Labelled rows that training reads at most, those with the smallest hashed ids.
 TRAIN_ROWS = 16_000
@@ -37,14 +37,14 @@ FEATURES = ("seed_density", "learned_density", "stem_density", "any_density", "d
 
 
 class WordKinds(dict):
-    """The bits of a word as written; kept for up to 300,000 words."""
+    """The bits of a word as written; kept for up to 100,000 words."""
 
     def __init__(self, learned: frozenset[str], stems: frozenset[str]):
         super().__init__()
         self.learned, self.stems = learned, stems
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         low = word.strip(_EDGE).lower()
         out = 0
@@ -212,7 +212,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS)
     want = labels.where("doc_id is not null and toxic is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1")
     want = want.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     want = want.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(want), "doc_id")
+    rows = batched(docs).select("doc_id", "text").join(F.broadcast(want), "doc_id")
 
     def terms(batches):
         part: dict[str, list[int]] = {}
@@ -275,4 +275,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
             out = [batch.column(batch.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*out, pa.array([held_out(i) for i in ids.to_pylist()]), pa.array(score), pa.array((score >= threshold).astype(np.int32))], [*keep, "held_out", "score", "predicted"])
 
-    return docs.select(*read).mapInArrow(run, schema)
+    return batched(docs.select(*read)).mapInArrow(run, schema)
