@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, shuffle_width, steps
+from .common import Texts, batched, shuffle_width, steps
 
 _NEAR = np.random.default_rng(77).integers(1, 2**64, (4, 256), dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -88,13 +88,13 @@ class Tree:
         return self.keyed(self.marks[keep])
 
 
-def _piece_cuts(t: Texts) -> np.ndarray:
-    """Where pieces begin: at words chosen by the bytes before them."""
-    gap = t.starts[(t.starts > 0)]
-    gap = gap[t.space[gap - 1]]
+def _piece_cuts(t: Texts, begin: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at words chosen by the bytes before them in their paragraph."""
+    low = begin[np.searchsorted(begin, t.starts, "right") - 1]
+    gap, low = t.starts[t.starts > low], low[t.starts > low]
     key = np.zeros(len(gap), np.uint64)
     for j in range(4):
-        key += _NEAR[j][t.buf[np.maximum(gap - 2 - j, 0)]]
+        key += np.where(gap - 2 - j >= low, _NEAR[j][t.buf[np.maximum(gap - 2 - j, 0)]], np.uint64(0))
     key = (key ^ (key >> np.uint64(29))) * _ODD
     return gap[(key >> np.uint64(40)) % np.uint64(PIECE_WORDS) == 0]
 
@@ -107,7 +107,7 @@ def trees(t: Texts) -> Iterator[Tree]:
     owner.sort()
     last = np.append(owner[1:] != owner[:-1], True)
     end = np.where(last, t.offsets[owner + 1], np.append(begin[1:], 0) - 1)
-    cuts = _piece_cuts(t)
+    cuts = _piece_cuts(t, begin)
     starts = np.union1d(cuts, begin[end > begin])
     inside = np.searchsorted(begin, starts, "right") - 1  # empty paragraphs have no piece: the last of equal begins
     starts, inside = starts[starts < end[inside]], inside[starts < end[inside]]
@@ -196,7 +196,7 @@ def document_fingerprints(docs: DataFrame, rows_a_bucket: int = 1000) -> DataFra
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = batched(docs).select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id").cast("double"), F.lit(float("-inf")))
     n = rows.select("doc_id").count()
     buckets = max(1, -(-n // rows_a_bucket), min(n, 2 * shuffle_width(spark)))
