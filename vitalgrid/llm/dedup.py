@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Texts, mix, shuffle_width, steps, texts_of, window_hash
+from .common import Texts, batched, compress, expand, key_filter, materialise, mix, shuffle_width, steps, texts_of, window_hash
 
 #: Words of the m-mer whose smallest hash picks the bucket of a window.
-MINIMISER = 3
+MINIMISER = 2
+#: Bytes of packed strings in a bucket, about, and those that a task gathers before it sends them.
+BUCKET_BYTES, SEND_BYTES = 2 << 20, 12 << 20
 
 
 def super_kmers(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -46,53 +47,59 @@ def super_kmers(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return owner[valid[at]], valid[at], np.diff(np.append(at, len(valid))), low[valid[at]]
 
 
-def _compress(x: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x)
-
-
-def _expand(x: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(x)
-
-
-def _pack(ids: np.ndarray, keys: np.ndarray, t: Texts, size: int, buckets: int) -> Iterator[tuple[int, bytes, bytes]]:
+def _pack(ids: np.ndarray, keys: np.ndarray, t: Texts, size: int, buckets: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
     """(bucket, packed strings, places): equal strings of this step travel once, with all their places."""
     doc, first, windows, mini = super_kmers(t, size)
     known = ids[doc] >= 0
     doc, first, windows, mini = doc[known], first[known], windows[known], mini[known]
     if not len(doc):
         return
-    raw = t.buf.tobytes()
     last = first + windows + size - 2
-    text_hash = t.span_hash(t.starts[first], t.ends[last])
+    begin, end = t.starts[first], t.ends[last]
+    text_hash = t.span_hash(begin, end)
     bucket = (mix(mini) % np.uint64(buckets)).astype(np.int64)
     order = np.lexsort((ids[doc], text_hash, bucket))
-    doc, first, last, bucket, text_hash = doc[order], first[order], last[order], bucket[order], text_hash[order]
-    begin, end = t.starts[first], t.ends[last]
-    fresh = np.append(True, (text_hash[1:] != text_hash[:-1]) | (bucket[1:] != bucket[:-1]))
+    doc, first, begin, end, bucket, text_hash = doc[order], first[order], begin[order], end[order], bucket[order], text_hash[order]
     length = end - begin
-    fresh[1:] |= length[1:] != length[:-1]
+    fresh = np.ones(len(doc), bool)
+    fresh[1:] = (text_hash[1:] != text_hash[:-1]) | (bucket[1:] != bucket[:-1]) | (length[1:] != length[:-1])
+    # The strings with any white space as one space: all bytes of the words, each with one space after it.
+    f = np.flatnonzero(fresh)
+    one = t.buf.copy()
+    one[t.space] = 0x20
+    double = np.append(False, t.space[1:] & t.space[:-1]) if len(t.buf) else t.space
+    keep = ~double
+    place = np.concatenate([[0], np.cumsum(keep)])
+    raw = one[keep].tobytes()
+    strings = [raw[x:y] for x, y in zip(place[begin[f]].tolist(), place[end[f]].tolist())]
+    copies = np.diff(np.append(f, len(doc)))
     local = first - t.first[doc]
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-    for a, b in zip(cuts, np.append(cuts[1:], len(bucket))):
-        f = np.flatnonzero(fresh[a:b])
-        packed = b"\n".join(b" ".join(raw[x:y].split()) for x, y in zip(begin[a:b][f].tolist(), end[a:b][f].tolist()))
-        copies = np.diff(np.append(f, b - a))
-        places = b"".join(x.tobytes() for x in (np.array([len(f), b - a]), copies, ids[doc[a:b]], keys[doc[a:b]], local[a:b]))
-        yield int(bucket[a]), _compress(packed), _compress(places)
+    at = np.searchsorted(f, np.append(cuts, len(doc)))
+    for k, (a, b) in enumerate(zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist())):
+        p, q = int(at[k]), int(at[k + 1])
+        yield int(bucket[a]), b"\n".join(strings[p:q]), np.concatenate([[q - p, b - a], copies[p:q], ids[doc[a:b]], keys[doc[a:b]], local[a:b]])
 
 
 def _found(packed: list[bytes], places: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, row key, first word, end word) of the words that windows of smaller documents cover, in one bucket."""
-    lines, copies, ids, keys, at = [], [], [], [], []
+    lines: dict[bytes, int] = {}  # equal strings of several steps are one line from here on
+    line_of, copies, ids, keys, at = [], [], [], [], []
     for p, q in zip(packed, places):
-        lines.append(_expand(p))
-        x = np.frombuffer(_expand(q), np.int64)
-        n, m = int(x[0]), int(x[1])
-        copies.append(x[2 : 2 + n])
-        for k, to in enumerate((ids, keys, at)):
-            to.append(x[2 + n + k * m : 2 + n + (k + 1) * m])
+        line_of.append(np.array([lines.setdefault(x, len(lines)) for x in expand(p).split(b"\n")]))
+        x = np.frombuffer(expand(q), np.int64)
+        while len(x):
+            n, m = int(x[0]), int(x[1])
+            copies.append(x[2 : 2 + n])
+            for k, to in enumerate((ids, keys, at)):
+                to.append(x[2 + n + k * m : 2 + n + (k + 1) * m])
+            x = x[2 + n + 3 * m :]
     raw = b"\n".join(lines)
+    lines.clear()
     copies, ids, keys, at = (np.concatenate(x) for x in (copies, ids, keys, at))
+    owner = np.repeat(np.concatenate(line_of), copies)
+    order = np.argsort(owner, kind="stable")
+    ids, keys, at, copies = ids[order], keys[order], at[order], np.bincount(owner)
     breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x0A)
     t = Texts(np.frombuffer(raw, np.uint8), np.concatenate([[0], breaks + 1, [len(raw)]]))
     # Every line holds words + size - 1 words for its windows; sort the windows, smallest document first.
@@ -142,9 +149,10 @@ def _found(packed: list[bytes], places: list[bytes], size: int) -> tuple[np.ndar
     return tuple(np.array(x, np.int64) for x in out)
 
 
-def _bounds(docs: DataFrame) -> int:
-    """Buckets: two a shuffle partition, more if a bucket's share of the rows would pass some thousands."""
-    return max(2 * shuffle_width(docs.sparkSession), docs.count() // 4000, 1)
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets so that one holds some megabytes of packed strings, from the number of rows and a sample of lengths."""
+    mean = docs.select(F.octet_length("text").alias("n")).limit(1000).agg(F.avg("n")).first()[0] or 0
+    return int(max(2 * shuffle_width(docs.sparkSession), docs.count() * mean * 3 / BUCKET_BYTES, 1))
 
 
 def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None) -> DataFrame:
@@ -155,16 +163,34 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
     string to the minimiser's bucket. There the windows are sorted, and equal ones compared as
     strings. Strings that a step of a task finds more than once travel once, with their places.
     """
-    buckets = buckets or _bounds(docs)
+    buckets = buckets or bucket_count(docs)
 
     def pack(batches):
+        held: dict[int, tuple[list, list]] = {}
+        size_held = 0
+
+        def send():
+            names, kinds = ["bucket", "packed", "places"], (pa.int32(), pa.binary(), pa.binary())
+            keys = sorted(held)
+            for at in range(0, len(keys), 64):
+                part = keys[at : at + 64]
+                cols = part, [compress(b"\n".join(held[k][0])) for k in part], [compress(np.concatenate(held[k][1]).tobytes()) for k in part]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
+            held.clear()
+
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
-            for row, t in steps(batch.column(2), most=8 << 20):
-                got = list(_pack(ids[row : row + t.n], keys[row : row + t.n], t, size, buckets))
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*got), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "packed", "places"])
+            for row, t in steps(batch.column(2), most=1 << 20):
+                for k, strings, places in _pack(ids[row : row + t.n], keys[row : row + t.n], t, size, buckets):
+                    to = held.setdefault(k, ([], []))
+                    to[0].append(strings)
+                    to[1].append(places)
+                    size_held += len(strings)
+                if size_held > SEND_BYTES:
+                    yield from send()
+                    size_held = 0
+        yield from send()
 
     def sort(group: pa.Table) -> pa.Table:
         doc, key, a, b = _found(group.column("packed").to_pylist(), group.column("places").to_pylist(), size)
@@ -174,7 +200,7 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
         parts = [spans[x:y].tobytes() for x, y in zip(cuts, np.append(cuts[1:], len(doc)))]
         return pa.table([pa.array(doc[cuts]), pa.array(key[cuts]), pa.array(parts, pa.binary())], names=["doc_id", "row_key", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = batched(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
     packed = rows.mapInArrow(pack, "bucket int, packed binary, places binary")
     spans = packed.groupBy("bucket").applyInArrow(sort, "doc_id long, row_key long, spans binary")
     return spans.groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("spans"))
@@ -191,15 +217,20 @@ def without_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     get equal results. Ids are non-negative integers. Columns named like the added ones are replaced.
     """
     docs = docs.drop("n_words", "n_removed", "kept_text")
-    marks = repeated_spans(docs, size).withColumnRenamed("doc_id", "_doc").withColumnRenamed("row_key", "_key")
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    joined = keyed.join(marks, (keyed["doc_id"].cast("long") == marks["_doc"]) & (keyed["_row"] == marks["_key"]), "left").drop("_doc", "_key", "_row")
+    marks = materialise(repeated_spans(docs, size)).toDF("_doc", "_key", "_spans")
+    may_have = key_filter(marks.select(F.xxhash64("_doc", "_key")))
+
+    # Only texts that may have spans meet them by a shuffle; the others stay where they are.
+    keyed = docs.withColumn("_row", F.xxhash64("text")).withColumn("_may", may_have(F.xxhash64(F.col("doc_id").cast("long"), F.col("_row"))))
+    some = keyed.where("_may")
+    some = some.join(marks, (some["doc_id"].cast("long") == marks["_doc"]) & (some["_row"] == marks["_key"]), "left").drop("_doc", "_key", "_row", "_may")
+    joined = some.union(keyed.where("not _may").drop("_row", "_may").withColumn("_spans", F.lit(None).cast("array<binary>")))
     names = docs.columns
     schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
 
     def cut(batches):
         for batch in batches:
-            spans = batch.column(batch.schema.get_field_index("spans")).to_pylist()
+            spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             n, removed, kept = [], [], []
             for text, parts in zip(texts, spans):
