@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +69,20 @@ def batched(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+#: What worker processes keep between tasks, by operator, and how to let go of it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def begin_task(kind: str) -> None:
+    """Let go of what other operators' tasks have left in this worker process: it outlives them."""
+    for k, drop in KEPT.items():
+        if k != kind:
+            drop()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

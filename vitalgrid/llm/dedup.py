@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Texts, batched, compress, expand, key_filter, materialise, mix, shuffle_width, steps, texts_of, window_hash
+from .common import Texts, batched, begin_task, compress, expand, key_filter, materialise, mix, shuffle_width, steps, texts_of, window_hash
 
 #: Words of the m-mer whose smallest hash picks the bucket of a window.
 MINIMISER = 2
@@ -166,6 +166,7 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
     buckets = buckets or bucket_count(docs)
 
     def pack(batches):
+        begin_task("dedup")
         held: dict[int, tuple[list, list]] = {}
         size_held = 0
 
@@ -229,6 +230,7 @@ def without_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
 
     def cut(batches):
+        begin_task("dedup")
         for batch in batches:
             spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()

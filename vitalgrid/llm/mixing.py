@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, materialise, steps, texts_of
+from .common import batched, begin_task, materialise, steps, texts_of
 
 #: Labelled rows that the classifier learns from at most, those of the smallest hashed ids.
 TRAIN_ROWS = 8_000
@@ -162,6 +162,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", weigh
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
 
     def classify(batches):
+        begin_task("mixing")
         for batch in batches:
             keep = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in rest], rest)
             for row, t in steps(texts_of(batch), lower=True):

@@ -29,7 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import LOWER, Texts, batched, steps, texts_of
+from .common import KEPT, LOWER, Texts, batched, steps, texts_of
 
 #: Distinct words whose counts one task keeps; the table starts anew beyond it.
 WORDS_KEPT = 200_000
@@ -473,6 +473,7 @@ class Lanes:
 
 
 _lanes: dict[str, Lanes] = {}
+KEPT["tokens"] = _lanes.clear
 
 
 def lanes(path: str) -> Lanes:

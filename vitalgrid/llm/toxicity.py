@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
-from .common import batched, texts_of
+from .common import batched, begin_task, texts_of
 
 #: Labelled rows that training reads at most, those with the smallest hashed ids.
 TRAIN_ROWS = 16_000
@@ -265,6 +265,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     read = list(dict.fromkeys(["doc_id", "text", *keep]))
 
     def run(batches):
+        begin_task("toxicity")
         kinds = WordKinds(model.learned, model.stems)
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
