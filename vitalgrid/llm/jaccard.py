@@ -6,8 +6,8 @@ by counts of hashed tokens, so its table has a fixed size and frequent passages
 prefixes.
 
 Index level: a list's entries are blocked by set size and position, and a block is skipped as soon as
-sizes or positions rule the overlap out. Short lists give their candidates directly. Long ones come from
-groups of sets that resemble each other; the sets of such a group meet in blocks, where
+sizes or positions rule the overlap out. Short lists give candidate pairs, long ones tie their members to the
+first. The components of either are groups; each set travels once to its group's block, where
 a set's overlaps with all others are derived from the known overlaps of the most similar set seen:
 take the postings of what it lacks, add those of what it has more. Only links that join two
 components leave a block, so no group gives all its pairs.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, materialise, mix, shuffle_width, steps, window_hash
+from .common import Texts, batched, begin_task, key_filter, materialise, mix, shuffle_width, steps, window_hash
 from .components import connected_components
 
 #: Counters of the token order.
@@ -31,6 +31,8 @@ ORDER_BITS = 20
 SHORT_LIST = 24
 #: Sets of a block of a large group.
 BLOCK_SETS = 2048
+#: Tokens of a bucket of small groups, about.
+BUCKET_TOKENS = 500_000
 #: Tokens of a block.
 BLOCK_TOKENS = 4_000_000
 
@@ -71,6 +73,7 @@ def token_order(docs: DataFrame, k: int, bits: int = ORDER_BITS) -> np.ndarray:
     size, part = 1 << bits, 1 << 14
 
     def count(batches):
+        begin_task("jaccard")
         total = np.zeros(size, np.int64)
         for batch in batches:
             for _, sets in _sets(batch, k):
@@ -167,21 +170,29 @@ def links_of_block(sets: list[np.ndarray], percent: int, known: list[int] | None
     return out
 
 
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set from others, with its size."""
+    if not len(s):
+        return 0, 0
+    return int(s.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).astype(np.int64))
+
+
 def set_classes(docs: DataFrame, k: int, counts: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows, entries): per row its set's size and class key; per class the index entries of its prefix."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def keys(batches):
+        begin_task("jaccard")
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             for row, sets in _sets(batch, k):
                 order = shared.value
                 a, b, prefix = [], [], []
                 for s in sets:
-                    with np.errstate(over="ignore"):
-                        a.append(int(s.sum(dtype=np.uint64).astype(np.int64)))
-                        b.append(int(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).astype(np.int64)) if len(s) else 0)
+                    x, y = set_key(s)
+                    a.append(x)
+                    b.append(y)
                     n = prefix_length(len(s), percent)
                     prefix.append(in_order(s, order)[:n].tobytes() if n else b"")
                 n = [len(s) for s in sets]
@@ -205,6 +216,18 @@ def _lists(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(token)))
 
 
+def _entries(token: np.ndarray, cid: np.ndarray, n: np.ndarray, pos: np.ndarray, weight: np.ndarray) -> bytes:
+    """Entries as bytes: 64-bit tokens and classes, the small numbers compressed."""
+    small = zlib.compress(np.stack([n, pos, weight]).astype(np.int32).tobytes(), 1)
+    return np.int64(len(token)).tobytes() + token.astype(np.int64).tobytes() + cid.astype(np.int64).tobytes() + small
+
+
+def _read_entries(x: bytes) -> tuple[np.ndarray, ...]:
+    k = int(np.frombuffer(x, np.int64, 1)[0])
+    small = np.frombuffer(zlib.decompress(x[8 + 16 * k :]), np.int32).reshape(3, -1).astype(np.int64)
+    return np.frombuffer(x, np.int64, k, 8), np.frombuffer(x, np.int64, k, 8 + 8 * k), *small
+
+
 def candidates(classes: DataFrame, percent: int, short: int = SHORT_LIST) -> DataFrame:
     """(kind, a, b) of classes: kind 0 are candidate pairs of short lists, kind 1 ties the members of a long list to its first.
 
@@ -230,11 +253,11 @@ def candidates(classes: DataFrame, percent: int, short: int = SHORT_LIST) -> Dat
             bucket = (mix(token.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             at, size = _lists(bucket[order])
-            packed = [np.stack([x[order[i : i + k]].astype(np.int64) for x in (token, cid, n, pos, weight)]).tobytes() for i, k in zip(at.tolist(), size.tolist())]
+            packed = [_entries(*(x[order[i : i + k]] for x in (token, cid, n, pos, weight))) for i, k in zip(at.tolist(), size.tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[order][at], pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64())], names)
 
     def meet(group: pa.Table) -> pa.Table:
-        token, cid, n, pos, weight = np.concatenate([np.frombuffer(x, np.int64).reshape(5, -1) for x in group.column("entries").to_pylist()], 1)
+        token, cid, n, pos, weight = (np.concatenate(x) for x in zip(*map(_read_entries, group.column("entries").to_pylist())))
         order = np.lexsort((cid, n, token))
         token, cid, n, pos, weight = (x[order] for x in (token, cid, n, pos, weight))
         begin, count = _lists(token)
@@ -260,35 +283,53 @@ def candidates(classes: DataFrame, percent: int, short: int = SHORT_LIST) -> Dat
         both = np.concatenate([found, ties])
         return pa.table([pa.array(kind), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["kind", "a", "b"])
 
-    sent = materialise(classes.select("cid", "n", "prefix").mapInArrow(send, "bucket int, entries binary, a long, b long"))
+    sent = classes.select("cid", "n", "prefix").mapInArrow(send, "bucket int, entries binary, a long, b long")
     ties = sent.where("bucket < 0").select(F.lit(1).alias("kind"), "a", "b")
     met = sent.where("bucket >= 0").select("bucket", "entries").groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
     return met.union(ties).distinct()
 
 
-def _link_groups(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links (a, b) found within groups of rows (cid, set, comp, ask); rows may repeat."""
+def _link_groups(rows: DataFrame, keys: list[str], percent: int, buckets: int) -> DataFrame:
+    """Links (a, b) found within groups of rows (cid, set, comp, ask); rows may repeat.
 
-    def link(group: pa.Table) -> pa.Table:
-        cid, sets = group.column("cid").to_pylist(), [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
-        got = links_of_block(sets, percent, group.column("comp").to_pylist(), group.column("ask").to_numpy(zero_copy_only=False))
-        return pa.table([pa.array([cid[x] for x, _ in got], pa.int64()), pa.array([cid[y] for _, y in got], pa.int64())], names=["a", "b"])
+    Most groups have a few sets, so a task takes a bucket of groups at a time.
+    """
 
-    return rows.select(*keys, "cid", "set", "comp", "ask").groupBy(*keys).applyInArrow(link, "a long, b long")
+    def link(bucket: pa.Table) -> pa.Table:
+        members: dict[tuple, list[int]] = {}
+        for i, k in enumerate(zip(*(bucket.column(c).to_pylist() for c in keys))):
+            members.setdefault(k, []).append(i)
+        cid, comp, ask, sets = (bucket.column(c) for c in ("cid", "comp", "ask", "set"))
+        cid, comp, ask = cid.to_pylist(), comp.to_pylist(), ask.to_numpy()
+        a, b = [], []
+        for at in members.values():
+            if len(at) < 2:
+                continue
+            got = links_of_block([np.frombuffer(sets[i].as_py(), np.uint64) for i in at], percent, [comp[i] for i in at], ask[at])
+            a += [cid[at[x]] for x, _ in got]
+            b += [cid[at[y]] for _, y in got]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+    keyed = rows.select(*keys, "cid", "set", "comp", "ask", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket"))
+    return keyed.groupBy("bucket").applyInArrow(link, "a long, b long")
 
-def _grouped_links(groups: DataFrame, sets: DataFrame, percent: int, block_sets: int, block_tokens: int) -> DataFrame:
-    """All links that matter within groups (cid, grp): in blocks first, then across the blocks of large groups.
+
+def _place(groups: DataFrame, sizes: DataFrame, block_sets: int, block_tokens: int) -> DataFrame:
+    """(cid, grp, blocks, block): blocks so that each holds a bounded number of sets and tokens."""
+    rows = groups.join(sizes, "cid")
+    width = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("n") / block_tokens)).cast("int").alias("blocks"))
+    return rows.join(width, "grp").select("cid", "grp", "blocks", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"))
+
+
+def _grouped_links(placed: DataFrame, percent: int, block_sets: int, buckets: int) -> DataFrame:
+    """All links that matter within groups of sets (cid, set, grp, blocks, block): in blocks first, then across them.
 
     Across blocks, one delegate of each block's component stands for it first. What the largest component
     of a group then still lacks is compared with all blocks; pairs inside it need no look.
     """
-    rows = materialise(groups.join(sets, "cid"))
-    width = rows.groupBy("grp").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum(F.octet_length("set") / 8) / block_tokens)).cast("int").alias("blocks"))
-    placed = rows.join(width, "grp").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     fresh = placed.withColumns({"comp": F.col("cid"), "ask": F.lit(True)})
-    links = materialise(_link_groups(fresh, ["grp", "block"], percent))
-    if not width.where("blocks > 1").limit(1).count():
+    links = materialise(_link_groups(fresh, ["grp", "block"], percent, buckets))
+    if not placed.select("blocks").where("blocks > 1").limit(1).count():
         return links
     large = placed.where("blocks > 1")
 
@@ -300,14 +341,14 @@ def _grouped_links(groups: DataFrame, sets: DataFrame, percent: int, block_sets:
     delegates = inside.groupBy("grp", "block", "comp").agg(F.min_by(F.struct("cid", "set"), "cid").alias("x")).select("grp", "comp", "x.*")
     parts = delegates.groupBy("grp").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("parts"))
     deputed = delegates.join(parts, "grp").withColumns({"part": F.pmod(F.xxhash64("cid"), F.col("parts")), "ask": F.lit(True)})
-    links = materialise(links.union(_link_groups(deputed, ["grp", "part"], percent)))
+    links = materialise(links.union(_link_groups(deputed, ["grp", "part"], percent, buckets)))
     inside = materialise(with_components(large, links))
     most = inside.groupBy("grp", "comp").count().groupBy("grp").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
     rest = inside.join(most, "grp").where("comp <> main")
     chunks = rest.groupBy("grp").agg(F.ceil(F.count("*") / block_sets).cast("int").alias("chunks"))
     asking = rest.join(chunks, "grp").select("grp", "cid", "set", "comp", F.pmod(F.xxhash64("cid", F.lit(1)), F.col("chunks")).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("ask"))
     asked = inside.join(chunks, "grp").select("grp", "cid", "set", "comp", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "block", F.lit(False).alias("ask"))
-    return links.union(_link_groups(asking.union(asked), ["grp", "block", "chunk"], percent))
+    return links.union(_link_groups(asking.union(asked), ["grp", "block", "chunk"], percent, 4 * buckets))
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, short: int = SHORT_LIST, block_sets: int = BLOCK_SETS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -321,37 +362,35 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, short: in
     apart by 64-bit hashes, sets by 128 bits.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = docs.select("doc_id", "text")
+    docs = batched(docs.select("doc_id", "text"))
     counts = token_order(docs, k)
     rows = materialise(set_classes(docs, k, counts, percent).withColumn("cid", F.xxhash64("k1", "k2", "n_shingles")))
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.min("doc_id").alias("least")))
-    found = materialise(candidates(classes, percent, short))
-    need = found.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "least"), "cid")
+    classes = materialise(full.groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.min("doc_id").alias("least")))
+    prefixes = full.groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+    found = materialise(candidates(prefixes, percent, short))
+    # Candidates of short lists have passed the filters of size and position: their components are families of near copies.
+    grouped = [connected_components(found.where(F.col("kind") == kind)).select(F.col("node").alias("cid"), F.xxhash64("component", F.lit(kind)).alias("grp")) for kind in (0, 1)]
+    placed = _place(grouped[0].union(grouped[1]), classes.select("cid", "n"), block_sets, block_tokens)
+    need = materialise(placed.join(classes, "cid"))
+    wide = ["cid", "grp", "blocks", "block"]
 
     def whole(batches):
+        begin_task("jaccard")
         for batch in batches:
-            cid = batch.column(batch.schema.get_field_index("cid"))
+            keep = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in wide], wide)
+            keys = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "k1", "k2"))))
             for row, sets in _sets(batch, k):
-                yield pa.RecordBatch.from_arrays([cid.slice(row, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "set"])
-
-    # A repeated id may stand for several texts; the class of each text is known by its row.
-    texts = docs.join(need, docs["doc_id"] == need["least"]).select("cid", "text")
-    sets = materialise(texts.mapInArrow(whole, "cid long, set binary").join(classes.select("cid", "n"), "cid").where("octet_length(set) = 8 * n").drop("n"))
-
-    def check(batches):
-        for batch in batches:
-            x, y = ([np.frombuffer(v, np.uint64) for v in batch.column(batch.schema.get_field_index(c)).to_pylist()] for c in ("set_a", "set_b"))
-            same = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y)], np.int64)
-            both = np.array([len(p) + len(q) for p, q in zip(x, y)], np.int64)
-            keep = pa.array(100 * same >= percent * (both - same))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in ("a", "b")], ["a", "b"]).filter(keep)
-
-    pairs = found.where("kind = 0").select("a", "b")
-    pairs = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
-    links = pairs.mapInArrow(check, "a long, b long")
-    groups = connected_components(found.where("kind = 1")).select(F.col("node").alias("cid"), F.col("component").alias("grp"))
-    links = links.union(_grouped_links(groups, sets, percent, block_sets, block_tokens))
+                # a repeated id may stand for several texts, of which one is the class's own
+                own = pa.array([(len(s), *set_key(s)) == key for s, key in zip(sets, keys[row:])], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*keep.slice(row, len(sets)).columns, pa.array([s.tobytes() for s in sets], pa.binary())], [*wide, "set"]).filter(own)
+
+    wanted = key_filter(need.select(F.col("least").cast("long")))
+    some = docs.where("doc_id is not null").where(wanted(F.col("doc_id").cast("long")))
+    texts = some.join(need, some["doc_id"] == need["least"]).select(*wide, "n", "k1", "k2", "text")
+    sets = materialise(texts.mapInArrow(whole, "cid long, grp long, blocks int, block int, set binary"))
+    tokens = need.agg(F.sum("n")).first()[0] or 0
+    links = _grouped_links(sets, percent, block_sets, 2 * shuffle_width(docs.sparkSession) + tokens // BUCKET_TOKENS)
     comps = materialise(connected_components(links))
     named = comps.join(classes.select(F.col("cid").alias("node"), "least"), "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
