@@ -255,6 +255,23 @@ def test_mixing_meets_targets(spark, sf):
     assert mixing_rates(d.limit(0), lab)[0].count() == 0
 
 
+def test_mixing_of_a_rare_blurred_domain_keeps_all(spark):
+    from vitalgrid.llm.mixing import mixing_rates, take_copies
+
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(2000):
+        own = rng.random(30) < (0.5 if i < 20 else 0.1)  # the common domain uses the rare one's words too
+        rows.append((i, " ".join(f"w{x}" for x in np.where(own, rng.integers(1000, 1030, 30), rng.integers(0, 200, 30))), "ga" if i < 20 else "en"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+    rates, report = mixing_rates(d, d.select("doc_id"))
+    assert rates.where("rate < 1").count() == 0
+    met = rates.agg(*(F.sum(F.col("rate") * F.col("n_tokens") * F.col("posteriors")[i]) for i in range(2))).first()
+    share = np.power(report["current"], 0.7) / np.power(report["current"], 0.7).sum()
+    assert np.allclose(np.array(met) / sum(met), share, rtol=1e-3) and np.allclose(met, report["reached"], rtol=1e-5)
+    assert take_copies(d, d.select("doc_id")).select("doc_id").distinct().count() == 2000
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as P
 

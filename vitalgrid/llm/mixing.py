@@ -141,6 +141,63 @@ def fit_rates(features: DataFrame, targets: np.ndarray, start: float = 1.0, roun
     return history, got
 
 
+def raised_rates(p: np.ndarray, share: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Rates of one or more: one, raised along the gaps of posteriors to the shares."""
+    return np.maximum(1, 1 - (p - share) @ g)
+
+
+def fit_raised(features: DataFrame, share: np.ndarray, rounds: int = 60, tolerance: float = 1e-6) -> tuple[np.ndarray, np.ndarray, int]:
+    """The vector g of ``raised_rates`` with which token totals have the shares ``share``; the totals met; and the rounds.
+
+    Of all rates r >= 1 that meet the shares these have the least sum(tokens * (r - 1)^2). Where no such rates
+    exist the gap is as small as they allow, as a ridge bounds g. The dual is convex and quadratic in pieces: a round is a
+    Newton step over the raised rates, and one aggregate that tries 16 lengths of it.
+    """
+    k = len(share)
+    lengths = 0.5 ** np.arange(16)
+    size = 1 + 2 * k + k * k  # dual value, totals, gradient and curvature at a tried point
+
+    def tried(points: np.ndarray) -> np.ndarray:
+        def add(batches):
+            out = np.zeros((len(points), size))
+            for b in batches:
+                if b.num_rows:
+                    p = b.column(1).flatten().to_numpy().reshape(-1, k)
+                    n = b.column(0).to_numpy().astype(float)
+                    q = p - share
+                    for row, g in zip(out, points):
+                        u = -q @ g
+                        up = np.maximum(u, 0)
+                        row[0] += n @ (u + up * up / 2)
+                        row[1 : 1 + k] += (n * (1 + up)) @ p
+                        row[1 + k : 1 + 2 * k] += (n * (1 + up)) @ q
+                        row[1 + 2 * k :] += ((q * (n * (u >= 0))[:, None]).T @ q).ravel()
+            yield pa.RecordBatch.from_arrays([pa.array(range(out.size), pa.int32()), pa.array(out.ravel())], ["i", "v"])
+
+        out = np.zeros(len(points) * size)
+        for i, v in features.select("tokens", "posteriors").mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v")).collect():
+            out[i] = v
+        return out.reshape(len(points), size)
+
+    g, done = np.zeros(k), 0
+    at = tried(g[None])[0]
+    words = max(at[1 : 1 + k].sum(), 1.0)
+    ridge = 1e-9 * words
+    for done in range(rounds):
+        slope = ridge * g - at[1 + k : 1 + 2 * k]
+        if np.abs(at[1 + k : 1 + 2 * k]).sum() <= tolerance * words or np.abs(slope).sum() <= 1e-3 * tolerance * words:
+            break
+        step = -np.linalg.solve(at[1 + 2 * k :].reshape(k, k) + ridge * np.eye(k), slope)
+        points = g + lengths[:, None] * step
+        results = tried(points)
+        values = results[:, 0] + ridge / 2 * np.square(points).sum(1)
+        best = int(values.argmin())
+        if values[best] >= at[0] + ridge / 2 * g @ g:
+            break
+        g, at = points[best], results[best]
+    return g, at[1 : 1 + k], done
+
+
 def smoothed_targets(current: np.ndarray, power: float) -> np.ndarray:
     """Weights proportional to a power below one of the current totals: small domains gain."""
     w = np.where(current > 0, np.maximum(current, 1e-12) ** power, 0)
@@ -152,8 +209,9 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", weigh
 
     Returns (rows, report). Rows have all columns of ``docs`` but the text, and n_tokens (words), posteriors (in
     the order of report["domains"]) and rate: how often to take the document, 0 or more. ``weights`` by
-    domain name default to ``power`` smoothing; ``total`` tokens default to the least with
-    which no rate is below one. Null and empty texts have no tokens; their rate counts for nothing. An empty
+    domain name default to ``power`` smoothing. Without ``total`` tokens no rate is below one: the rates that meet
+    the least total are scaled by one factor, and where one of them may be 0 the rates are fitted
+    under that bound (``fit_raised``), which keeps the shares where any such rates have them. Null and empty texts have no tokens; their rate counts for nothing. An empty
     table gives none. Columns with the added names are replaced.
     """
     model = fit_domains(batched(docs), labels, domain, max_rows)
@@ -185,14 +243,18 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", weigh
     history, got = fit_rates(features, targets)
     least = float(1 - np.sum(history, 0).max()) if history else 1.0
     scale = 1 / least if free and 0 < least < 1 else 1.0  # one factor for all keeps the shares
+    rates, fitted = (lambda p: scale * _fold(p, history, 1.0)), len(history)
+    if free and least <= 0:
+        raised, got, more = fit_raised(features, share)
+        rates, fitted, targets = (lambda p: raised_rates(p, share, raised)), fitted + more, share * got.sum()
 
     def rated(batches):
         for b in batches:
             p = b.column(b.schema.get_field_index("posteriors")).flatten().to_numpy().reshape(-1, k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(scale * _fold(p, history, 1.0), 9))], [*b.schema.names, "rate"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(rates(p), 9))], [*b.schema.names, "rate"])
 
     rows = features.mapInArrow(rated, f"{schema}, tokens long, posteriors array<double>, rate double").withColumnRenamed("tokens", "n_tokens")
-    return rows, {"domains": model.domains, "current": current, "targets": scale * targets, "reached": scale * got, "rounds": len(history)}
+    return rows, {"domains": model.domains, "current": current, "targets": scale * targets, "reached": scale * got, "rounds": fitted}
 
 
 def take_copies(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
