@@ -238,6 +238,89 @@ def test_licenses(spark):
     assert got == Counter({(1, 1, "MIT"): 2, (2, 3, "MIT"): 1, (3, 3, ""): 1, (4, 0, ""): 1, (5, 0, ""): 1, (None, 1, "Apache-2.0"): 1})
 
 
+NOTICES = {
+    "Apache-2.0": """Copyright 2020 A. Body
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "BSD-2-Clause": """Copyright (c) 2020, A. Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+""",
+    "CC-BY-4.0": "Notes\nThis work is licensed under a Creative Commons\nAttribution 4.0 International License.",
+    "CC-BY-NC-4.0": "Notes\nLicensed under\nCC BY-NC 4.0.",
+    "CC-BY-SA-4.0": "Notes\nLicensed under CC BY-SA\n4.0",
+    "GPL-2.0-or-later": """A program
+Copyright (C) 2020 A. Body
+
+This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "GPL-3.0-only": "Notes\nThis work is licensed under the GNU General\nPublic License version 3.",
+    "ISC": """Copyright (c) 2020, A. Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+""",
+    "MIT": """MIT License
+Copyright (c) 2020 A. Body
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL""",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "Notes\n\nThis is free and unencumbered software released into the public\ndomain.\n\nAnyone is free to copy",
+}
+NOTICES["GPL-3.0-or-later"] = NOTICES["GPL-2.0-or-later"].replace("software;", "software:").replace("Foundation;", "Foundation,").replace("version 2", "version 3")
+NOTICES["BSD-3-Clause"] = NOTICES["BSD-2-Clause"] + """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_licenses_of_verbatim_notices(spark):
+    from vitalgrid.llm.licenses import RULES, license_scan
+
+    assert set(NOTICES) == {name for name, _ in RULES}
+    forms = (lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */")
+    rows = [(name, f(t)) for name, t in NOTICES.items() for f in forms]
+    got = license_scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert [(r["doc_id"], r["licenses"]) for r in got if r["licenses"] != r["doc_id"]] == [] and len(got) == 3 * len(NOTICES)
+
+
 def test_mixing_meets_targets(spark, sf):
     from vitalgrid.llm.common import table
     from vitalgrid.llm.mixing import mixing_rates, take_copies

@@ -59,29 +59,35 @@ RULES = (
 SUPERSEDED = {"BSD-2-Clause": "BSD-3-Clause"}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: One of these is in every known sentence.
-HINT = "licen[sc]e|licensed|permission|redistribut|public domain|without any warranty|without warranty"
+#: One of these is in every known sentence, also where a line break or a comment mark parts the words.
+HINT = "licen[sc]e|licensed|permission|redistribut|public[^a-z0-9]+domain|without[^a-z0-9]+(any[^a-z0-9]+)?warranty"
+#: The two readings of the SQL.
 LINE_SPLIT, TEXT_SPLIT = "[.!?:;]+[ \\t\\r]+|\\n+", "[.!?:;]+[ \\t\\r\\n]+"
+_NORMAL = {k: " ".join(w.strip(".") for w in v.split()) for k, v in SENTENCES.items()}
+#: A known sentence from one border (L) to another, its words parted by spaces or borders; a shorter one first.
+_ANY = "(?<=L)(" + "|".join(v.replace(".", "[.]").replace(" ", "[ L]") for v in sorted(_NORMAL.values(), key=lambda v: (len(v), v))) + ")(?=L)"
 
 
-def _known(split_at: str) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    table = F.create_map(*(F.lit(x) for pair in ((v, k) for k, v in SENTENCES.items()) for x in pair))
-    normal = lambda s: F.trim(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9.]+", " "), "(^| )[.]+|[.]+( |$)", " "))
-    return F.filter(F.transform(F.split(F.col("_low"), split_at), lambda s: F.try_element_at(table, normal(s))), lambda x: x.isNotNull())
+def _known(low: Column) -> Column:
+    """Identifiers of the known sentences of a text in lower case, in order; L marks a border, as no capital is left."""
+    out = F.concat(F.lit("L"), low, F.lit("\n"))
+    for pattern, by in (("[.!?:;]+[ \\t\\r\\n]+|\\n+", "L"), ("[^a-z0-9.L]+", " "), ("(?<=[ L])[.]+|[.]+(?=[ L])", ""), (" *L[ L]*", "L"), (" +", " ")):
+        out = F.regexp_replace(out, pattern, by)
+    table = F.create_map(*(F.lit(x) for k, v in _NORMAL.items() for x in (v, k)))
+    return F.transform(F.regexp_extract_all(out, F.lit(_ANY), 1), lambda s: F.element_at(table, F.translate(s, "L", " ")))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_ids (joined by a comma, in text order), n_sentences and licenses (joined by a comma, by name).
 
-    A text is split at sentence ends and line breaks; if reading on over line breaks gives more known
-    sentences (wrapped licence texts), that reading counts. A licence is found if one of its rules' identifiers
+    Sentence ends, colons, semicolons and line breaks are borders. A known sentence is found from any border to any
+    later one, whatever borders lie within it: wrapped, under a title line or behind comment marks. Sentences do not
+    overlap; of two from the same border the shorter is taken. A licence is found if one of its rules' identifiers
     stand in this order. Null texts and texts without known sentences have empty strings and 0.
     Rows are independent and unmoved; repeated rows and null ids give a row each, other columns are ignored.
     """
     hinted = docs.select("doc_id", F.translate("text", _UPPER, _LOWER).alias("_low"))
-    found = hinted.select("doc_id", F.when(F.col("_low").rlike(HINT), F.struct(_known(LINE_SPLIT).alias("lines"), _known(TEXT_SPLIT).alias("whole"))).alias("_k"))
-    ids = found.select("doc_id", F.coalesce(F.when(F.size("_k.whole") > F.size("_k.lines"), F.col("_k.whole")).otherwise(F.col("_k.lines")), F.array().cast("array<string>")).alias("_ids"))
+    ids = hinted.select("doc_id", F.coalesce(F.when(F.col("_low").rlike(HINT), _known(F.col("_low"))), F.array().cast("array<string>")).alias("_ids"))
     seq = F.concat(F.lit(","), F.array_join("_ids", ","), F.lit(","))
     matches = ids.withColumn("_seq", seq)
     names = sorted({n for n, _ in RULES})
@@ -94,7 +100,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same by joining unnested sentences with the table, and rules by positions."""
+    """Unnested sentences joined with the table, and rules by positions; only sentences that one of two splits yields whole."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     known = ", ".join(f"({quote(v)}, {quote(k)})" for k, v in SENTENCES.items())
 
