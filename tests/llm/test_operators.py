@@ -222,6 +222,26 @@ def test_html():
     assert main_text("<p>" * 5000 + "deep") == "deep"
 
 
+def test_html_keeps_articles_in_marked_wrappers():
+    from vitalgrid.llm.htmltext import main_text
+
+    a, b, c = ("The %s paragraph of the story has quite some text in it, without a single link." % x for x in ("first", "second", "third"))
+    side = "<nav><a href=1>Home</a></nav><div class=sidebar><a href=2>Popular</a> now</div>"
+    for wrap in ("<div class='no-sidebar'>%s</div>", "<div class='page has-sidebar'>%s</div>", "<div class='right-sidebar'>%s</div>", "<form action=x><input name=v>%s</form>"):
+        assert main_text(side + wrap % f"<p>{a}</p><p>{b}</p>") == f"{a}\n{b}"
+    parts = "<header class='entry-header'><h1>Title</h1></header>%s<section id='discussion'><h2 id='legal'>Legal</h2><p>%s</p></section>" % (f"<p>{a}</p><p>{b}</p>", c)
+    lines = f"Title\n{a}\n{b}\nLegal\n{c}"
+    assert main_text(f"<body>{side}<article>{parts}<div class=comments><p>{c}</p></div></article></body>") == lines
+    assert main_text(f"<article>{parts.replace('header class', 'div class').replace('</header', '</div')}</article>") == lines
+    assert main_text(side + "".join(f"<article><p>{x}</p></article>" for x in (a, b, c))) == f"{a}\n{b}\n{c}"
+    teasers = "".join(f"<article><h3><a href={i}>More of it</a></h3><p>Short words.</p></article>" for i in range(3))
+    assert main_text(f"{side}<div><p>{a}</p><p>{b}</p><p>{c}</p></div><div>{teasers}</div>") == f"{a}\n{b}\n{c}"
+    assert main_text(f"{side}<article><h1>T</h1><p>{a}</p><p>{b}</p></article>{teasers}") == f"T\n{a}\n{b}"
+    assert main_text(f"<div><p>{a}</p></div><div class=comments>{f'<p>{b}</p>' * 3}</div>") == a
+    assert main_text("<div class=widget>one</div><div class=widget>two</div>") == "one\ntwo"
+    assert main_text(f"<p>{a}</p><div style='display:none'><p>{b}</p><p>{c}</p></div>") == a
+
+
 def test_html_rows(spark):
     from vitalgrid.llm.htmltext import extract_pages
 

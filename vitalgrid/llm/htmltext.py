@@ -32,6 +32,11 @@ NOISE = re.compile(
     r"comments?|commentlist|respond|reply|replies|disqus|discussion|login|signup|search\w*|complementary|contentinfo|navigation|skip\w*|copyright|legal|disclaimer|tags?|taglist|hidden)(?:$|[\s_-])",
     re.I,
 )
+#: Marks of what readers wrote; it is no wrapper of an article even where it is most of a page.
+ANSWERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|reply|replies|disqus)(?:$|[\s_-])", re.I)
+#: Words of a layout that say what stands beside, such as no-sidebar.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with|without)[_-]\w+", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
@@ -41,6 +46,8 @@ class Node:
     tag: str
     parent: Node | None
     noise: bool = False
+    answers: bool = False
+    hidden: bool = False
     parts: list = field(default_factory=list)  # texts and child nodes in page order
     chars: int = 0
     tags: int = 0
@@ -99,12 +106,13 @@ def _open(parent: Node, tag: str, attributes: str) -> Node:
     if attributes.strip(" /"):
         for k, *v in _ATTR.findall(attributes):
             k, value = k.lower(), html.unescape("".join(v))
-            if k in ("class", "id", "role") and NOISE.search(value.replace(":", " ")):
+            if k in ("class", "id", "role") and NOISE.search(value := _LAYOUT.sub("", value.replace(":", " "))):
                 child.noise = True
+                child.answers = child.answers or bool(ANSWERS.search(value))
             elif k == "hidden" or (k == "aria-hidden" and value.lower() == "true"):
-                child.noise = True
+                child.hidden = True
             elif k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                child.noise = True
+                child.hidden = True
     parent.parts.append(child)
     return child
 
@@ -144,27 +152,52 @@ def _walk(root: Node) -> list[Node]:
     return out
 
 
-def prune(root: Node) -> None:
-    """Take out what cannot be article text; a header stays inside article or main unless it is marked as noise."""
-    for node in _walk(root):
-        inside = node
-        while inside is not None and inside.tag not in ("article", "main"):
-            inside = inside.parent
-        node.parts = [
-            x for x in node.parts
-            if not isinstance(x, Node) or not (x.tag in DROPPED or (x.tag == "header" and inside is None) or (x.noise and x.tag not in ("html", "body", "main", "article")))
-        ]
+def _without(nodes: list[Node], gone) -> None:
+    for node in nodes:
+        node.parts = [x for x in node.parts if not isinstance(x, Node) or not gone(x, node)]
 
 
-def score(root: Node) -> list[Node]:
-    """Composite text density of every node, and the sum over its children.
+def prune(root: Node) -> None:
+    """Take out what cannot be article text: by element, and by marks where little of the page's unlinked text goes.
 
-    With C characters, T tags, C_l and T_l of them in links, the density of a node is the number of
-    characters a tag, weighed down by a logarithm whose argument grows with C/C_l · T/T_l and whose
-    base grows with the page's share of link text.
+    A header stays inside article or main. A marked subtree or a form stays if it wraps most of the text (of comments: nearly all,
+    of a form: a quarter), if it is a heading, or if it is a titled section of an article that is not mostly
+    links. If marks would leave no text, none of them counts.
     """
-    from math import e, log
+    story: dict[int, bool] = {}
+    nodes = _walk(root)
+    for node in nodes:
+        story[id(node)] = node.tag in ("article", "main") or (node.parent is not None and story[id(node.parent)])
+    _without(nodes, lambda x, node: x.hidden or (x.tag in DROPPED and x.tag != "form") or (x.tag == "header" and not story[id(node)]))
+    nodes = _count(root)
+    whole = root.chars - root.link_chars
+    titled: dict[int, int] = {}  # the highest rank of a heading below a node
+    for node in reversed(nodes):
+        titled[id(node)] = min((int(x.tag[1]) if x.tag in HEADINGS else titled[id(x)] for x in node.parts if isinstance(x, Node)), default=9)
+
+    def gone(x: Node, node: Node) -> bool:
+        if not (x.noise or x.tag == "form") or x.tag in HEADINGS or x.tag in ("html", "body", "main", "article"):
+            return False
+        plain = x.chars - x.link_chars
+        if x.answers:
+            return 10 * plain < 9 * whole
+        if 2 * plain > whole or (x.tag == "form" and not x.noise and 4 * plain >= whole):
+            return False
+        own = story[id(node)] and 2 * x.link_chars < x.chars and (titled[id(x)] == 1 or (x.tag == "section" and titled[id(x)] < 9))
+        return not own
+
+    out = {id(x) for node in nodes for x in node.parts if isinstance(x, Node) and gone(x, node)}
+    left, stack = 0, [root]
+    while stack:
+        node = stack.pop()
+        left += sum(len(x.split()) for x in node.parts if isinstance(x, str))
+        stack.extend(x for x in node.parts if isinstance(x, Node) and id(x) not in out)
+    if left:
+        _without(nodes, lambda x, node: id(x) in out)
 
+
+def _count(root: Node) -> list[Node]:
+    """Characters and tags of every node, in all and in links; the nodes, parents first."""
     nodes = _walk(root)
     for node in reversed(nodes):
         own = sum(sum(map(len, (html.unescape(x) if "&" in x else x).split())) for x in node.parts if isinstance(x, str))
@@ -176,6 +209,19 @@ def score(root: Node) -> list[Node]:
         else:
             node.link_chars = sum(x.link_chars for x in children)
             node.link_tags = sum(x.link_tags + (x.tag == "a") for x in children)
+    return nodes
+
+
+def score(root: Node) -> list[Node]:
+    """Composite text density of every node, and the sum over its children.
+
+    With C characters, T tags, C_l and T_l of them in links, the density of a node is the number of
+    characters a tag, weighed down by a logarithm whose argument grows with C/C_l · T/T_l and whose
+    base grows with the page's share of link text.
+    """
+    from math import e, log
+
+    nodes = _count(root)
     body_c, body_l = max(1, root.chars), root.link_chars
     for node in reversed(nodes):
         c, t, lc, lt = node.chars, max(1, node.tags), node.link_chars, node.link_tags
@@ -187,18 +233,39 @@ def score(root: Node) -> list[Node]:
     return nodes
 
 
+def _above(node: Node) -> list[Node]:
+    out = []
+    while (node := node.parent) is not None:
+        out.append(node)
+    return out
+
+
+def _within(node: Node, tags: tuple[str, ...]) -> bool:
+    return any(x.tag in tags for x in _above(node))
+
+
+def _teaser(node: Node) -> bool:
+    """Whether the first heading is a link: the text goes on elsewhere."""
+    head = next((x for x in _walk(node) if x.tag in HEADINGS and x.chars), None)
+    return head is not None and (head.link_chars == head.chars or any(x.tag == "a" for x in _above(head)))
+
+
 def main_node(root: Node) -> list[Node]:
     """The subtrees that hold the article.
 
-    The node with the largest density sum is taken. The threshold is the smallest density on the path
+    Where outermost article and main elements hold half of the unlinked text or more, the largest is taken, with those others
+    that are as dense as the path to it and neither mostly links nor, beside a full article, teasers under a linked
+    title. Otherwise the node with the largest density sum is taken. The threshold is the smallest density on the path
     from the body to it: siblings of the path that reach it and hold plain text belong too,
     which keeps an article together that is split over several containers.
     """
     nodes = score(root)
-    marked = [x for x in nodes if x.tag in ("article", "main") and x.chars]
-    if marked:
-        top = max(marked, key=lambda x: (x.chars - x.link_chars, x.density_sum))
-        return [top]
+    plain = lambda x: x.chars - x.link_chars
+    marked = [x for x in nodes if x.tag in ("article", "main") and x.chars and not _within(x, ("article", "main"))]
+    if marked and 2 * sum(map(plain, marked)) >= plain(root):
+        top = max(marked, key=lambda x: (plain(x), x.density_sum))
+        least = min(x.density for x in (top, *_above(top)) if x.tag != "html" or x is root)
+        return [x for x in marked if x is top or (x.density >= least and 2 * x.link_chars <= x.chars and (_teaser(top) or not _teaser(x)))]
     best = max(nodes, key=lambda x: x.density_sum)
     path, at = [], best
     while at is not None:
