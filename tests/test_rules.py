@@ -111,3 +111,45 @@ def test_sessions_on_a_stream_meet_the_table(spark, sf, tmp_path):
     whole = event_sessions(spark.read.parquet(f"{sf}/events.parquet"))
     closed = spark.table("sessions")
     assert closed.count() > 0 and closed.exceptAll(whole).count() == 0
+
+
+def test_generation_scores_of_whole_texts(spark, tmp_path):
+    import math
+    import random
+    import re
+    import string
+
+    from vitalgrid.plans.registry import QUERIES
+
+    rng = random.Random(3)
+    line = lambda n: " ".join(rng.choice(["ab", "ba,", "The", "Cat.", "é😀"]) for _ in range(n))
+    texts = {1: "ab " * 90 + "xyz\n" + "ab " * 90 + "q", 2: f"{line(150)}\n{line(200)}\n{line(300)}", 3: line(400), 4: "a b\nb a", 5: "", 6: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    grams = lambda x, n: [tuple(x[i : i + n]) for i in range(len(x) - n + 1)]
+    words = lambda t: re.sub("[%s]" % re.escape(string.punctuation), "", t.lower()).split()
+    div = lambda a, b: a / b if b else 1.0
+
+    def bleu(c, r):
+        if not c or not set(c) & set(r):
+            return 0.0
+        logs = 0.0
+        for n in range(1, 5):
+            x, y = grams(c, n), grams(r, n)
+            hit = sum(min(x.count(g), y.count(g)) for g in set(x))
+            logs += math.log((hit + (n > 1)) / (len(x) + (n > 1))) / 4
+        return math.exp(logs + min(0, 1 - len(r) / len(c)))
+
+    def sari(source, cand, ref):
+        out = 0.0
+        for n in range(1, 5):
+            s, c, r = (set(grams(words(x), n)) for x in (source, cand, ref))
+            for got, want in ((c & s, r & s), (c - s, r - s)):
+                p, q = div(len(got & want), len(got)), div(len(got & want), len(want))
+                out += (2 * p * q / (p + q) if p + q else 0) / 12
+            out += div(len((s - c) - r), len(s - c)) / 12
+        return out
+
+    for r in QUERIES["generation_scores"](spark, str(tmp_path)).collect():
+        t = texts[r["doc_id"]] or ""
+        a, c = t.split("\n")[0], (t.split("\n") + [""])[1] or t
+        assert abs(r["bleu4"] - bleu(a, c)) < 1e-8 and abs(r["sari"] - sari(t, a, c)) < 1e-8, r

@@ -6,13 +6,13 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
-def _grams(words: list[str], n: int) -> Counter:
-    return Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1))
+def _grams(words: list[str], n: int):
+    return zip(*(words[i:] for i in range(n)))
 
 
 def bleu(candidate: list[str], reference: list[str], most: int = 4) -> float:
@@ -21,8 +21,8 @@ def bleu(candidate: list[str], reference: list[str], most: int = 4) -> float:
         return 0.0
     logs = 0.0
     for n in range(1, most + 1):
-        c = _grams(candidate, n)
-        hit, total = sum((c & _grams(reference, n)).values()), sum(c.values())
+        c, r = Counter(_grams(candidate, n)), Counter(_grams(reference, n))
+        hit, total = sum((c & r).values()), sum(c.values())
         if n == 1 and not hit:
             return 0.0
         logs += math.log((hit + (n > 1)) / (total + (n > 1)))
@@ -58,19 +58,21 @@ def reading_grade(text: str | None) -> float | None:
 
 
 def _list(x) -> list[str]:
-    return [] if x is None else list(x)
+    """The words of an array, the characters of a string."""
+    return list(x.as_py() or ())
 
 
-@F.pandas_udf(DoubleType())
-def bleu_score(candidate: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series([bleu(_list(a), _list(b)) for a, b in zip(candidate, reference)])
+# One row at a time becomes Python objects, as texts are whole.
+@F.arrow_udf(DoubleType())
+def bleu_score(candidate: pa.Array, reference: pa.Array) -> pa.Array:
+    return pa.array([bleu(_list(a), _list(b)) for a, b in zip(candidate, reference)], pa.float64())
 
 
-@F.pandas_udf(DoubleType())
-def sari_score(source: pd.Series, candidate: pd.Series, reference: pd.Series) -> pd.Series:
-    return pd.Series([sari(_list(a), _list(b), _list(c)) for a, b, c in zip(source, candidate, reference)])
+@F.arrow_udf(DoubleType())
+def sari_score(source: pa.Array, candidate: pa.Array, reference: pa.Array) -> pa.Array:
+    return pa.array([sari(_list(a), _list(b), _list(c)) for a, b, c in zip(source, candidate, reference)], pa.float64())
 
 
-@F.pandas_udf(DoubleType())
-def grade(text: pd.Series) -> pd.Series:
-    return pd.Series([reading_grade(x) for x in text])
+@F.arrow_udf(DoubleType())
+def grade(text: pa.Array) -> pa.Array:
+    return pa.array([reading_grade(x.as_py()) for x in text], pa.float64())

@@ -111,8 +111,8 @@ def corpus_words(spark, sf_dir):
 
 @query()
 def generation_scores(spark, sf_dir):
-    """BLEU-4 by characters, SARI and reading grade of a text's first lines."""
-    p = _pairs(spark, sf_dir).select("doc_id", F.split(F.substring("a", 1, 200), "").alias("ca"), F.split(F.substring("c", 1, 200), "").alias("cc"), T.words("a").alias("a"), T.words(F.substring("c", 1, 400)).alias("c"), T.words(F.substring("b", 1, 400)).alias("b"), F.col("b").alias("text"))
+    """BLEU-4 by characters of the first line against the second, SARI of the first line as a short form of the text, and the text's reading grade; all of whole strings."""
+    p = _pairs(spark, sf_dir).select("doc_id", F.col("a").alias("ca"), F.col("c").alias("cc"), T.words("a").alias("a"), T.words("c").alias("c"), T.words("b").alias("b"), F.col("b").alias("text"))
     return p.select("doc_id", F.round(X.bleu_score("ca", "cc"), 9).alias("bleu4"), F.round(X.sari_score("b", "a", "c"), 9).alias("sari"), F.round(X.grade("text"), 9).alias("grade"))
 
 
