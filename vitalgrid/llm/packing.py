@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import json
+import os
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,13 +16,196 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import batched, materialise, steps, texts_of
-from .tokens import lanes
+from .common import KEPT, Texts, batched, begin_task, materialise, steps, texts_of
+from .tokens import byte_symbols, simple_pre_tokens
 
 #: Tokens of a grain: lengths are counted in grains, and documents are cut only where one ends.
 GRAIN = 16
 #: Pieces that one task ranks or packs greedily, about.
 PART_PIECES = 2_000
+#: Bytes from which a single text is tokenized in parts.
+LONG_TEXT = 1 << 22
+
+
+class Merges:
+    """Byte-pair merges of many words side by side: in each word the best-ranked pair next, until none is left."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, suffix, pairs = model["vocab"], model["end_of_word_suffix"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        symbols = byte_symbols()
+        self.inner = np.array([vocab[x] for x in symbols], np.int64)
+        self.final = np.array([vocab[x + suffix] for x in symbols], np.int64)
+        self.width = max(vocab.values()) + 1
+        keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.none = np.int32(len(pairs))
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.width + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], self.none)
+
+    def ids(self, low: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pre-tokens (bytes of ``low`` from ``starts``), all in turn, and how many each has."""
+        owner = np.repeat(np.arange(len(starts)), size)
+        at = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(len(owner))
+        token = self.inner[low[at]]
+        last = np.cumsum(size) - 1
+        token[last] = self.final[low[at[last]]]
+        rank = np.full(len(token), self.none)
+        inside = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else last
+        rank[inside] = self.rank(token[inside], token[inside + 1])
+        done = []
+        while len(token):
+            begin = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            count = np.diff(np.append(begin, len(owner)))
+            best = np.repeat(np.minimum.reduceat(rank, begin), count)
+            if (over := best == self.none).any():
+                done.append((owner[over], token[over]))
+                go = ~over
+                token, owner, rank, best = token[go], owner[go], rank[go], best[go]
+            p = np.flatnonzero(rank == best)
+            if not len(p):
+                continue
+            # of overlapping equal pairs the first, third and so on: the number in its run is even
+            run = np.flatnonzero(np.append(True, np.diff(p) != 1))
+            p = p[(np.arange(len(p)) - np.repeat(run, np.diff(np.append(run, len(p))))) % 2 == 0]
+            token[p] = self.made[rank[p]]
+            stay = np.ones(len(token), bool)
+            stay[p + 1] = False
+            p = p - np.arange(len(p))  # one symbol less for each merge before
+            token, owner, rank = token[stay], owner[stay], rank[stay]
+            near = np.concatenate([p, p[p > 0] - 1])
+            rank[near] = self.none
+            near = near[near + 1 < len(token)]
+            near = near[owner[near] == owner[near + 1]]
+            rank[near] = self.rank(token[near], token[near + 1])
+        if not done:
+            return np.empty(0, np.int64), np.zeros(len(starts), np.int64)
+        owner, token = (np.concatenate(x) for x in zip(*done))
+        return token[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(starts))
+
+
+class WordIds:
+    """Ids of texts, where each distinct word is encoded once while the table lasts.
+
+    White space of U+0009 to U+000D and U+0020 ends every pre-token and belongs to none, so a text's ids are those of
+    its words in turn. Words are known by their 64-bit hash, in a table of fixed size that starts anew when half full.
+    New words of ASCII and the letters of U+00C0 to U+00FF are merged side by side, others go to the tokenizer library.
+    """
+
+    SLOTS, CHUNK = 1 << 21, 1 << 15
+
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.library, self.merges = Tokenizer.from_file(path), Merges(path)
+        self.renew()
+
+    def renew(self) -> None:
+        self.keys, self.place = np.zeros(self.SLOTS, np.uint64), np.zeros(self.SLOTS, np.int32)
+        self.begin, self.size, self.ids = np.zeros(self.SLOTS // 2, np.int32), np.zeros(self.SLOTS // 2, np.int32), np.zeros(1 << 18, np.int32)
+        self.words = self.used = 0
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 where it is new: linear probing, all words side by side."""
+        mask = np.uint64(self.SLOTS - 1)
+        out, left, slot = np.full(len(h), -1, np.int32), np.arange(len(h)), h & mask
+        while len(left):
+            have = self.keys[slot]
+            hit = have == h[left]
+            out[left[hit]] = self.place[slot[hit]]
+            on = ~hit & (have != 0)
+            left, slot = left[on], (slot[on] + np.uint64(1)) & mask
+        return out
+
+    def _add(self, h: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New words by hash, with all their ids in turn."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        new = np.arange(self.words, self.words + len(h))
+        self.begin[new], self.size[new] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.words, self.used = self.words + len(h), self.used + len(ids)
+        mask, slot = np.uint64(self.SLOTS - 1), h & np.uint64(self.SLOTS - 1)
+        while len(h):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            put = free[one]
+            self.keys[slot[put]], self.place[slot[put]] = h[put], new[put]
+            left = np.ones(len(h), bool)
+            left[put] = False
+            h, new, slot = h[left], new[left], (slot[left] + np.uint64(1)) & mask
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words in turn, and how many each has."""
+        raw = b" ".join(words)
+        t = Texts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        low, starts, size, word, odd = simple_pre_tokens(t)
+        ids, n = self.merges.ids(low, starts, size)
+        sizes = np.bincount(word, n, len(words)).astype(np.int64)
+        if not odd.any():
+            return ids, sizes
+        at = np.flatnonzero(odd).tolist()
+        others = [x.ids for x in self.library.encode_batch_fast([words[i].decode() for i in at], add_special_tokens=False)]
+        sizes[at] = list(map(len, others))
+        out, of_odd = np.empty(sizes.sum(), np.int64), np.repeat(odd, sizes)
+        out[~of_odd], out[of_odd] = ids, np.concatenate(others)
+        return out, sizes
+
+    def of_words(self, t: Texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in turn, and how many each word has."""
+        h = np.maximum(t.word_hash(), np.uint64(1))
+        out, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        for a in range(0, len(h), self.CHUNK):
+            part = h[a : a + self.CHUNK]
+            at = self._find(part)
+            if (at < 0).any():
+                if self.words + self.CHUNK > self.SLOTS // 2:
+                    self.renew()
+                    at = np.full(len(part), -1)
+                new, first = np.unique(part[at < 0], return_index=True)
+                where = a + np.flatnonzero(at < 0)[first]
+                self._add(new, *self.encode([t.buf[x:y].tobytes() for x, y in zip(t.starts[where].tolist(), t.ends[where].tolist())]))
+                at = self._find(part)
+            n = self.size[at]
+            rows = np.repeat(self.begin[at] - np.cumsum(n) + n, n)
+            rows += np.arange(len(rows))
+            out.append(self.ids[rows])
+            sizes.append(n)
+        return np.concatenate(out), np.concatenate(sizes)
+
+    def of_texts(self, column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first row, the ids of each text from there); a very long text is read part by part, cut at white space."""
+        for row, t in steps(column, most=1 << 18):
+            if t.n == 1 and len(t.buf) > LONG_TEXT:
+                at, ids = 0, []
+                while at < len(t.buf):
+                    # the end of the last word that ends within the bound, or of the one that runs over it
+                    k = max(int(np.searchsorted(t.ends, at + LONG_TEXT, "right")) - 1, int(np.searchsorted(t.starts, at)))
+                    to = int(t.ends[k]) if k < len(t.ends) else len(t.buf)
+                    ids.append(self.of_words(Texts(t.buf[at:to], np.array([0, to - at])))[0])
+                    at = to
+                yield row, [np.concatenate(ids)]
+            else:
+                ids, n = self.of_words(t)
+                yield row, np.split(ids, np.concatenate([[0], np.cumsum(n)])[t.first[1:-1]])
+
+
+_word_ids: dict[str, WordIds] = {}
+KEPT["packing"] = _word_ids.clear
+
+
+def word_ids(path: str) -> WordIds:
+    """One table for each worker process."""
+    if path not in _word_ids:
+        _word_ids[path] = WordIds(path)
+    return _word_ids[path]
 
 
 def shift_tables(n_bytes: int) -> np.ndarray:
@@ -157,12 +343,13 @@ def pack_documents(docs: DataFrame, window: int = 4096, tokenizer: str = "word_b
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
-        machine = lanes(path)
+        begin_task("packing")
+        machine = word_ids(path)
         for batch in batches:
             doc = batch.column(batch.schema.get_field_index("doc_id"))
-            for row, t in steps(texts_of(batch)):
+            for row, texts in machine.of_texts(texts_of(batch)):
                 rows, start, length, total, crcs = [], [], [], [], []
-                for i, ids in enumerate(machine.ids(t), row):
+                for i, ids in enumerate(texts, row):
                     raw = np.append(ids, end_id).astype("<u4").tobytes()
                     n = len(raw) // 4
                     part = np.array([zlib.crc32(raw[k : k + 4 * GRAIN]) for k in range(0, len(raw), 4 * GRAIN)], np.uint32)

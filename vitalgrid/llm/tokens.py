@@ -139,7 +139,7 @@ class Merger:
     def step(self, state: int, symbol: str, end: bool) -> tuple[int, int]:
         """Read one byte: the state after it, and by how much the number of tokens so far changes.
 
-        At the end of a pre-token there is no state; the number of its last token comes instead.
+        At the end of a pre-token there is no state.
 
         A state is the text from the first position at which a token may still begin, and for
         each position the last token before it and the count there less the latest count;
@@ -163,7 +163,7 @@ class Merger:
             raise ValueError(f"no segmentation of {text!r}")
         delta = found[1]
         if end:
-            return self.vocab[found[0]], delta
+            return 0, delta
         same = self.marks.setdefault  # equal marks are one object
         marks = (*marks, (found[0], delta))
         marks = tuple(same(x := (m[0], m[1] - delta), x) if m is not None and (at == len(text) or text[at:] in self.begins) else None for at, m in enumerate(marks))
@@ -287,37 +287,68 @@ class WordCounts(dict):
         return len(parts) - 1 + sum(map(self.plain, parts))
 
 
+#: Kinds of bytes in simple words.
+LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 0
+#: Longer pre-tokens are read one by one.
+LONGEST = 64
+_KIND = np.full(256, SIGN, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = LETTER
+_KIND[48:58] = DIGIT
+
+
+def simple_pre_tokens(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes in lower case, starts, sizes and words of the pre-tokens in simple words, and which words are not simple."""
+    buf, n = t.buf, len(t.buf)
+    low = LOWER[buf]
+    ahead = np.append(buf[1:], 32)
+    wide = buf >= 0x80
+    odd = buf == 0x27
+    odd |= (buf == 0x3C) & (ahead == 0x7C)
+    odd |= ((buf < 0x20) | (buf == 0x7F)) & ~t.space
+    if wide.any():
+        lead = buf == 0xC3
+        trail = np.append(False, lead[:-1])
+        odd |= wide & ~lead & ~trail
+        odd |= trail & ((buf == 0x97) | (buf == 0xB7))
+        low = low + (np.uint8(0x20) * (trail & (buf >= 0x80) & (buf <= 0x9E) & (buf != 0x97)))
+    sums = np.zeros(n + 1, np.int32)
+    np.cumsum(odd, out=sums[1:])
+    slow = sums[t.ends] > sums[t.starts]
+    kind = _KIND[low]
+    kind[t.space] = OTHER
+    border = np.append(True, kind[1:] != kind[:-1])
+    border |= kind == DIGIT
+    border[t.starts] = True
+    border &= ~t.space
+    starts = np.flatnonzero(border)
+    word = np.searchsorted(t.starts, starts, "right") - 1
+    stops = np.minimum(np.append(starts[1:], n), t.ends[word])
+    size = stops - starts
+    slow[word[size > LONGEST]] = True
+    fast = ~slow[word]
+    return low, starts[fast], size[fast], word[fast], slow
+
+
 class Lanes:
     """Runs the merger over many pre-tokens at once: one gather a byte position."""
 
     #: Bytes that simple runs can have once in lower case, by number; two-byte letters are C3 and 9F to BF.
     SYMBOLS = np.array([b for b in range(33, 256) if (b < 127 and not 65 <= b <= 90) or b == 0xC3 or 0x9F <= b < 0xC0])
-    LETTER, DIGIT, SIGN, OTHER = 1, 2, 3, 0
-    #: Longer pre-tokens, and longer texts, are read one by one.
-    LONGEST, TEXT_BYTES = 64, 1 << 22
+    #: Longer texts are read chunk by chunk.
+    TEXT_BYTES = 1 << 22
 
     def __init__(self, path: str):
         self.counts = WordCounts(path)
-        self.merger, self.path, self._library = self.counts.merger, path, None
-        self.odd_ids: dict[str, np.ndarray] = {}
-        suffix = self.merger.suffix
-        self.bytes_of = np.zeros(max(self.merger.vocab.values()) + 1, np.int64)
-        for token, i in self.merger.vocab.items():
-            self.bytes_of[i] = len(token.removesuffix(suffix))
+        self.merger = self.counts.merger
         self.number = np.zeros(256, np.int64)
         self.number[self.SYMBOLS] = np.arange(len(self.SYMBOLS))
         self.width = len(self.SYMBOLS)
-        self.kind = np.full(256, self.SIGN, np.uint8)
-        self.kind[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = self.LETTER
-        self.kind[48:58] = self.DIGIT
         self.renew()
 
     def renew(self) -> None:
         self.merger.reset()
         self.rows = 0
         self.next = np.empty(0, np.int32)
-        self.last = np.empty(0, np.int32)
-        self.end_last = np.empty(0, np.uint16)
         self.delta = np.empty(0, np.int8)
         self.end = np.empty(0, np.int8)
         self.grow()
@@ -331,8 +362,6 @@ class Lanes:
         self.next = np.concatenate([self.next, np.full(more, -1, np.int32)])
         self.delta = np.concatenate([self.delta, np.zeros(more, np.int8)])
         self.end = np.concatenate([self.end, np.full(more, -128, np.int8)])
-        self.end_last = np.concatenate([self.end_last, np.zeros(more, np.uint16)])
-        self.last = np.concatenate([self.last, np.zeros(rows - self.rows, np.int32)])
         self.rows = rows
 
     def _learn(self, at: np.ndarray, end: bool) -> None:
@@ -341,19 +370,15 @@ class Lanes:
             after, delta = self.merger.step(state, self.merger.symbol[self.SYMBOLS[symbol]], end)
             self.grow()
             if end:
-                self.end[u], self.end_last[u] = delta, after
+                self.end[u] = delta
             else:
                 self.next[u], self.delta[u] = after, delta
-                self.last[after] = self.merger.vocab[self.merger.states[after][1][-1][0]]
-
-    def run(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
-        """Tokens of each pre-token; ``symbols`` are numbers of bytes.
 
-        ``last`` gets for each byte the last token of the pre-token up to there.
-        """
+    def run(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token; ``symbols`` are numbers of bytes."""
         order = np.argsort(-lengths.astype(np.int16), kind="stable")
         at, size = starts[order], lengths[order]
-        longer = np.searchsorted(-size, -np.arange(1, self.LONGEST + 2), "right")  # how many have that length or more
+        longer = np.searchsorted(-size, -np.arange(1, LONGEST + 2), "right")  # how many have that length or more
         total, state = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         for j in range(int(size[0]) if len(size) else 0):
             go, stop = longer[j + 1], longer[j]  # lanes below go read on, those from go to stop end here
@@ -363,8 +388,6 @@ class Lanes:
                 self._learn(key[go:][missing], True)
                 ends = self.end[key[go:]]
             total[go:stop] += ends
-            if last is not None:
-                last[at[go:stop] + j] = self.end_last[key[go:]]
             key = key[:go]
             after = self.next[key]
             if (missing := after < 0).any():
@@ -372,44 +395,10 @@ class Lanes:
                 after = self.next[key]
             total[:go] += self.delta[key]
             state[:go] = after
-            if last is not None:
-                last[at[:go] + j] = self.last[after]
         out = np.empty(len(at), np.int64)
         out[order] = total
         return out
 
-    def pre_tokens(self, t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Numbered bytes, starts, sizes and words of the pre-tokens in simple words, and which words are not simple."""
-        buf, n = t.buf, len(t.buf)
-        low = LOWER[buf]
-        ahead = np.append(buf[1:], 32)
-        wide = buf >= 0x80
-        odd = buf == 0x27
-        odd |= (buf == 0x3C) & (ahead == 0x7C)
-        odd |= ((buf < 0x20) | (buf == 0x7F)) & ~t.space
-        if wide.any():
-            lead = buf == 0xC3
-            trail = np.append(False, lead[:-1])
-            odd |= wide & ~lead & ~trail
-            odd |= trail & ((buf == 0x97) | (buf == 0xB7))
-            low = low + (np.uint8(0x20) * (trail & (buf >= 0x80) & (buf <= 0x9E) & (buf != 0x97)))
-        sums = np.zeros(n + 1, np.int32)
-        np.cumsum(odd, out=sums[1:])
-        slow = sums[t.ends] > sums[t.starts]
-        kind = self.kind[low]
-        kind[t.space] = self.OTHER
-        border = np.append(True, kind[1:] != kind[:-1])
-        border |= kind == self.DIGIT
-        border[t.starts] = True
-        border &= ~t.space
-        starts = np.flatnonzero(border)
-        word = np.searchsorted(t.starts, starts, "right") - 1
-        stops = np.minimum(np.append(starts[1:], n), t.ends[word])
-        size = stops - starts
-        slow[word[size > self.LONGEST]] = True
-        fast = ~slow[word]
-        return self.number[low], starts[fast], size[fast], word[fast], slow
-
     def _fresh(self) -> None:
         if len(self.merger.states) > STATES_KEPT:
             self.renew()
@@ -421,56 +410,13 @@ class Lanes:
             return np.zeros(t.n, np.int64)
         if len(t.buf) > self.TEXT_BYTES:  # steps hold one such text alone
             return np.array([self.counts.count(t.text(i).decode()) for i in range(t.n)])
-        symbols, starts, size, word, slow = self.pre_tokens(t)
-        got = np.bincount(word, self.run(symbols, starts, size), len(t.starts)).astype(np.int64)
+        low, starts, size, word, slow = simple_pre_tokens(t)
+        got = np.bincount(word, self.run(self.number[low], starts, size), len(t.starts)).astype(np.int64)
         raw = t.buf.tobytes()
         for i in np.flatnonzero(slow).tolist():
             got[i] = self.counts.run(raw[t.starts[i] : t.ends[i]].decode())
         return np.diff(np.concatenate([[0], np.cumsum(got)])[t.first])
 
-    def ids(self, t: Texts) -> list[np.ndarray]:
-        """The ids of each text: the last tokens are followed back from the end of every pre-token."""
-        self._fresh()
-        if not len(t.starts):
-            return [np.empty(0, np.int64)] * t.n
-        if len(t.buf) > self.TEXT_BYTES:
-            return [self.library_ids(t.text(i).decode()) for i in range(t.n)]
-        symbols, starts, size, word, slow = self.pre_tokens(t)
-        last = np.zeros(len(t.buf), np.int32)
-        got = np.bincount(word, self.run(symbols, starts, size, last), len(t.starts)).astype(np.int64)
-        is_end = np.zeros(len(t.buf), bool)
-        at, begin = starts + size - 1, starts
-        while len(at):
-            is_end[at] = True
-            at = at - self.bytes_of[last[at]]
-            go = at >= begin
-            at, begin = at[go], begin[go]
-        fast_ids = last[is_end]
-        raw, odd = t.buf.tobytes(), []
-        for i in np.flatnonzero(slow).tolist():
-            run = raw[t.starts[i] : t.ends[i]].decode()
-            x = self.odd_ids.get(run)
-            if x is None:
-                if len(self.odd_ids) > WORDS_KEPT // 4:
-                    self.odd_ids.clear()
-                x = self.odd_ids[run] = self.library_ids(run)
-            odd.append(x)
-            got[i] = len(x)
-        out = np.empty(got.sum(), np.int64)
-        of_slow = np.repeat(slow, got)
-        out[~of_slow] = fast_ids
-        if odd:
-            out[of_slow] = np.concatenate(odd)
-        return np.split(out, np.concatenate([[0], np.cumsum(got)])[t.first[1:-1]])
-
-    def library_ids(self, text: str) -> np.ndarray:
-        """Ids straight from the tokenizer library, for what is not simple."""
-        if self._library is None:
-            from tokenizers import Tokenizer
-
-            self._library = Tokenizer.from_file(self.path)
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, np.int64)
-
 
 _lanes: dict[str, Lanes] = {}
 KEPT["tokens"] = _lanes.clear
