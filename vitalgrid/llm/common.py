@@ -12,6 +12,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -47,25 +48,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dirs: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a folder of our own in local mode only."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if at:
+        return at
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _own_dirs[context.applicationId]
+
+
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """While it holds, an execution's shuffle files go when it ends: what it wrote is read instead."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     at = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
-
-
-def batched(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, after telling its session to hand Python so many rows at a time: texts may be long."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    with shuffles_end(df.sparkSession):
+        df.write.parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    _paths[out] = at
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        if at := _paths.pop(df, None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def batched(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
+    """``df``, after telling its session to hand Python so many rows and bytes at a time at most: texts may be long."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df
 
 
@@ -206,6 +241,23 @@ def expand(x: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(x)
 
 
+def pack_ints(*columns: np.ndarray) -> bytes:
+    """Integer columns as compressed bytes: all first bytes of a column, then all second bytes, and so on."""
+    head = np.array([x for c in columns for x in (len(c), c.dtype.itemsize)], np.int64)
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.dtype.itemsize).T).tobytes() for c in columns]
+    return compress(b"".join([head.tobytes(), *planes]))
+
+
+def unpack_ints(packed: bytes, columns: int) -> list[np.ndarray]:
+    raw = expand(packed)
+    head, at, out = np.frombuffer(raw, np.int64, 2 * columns).reshape(-1, 2), 16 * columns, []
+    for n, size in head.tolist():
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"i{size}"))
+        at += n * size
+    return out
+
+
 @lru_cache(1)
 def _filter(x: bytes) -> np.ndarray:
     return np.frombuffer(expand(x), np.uint8)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import Texts, batched, begin_task, compress, expand, key_filter, materialise, mix, shuffle_width, steps, texts_of, window_hash
+from .common import Texts, batched, begin_task, compress, expand, materialise, mix, pack_ints, shuffle_width, steps, unpack_ints, window_hash
 
 #: Words of the m-mer whose smallest hash picks the bucket of a window.
 MINIMISER = 2
@@ -47,11 +47,13 @@ def super_kmers(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return owner[valid[at]], valid[at], np.diff(np.append(at, len(valid))), low[valid[at]]
 
 
-def _pack(ids: np.ndarray, keys: np.ndarray, t: Texts, size: int, buckets: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """(bucket, packed strings, places): equal strings of this step travel once, with all their places."""
+def _pack(ids: np.ndarray, keys: np.ndarray, known: np.ndarray, t: Texts, size: int, buckets: int) -> Iterator[tuple[int, bytes, list[np.ndarray]]]:
+    """(bucket, packed strings, places): equal strings of this step travel once, with all their places.
+
+    The places are four columns: how many each string has, and for each document id, row key and first word.
+    """
     doc, first, windows, mini = super_kmers(t, size)
-    known = ids[doc] >= 0
-    doc, first, windows, mini = doc[known], first[known], windows[known], mini[known]
+    doc, first, windows, mini = (x[known[doc]] for x in (doc, first, windows, mini))
     if not len(doc):
         return
     last = first + windows + size - 2
@@ -72,34 +74,30 @@ def _pack(ids: np.ndarray, keys: np.ndarray, t: Texts, size: int, buckets: int)
     place = np.concatenate([[0], np.cumsum(keep)])
     raw = one[keep].tobytes()
     strings = [raw[x:y] for x, y in zip(place[begin[f]].tolist(), place[end[f]].tolist())]
-    copies = np.diff(np.append(f, len(doc)))
-    local = first - t.first[doc]
+    copies = np.diff(np.append(f, len(doc))).astype(np.int32)
+    local = (first - t.first[doc]).astype(np.int32)
     cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     at = np.searchsorted(f, np.append(cuts, len(doc)))
     for k, (a, b) in enumerate(zip(cuts.tolist(), np.append(cuts[1:], len(bucket)).tolist())):
         p, q = int(at[k]), int(at[k + 1])
-        yield int(bucket[a]), b"\n".join(strings[p:q]), np.concatenate([[q - p, b - a], copies[p:q], ids[doc[a:b]], keys[doc[a:b]], local[a:b]])
+        yield int(bucket[a]), b"\n".join(strings[p:q]), [copies[p:q], ids[doc[a:b]], keys[doc[a:b]], local[a:b]]
 
 
 def _found(packed: list[bytes], places: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(doc, row key, first word, end word) of the words that windows of smaller documents cover, in one bucket."""
     lines: dict[bytes, int] = {}  # equal strings of several steps are one line from here on
-    line_of, copies, ids, keys, at = [], [], [], [], []
+    owner, parts = [], []
     for p, q in zip(packed, places):
-        line_of.append(np.array([lines.setdefault(x, len(lines)) for x in expand(p).split(b"\n")]))
-        x = np.frombuffer(expand(q), np.int64)
-        while len(x):
-            n, m = int(x[0]), int(x[1])
-            copies.append(x[2 : 2 + n])
-            for k, to in enumerate((ids, keys, at)):
-                to.append(x[2 + n + k * m : 2 + n + (k + 1) * m])
-            x = x[2 + n + 3 * m :]
+        line = np.array([lines.setdefault(x, len(lines)) for x in expand(p).split(b"\n")])
+        copies, *columns = unpack_ints(q, 4)
+        owner.append(np.repeat(line, copies))
+        parts.append(columns)
     raw = b"\n".join(lines)
     lines.clear()
-    copies, ids, keys, at = (np.concatenate(x) for x in (copies, ids, keys, at))
-    owner = np.repeat(np.concatenate(line_of), copies)
+    owner = np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    ids, keys, at, copies = ids[order], keys[order], at[order], np.bincount(owner)
+    ids, keys, at = (np.concatenate(x)[order] for x in zip(*parts))
+    copies = np.bincount(owner)
     breaks = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x0A)
     t = Texts(np.frombuffer(raw, np.uint8), np.concatenate([[0], breaks + 1, [len(raw)]]))
     # Every line holds words + size - 1 words for its windows; sort the windows, smallest document first.
@@ -150,16 +148,16 @@ def _found(packed: list[bytes], places: list[bytes], size: int) -> tuple[np.ndar
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """Buckets so that one holds some megabytes of packed strings, from the number of rows and a sample of lengths."""
-    mean = docs.select(F.octet_length("text").alias("n")).limit(1000).agg(F.avg("n")).first()[0] or 0
-    return int(max(2 * shuffle_width(docs.sparkSession), docs.count() * mean * 3 / BUCKET_BYTES, 1))
+    """Buckets so that one holds some megabytes of packed strings, from the bytes of all texts."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return int(max(2 * shuffle_width(docs.sparkSession), total * 3 / BUCKET_BYTES, 1))
 
 
 def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None) -> DataFrame:
     """Where windows of ``size`` words repeat what a document with a smaller id has.
 
-    Returns doc_id, row_key (xxhash64 of the text) and spans, little-endian int64 pairs (first
-    word, end word), for the texts that have any. Windows with one minimiser travel as one packed
+    Returns doc_id, row_key (32-bit hash of the text: it tells apart rows of one id) and spans, little-endian
+    int64 pairs (first word, end word), for the texts that have any. Windows with one minimiser travel as one packed
     string to the minimiser's bucket. There the windows are sorted, and equal ones compared as
     strings. Strings that a step of a task finds more than once travel once, with their places.
     """
@@ -175,15 +173,17 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
             keys = sorted(held)
             for at in range(0, len(keys), 64):
                 part = keys[at : at + 64]
-                cols = part, [compress(b"\n".join(held[k][0])) for k in part], [compress(np.concatenate(held[k][1]).tobytes()) for k in part]
+                cols = part, [compress(b"\n".join(held[k][0])) for k in part], [pack_ints(*map(np.concatenate, zip(*held[k][1]))) for k in part]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
             held.clear()
 
         for batch in batches:
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             for row, t in steps(batch.column(2), most=1 << 20):
-                for k, strings, places in _pack(ids[row : row + t.n], keys[row : row + t.n], t, size, buckets):
+                to_row = slice(row, row + t.n)
+                for k, strings, places in _pack(ids[to_row], keys[to_row], known[to_row], t, size, buckets):
                     to = held.setdefault(k, ([], []))
                     to[0].append(strings)
                     to[1].append(places)
@@ -199,70 +199,57 @@ def repeated_spans(docs: DataFrame, size: int = 13, buckets: int | None = None)
         doc, key, spans = doc[order], key[order], np.stack([a[order], b[order]], 1)
         cuts = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.empty(0, np.int64)
         parts = [spans[x:y].tobytes() for x, y in zip(cuts, np.append(cuts[1:], len(doc)))]
-        return pa.table([pa.array(doc[cuts]), pa.array(key[cuts]), pa.array(parts, pa.binary())], names=["doc_id", "row_key", "spans"])
+        return pa.table([pa.array(doc[cuts]), pa.array(key[cuts].astype(np.int32)), pa.array(parts, pa.binary())], names=["doc_id", "row_key", "spans"])
 
-    rows = batched(docs).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = batched(docs).select(F.col("doc_id").cast("long"), F.hash("text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
     packed = rows.mapInArrow(pack, "bucket int, packed binary, places binary")
-    spans = packed.groupBy("bucket").applyInArrow(sort, "doc_id long, row_key long, spans binary")
+    spans = packed.groupBy("bucket").applyInArrow(sort, "doc_id long, row_key int, spans binary")
     return spans.groupBy("doc_id", "row_key").agg(F.collect_list("spans").alias("spans"))
 
 
-def without_repeats(docs: DataFrame, size: int = 13) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = 13, digest: bool = False) -> DataFrame:
     """Every row of ``docs`` with the words removed that lie in a window of a smaller document.
 
     Adds n_words, n_removed and kept_text (null where the text is null), and keeps all other
-    columns. Words are runs of bytes other than space and U+0009 to U+000D; kept words are
+    columns; with ``digest`` kept_sha256 stands for text and kept_text: the SHA-256 of the kept words joined by one
+    space. Words are runs of bytes other than space and U+0009 to U+000D; kept words are
     joined by one space where any was removed, else the text stays as it is. Windows are judged on
     the input. Texts of fewer than ``size`` words have none. Rows with a null id neither lose
     words nor count as smaller; rows with equal ids never remove from each other, and equal rows
-    get equal results. Ids are non-negative integers. Columns named like the added ones are replaced.
+    get equal results. Ids are integers of any sign. Columns named like the added ones are replaced.
     """
-    docs = docs.drop("n_words", "n_removed", "kept_text")
+    docs = docs.drop("n_words", "n_removed", "kept_text", "kept_sha256")
     marks = materialise(repeated_spans(docs, size)).toDF("_doc", "_key", "_spans")
-    may_have = key_filter(marks.select(F.xxhash64("_doc", "_key")))
-
-    # Only texts that may have spans meet them by a shuffle; the others stay where they are.
-    keyed = docs.withColumn("_row", F.xxhash64("text")).withColumn("_may", may_have(F.xxhash64(F.col("doc_id").cast("long"), F.col("_row"))))
-    some = keyed.where("_may")
-    some = some.join(marks, (some["doc_id"].cast("long") == marks["_doc"]) & (some["_row"] == marks["_key"]), "left").drop("_doc", "_key", "_row", "_may")
-    joined = some.union(keyed.where("not _may").drop("_row", "_may").withColumn("_spans", F.lit(None).cast("array<binary>")))
-    names = docs.columns
-    schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_row": F.hash("text")})
+    joined = keyed.join(marks, (F.col("_id") == F.col("_doc")) & (F.col("_row") == F.col("_key")), "left").drop("_id", "_row", "_doc", "_key")
+    names = [c for c in docs.columns if not (digest and c == "text")]
+    last = "kept_sha256" if digest else "kept_text"
+    schema = StructType([*(docs.schema[c] for c in names), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField(last, StringType())])
 
     def cut(batches):
         begin_task("dedup")
         for batch in batches:
             spans = batch.column(batch.schema.get_field_index("_spans")).to_pylist()
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             n, removed, kept = [], [], []
-            for text, parts in zip(texts, spans):
+            for text, parts in zip(batch.column(batch.schema.get_field_index("text")), spans):
+                text = text.as_py()
                 words = (text or "").encode().split()
                 n.append(len(words))
-                if not parts:
+                if parts:
+                    gone = np.zeros(len(words) + 1, np.int64)
+                    a, b = np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2).T
+                    np.add.at(gone, a, 1)
+                    np.add.at(gone, b, -1)
+                    stay = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
+                    removed.append(len(words) - len(stay))
+                    words = [words[i] for i in stay.tolist()]
+                else:
                     removed.append(0)
-                    kept.append(text)
-                    continue
-                gone = np.zeros(len(words) + 1, np.int64)
-                for a, b in np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2):
-                    gone[a] += 1
-                    gone[b] -= 1
-                stay = np.flatnonzero(np.cumsum(gone[:-1]) == 0)
-                removed.append(len(words) - len(stay))
-                kept.append(b" ".join([words[i] for i in stay.tolist()]).decode())
+                if digest:
+                    kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
+                else:
+                    kept.append(b" ".join(words).decode() if removed[-1] else text)
             keep = [batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", "kept_text"])
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*names, "n_words", "n_removed", last])
 
     return joined.mapInArrow(cut, schema)
-
-
-def word_digest(kept: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and the SHA-256 of the kept words joined by one space."""
-    kind = kept.schema["doc_id"].dataType.simpleString()
-
-    def digest(batches):
-        for batch in batches:
-            text = texts_of(batch, "kept_text").to_pylist()
-            sha = [hashlib.sha256(b" ".join((x or "").encode().split())).hexdigest() for x in text]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "n_words", "n_removed")), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return kept.select("doc_id", "n_words", "n_removed", "kept_text").mapInArrow(digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")

@@ -15,9 +15,9 @@ def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .dedup import without_repeats, word_digest
+    from .dedup import without_repeats
 
-    return word_digest(without_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return without_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
 def op3_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
