@@ -40,9 +40,12 @@ def rows_of(df, *cols):
 
 
 def test_substring_dedup(docs):
-    from vitalgrid.llm.dedup import without_repeats, word_digest
+    from vitalgrid.llm.dedup import without_repeats
 
-    got = rows_of(word_digest(without_repeats(docs)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    docs = docs.union(docs.where("doc_id in (3, 9)").withColumn("doc_id", -F.col("doc_id")))  # ids of any sign
+    got = rows_of(without_repeats(docs, digest=True), "doc_id", "n_words", "n_removed", "kept_sha256")
+    kept = without_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_text").collect()
+    assert Counter((*r[:3], hashlib.sha256(b" ".join((r[3] or "").encode().split())).hexdigest()) for r in kept) == got
     table = [(r["doc_id"], words(r["text"])) for r in docs.collect()]
     first = {}
     for i, w in table:
@@ -134,15 +137,17 @@ def test_tokens_of_odd_texts():
     from tokenizers import Tokenizer
 
     from vitalgrid.llm.common import steps
+    from vitalgrid.llm.packing import WordIds
     from vitalgrid.llm.tokens import CHUNK_CHARS, WordCounts, lanes
 
     path = public_tokenizers.path("word_bpe_49k.json")
     lib, machine = Tokenizer.from_file(path), lanes(path)
     rng = np.random.default_rng(3)
     letters = list("abcABC 's't'll \n\t.,!?123éÉßñÑÖ×÷Σς İ ̈\u0085 \x1c漢字ع🙂’ẞ") + ["<|endoftext|>", "<|startoftext|>", "the", "<|ENDOFTEXT|>"]
-    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(1500)] + ["x" * 200, "", "ab " * 50]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 30))) for _ in range(1500)] + ["".join(rng.choice(list("abcdefé"), rng.integers(1, 60))) for _ in range(1500)] + ["x" * 200, "", "ab " * 50]
     want = [lib.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [x.tolist() for _, t in steps(pa.array(texts)) for x in machine.ids(t)] == want
+    ids = WordIds(path)
+    assert [x.tolist() for _ in range(2) for _, part in ids.of_texts(pa.array(texts)) for x in part] == 2 * want
     assert [int(x) for _, t in steps(pa.array(texts)) for x in machine.count(t)] == list(map(len, want))
     counts = WordCounts(path)
     long = " ".join(texts[:800]).replace("<|", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -32,6 +32,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # done when every node hangs on a root that hangs on nothing
         loose = new.join(new.select(F.col("u").alias("r")).distinct(), new["v"] == F.col("r"), "left_semi").limit(1).count()
         many = loose or new.groupBy("u").count().where("count > 1").limit(1).count()
+        discard(links)
         links = new
         if not many:
             break

@@ -1,12 +1,13 @@
 """N-gram Jaccard join (operator 7): an exact set-similarity join that skips by set relations.
 
-Equal sets are one class from the start. For the rest the prefix index of the global token
-order is used: two sets of similarity t share one of their rarest (1 - t) n + 1 tokens. The order is
-by counts of hashed tokens, so its table has a fixed size and frequent passages stay out of the
-prefixes.
-
-Index level: a list's entries are blocked by set size and position, and a block is skipped as soon as
-sizes or positions rule the overlap out. Short lists give candidate pairs, long ones tie their members to the
+Equal sets are one class from the start. For the rest the prefix index of a global token
+order is used: two sets of similarity t share one of their rarest (1 - t) n + 1 tokens. The order is by the
+number of classes that have a token. To count it, the tokens of a batch of texts travel packed to the bucket of their first
+bits, and one byte a token comes back to the batch; so nothing is broadcast, and a token that no other class has,
+as most have not, never enters the index.
+
+Index level: a list's entries are blocked by set size and position, and a block is skipped, in whole or from some
+position on, as soon as sizes or positions rule the overlap out. Short lists give candidate pairs, long ones tie their members to the
 first. The components of either are groups; each set travels once to its group's block, where
 a set's overlaps with all others are derived from the known overlaps of the most similar set seen:
 take the postings of what it lacks, add those of what it has more. Only links that join two
@@ -15,26 +16,28 @@ components leave a block, so no group gives all its pairs.
 
 from __future__ import annotations
 
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Texts, batched, begin_task, key_filter, materialise, mix, shuffle_width, steps, window_hash
+from .common import Texts, batched, begin_task, compress, discard, expand, materialise, mix, pack_ints, shuffle_width, steps, unpack_ints, window_hash
 from .components import connected_components
 
-#: Counters of the token order.
-ORDER_BITS = 20
 #: Entries of a list that gives its candidates directly.
 SHORT_LIST = 24
+#: Index entries of a bucket of lists, and distinct tokens of a bucket that are counted together, about.
+BUCKET_ENTRIES, COUNT_TOKENS = 200_000, 1 << 20
 #: Sets of a block of a large group.
 BLOCK_SETS = 2048
 #: Tokens of a bucket of small groups, about.
 BUCKET_TOKENS = 500_000
 #: Tokens of a block.
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 1_500_000
+#: A batch's texts at most; a set's number is its batch's, times this, and its place there.
+BATCH_ROWS = 1 << 11
 
 
 def shingle_sets(t: Texts, k: int) -> list[np.ndarray]:
@@ -63,46 +66,190 @@ def least_overlap(a, b, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _sets(batch: pa.RecordBatch, k: int):
-    for row, t in steps(batch.column(batch.schema.get_field_index("text")), lower=True):
-        yield row, shingle_sets(t, k)
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell a set from others, with its size."""
+    if not len(s):
+        return 0, 0
+    return int(s.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).astype(np.int64))
+
+
+def _pack_texts(buf: np.ndarray, offsets: np.ndarray) -> bytes:
+    return compress(np.concatenate([[len(offsets)], offsets]).astype(np.int64).tobytes() + buf.tobytes())
+
 
+def _open_texts(packed: bytes, places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of packed texts, or of those at some places of them."""
+    raw = expand(packed)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    buf, offsets = np.frombuffer(raw, np.uint8, -1, 8 * (n + 1)), np.frombuffer(raw, np.int64, n, 8)
+    if places is None or len(places) == n - 1:
+        return buf, offsets
+    return np.concatenate([buf[:0], *(buf[offsets[i] : offsets[i + 1]] for i in places.tolist())]), np.concatenate([[0], np.cumsum(np.diff(offsets)[places])])
 
-def token_order(docs: DataFrame, k: int, bits: int = ORDER_BITS) -> np.ndarray:
-    """For each hashed token value how many documents have one of it; a table of fixed size."""
-    size, part = 1 << bits, 1 << 14
 
-    def count(batches):
+def set_batches(docs: DataFrame, k: int) -> DataFrame:
+    """Batches of texts, packed in lower case, with the ids of the rows and each set's size and 128-bit key; written once."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def read(batches):
         begin_task("jaccard")
-        total = np.zeros(size, np.int64)
         for batch in batches:
-            for _, sets in _sets(batch, k):
-                if sets:
-                    total += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=size)
-        yield pa.RecordBatch.from_arrays([pa.array(range(size // part), pa.int32()), pa.array([_pack(total[i : i + part]) for i in range(0, size, part)], pa.binary())], ["block", "counts"])
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                for row, t in steps(part.column(1), lower=True):
+                    sets = shingle_sets(t, k)
+                    keys = [set_key(s) for s in sets]
+                    one = pa.array([0, t.n], pa.int32())
+                    columns = [part.column(0).slice(row, t.n), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in keys], pa.int64()), pa.array([y for _, y in keys], pa.int64())]
+                    lists = [pa.ListArray.from_arrays(one, c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*lists, pa.array([_pack_texts(t.buf, t.offsets)], pa.binary())], ["ids", "n", "k1", "k2", "texts"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(read, f"ids array<{kind}>, n array<long>, k1 array<long>, k2 array<long>, texts binary")
+    number = F.monotonically_increasing_id()
+    return materialise(rows.withColumn("batch", F.shiftleft(F.shiftright(number, 33), 20) + number.bitwiseAND((1 << 33) - 1)))
+
+
+def _only(batches: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(batch, pos, texts) of the texts that ``wanted`` (batch, pos) names; ``pos`` is their places in the batch."""
+    places = wanted.groupBy("batch").agg(F.sort_array(F.collect_list("pos")).alias("pos"))  # a batch has a bounded number
+
+    def take(rows):
+        begin_task("jaccard")
+        for batch in rows:
+            for i in range(batch.num_rows):
+                packed = _pack_texts(*_open_texts(batch.column(2)[i].as_py(), batch.column(1)[i].values.to_numpy()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), batch.column(1).slice(i, 1), pa.array([packed], pa.binary())], ["batch", "pos", "texts"])
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(_open(x) for x in group.column("counts").to_pylist())
-        return pa.table([group.column("block").slice(0, 1), pa.array([_pack(total)], pa.binary())], names=["block", "counts"])
+    return batches.join(places, "batch").select("batch", "pos", "texts").mapInArrow(take, "batch long, pos array<int>, texts binary")
 
-    rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    out = np.zeros(size, np.int64)
-    for r in rows:
-        out[r["block"] * part : (r["block"] + 1) * part] = _open(r["counts"])
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
+def _sets(rows) -> Iterator[tuple[pa.RecordBatch, int, Texts]]:
+    """Each row of batches of texts, with the texts."""
+    begin_task("jaccard")
+    for batch in rows:
+        texts = batch.column(batch.schema.get_field_index("texts"))
+        for i in range(batch.num_rows):
+            yield batch, i, Texts(*_open_texts(texts[i].as_py()))
 
-def in_order(s: np.ndarray, counts: np.ndarray, bits: int = ORDER_BITS) -> np.ndarray:
-    """A set's tokens from the rarest on; ties by the token."""
-    return s[np.lexsort((s, counts[(s >> np.uint64(64 - bits)).astype(np.int64)]))]
 
+def _count_code(n: np.ndarray) -> np.ndarray:
+    """A count as one byte: exact below 128, then by steps of an eighth of a doubling."""
+    return np.where(n < 128, n, np.minimum(255, 72 + np.floor(8 * np.log2(np.maximum(n, 1))))).astype(np.uint8)
 
-def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype(np.int64).tobytes(), 1)
 
+def token_counts_of(texts: DataFrame, k: int, tokens: int) -> DataFrame:
+    """(batch, counts): for the distinct tokens of each batch, in order, how many sets of all have them, as a byte.
 
-def _open(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), np.int64)
+    A token is taken for another only if their first bits, 32 more than the buckets need, agree; the count is then too high, which costs
+    work but loses nothing.
+    """
+    bits = int(np.clip(np.ceil(np.log2(max(tokens, 1) / COUNT_TOKENS)), 4, 24))
+
+    def send(rows):
+        for batch, i, t in _sets(rows):
+            token, count = np.unique(np.concatenate(shingle_sets(t, k)), return_counts=True)
+            bucket = (token >> np.uint64(64 - bits)).astype(np.int64)
+            rest = ((token >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(token) else np.empty(0, np.int64)
+            packed = []
+            for x, y in zip(cuts.tolist(), np.append(cuts[1:], len(token)).tolist()):
+                packed.append(pack_ints(np.diff(rest[x:y], prepend=0).astype(np.uint32), np.minimum(count[x:y], 255).astype(np.uint8)))
+            own = np.repeat(batch.column(0)[i].as_py(), len(cuts))
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(bucket[cuts].astype(np.int32)), pa.array(packed, pa.binary())], ["batch", "bucket", "tokens"])
+
+    def add(group: pa.Table) -> pa.Table:
+        parts = [unpack_ints(x, 2) for x in group.column("tokens").to_pylist()]
+        token = np.concatenate([np.cumsum(x.view(np.uint32), dtype=np.uint64) for x, _ in parts])
+        order = np.argsort(token, kind="stable")
+        new = np.append(True, token[order][1:] != token[order][:-1])
+        total = np.add.reduceat(np.concatenate([y.view(np.uint8) for _, y in parts]).astype(np.int64)[order], np.flatnonzero(new))
+        code = np.empty(len(token), np.uint8)
+        code[order] = _count_code(total)[np.cumsum(new) - 1]
+        ends = np.cumsum([len(x) for x, _ in parts])
+        return pa.table([group.column("batch"), group.column("bucket"), pa.array([compress(c.tobytes()) for c in np.split(code, ends[:-1])], pa.binary())], names=["batch", "bucket", "codes"])
+
+    sent = texts.select("batch", "texts").mapInArrow(send, "batch long, bucket int, tokens binary")
+    back = materialise(sent.groupBy("bucket").applyInArrow(add, "batch long, bucket int, codes binary"))
+    return back.groupBy("batch").agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "codes"))), lambda x: x["codes"]).alias("codes"))
+
+
+def index_entries(texts: DataFrame, counts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(token, cid, n, pos) of the tokens in each set's prefix that other sets have too."""
+
+    def entries(rows):
+        for batch, i, t in _sets(rows):
+            sets = shingle_sets(t, k)
+            token, owner, size = np.concatenate(sets), np.repeat(np.arange(t.n), [len(s) for s in sets]), np.array([len(s) for s in sets])
+            distinct, which = np.unique(token, return_inverse=True)
+            code = np.frombuffer(b"".join(expand(x) for x in batch.column(1)[i].as_py()), np.uint8)[which]
+            order = np.lexsort((token, code, owner))
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
+            prefix = np.array([prefix_length(int(n), percent) for n in size])
+            go = (pos < prefix[owner]) & (code[order] > 1)
+            first = (batch.column(0)[i].as_py()) * BATCH_ROWS
+            cid = first + batch.column(2)[i].values.to_numpy().astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(token[order][go].view(np.int64)), pa.array(cid[owner[go]]), pa.array(size[owner[go]].astype(np.int32)), pa.array(pos[go].astype(np.int32))], ["token", "cid", "n", "pos"])
+
+    return texts.join(counts, "batch").select("batch", "codes", "pos", "texts").mapInArrow(entries, "token long, cid long, n int, pos int")
+
+
+def list_pairs(which: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of entries (i, j), j no smaller a set, of lists sorted by size and position, that sizes and positions allow.
+
+    A block is a list's entries of one size. For an entry only blocks of fitting sizes are looked at, and of a block
+    only the positions up to the last at which the rest of both sets can still give the overlap; what lies behind is skipped.
+    """
+    none = np.empty(0, np.int64)
+    if not len(which):
+        return none, none
+    new = np.append(True, (which[1:] != which[:-1]) | (n[1:] != n[:-1]))
+    start = np.flatnonzero(new)
+    stop, block = np.append(start[1:], len(n)), np.cumsum(new) - 1
+    wide = int(n.max()) + 2
+    key = which[start] * wide + n[start]
+    high = np.searchsorted(key, which * wide + np.minimum(100 * n // percent, wide - 1), "right")
+    many = high - block
+    i = np.repeat(np.arange(len(n)), many)
+    b = np.repeat(block - np.cumsum(many) + many, many) + np.arange(many.sum())
+    size = n[start[b]]
+    need = least_overlap(n[i], size, percent)
+    go = n[i] - pos[i] >= need
+    i, b, size, need = i[go], b[go], size[go], need[go]
+    deep = int(pos.max()) + 2
+    to = np.searchsorted(block * deep + pos, b * deep + np.clip(size - need, -1, deep - 1), "right")
+    at = np.maximum(start[b], i + 1)  # of a block of its own size only what follows
+    many = np.maximum(to - at, 0)
+    return np.repeat(i, many), np.repeat(at - np.cumsum(many) + many, many) + np.arange(many.sum())
+
+
+def candidates(entries: DataFrame, percent: int, buckets: int, short: int = SHORT_LIST) -> DataFrame:
+    """(kind, a, b) of sets: kind 0 are candidate pairs of short lists, kind 1 ties the members of a long list to its first.
+
+    Lists meet in buckets of their tokens.
+    """
+
+    def meet(group: pa.Table) -> pa.Table:
+        token, cid, n, pos = (group.column(c).to_numpy().astype(np.int64) for c in ("token", "cid", "n", "pos"))
+        order = np.lexsort((cid, pos, n, token))
+        token, cid, n, pos = token[order], cid[order], n[order], pos[order]
+        new = np.append(True, token[1:] != token[:-1])
+        begin, which = np.flatnonzero(new), np.cumsum(new) - 1
+        long = np.diff(np.append(begin, len(token)))[which] > short
+        tied = long & ~new
+        i, j = (np.flatnonzero(~long)[x] for x in list_pairs(which[~long], n[~long], pos[~long], percent))
+        a, b = np.concatenate([cid[i], cid[begin[which[tied]]]]), np.concatenate([cid[j], cid[tied]])
+        kind = np.concatenate([np.zeros(len(i), np.int64), np.ones(len(b) - len(i), np.int64)])
+        found = np.unique(np.stack([kind, np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        return pa.table([pa.array(found[:, 0].astype(np.int32)), pa.array(found[:, 1]), pa.array(found[:, 2])], names=["kind", "a", "b"])
+
+    # A token of many sets is split: each part ties its members to its first, and firsts travel on.
+    many = entries.groupBy("token").count().where(F.col("count") > short)
+    heavy = entries.join(many.select("token"), "token", "left_semi")
+    first = heavy.groupBy("token").agg(F.min("cid").alias("a"))
+    ties = heavy.join(first, "token").where("cid <> a").select(F.lit(1).alias("kind"), "a", F.col("cid").alias("b"))
+    light = entries.join(many.select("token"), "token", "left_anti")
+    met = light.withColumn("bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
+    return met.union(ties).distinct()
 
 
 class Forest:
@@ -170,125 +317,6 @@ def links_of_block(sets: list[np.ndarray], percent: int, known: list[int] | None
     return out
 
 
-def set_key(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that tell a set from others, with its size."""
-    if not len(s):
-        return 0, 0
-    return int(s.sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(len(s)))).astype(np.int64))
-
-
-def set_classes(docs: DataFrame, k: int, counts: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(rows, entries): per row its set's size and class key; per class the index entries of its prefix."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def keys(batches):
-        begin_task("jaccard")
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for row, sets in _sets(batch, k):
-                order = shared.value
-                a, b, prefix = [], [], []
-                for s in sets:
-                    x, y = set_key(s)
-                    a.append(x)
-                    b.append(y)
-                    n = prefix_length(len(s), percent)
-                    prefix.append(in_order(s, order)[:n].tobytes() if n else b"")
-                n = [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(sets)), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(prefix, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "prefix"])
-
-    return docs.select("doc_id", "text").mapInArrow(keys, f"doc_id {kind}, n_shingles long, k1 long, k2 long, prefix binary")
-
-
-def _by_token(cid: np.ndarray, n: np.ndarray, prefix: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Index entries sorted by token, then size: token, class, size, position."""
-    tokens = np.frombuffer(b"".join(prefix), np.int64)
-    length = np.array([len(p) // 8 for p in prefix], np.int64)
-    pos = np.arange(len(tokens)) - np.repeat(np.cumsum(length) - length, length)
-    cid, n = np.repeat(cid, length), np.repeat(n, length)
-    order = np.lexsort((cid, n, tokens))
-    return tokens[order], cid[order], n[order], pos[order]
-
-
-def _lists(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.empty(0, np.int64)
-    return begin, np.diff(np.append(begin, len(token)))
-
-
-def _entries(token: np.ndarray, cid: np.ndarray, n: np.ndarray, pos: np.ndarray, weight: np.ndarray) -> bytes:
-    """Entries as bytes: 64-bit tokens and classes, the small numbers compressed."""
-    small = zlib.compress(np.stack([n, pos, weight]).astype(np.int32).tobytes(), 1)
-    return np.int64(len(token)).tobytes() + token.astype(np.int64).tobytes() + cid.astype(np.int64).tobytes() + small
-
-
-def _read_entries(x: bytes) -> tuple[np.ndarray, ...]:
-    k = int(np.frombuffer(x, np.int64, 1)[0])
-    small = np.frombuffer(zlib.decompress(x[8 + 16 * k :]), np.int32).reshape(3, -1).astype(np.int64)
-    return np.frombuffer(x, np.int64, k, 8), np.frombuffer(x, np.int64, k, 8 + 8 * k), *small
-
-
-def candidates(classes: DataFrame, percent: int, short: int = SHORT_LIST) -> DataFrame:
-    """(kind, a, b) of classes: kind 0 are candidate pairs of short lists, kind 1 ties the members of a long list to its first.
-
-    Entries travel packed to the bucket of their token. A list that is long already within a
-    batch is tied there and sends its first entry alone.
-    """
-    buckets = 2 * shuffle_width(classes.sparkSession)
-    names = ["bucket", "entries", "a", "b"]
-
-    def send(batches):
-        for batch in batches:
-            token, cid, n, pos = _by_token(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist())
-            begin, count = _lists(token)
-            long = count > short
-            which = np.repeat(np.arange(len(begin)), count)
-            first = begin[which]
-            tied = long[which] & (cid != cid[first])
-            if tied.any():
-                ties = np.unique(np.stack([cid[first][tied], cid[tied]], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ties), -1), pa.int32()), pa.nulls(len(ties), pa.binary()), pa.array(ties[:, 0]), pa.array(ties[:, 1])], names)
-            go = ~long[which] | (np.arange(len(token)) == first)
-            token, cid, n, pos, weight = token[go], cid[go], n[go], pos[go], np.where(long[which], short + 1, 1)[go]
-            bucket = (mix(token.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            at, size = _lists(bucket[order])
-            packed = [_entries(*(x[order[i : i + k]] for x in (token, cid, n, pos, weight))) for i, k in zip(at.tolist(), size.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][at], pa.int32()), pa.array(packed, pa.binary()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64())], names)
-
-    def meet(group: pa.Table) -> pa.Table:
-        token, cid, n, pos, weight = (np.concatenate(x) for x in zip(*map(_read_entries, group.column("entries").to_pylist())))
-        order = np.lexsort((cid, n, token))
-        token, cid, n, pos, weight = (x[order] for x in (token, cid, n, pos, weight))
-        begin, count = _lists(token)
-        total = np.add.reduceat(weight, begin)
-        keep = np.repeat((count > 1), count)
-        which = np.repeat(np.arange(len(begin)), count)
-        first = begin[which]
-        tied = keep & (total > short)[which] & (cid != cid[first])
-        ties = np.unique(np.stack([cid[first][tied], cid[tied]], 1), axis=0)
-        light = np.flatnonzero(keep & (total <= short)[which])
-        end = (begin + count)[which]
-        pairs = []
-        for step in range(1, short):  # an entry and the one so many places on: larger or equal in size
-            i = light[light + step < end[light]]
-            if not len(i):
-                break
-            j = i + step
-            need = least_overlap(n[i], n[j], percent)
-            fits = (100 * n[i] >= percent * n[j]) & (1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) >= need) & (cid[i] != cid[j])
-            pairs.append(np.stack([np.minimum(cid[i], cid[j])[fits], np.maximum(cid[i], cid[j])[fits]], 1))
-        found = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
-        kind = np.concatenate([np.zeros(len(found), np.int32), np.ones(len(ties), np.int32)])
-        both = np.concatenate([found, ties])
-        return pa.table([pa.array(kind), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["kind", "a", "b"])
-
-    sent = classes.select("cid", "n", "prefix").mapInArrow(send, "bucket int, entries binary, a long, b long")
-    ties = sent.where("bucket < 0").select(F.lit(1).alias("kind"), "a", "b")
-    met = sent.where("bucket >= 0").select("bucket", "entries").groupBy("bucket").applyInArrow(meet, "kind int, a long, b long")
-    return met.union(ties).distinct()
-
-
 def _link_groups(rows: DataFrame, keys: list[str], percent: int, buckets: int) -> DataFrame:
     """Links (a, b) found within groups of rows (cid, set, comp, ask); rows may repeat.
 
@@ -359,42 +387,50 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, short: in
     times the union. ``component_id`` is the smallest doc_id that links lead to; ``class_id`` numbers equal
     sets. Texts without words and null texts have an empty set and link with nothing. Rows with a null id
     get a null component. Repeated rows get equal results; other columns are ignored. Shingles are told
-    apart by 64-bit hashes, sets by 128 bits.
+    apart by 64-bit hashes, sets by their size and 128 bits.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    docs = batched(docs.select("doc_id", "text"))
-    counts = token_order(docs, k)
-    rows = materialise(set_classes(docs, k, counts, percent).withColumn("cid", F.xxhash64("k1", "k2", "n_shingles")))
+    batches = set_batches(batched(docs.select("doc_id", "text")), k)
+    rows = batches.select("batch", F.posexplode(F.arrays_zip("ids", "n", "k1", "k2")).alias("pos", "x")).select("batch", "pos", F.col("x.ids").alias("doc_id"), F.col("x.n").alias("n_shingles"), "x.k1", "x.k2")
+    key = ["k1", "k2", "n_shingles"]
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = materialise(full.groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.min("doc_id").alias("least")))
-    prefixes = full.groupBy("cid").agg(F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-    found = materialise(candidates(prefixes, percent, short))
+    classes = full.groupBy(*key).agg(F.min(F.struct("doc_id", "batch", "pos")).alias("x"))
+    classes = materialise(classes.select(*key, F.col("x.doc_id").alias("least"), "x.batch", "x.pos", (F.col("x.batch") * BATCH_ROWS + F.col("x.pos")).alias("cid"), F.col("n_shingles").alias("n")))
+    tokens = int(classes.agg(F.sum("n")).first()[0] or 0)
+    texts = materialise(_only(batches, classes))
+    entries = materialise(index_entries(texts, token_counts_of(texts, k, tokens), k, percent))
+    buckets = 2 * shuffle_width(docs.sparkSession)
+    found = materialise(candidates(entries, percent, buckets + entries.count() // BUCKET_ENTRIES, short))
     # Candidates of short lists have passed the filters of size and position: their components are families of near copies.
-    grouped = [connected_components(found.where(F.col("kind") == kind)).select(F.col("node").alias("cid"), F.xxhash64("component", F.lit(kind)).alias("grp")) for kind in (0, 1)]
-    placed = _place(grouped[0].union(grouped[1]), classes.select("cid", "n"), block_sets, block_tokens)
-    need = materialise(placed.join(classes, "cid"))
+    grouped = [connected_components(found.where(F.col("kind") == x)).select(F.col("node").alias("cid"), F.xxhash64("component", F.lit(x)).alias("grp")) for x in (0, 1)]
+    placed = materialise(_place(grouped[0].union(grouped[1]), classes.select("cid", "n"), block_sets, block_tokens))
     wide = ["cid", "grp", "blocks", "block"]
+    # What each batch has to send: the places of its texts, and for each of them where it goes.
+    goals = placed.withColumns({"batch": F.shiftright("cid", BATCH_ROWS.bit_length() - 1), "at": F.col("cid") % BATCH_ROWS})
+    goals = goals.groupBy("batch").agg(*(F.collect_list(c).alias(c) for c in ("at", *wide)))  # two at most for each of a bounded number
 
-    def whole(batches):
+    def whole(parts):
         begin_task("jaccard")
-        for batch in batches:
-            keep = pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in wide], wide)
-            keys = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("n", "k1", "k2"))))
-            for row, sets in _sets(batch, k):
-                # a repeated id may stand for several texts, of which one is the class's own
-                own = pa.array([(len(s), *set_key(s)) == key for s, key in zip(sets, keys[row:])], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*keep.slice(row, len(sets)).columns, pa.array([s.tobytes() for s in sets], pa.binary())], [*wide, "set"]).filter(own)
-
-    wanted = key_filter(need.select(F.col("least").cast("long")))
-    some = docs.where("doc_id is not null").where(wanted(F.col("doc_id").cast("long")))
-    texts = some.join(need, some["doc_id"] == need["least"]).select(*wide, "n", "k1", "k2", "text")
-    sets = materialise(texts.mapInArrow(whole, "cid long, grp long, blocks int, block int, set binary"))
-    tokens = need.agg(F.sum("n")).first()[0] or 0
-    links = _grouped_links(sets, percent, block_sets, 2 * shuffle_width(docs.sparkSession) + tokens // BUCKET_TOKENS)
+        for batch in parts:
+            for i in range(batch.num_rows):
+                places, at = np.unique(batch.column(2)[i].values.to_numpy(), return_inverse=True)
+                places = np.searchsorted(batch.column(1)[i].values.to_numpy(), places)
+                sets = shingle_sets(Texts(*_open_texts(batch.column(7)[i].as_py(), places)), k)
+                for x in range(0, len(at), 64):
+                    cut = [batch.column(j)[i].values.slice(x, 64) for j in range(3, 7)]
+                    yield pa.RecordBatch.from_arrays([*cut, pa.array([sets[y].tobytes() for y in at[x : x + 64]], pa.binary())], [*wide, "set"])
+
+    sets = texts.join(goals.select("batch", F.col("at").alias("goal"), *wide), "batch").select("batch", "pos", "goal", *wide, "texts")
+    sets = materialise(sets.mapInArrow(whole, "cid long, grp long, blocks int, block int, set binary"))
+    tokens = placed.join(classes.select("cid", "n"), "cid").agg(F.sum("n")).first()[0] or 0
+    discard(texts, entries, found, placed)
+    links = _grouped_links(sets, percent, block_sets, buckets + tokens // BUCKET_TOKENS)
     comps = materialise(connected_components(links))
+    discard(sets)
     named = comps.join(classes.select(F.col("cid").alias("node"), "least"), "node")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = comps.join(least, "component").select(F.col("node").alias("cid"), "component_id")
-    named = classes.select("cid", "least").join(linked, "cid", "left").select("cid", F.coalesce("component_id", "least").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 and doc_id is not null"), F.col("cid")).alias("cid")).join(named, "cid", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").cast(kind).alias("component_id"), F.col("cid").alias("class_id"))
+    named = classes.select(*key, "cid", "least").join(linked, "cid", "left").select(*key, "cid", F.coalesce("component_id", "least").alias("component_id"))
+    # Rows without a class are looked up by nothing; they stay apart, so that they do not meet in one task.
+    plain = rows.where("not (n_shingles > 0 and doc_id is not null)").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"))
+    return full.join(named, key).select("doc_id", "n_shingles", F.col("component_id").cast(kind).alias("component_id"), F.col("cid").alias("class_id")).union(plain)
