@@ -75,8 +75,8 @@ def test_text_rules(spark):
     assert one(T.numbers(F.lit("1 x 22 y 99999999999999999999"))) == [1, 22, None]
     assert one(T.character_overlap(F.lit("ab"), F.lit(""))) == 0.0
     assert one(T.match_ratio(F.lit("the of"), F.lit("anything"))) == 0.0
-    assert one(R.path_reward(F.array().cast("array<int>"), F.array(F.lit(1)))) == 0.0
-    assert one(R.length_reward(F.lit(5))) == 0.0
+    assert one(R.path_reward(F.array().cast("array<array<int>>"), F.array(F.lit(1)))) == 0.0
+    assert one(R.length_reward(F.lit(5))) == -1.0 and one(R.length_reward(F.lit(1))) == one(R.length_reward(F.lit(3))) == 0.0
 
 
 def test_readers(spark, tmp_path):
@@ -151,5 +151,40 @@ def test_generation_scores_of_whole_texts(spark, tmp_path):
 
     for r in QUERIES["generation_scores"](spark, str(tmp_path)).collect():
         t = texts[r["doc_id"]] or ""
-        a, c = t.split("\n")[0], (t.split("\n") + [""])[1] or t
+        a, c = t.split("\n")[0], (t.split("\n", 1) + [""])[1] or t
         assert abs(r["bleu4"] - bleu(a, c)) < 1e-8 and abs(r["sari"] - sari(t, a, c)) < 1e-8, r
+
+
+def test_answer_rules_by_hand(spark):
+    from pyspark.sql import functions as F
+
+    from vitalgrid.functions import text as T
+    from vitalgrid.operators import traces as R
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    located = {'x {"answer_choice": "B"} y': "B", "so {'answer': {'yes'}}": "yes", "The answer is: {Paris }": "Paris", "**Answer**: C, since": "C", "The Answer is C": "C", " no mark  here ": "no mark here", "": ""}
+    assert {k: one(T.locate_answer(F.lit(k))) for k in located} == located
+    assert one(T.fallback_subqueries(F.lit("Why and how"))) == ["Why Why and how", "How Why and how", "Why", "how", "Why and how"]
+    assert one(T.fallback_subqueries(F.lit("what when where"))) == ["What what when where", "When what when where", "Where what when where"]
+    assert one(T.clean_subqueries(F.array(*map(F.lit, ("Is it  so, née (x)?", "short", "A long one!", "A long one!", "don't stop"))))) == ["Is it so, n e x?", "A long one?", "dont stop?"]
+    assert one(T.match_ratio(F.lit("The cat, the Dog"), F.lit("a catalogue of birds"))) == 0.25
+    assert one(T.token_overlap(F.lit("A b  b c."), F.lit("b c A"))) == 2
+    legal = F.array(*map(F.lit, range(10)))
+    path = lambda *c: one(R.path_reward(F.array(*(F.array(*map(F.lit, x)) for x in c)), legal))
+    assert path([1, 1, 12]) == -0.5 and path([1, 2]) == 1.0 and path([1], [1]) == 1.0 and path([11], [12]) == -0.5
+    forms = lambda p, g, t: tuple(one(T.parsed_answers(F.lit(p), F.lit(g), t)))
+    assert forms("Yes, I know", "no", "binary") == ("1", "0", False) and forms("unsure", "yes", "binary") == ("0", "1", True) and forms("unknown", "yes", "binary") == ("0", "1", False)
+    assert forms("about 3 to 12 days", "4", "stay") == ("0", "4", True) and forms("class 7", "7.", "stay") == ("7", "7", False)
+    assert forms("", "B", "single") == ("A", "B", True) and forms("The", "a cat", "summary") == ("NA", "cat", True)
+    assert one(R.outcome_reward(F.lit("The answer is: {no}"), F.lit("no"))) == 5.0 and one(R.retrieval_reward(*(F.lit(x) for x in ("", "q", "s", "g")))) is None
+    assert one(R.answer_rank(F.lit("cats"), F.lit("q"), F.lit("two cats"), F.lit("dogs"))) == 1.0 and one(R.answer_rank(F.lit("yes"), F.lit("cats"), F.lit("dogs"), F.lit("dogs"))) == 0.0
+
+
+def test_entity_matches_in_blocks(spark, monkeypatch):
+    from vitalgrid.operators import matching as M
+
+    monkeypatch.setattr(M, "BLOCK", 2)
+    q = spark.createDataFrame([(i, t) for i, t in enumerate(["red cat", "the of", "zebra", "", None])], "item_id long, text string")
+    d = spark.createDataFrame([("Red-hot.",), ("a concatenation",), (None,), ("x",)], "d string")
+    assert {r["item_id"]: r["matched"] for r in M.entity_matches(d, q, "item_id").collect()} == {0: 2, 1: 0, 2: 0, 3: 0, 4: 0}
+    assert M.entity_matches(d, q.limit(0), "item_id").count() == 0

@@ -34,14 +34,21 @@ def multiple_choice(s: Column | str) -> Column:
     return F.when(found != "", found).otherwise(F.trim(s))
 
 
-_LOCATE = ("answer is:? ?([A-Za-z0-9]+)", "Answer:? ?([A-Za-z0-9]+)", "^([A-Za-z0-9]+)[.:)]", "\\(([A-Za-z0-9]+)\\)", "([A-Za-z0-9]+)$")
+#: How answers are marked, in the order in which the marks are looked for.
+_LOCATE = (
+    "answer_choice[\"']: *\\{?[\"']?(.+?)[\"']? *\\}",
+    "answer[\"']: *\\{?[\"']?(.+?)[\"']? *\\}",
+    "answer is:? *\\{?[\"']?(.+?)[\"']? *\\}",
+    "[Aa]nswer[*]?[*]?: *(A|B|C|D)",
+    "is:? *[*]?[*]?(A|B|C|D)",
+)
 
 
 def locate_answer(s: Column | str) -> Column:
-    """What follows an answer marker, by patterns in order; else the squeezed text; NA for null."""
-    text = squeeze(F.col(s) if isinstance(s, str) else s)
+    """What follows an answer mark, by marks in order; else the whole text, white space made single; NA for null."""
+    text = F.regexp_replace(s, "[ \\t\\n\\r\\f]+", " ")
     tries = [F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in _LOCATE]
-    return F.coalesce(*tries, text, F.lit("NA"))
+    return F.coalesce(*tries, F.trim(text), F.lit("NA"))
 
 
 def yes_no(s: Column | str) -> Column:
@@ -51,9 +58,30 @@ def yes_no(s: Column | str) -> Column:
 
 
 def last_digit_class(s: Column | str, classes: int = 10) -> Column:
-    """The last number below ``classes`` in the text; 0 where there is none."""
-    fits = F.filter(numbers(s), lambda x: x < classes)
-    return F.coalesce(F.try_element_at(fits, F.lit(-1)), F.lit(0)).cast("int")
+    """The last number of the normalised text if it is below ``classes``; else 0."""
+    last = F.try_element_at(numbers(normalize_answer(s)), F.lit(-1))
+    return F.when(last < classes, last).otherwise(0).cast("int")
+
+
+def parsed_answers(predicted: Column | str, gold: Column | str, task: str) -> Column:
+    """A struct of the compared forms of prediction and gold, and whether the prediction holds no answer.
+
+    ``binary``: 1 for yes, 0 for no and for none; ``stay``: the last number as a class from 0 to 9, 0 for none;
+    ``single``: a capital from A to D, A for an empty one; ``summary``: the normalised texts, NA for an empty one. Null is an empty text.
+    """
+    p, g = (F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit("")) for x in (predicted, gold))
+    if task == "binary":
+        found = yes_no(normalize_answer(p))
+        forms = F.coalesce(found, F.lit(0)).cast("string"), (normalize_answer(g) == "yes").cast("int").cast("string"), found.isNull()
+    elif task == "stay":
+        last = F.try_element_at(numbers(normalize_answer(p)), F.lit(-1))
+        forms = last_digit_class(p).cast("string"), F.try_element_at(numbers(normalize_answer(g)), F.lit(-1)).cast("string"), F.coalesce(last > 9, F.lit(True))
+    elif task in ("single", "summary"):
+        form, other = (multiple_choice, "A") if task == "single" else (normalize_answer, "NA")
+        forms = F.coalesce(F.nullif(form(p), F.lit("")), F.lit(other)), form(g), form(p) == ""
+    else:
+        raise ValueError(f"no such task: {task}")
+    return F.struct(*(x.alias(n) for x, n in zip(forms, ("predicted", "gold", "no_answer"))))
 
 
 #: Characters that are written in several ways, and their plain forms.
@@ -78,10 +106,14 @@ def any_answer_in(text: Column, answers: Column) -> Column:
     return F.exists(answers, lambda a: spaced_normal(text).contains(spaced_normal(a)))
 
 
+_BLANK = "[ \\t\\n\\r\\f\\x0b\\x1c-\\x1f]+"
+
+
 def clean_subqueries(parts: Column) -> Column:
-    """ASCII only, single spaces, more than five characters, one question mark at the end, first ones of equals."""
-    plain = F.transform(parts, lambda q: squeeze(F.regexp_replace(F.regexp_replace(q, "[^\\x20-\\x7e]", ""), "[^A-Za-z0-9 ,.?'-]", " ")))
-    asked = F.transform(F.filter(plain, lambda q: F.length(q) > 5), lambda q: F.concat(F.regexp_replace(q, "[?. ]+$", ""), F.lit("?")))
+    """Other than ASCII as space, then letters, digits, underscores, spaces and ``?.!,-`` only, single spaces, without one sign at the end; those of more than five characters, asked with a question mark, first ones of equals."""
+    plain = F.transform(parts, lambda q: F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(q, "[^\\x00-\\x7f]+", " "), _BLANK, " "), "[^A-Za-z0-9_ ?.!,-]", "")), " +", " "))
+    ended = F.transform(plain, lambda q: F.regexp_replace(q, "[^A-Za-z0-9_ ]$", ""))
+    asked = F.transform(F.filter(ended, lambda q: F.length(q) > 5), lambda q: F.when(q.contains("?"), q).otherwise(F.concat(q, F.lit("?"))))
     return F.array_distinct(asked)
 
 
@@ -92,16 +124,11 @@ def numbered_items(s: Column | str) -> Column:
 
 
 def fallback_subqueries(s: Column | str) -> Column:
-    """Sub-queries of a question that could not be split: by its keyword, or at ' and ' or ' or '."""
+    """Sub-queries of a question that could not be split: each keyword it contains before the question; if these are fewer than three, also its parts at ' and ' and at ' or ', first ones of equals."""
     col = F.col(s) if isinstance(s, str) else s
-    low = F.lower(col)
-    halves = F.split(col, " and | or ")
-    return (
-        F.when(low.startswith("what"), F.array(col, F.concat(F.lit("Define: "), col)))
-        .when(low.startswith("why"), F.array(col, F.concat(F.lit("Causes of: "), col)))
-        .when(F.size(halves) > 1, F.slice(halves, 1, 3))
-        .otherwise(F.array(col))
-    )
+    asked = F.array_compact(F.array(*(F.when(F.contains(F.lower(col), F.lit(k)), F.concat(F.lit(k.capitalize() + " "), col)) for k in ("what", "why", "how", "when", "where"))))
+    parts = F.array_distinct(F.concat(asked, F.split(col, " and "), F.split(col, " or ")))
+    return F.when(F.size(asked) < 3, F.filter(F.transform(parts, F.trim), lambda x: x != "")).otherwise(asked)
 
 
 def between(s: Column | str, start: str, end: str) -> Column:
@@ -119,20 +146,31 @@ def words(s: Column | str) -> Column:
     return F.filter(F.split(squeeze(without_punctuation(F.lower(s))), " "), lambda w: w != "")
 
 
-#: Words that carry no content in matching.
-STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "were", "with")
+#: Words and signs that carry no content in matching, and signs that are taken out before.
+STOPWORDS = tuple(
+    """in on at to for with by from about a an the it they we you he she i me my mine ours us your yours his hers their theirs
+    and or but because if then than as is are was were do does did have has had having be been being not no nor none
+    what where when who why how which whom whose . , ! ? ; : - ( ) [ ] { } " ' ... -- / \\ | < > = + * & ^ % $ # @ ~ `
+    of that this these those such there here all any both each few more some most other another every either neither""".split()
+)
+MATCH_PUNCTUATION = ".,!?;:\"()[]{}-"
+
+
+def content_words(s: Column | str) -> Column:
+    """Words in lower case, repeats included, without signs and words that carry no content."""
+    return F.filter(F.split(squeeze(F.translate(F.lower(s), MATCH_PUNCTUATION, "")), " "), lambda w: (w != "") & ~w.isin(*STOPWORDS))
 
 
 def match_ratio(answer: Column | str, document: Column | str) -> Column:
-    """Content words of the answer that are substrings of the document, over twice their number; 0 without any."""
-    content = F.filter(words(answer), lambda w: ~w.isin(*STOPWORDS))
-    low = F.lower(document)
+    """Content words of the answer that are substrings of the document without signs, over twice their number; 0 without any."""
+    content = content_words(answer)
+    low = F.translate(F.lower(document), MATCH_PUNCTUATION, "")
     return F.when(F.size(content) > 0, F.size(F.filter(content, lambda w: F.contains(low, w))) / (2 * F.size(content))).otherwise(F.lit(0.0))
 
 
 def token_overlap(a: Column | str, b: Column | str) -> Column:
-    """Distinct words in common."""
-    return F.size(F.array_intersect(words(a), words(b)))
+    """Distinct runs without white space, as written, in common."""
+    return F.size(F.array_intersect(*(F.filter(F.split(squeeze(F.col(x) if isinstance(x, str) else x), " "), lambda w: w != "") for x in (a, b))))
 
 
 def last_paragraph_answer(s: Column | str) -> Column:

@@ -42,34 +42,43 @@ def instruction_rows(traces: DataFrame, key: str) -> DataFrame:
 
 
 def length_reward(n_steps: Column) -> Column:
-    """1 for up to three steps, half less for each more."""
-    return 1 - 0.5 * (F.greatest(n_steps, F.lit(3)) - 3)
+    """0 for up to three steps, half less for each more."""
+    return 1 - 0.5 * (F.greatest(n_steps, F.lit(3)) - 1)
 
 
-def path_reward(chosen: Column, legal: Column, share: float = 0.1) -> Column:
-    """1 or -0.5 by correct choices less half of wrong and repeated ones, over the expected number; -1 without a correct one, 0 without choices."""
-    distinct = F.array_distinct(chosen)
-    right = F.size(F.array_intersect(distinct, legal))
-    wrong = F.size(F.array_except(distinct, legal))
-    again = F.size(chosen) - F.size(distinct)
-    value = (right - 0.5 * wrong - 0.5 * again) / (F.size(legal) * share)
-    return F.when(F.size(chosen) == 0, 0.0).when(right == 0, -1.0).when(value < 0.1, -0.5).otherwise(1.0)
+def path_reward(chosen: Column, legal: Column, share: float = 0.3) -> Column:
+    """1 or -0.5 by the mean over retrieval steps (an array of their choices) of right ones less half of wrong and of repeated ones.
+
+    Each step counts its distinct choices. The mean is taken over the expected number; -0.5 below a tenth of it. 0 without retrieval steps.
+    """
+    repeated = lambda c: F.size(F.filter(F.array_distinct(c), lambda x: F.size(F.filter(c, lambda y: y == x)) > 1))
+    step = lambda c: F.size(F.array_intersect(c, legal)) - 0.5 * F.size(F.array_except(c, legal)) - 0.5 * repeated(c)
+    total = F.aggregate(F.transform(chosen, step), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(chosen) == 0, 0.0).when(total / F.size(chosen) / (F.size(legal) * share) < 0.1, -0.5).otherwise(1.0)
 
 
 def retrieval_reward(answer: Column, question: Column, subquery: Column, gold: Column) -> Column:
-    """0.5 or -0.5 by distinct words shared with question, sub-query and gold, per character of the answer."""
+    """0.5 or -0.5 by distinct words shared with question, sub-query and gold, per character of the answer; null for an empty one."""
     from ..functions.text import token_overlap as shared
 
-    n = F.nullif(F.length(answer), F.lit(0))
-    score = F.coalesce((2 * (shared(answer, question) + shared(answer, subquery)) + 10 * shared(answer, gold)) / n, F.lit(0.0))
-    return F.when(score < 0.15, -0.5).otherwise(0.5)
+    score = (2 * (shared(answer, question) + shared(answer, subquery)) + 10 * shared(answer, gold)) / F.length(answer)
+    return F.when(F.length(answer) > 0, F.when(score < 0.15, -0.5).otherwise(0.5))
+
+
+def outcome_reward(predicted: Column, gold: Column, task: str = "binary") -> Column:
+    """5 if the located answer means the same as the gold one in its task."""
+    from ..functions.text import locate_answer, parsed_answers
+
+    forms = parsed_answers(locate_answer(predicted), gold, task)
+    return F.when(forms["predicted"] == forms["gold"], 5.0).otherwise(0.0)
 
 
-def outcome_reward(predicted: Column, gold: Column) -> Column:
-    """5 for an answer equal to the gold one after normalisation."""
-    from ..functions.text import normalize_answer
+def answer_rank(gold: Column, query: Column, own: Column, negative: Column) -> Column:
+    """1 if the own history matches the gold answer (of a yes or no: the query) better than the negative history, else 0."""
+    from ..functions.text import match_ratio
 
-    return F.when(normalize_answer(predicted) == normalize_answer(gold), 5.0).otherwise(0.0)
+    asked = F.when(gold.isin("yes", "no"), query).otherwise(gold)
+    return F.when(match_ratio(asked, own) > match_ratio(asked, negative), 1.0).otherwise(0.0)
 
 
 def rank_reward(own: Column, positive: Column, negative: Column) -> Column:
@@ -84,10 +93,10 @@ def rewards(traces: DataFrame, key: str, legal: list[int]) -> DataFrame:
     s = steps(traces, key)
     rag = F.col("source") == "RAG"
     per = s.withColumn("r", F.when(rag, retrieval_reward(F.col("subanswer"), F.col("query"), F.col("subquery"), F.col("groundtruth"))))
-    sums = per.groupBy(key).agg(F.avg("r").alias("retrieval"), F.flatten(F.collect_list(F.when(rag, F.col("chosen")))).alias("chosen"), F.max("n_steps").alias("n_steps"), F.max_by("subanswer", "step").alias("answer"))
+    sums = per.groupBy(key).agg(F.avg("r").alias("retrieval"), F.collect_list(F.when(rag, F.col("chosen"))).alias("chosen"), F.max("n_steps").alias("n_steps"), F.max_by("subanswer", "step").alias("answer"))
     rows = traces.select(key, "groundtruth", "positive", "negative").join(sums, key, "left")
     none = F.col("n_steps").isNull()
-    choice = F.coalesce("chosen", F.array().cast("array<int>"))
+    choice = F.coalesce("chosen", F.array().cast("array<array<int>>"))
     out = rows.select(
         key, F.when(none, 0.0).otherwise(length_reward(F.col("n_steps"))).alias("length"), F.when(none, 0.0).otherwise(path_reward(choice, F.array(*map(F.lit, legal)))).alias("path"),
         F.coalesce("retrieval", F.lit(0.0)).alias("retrieval"), F.when(none, 0.0).otherwise(outcome_reward(F.col("answer"), F.col("groundtruth"))).alias("outcome"),

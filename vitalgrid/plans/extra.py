@@ -47,11 +47,13 @@ def choice_set_counts(spark, sf_dir):
     return d.select("doc_id", F.size(F.array_intersect("c", legal)).cast("long").alias("legal"), F.size(F.array_except("c", legal)).cast("long").alias("illegal"), (F.size("c") - F.size(F.array_distinct("c"))).cast("long").alias("repeated"))
 
 
-@query("WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'system' THEN -100 ELSE CAST(length(text) % 5 AS INT) END AS label, CAST(turn % 5 AS INT) AS pred FROM conversations), r AS (SELECT conv_id, avg(CAST(label = pred AS INT)) AS a FROM s WHERE label <> -100 GROUP BY conv_id) SELECT round(avg(a), 9) AS accuracy, count(*) AS n FROM r")
+@query("""WITH s AS (SELECT conv_id, CAST(turn % 5 AS INT) AS pred, lead(CASE WHEN role = 'system' THEN -100 ELSE length(text) % 5 END) OVER (PARTITION BY conv_id ORDER BY turn) AS label FROM conversations),
+r AS (SELECT conv_id, avg(CAST(label = pred AS INT)) AS a FROM s WHERE label <> -100 GROUP BY conv_id) SELECT round(avg(a), 9) AS accuracy, count(*) AS n FROM r""")
 def masked_token_accuracy(spark, sf_dir):
-    """Accuracy over unmasked positions by row, then the mean of rows."""
+    """Accuracy of each position's prediction of the next position's label, over unmasked ones by row, then the mean of rows that have any."""
     c = table(spark, sf_dir, "conversations")
-    s = c.select("conv_id", F.when(F.col("role") == "system", -100).otherwise(F.length("text") % 5).alias("label"), (F.col("turn") % 5).alias("pred")).where("label <> -100")
+    label = F.when(F.col("role") == "system", -100).otherwise(F.length("text") % 5)
+    s = c.select("conv_id", (F.col("turn") % 5).alias("pred"), F.lead(label).over(Window.partitionBy("conv_id").orderBy("turn")).alias("label")).where("label <> -100")
     return s.groupBy("conv_id").agg(F.avg((F.col("label") == F.col("pred")).cast("double")).alias("a")).agg(F.round(F.avg("a"), 9).alias("accuracy"), F.count("*").alias("n"))
 
 

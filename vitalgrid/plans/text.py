@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..operators import matching as M
 from ..sources.tables import table
 from .common import query
 
@@ -38,10 +39,11 @@ def multichoice(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.multiple_choice("text").alias("choice"))
 
 
-_L = "regexp_extract(t, '{}', 1)"
+_QUOTED = lambda p: p.replace("'", "''")
 
 
-@query(f"WITH s AS (SELECT doc_id, {_SQ('text')} AS t FROM documents) SELECT doc_id, coalesce({', '.join('nullif(' + _L.format(p) + ', ' + chr(39) * 2 + ')' for p in T._LOCATE)}, t, 'NA') AS answer FROM s")
+@query(f"""WITH s AS (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(t, '{_QUOTED(p)}') THEN regexp_extract(t, '{_QUOTED(p)}', 1)" for p in T._LOCATE)} WHEN t IS NULL THEN 'NA' ELSE trim(t) END AS answer FROM s""")
 def locate_answers(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.locate_answer("text").alias("answer"))
 
@@ -51,9 +53,9 @@ def binary_answers(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.yes_no("text").alias("answer"))
 
 
-@query("SELECT doc_id, CAST(coalesce(list_last(list_filter(list_transform(regexp_extract_all(text, '[0-9]+'), lambda x: TRY_CAST(x AS BIGINT)), lambda x: x < 10)), 0) AS INT) AS class FROM documents")
+@query(f"WITH n AS (SELECT doc_id, TRY_CAST(list_last(regexp_extract_all({_NORM('text')}, '[0-9]+')) AS BIGINT) AS x FROM documents) SELECT doc_id, CAST(CASE WHEN x < 10 THEN x ELSE 0 END AS INT) AS class FROM n")
 def stay_answers(spark, sf_dir):
-    """The last number from 0 to 9 as a class."""
+    """The last number of the normalised text as a class from 0 to 9, 0 for larger ones."""
     return _docs(spark, sf_dir).select("doc_id", T.last_digit_class("text").alias("class"))
 
 
@@ -73,7 +75,7 @@ def answer_in_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.any_answer_in(F.col("text"), answers).alias("found"))
 
 
-_CLEAN = "list_transform(list_filter(list_transform({p}, lambda q: " + _SQ("regexp_replace(regexp_replace(q, '[^\\x20-\\x7e]', '', 'g'), '[^A-Za-z0-9 ,.?''-]', ' ', 'g')") + "), lambda q: length(q) > 5), lambda q: regexp_replace(q, '[?. ]+$', '') || '?')"
+_CLEAN = "list_transform(list_filter(list_transform({p}, lambda q: regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(q, '[^\\x00-\\x7f]+', ' ', 'g'), '[ \\t\\n\\r\\f\\x0b\\x1c-\\x1f]+', ' ', 'g'), '[^[:word:] ?.!,-]', '', 'g')), ' +', ' ', 'g'), '[^[:word:] ]$', '')), lambda q: length(q) > 5), lambda q: CASE WHEN contains(q, '?') THEN q ELSE q || '?' END)"
 
 
 @query(f"""WITH p AS (SELECT doc_id, {_CLEAN.format(p="string_split(text, chr(10))")} AS q FROM documents), u AS (SELECT doc_id, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM p), f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY ALL), g AS (SELECT doc_id, string_agg(x, '|' ORDER BY i) AS q FROM f GROUP BY doc_id)
@@ -91,8 +93,10 @@ def numbered_lists(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.array_join(T.numbered_items(t), "|").alias("items"))
 
 
-@query("""WITH h AS (SELECT item_id, text, string_split_regex(text, ' and | or ') AS p, lower(text) AS l FROM benchmark)
-SELECT item_id, array_to_string(CASE WHEN starts_with(l, 'what') THEN [text, 'Define: ' || text] WHEN starts_with(l, 'why') THEN [text, 'Causes of: ' || text] WHEN len(p) > 1 THEN p[1:3] ELSE [text] END, '|') AS subqueries FROM h""")
+@query("""WITH k AS (SELECT item_id, text, list_transform(list_filter(['what', 'why', 'how', 'when', 'where'], lambda k: contains(lower(text), k)), lambda k: upper(k[1]) || k[2:] || ' ' || text) AS k FROM benchmark),
+u AS (SELECT item_id, unnest(list_concat(k, string_split(text, ' and '), string_split(text, ' or '))) AS x, generate_subscripts(list_concat(k, string_split(text, ' and '), string_split(text, ' or ')), 1) AS i FROM k),
+f AS (SELECT item_id, trim(x) AS x, min(i) AS i FROM u GROUP BY item_id, u.x), g AS (SELECT item_id, string_agg(x, '|' ORDER BY i) AS q FROM f WHERE x <> '' GROUP BY item_id)
+SELECT item_id, CASE WHEN len(k) < 3 THEN coalesce(q, '') ELSE array_to_string(k, '|') END AS subqueries FROM k LEFT JOIN g USING (item_id)""")
 def fallback_queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.fallback_subqueries("text"), "|").alias("subqueries"))
 
@@ -111,33 +115,38 @@ def letters_key_join(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", key(F.col("text")).alias("k")).join(m, "k", "left").select("item_id", "doc_id")
 
 
-_PAIR = "WITH p AS (SELECT doc_id, split_part(text, chr(10), 1) AS a, text AS b, coalesce(nullif(split_part(text, chr(10), 2), ''), text) AS c FROM documents)"
+_PAIR = "WITH p AS (SELECT doc_id, split_part(text, chr(10), 1) AS a, text AS b, coalesce(nullif(substr(text, strpos(text, chr(10)) + 1), ''), text) AS c FROM documents)"
 
 
 def _pairs(spark, sf_dir):
-    line = lambda i: F.split_part(F.col("text"), F.lit("\n"), F.lit(i))
-    return _docs(spark, sf_dir).select("doc_id", line(1).alias("a"), F.col("text").alias("b"), F.coalesce(F.nullif(line(2), F.lit("")), F.col("text")).alias("c"))
+    """The first line of a text and all that follows it; the whole text twice where nothing does."""
+    first, rest = F.split_part(F.col("text"), F.lit("\n"), F.lit(1)), F.expr("substring(text, instr(text, '\n') + 1)")
+    return _docs(spark, sf_dir).select("doc_id", first.alias("a"), F.col("text").alias("b"), F.coalesce(F.nullif(rest, F.lit("")), F.col("text")).alias("c"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_STOP = ", ".join("'" + _QUOTED(w) + "'" for w in T.STOPWORDS)
+_SIGNS = lambda x: f"translate(lower({x}), '{T.MATCH_PUNCTUATION}', '')"
+_CONTENT = lambda x: f"list_filter(string_split({_SQ(_SIGNS(x))}, ' '), lambda w: w <> '' AND w NOT IN ({_STOP}))"
 
 
-@query(f"{_PAIR}, w AS (SELECT doc_id, c, list_filter({_WORDS('a')}, lambda w: w NOT IN ({_STOP})) AS k FROM p) SELECT doc_id, round(CASE WHEN len(k) > 0 THEN len(list_filter(k, lambda w: contains(lower(c), w))) / (2 * len(k)) ELSE 0 END, 9) AS ratio FROM w")
+@query(f"{_PAIR}, w AS (SELECT doc_id, {_SIGNS('c')} AS c, {_CONTENT('a')} AS k FROM p) SELECT doc_id, round(CASE WHEN len(k) > 0 THEN len(list_filter(k, lambda w: contains(c, w))) / (2 * len(k)) ELSE 0 END, 9) AS ratio FROM w")
 def match_ratios(spark, sf_dir):
-    """Content words of the first line that the second has."""
+    """Content words of the first line that the rest of the text has."""
     return _pairs(spark, sf_dir).select("doc_id", F.round(T.match_ratio("a", "c"), 9).alias("ratio"))
 
 
-@query(f"{_PAIR}, w AS (SELECT doc_id, split_part(text, chr(10), 1) AS d FROM documents) SELECT item_id, sum(CASE WHEN len(k) > 0 AND len(list_filter(k, lambda x: contains(lower(d), x))) / (2 * len(k)) > 0.2 THEN 1 ELSE 0 END)::BIGINT AS matched FROM (SELECT item_id, list_filter({_WORDS('text')}, lambda w: w NOT IN ({_STOP})) AS k FROM benchmark WHERE item_id < 5), w GROUP BY item_id")
+@query(f"WITH q AS (SELECT item_id, {_CONTENT('text')} AS k FROM benchmark WHERE item_id % 20 = 0), d AS (SELECT {_SIGNS('text')} AS d FROM documents) SELECT item_id, count(*) FILTER (len(list_filter(k, lambda x: contains(d, x))) > 0)::BIGINT AS matched FROM q, d GROUP BY item_id")
 def entity_matches(spark, sf_dir):
-    """How many documents match a stated set of five questions by content words."""
-    q = table(spark, sf_dir, "benchmark").where("item_id < 5").select("item_id", F.col("text").alias("q"))
-    d = _docs(spark, sf_dir).select(F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("d"))
-    hit = (T.match_ratio("q", "d") > 0.2).cast("long")
-    return d.join(F.broadcast(q)).groupBy("item_id").agg(F.sum(hit).alias("matched"))
+    """How many documents any content word of a question is in; questions are those of ids divisible by 20, in blocks."""
+    q = table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select("item_id", "text")
+    d = _docs(spark, sf_dir).select(F.col("text").alias("d"))
+    return M.entity_matches(d, q, "item_id")
+
+
+_RUNS = lambda x: f"list_distinct(list_filter(string_split({_SQ(x)}, ' '), lambda w: w <> ''))"
 
 
-@query(f"{_PAIR} SELECT doc_id, len(list_intersect(list_distinct({_WORDS('a')}), list_distinct({_WORDS('c')}))) AS overlap FROM p")
+@query(f"{_PAIR} SELECT doc_id, len(list_intersect({_RUNS('a')}, {_RUNS('c')})) AS overlap FROM p")
 def token_overlaps(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", T.token_overlap("a", "c").cast("long").alias("overlap"))
 

@@ -9,24 +9,24 @@ from ..operators import stats as S
 from ..operators import traces as R
 from ..sources.tables import table
 from .common import query
-from .text import _WORDS, _pairs
+from .text import _CONTENT, _NORM, _QUOTED, _RUNS, _SIGNS, _WORDS, _pairs
 
 
 def _traces(spark, sf_dir):
     """User and assistant turns of a conversation as steps; the first user text is the query, the last text the truth."""
     c = table(spark, sf_dir, "conversations")
-    t = F.col("turn").cast("int")
+    t, half = F.col("turn").cast("int"), F.expr("int(length(text) div 2)")
     step = F.struct(
-        t.alias("turn"), F.when(F.col("role") == "user", "RAG").otherwise("LLM").alias("source"), F.substring("text", 1, 40).alias("subquery"), F.substring("text", 41, 60).alias("subanswer"),
+        t.alias("turn"), F.when(F.col("role") == "user", "RAG").otherwise("LLM").alias("source"), F.left("text", half).alias("subquery"), F.expr("substring(text, length(text) div 2 + 1)").alias("subanswer"),
         F.when(F.col("role") == "user", "yes").otherwise("no").alias("decision"), F.array((t % 7).cast("int"), (F.length("text") % 12).cast("int")).alias("chosen"), F.md5("text").alias("history"), F.right("text", F.lit(10)).alias("final"),
     )
     g = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"), F.max_by("text", "turn").alias("last"), F.array_sort(F.collect_list(F.when(F.col("role") != "system", step))).alias("path"))
     path = F.when(F.col("conv_id") % 5 == 0, F.array().cast(f"array<{R.STEP}>")).otherwise(F.transform("path", lambda s: F.struct(*(s[c].alias(c) for c in ("source", "subquery", "subanswer", "decision", "chosen", "history", "final")))))
-    return g.select("conv_id", "query", F.substring("last", 41, 60).alias("groundtruth"), path.alias("path"), F.when(F.col("conv_id") % 2 == 0, F.col("query")).alias("positive"), F.lit("the of and").alias("negative"))
+    return g.select("conv_id", "query", F.expr("substring(last, length(last) div 2 + 1)").alias("groundtruth"), path.alias("path"), F.when(F.col("conv_id") % 2 == 0, F.col("query")).alias("positive"), F.lit("the of and").alias("negative"))
 
 
-_T = """WITH c AS (SELECT conv_id, CAST(turn AS INT) AS turn, role, text FROM conversations), g AS (SELECT conv_id, arg_min(text, turn) AS query, (arg_max(text, turn))[41:100] AS groundtruth FROM c GROUP BY 1),
-s AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS step, count(*) OVER (PARTITION BY conv_id) AS n_steps, CASE WHEN role = 'user' THEN 'RAG' ELSE 'LLM' END AS source, text[1:40] AS subquery, text[41:100] AS subanswer, CASE WHEN role = 'user' THEN 'yes' ELSE 'no' END AS decision,
+_T = """WITH c AS (SELECT conv_id, CAST(turn AS INT) AS turn, role, text FROM conversations), g AS (SELECT conv_id, arg_min(text, turn) AS query, substr(arg_max(text, turn), length(arg_max(text, turn)) // 2 + 1) AS groundtruth FROM c GROUP BY 1),
+s AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS step, count(*) OVER (PARTITION BY conv_id) AS n_steps, CASE WHEN role = 'user' THEN 'RAG' ELSE 'LLM' END AS source, left(text, length(text) // 2) AS subquery, substr(text, length(text) // 2 + 1) AS subanswer, CASE WHEN role = 'user' THEN 'yes' ELSE 'no' END AS decision,
  [turn % 7, CAST(length(text) % 12 AS INT)] AS chosen, md5(text) AS history, right(text, 10) AS final FROM c WHERE role <> 'system' AND conv_id % 5 <> 0),
 st AS (SELECT s.*, query, groundtruth, coalesce(lag(history) OVER (PARTITION BY s.conv_id ORDER BY step), '') AS before, step = n_steps - 1 AS terminal FROM s JOIN g USING (conv_id))"""
 
@@ -39,17 +39,18 @@ def trace_reshape(spark, sf_dir):
     return R.instruction_rows(_traces(spark, sf_dir), "conv_id")
 
 
-_OV = lambda a, b: f"len(list_intersect(list_distinct({_WORDS(a)}), list_distinct({_WORDS(b)})))"
-_NRM = lambda x: f"array_to_string(list_filter({_WORDS(x)}, lambda w: w NOT IN ('a', 'an', 'the')), ' ')"
+_OV = lambda a, b: f"len(list_intersect({_RUNS(a)}, {_RUNS(b)}))"
+_LOC = lambda x: f"coalesce({', '.join(f"nullif(regexp_extract({x}, '{_QUOTED(p)}', 1), '')" for p in T._LOCATE)}, {x})"
+_ONE = lambda x: f"regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g')"
 
 
-@query(f"""{_T}, r AS (SELECT *, CASE WHEN source = 'RAG' THEN CASE WHEN coalesce((2 * ({_OV('subanswer', 'query')} + {_OV('subanswer', 'subquery')}) + 10 * {_OV('subanswer', 'groundtruth')}) / nullif(length(subanswer), 0), 0) < 0.15 THEN -0.5 ELSE 0.5 END END AS r FROM st),
-ch AS (SELECT conv_id, list(x) AS chosen FROM (SELECT conv_id, unnest(chosen) AS x FROM r WHERE source = 'RAG') GROUP BY conv_id),
+@query(f"""{_T}, r AS (SELECT *, CASE WHEN source = 'RAG' AND length(subanswer) > 0 THEN CASE WHEN (2 * ({_OV('subanswer', 'query')} + {_OV('subanswer', 'subquery')}) + 10 * {_OV('subanswer', 'groundtruth')}) / length(subanswer) < 0.15 THEN -0.5 ELSE 0.5 END END AS r FROM st),
+one AS (SELECT conv_id, step, x, count(*) AS n FROM (SELECT conv_id, step, unnest(chosen) AS x FROM st WHERE source = 'RAG') GROUP BY ALL),
+ch AS (SELECT conv_id, count(DISTINCT step) AS rag, sum(CASE WHEN x < 10 THEN 1 ELSE -0.5 END - CASE WHEN n > 1 THEN 0.5 ELSE 0 END) AS value FROM one GROUP BY conv_id),
 a AS (SELECT conv_id, avg(r) AS retrieval, max(n_steps) AS n, arg_max(subanswer, step) AS answer FROM r GROUP BY conv_id),
-b AS (SELECT g.*, retrieval, n, answer, coalesce(chosen, []) AS chosen FROM g LEFT JOIN a USING (conv_id) LEFT JOIN ch USING (conv_id)),
-k AS (SELECT *, len(list_distinct(chosen)) AS d, len(list_filter(list_distinct(chosen), lambda x: x < 10)) AS ok FROM b),
-v AS (SELECT conv_id, CASE WHEN n IS NULL THEN 0 ELSE 1 - 0.5 * (greatest(n, 3) - 3) END AS length, CASE WHEN n IS NULL OR len(chosen) = 0 THEN 0 WHEN ok = 0 THEN -1 WHEN (ok - 0.5 * (d - ok) - 0.5 * (len(chosen) - d)) / (10 * 0.1) < 0.1 THEN -0.5 ELSE 1 END AS path, coalesce(retrieval, 0) AS retrieval,
- CASE WHEN n IS NOT NULL AND {_NRM('answer')} = {_NRM('groundtruth')} THEN 5 ELSE 0 END AS outcome, CASE WHEN n IS NULL OR conv_id % 2 <> 0 THEN 0 WHEN {_OV('answer', 'query')} > {_OV('answer', "'the of and'")} THEN 0.1 ELSE -0.1 END AS rank FROM k)
+b AS (SELECT g.*, retrieval, n, answer, rag, value, {_NORM(_LOC(_ONE('answer')))} AS p, {_NORM('groundtruth')} AS t FROM g LEFT JOIN a USING (conv_id) LEFT JOIN ch USING (conv_id)),
+v AS (SELECT conv_id, CASE WHEN n IS NULL THEN 0 ELSE 1 - 0.5 * (greatest(n, 3) - 1) END AS length, CASE WHEN n IS NULL OR rag IS NULL THEN 0 WHEN value / rag / (10 * 0.3) < 0.1 THEN -0.5 ELSE 1 END AS path, coalesce(retrieval, 0) AS retrieval,
+ CASE WHEN n IS NOT NULL AND CAST(contains(p, 'yes') AS INT) = CAST(t = 'yes' AS INT) THEN 5 ELSE 0 END AS outcome, CASE WHEN n IS NULL OR conv_id % 2 <> 0 THEN 0 WHEN {_OV('answer', 'query')} > {_OV('answer', "'the of and'")} THEN 0.1 ELSE -0.1 END AS rank FROM b)
 SELECT conv_id, CAST(length AS DOUBLE) AS length, CAST(path AS DOUBLE) AS path, CAST(round(retrieval, 9) AS DOUBLE) AS retrieval, CAST(outcome AS DOUBLE) AS outcome, CAST(rank AS DOUBLE) AS rank, round(CAST(length AS DOUBLE) + path + retrieval + outcome + rank, 9) AS total FROM v""")
 def reward_table(spark, sf_dir):
     """Length, path, retrieval, outcome and rank rewards, and their sum."""
@@ -106,3 +107,15 @@ def rouge_l_scores(spark, sf_dir):
 @query("SELECT event_type, round(sum(value * user_id) / sum(user_id), 6) AS mean FROM events GROUP BY 1")
 def weighted_running_mean(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.sum(F.col("value") * F.col("user_id")) / F.sum("user_id"), 6).alias("mean"))
+
+
+_RATIO = lambda a, d: f"(CASE WHEN len({_CONTENT(a)}) > 0 THEN len(list_filter({_CONTENT(a)}, lambda w: contains({_SIGNS(d)}, w))) / (2 * len({_CONTENT(a)})) ELSE 0 END)"
+
+
+@query(f"""WITH l AS (SELECT conv_id, arg_min(text, turn) AS query, arg_max(text, turn) AS own, CASE WHEN conv_id % 3 = 0 THEN 'yes' ELSE substr(arg_max(text, turn), length(arg_max(text, turn)) // 2 + 1) END AS gold FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN gold IN ('yes', 'no') THEN CASE WHEN {_RATIO('query', 'own')} > {_RATIO('query', 'reverse(own)')} THEN 1.0 ELSE 0.0 END WHEN {_RATIO('gold', 'own')} > {_RATIO('gold', 'reverse(own)')} THEN 1.0 ELSE 0.0 END::DOUBLE AS rank FROM l""")
+def answer_ranks(spark, sf_dir):
+    """Whether a history matches the answer better than a negative one, here its own text backwards."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"), F.max_by("text", "turn").alias("own"))
+    gold = F.when(F.col("conv_id") % 3 == 0, "yes").otherwise(F.expr("substring(own, length(own) div 2 + 1)"))
+    return c.select("conv_id", R.answer_rank(gold, F.col("query"), F.col("own"), F.reverse("own")).alias("rank"))
