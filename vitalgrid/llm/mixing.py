@@ -13,6 +13,8 @@ from .common import batched, begin_task, materialise, steps, texts_of
 
 #: Labelled rows that the classifier learns from at most, those of the smallest hashed ids.
 TRAIN_ROWS = 8_000
+#: Domains at most: posteriors are one number a domain and document. More raise an error, none is left out.
+MOST_DOMAINS = 512
 #: Columns that words are hashed to, two for each word; a table of fixed size.
 BUCKETS = 1 << 16
 
@@ -46,12 +48,15 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str, max_rows: int =
 
     The labelled table says whose ``domain`` column is trusted: rows with a null id or domain, or
     without a document, are left out. Word counts are summed by Spark; the softmax layer is fitted
-    on the averaged evidence of the same bounded sample. Without labels there is one domain.
+    on the averaged evidence of the same bounded sample. Without labels there is one domain; more than ``MOST_DOMAINS``
+    are an error.
     """
     chosen = labels.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text", F.col(domain).cast("string").alias("domain")).where("domain is not null")
     rows = materialise(rows.join(F.broadcast(chosen), "doc_id").select("text", "domain"))
-    domains = [r[0] for r in rows.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(64).collect()]
+    domains = [r[0] for r in rows.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(MOST_DOMAINS + 1).collect()]
+    if len(domains) > MOST_DOMAINS:
+        raise ValueError(f"{domain} has more than {MOST_DOMAINS} values among the labelled documents")
     if not domains:
         return DomainModel(["all"], np.zeros((BUCKETS, 1)), np.zeros((2, 1)))
     place = {d: i for i, d in enumerate(sorted(domains))}
@@ -211,7 +216,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", weigh
     the order of report["domains"]) and rate: how often to take the document, 0 or more. ``weights`` by
     domain name default to ``power`` smoothing. Without ``total`` tokens no rate is below one: the rates that meet
     the least total are scaled by one factor, and where one of them may be 0 the rates are fitted
-    under that bound (``fit_raised``), which keeps the shares where any such rates have them. Null and empty texts have no tokens; their rate counts for nothing. An empty
+    under that bound (``fit_raised``), which keeps the shares where any such rates have them. A weight for a domain that no labelled document has is an error. Null and empty texts have no tokens; their rate counts for nothing. An empty
     table gives none. Columns with the added names are replaced.
     """
     model = fit_domains(batched(docs), labels, domain, max_rows)
@@ -234,6 +239,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", weigh
     if weights is None:
         share = smoothed_targets(current, power)
     else:
+        if unknown := sorted(d for d, w in weights.items() if w and d not in model.domains):
+            raise ValueError(f"weights for domains that no labelled document has: {', '.join(unknown)}")
         share = np.array([float(weights.get(d, 0.0)) for d in model.domains])
         share = share / share.sum() if share.sum() > 0 else share
     free = total is None
