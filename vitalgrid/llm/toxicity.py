@@ -202,6 +202,11 @@ def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 3 == 1
 
 
+def _part(doc_id) -> int:
+    """Which of the three parts of the labelled rows a document is in."""
+    return zlib.crc32(f"part {doc_id}".encode()) % 3
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> ToxicityModel:
     """Fit on at most ``max_rows`` labelled rows, those of the smallest hashed ids, never on held-out ones.
 
@@ -219,7 +224,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS)
         n = [0, 0]
         for batch in batches:
             for i, text, toxic in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if zlib.crc32(b"part %d" % i) % 3 == 0:
+                if _part(i) == 0:
                     n[toxic] += 1
                     for w in lexicon_terms(text or ""):
                         part.setdefault(w, [0, 0])[toxic] += 1
@@ -237,9 +242,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS)
         kinds = WordKinds(learned, stems)
         for batch in batches:
             ids, texts, toxic = (batch.column(k).to_pylist() for k in range(3))
-            keep = [i for i, d in enumerate(ids) if zlib.crc32(b"part %d" % d) % 3]
+            keep = [i for i, d in enumerate(ids) if _part(d)]
             x = [features(texts[i] or "", kinds) for i in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(b"part %d" % ids[i]) % 3 for i in keep], pa.int32()), pa.array([toxic[i] for i in keep], pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["part", "toxic", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([_part(ids[i]) for i in keep], pa.int32()), pa.array([toxic[i] for i in keep], pa.int32()), pa.array(x, pa.list_(pa.float64()))], ["part", "toxic", "x"])
 
     table = rows.mapInArrow(dense, "part int, toxic int, x array<double>").toArrow()
     part, y = table.column("part").to_numpy(), table.column("toxic").to_numpy().astype(float)
