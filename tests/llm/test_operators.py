@@ -122,7 +122,9 @@ def test_token_counts_and_packing(docs):
             assert p["offset"] == at
             at += p["length"]
         assert at <= 4096
-    assert sum(p["length"] for p in pieces) == sum(len(x) + 1 for x in ids)
+    total = sum(len(x) + 1 for x in ids)
+    assert sum(p["length"] for p in pieces) == total
+    assert len(seqs) * 4096 <= total + 4 * 4096  # padding: a few windows that nothing is left to fill
     for (i, _), x in zip(table, ids):
         raw = np.array([*x, 2], "<u4")
         crcs = Counter((p["start"], p["length"], p["ids_crc32"]) for p in by[i, len(raw)])
@@ -193,6 +195,27 @@ def test_quality_counts(docs):
     assert got.where("kept and base_failed").count() == 0 and quality_rules(docs.limit(0)).count() == 0
 
 
+def test_quality_verdicts(spark):
+    from vitalgrid.llm.quality import quality_rules
+
+    def kept(t):
+        w = words(t)
+        chars, letters = sum(len(x.decode()) for x in w), [b for b in t.encode() if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128]
+        lettered = sum(any(65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in x) for x in w)
+        lines = [x for x in t.split("\n") if words(x)]
+        wins = Counter(tuple(w[j : j + 8]) for j in range(len(w) - 7))
+        repeated = {k for j in range(len(w) - 7) if wins[tuple(w[j : j + 8])] > 1 for k in range(j, j + 8)}
+        bad = len(w) < 20 or 100 * len(repeated) > 30 * len(w) or (len(w) >= 50 and 10 * max(Counter(w).values()) > 3 * len(w)) or 10 * lettered < 7 * len(w)
+        bad = bad or 2 * sum(65 <= b <= 90 for b in letters) > len(letters) or 10 * sum(t.count(c) for c in "#*$%&|<>") > len(w) or not 2 * len(w) <= chars <= 15 * len(w)
+        return not bad and 2 * (len(lines) - len(set(lines))) <= len(lines)
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(["ab", "Wörter", "12", "UP", "#x", "a", "longerword", "line\nline\nline", "the", "x" * 40], 60, p=rng.dirichlet(np.full(10, 0.6))))) for i in range(150)]
+    rows += [(1000 + i, base_text(i)) for i in range(20)] + [(2000, base_text(1).upper()), (2001, " ".join(["the"] * 20 + base_text(2, 40).split()))]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: kept(t) for i, t in rows} and 0 < sum(got.values()) < len(got)
+
+
 def test_toxicity(spark, sf):
     from vitalgrid.llm.toxicity import toxicity_scores
 
@@ -216,6 +239,14 @@ def test_toxicity(spark, sf):
     assert toxicity_scores(d, lab.limit(0)).count() == d.count() and toxicity_scores(d.limit(0), lab).count() == 0
 
 
+def test_toxicity_of_ids_as_strings(spark):
+    from vitalgrid.llm.toxicity import toxicity_scores
+
+    d = spark.createDataFrame([(f"d{i}", f"you idiot {base_text(i)}" if i % 4 == 0 else base_text(i), "x") for i in range(80)] + [("long", "word " * 300_000, "x")], "doc_id string, text string, score string")
+    lab = spark.createDataFrame([(f"d{i}", int(i % 4 == 0)) for i in range(80)], "doc_id string, toxic int")
+    assert toxicity_scores(d, lab).count() == 81
+
+
 def test_html():
     from vitalgrid.llm.htmltext import main_text
 
@@ -361,6 +392,17 @@ def test_mixing_meets_targets(spark, sf):
     taken = take_copies(d, lab)
     assert taken.columns == d.columns and d.select("doc_id").exceptAll(taken.select("doc_id").distinct()).count() == 0
     assert mixing_rates(d.limit(0), lab)[0].count() == 0
+    with pytest.raises(ValueError, match="xx"):
+        mixing_rates(d, lab, weights={"en": 1.0, "xx": 1.0})
+
+
+def test_mixing_of_many_domains(spark):
+    from vitalgrid.llm.mixing import mixing_rates
+
+    rows = [(i, " ".join(f"d{i % 70}w{j}" for j in range(20)), f"s{i % 70}", 1.0, "p") for i in range(280)] + [(300, "", "s1", 1.0, "p"), (301, None, None, 1.0, "p"), (0, "d0w1 d0w2", "s0", 1.0, "p")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, rate double, posteriors string")
+    rates, report = mixing_rates(d, d.select("doc_id"), domain="source")
+    assert len(report["domains"]) == 70 and rates.count() == len(rows) and rates.where("rate is null or rate < 0").count() == 0
 
 
 def test_mixing_of_a_rare_blurred_domain_keeps_all(spark):

@@ -88,30 +88,36 @@ def _repeated_lines(t, s, rows):
     return 2 * s["n_dup_lines"][rows] > s["n_lines"][rows]
 
 
+def _alive(t: Texts, rows: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(place in rows, row, first byte, end byte) of the rows still alive: a rule reads these alone."""
+    return ((k, i, int(t.offsets[i]), int(t.offsets[i + 1])) for k, i in enumerate(rows.tolist()))
+
+
 def _shouting(t, s, rows):
-    upper, letters = t.count(_UPPER[t.buf]), t.count(_LETTER[t.buf])
-    return 2 * upper[rows] > letters[rows]
+    """More than half of the letters are capitals."""
+    out = np.empty(len(rows), bool)
+    for k, _, a, b in _alive(t, rows):
+        out[k] = 2 * np.count_nonzero(_UPPER[t.buf[a:b]]) > np.count_nonzero(_LETTER[t.buf[a:b]])
+    return out
 
 
 def _letterless_words(t, s, rows):
-    """Less than 7 in 10 words have a letter; looks only at the rows still alive."""
-    sums = np.zeros(len(t.buf) + 1, np.int64)
-    np.cumsum(_LETTER[t.buf], out=sums[1:])
+    """Less than 7 in 10 words have a letter."""
     out = np.empty(len(rows), bool)
-    for k, i in enumerate(rows):
-        a, b = t.first[i], t.first[i + 1]
-        out[k] = 10 * np.count_nonzero(sums[t.ends[a:b]] > sums[t.starts[a:b]]) < 7 * (b - a)
+    for k, i, a, b in _alive(t, rows):
+        sums = np.concatenate([[0], np.cumsum(_LETTER[t.buf[a:b]])])
+        words = slice(t.first[i], t.first[i + 1])
+        out[k] = 10 * np.count_nonzero(sums[t.ends[words] - a] > sums[t.starts[words] - a]) < 7 * s["n_words"][i]
     return out
 
 
 def _few_distinct_words(t, s, rows):
     """One word makes up more than 3 in 10 words of a text of 50 words or more."""
-    h = t.word_hash()
     out = np.zeros(len(rows), bool)
-    for k, i in enumerate(rows):
-        a, b = t.first[i], t.first[i + 1]
-        if b - a >= 50:
-            out[k] = 10 * np.unique(h[a:b], return_counts=True)[1].max() > 3 * (b - a)
+    for k, i, _, _ in _alive(t, rows):
+        if s["n_words"][i] >= 50:
+            words = slice(t.first[i], t.first[i + 1])
+            out[k] = 10 * np.unique(t.span_hash(t.starts[words], t.ends[words]), return_counts=True)[1].max() > 3 * s["n_words"][i]
     return out
 
 
