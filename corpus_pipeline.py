@@ -14,7 +14,10 @@ from vitalgrid.llm.toxicity import toxicity_scores
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is scored as toxic go; the score is learned from the labelled rows of ``docs``."""
+    """Documents whose text is scored as toxic go; the score is learned from the labelled rows of ``docs``.
+
+    Null and empty texts are scored as texts without words, null ids as any other; repeated rows go or stay together.
+    """
     scores = toxicity_scores(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
     return scores.where("predicted = 0").select(*docs.columns)
 
@@ -34,12 +37,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeat by rates that raise small languages; no document goes."""
+    """Documents repeat by rates that raise small languages; no document goes, null and empty texts and null ids included.
+
+    Repeated rows get one rate each.
+    """
     return take_copies(docs, table(spark, sf_dir, "labels"), domain="lang", power=0.7)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 4096 tokens."""
+    """Pieces of documents in sequences of 4096 tokens; null and empty texts are an end token alone, repeated rows are packed each."""
     return pack_documents(docs)
 
 
