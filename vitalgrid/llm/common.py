@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 # Freed arrays go back to the system at once: glibc otherwise keeps ever larger blocks in worker processes.
 with contextlib.suppress(OSError, AttributeError):
     ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+# So do Arrow's buffers, where their own allocator would keep them.
+pa.set_memory_pool(pa.system_memory_pool())
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True

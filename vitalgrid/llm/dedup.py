@@ -16,7 +16,7 @@ from .common import Texts, batched, begin_task, compress, expand, materialise, m
 #: Words of the m-mer whose smallest hash picks the bucket of a window.
 MINIMISER = 2
 #: Bytes of packed strings in a bucket, about, and those that a task gathers before it sends them.
-BUCKET_BYTES, SEND_BYTES = 2 << 20, 12 << 20
+BUCKET_BYTES, SEND_BYTES = 2 << 20, 8 << 20
 
 
 def super_kmers(t: Texts, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -98,7 +98,7 @@ class WordIds:
     New words of ASCII and the letters of U+00C0 to U+00FF are merged side by side, others go to the tokenizer library.
     """
 
-    SLOTS, CHUNK = 1 << 21, 1 << 15
+    SLOTS, CHUNK = 1 << 20, 1 << 15
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
