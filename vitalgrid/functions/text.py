@@ -206,6 +206,15 @@ def bag_f1(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
     return rows.select(key).join(f1, key, "left").select(key, F.coalesce("f1", F.lit(0.0)).alias("f1"))
 
 
+def answer_f1(rows: DataFrame, key: str, predicted: str, gold: str) -> DataFrame:
+    """(key, f1): F1 of the words of two answers; 0 where they differ and either is yes, no or noanswer."""
+    bags = rows.select(key, *(F.filter(F.split(squeeze(F.col(c)), " "), lambda w: w != "").alias(x) for c, x in ((predicted, "a"), (gold, "b"))))
+    fixed = ("yes", "no", "noanswer")
+    lost = (F.col(predicted) != F.col(gold)) & (F.col(predicted).isin(*fixed) | F.col(gold).isin(*fixed))
+    f1 = bag_f1(bags, key, "a", "b").join(rows.select(key, F.coalesce(lost, F.lit(False)).alias("_lost")), key)
+    return f1.select(key, F.when(F.col("_lost"), 0.0).otherwise(F.col("f1")).alias("f1"))
+
+
 def rouge_n(rows: DataFrame, key: str, a: str, b: str, n: int) -> DataFrame:
     """(key, f1): ROUGE-n of two word-array columns, unstemmed."""
     return bag_f1(rows.select(key, ngrams(F.col(a), n).alias("a"), ngrams(F.col(b), n).alias("b")), key, "a", "b")

@@ -131,6 +131,22 @@ def topk_precision(rows: DataFrame, key: str, k: int, label: str = "label", y: s
     return top.where("n_true > 0").agg(F.avg(F.col("hit") / F.least("n_true", F.lit(k))).alias("topk_precision"), F.count("*").alias("n"))
 
 
+def topk_hits(rows: DataFrame, key: str, k: int, by: tuple[str, ...] = (), label: str = "label", y: str = "y", score: str = "score") -> DataFrame:
+    """Share of all true labels that are among the k best of their row, over all or by a column of the cells."""
+    w = Window.partitionBy(key).orderBy(F.desc(score), label)
+    ranked = rows.withColumn("_r", F.row_number().over(w)).where(F.col(y) == 1)
+    return ranked.groupBy(*by).agg(F.avg((F.col("_r") <= k).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+
+
+def average_precisions(rows: DataFrame, key: str, label: str = "label", y: str = "y", score: str = "score") -> DataFrame:
+    """Average precision over all cells, over labels plain and weighted by their true cells, and over rows; what has no true cell is left out."""
+    count = lambda c: rows.groupBy(c).agg(F.sum(y).alias("_n"))
+    labels = average_precision(rows, y, score, (label,)).join(count(label), label).where("_n > 0")
+    spread = labels.agg(F.avg("pr_auc").alias("macro"), (F.sum(F.col("pr_auc") * F.col("_n")) / F.sum("_n")).alias("weighted"))
+    samples = average_precision(rows, y, score, (key,)).agg(F.avg("pr_auc").alias("samples"))
+    return average_precision(rows, y, score).select(F.col("pr_auc").alias("micro")).join(spread).join(samples)  # one row each
+
+
 def regression_metrics(rows: DataFrame, y: str = "y", predicted: str = "predicted", by: tuple[str, ...] = ()) -> DataFrame:
     d = F.col(y).cast("double") - F.col(predicted)
     return rows.groupBy(*by).agg(F.avg(d * d).alias("mse"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), (1 - F.sum(d * d) / (F.var_pop(F.col(y).cast("double")) * F.count("*"))).alias("r2"))

@@ -87,14 +87,17 @@ def brier_top1(spark, sf_dir):
     return _classes(spark, sf_dir).agg(F.round(F.avg(F.pow((F.col("y") == F.col("predicted")).cast("double") - p, F.lit(2.0))), 9).alias("brier_top1"))
 
 
-@query(f"""{_E}, o AS (SELECT vec_id, y, i AS k, scores[i + 1] AS s FROM e, range(0, 10) r(i) WHERE y < 10), a AS (SELECT x.k AS k, x.y AS neg, avg(CASE WHEN p.s > x.s THEN 1.0 WHEN p.s = x.s THEN 0.5 ELSE 0.0 END) AS v FROM o p JOIN o x ON x.k = p.k AND p.y = p.k AND x.y <> x.k GROUP BY ALL)
-SELECT round(avg(v), 9) AS macro_ovo FROM a""")
+@query(f"""{_E}, o AS (SELECT vec_id, y, i AS k, scores[i + 1] AS s FROM e, range(0, 10) r(i) WHERE y < 10), a AS (SELECT x.k AS k, x.y AS neg, avg(CASE WHEN p.s > x.s THEN 1.0 WHEN p.s = x.s THEN 0.5 ELSE 0.0 END) AS v FROM o p JOIN o x ON x.k = p.k AND p.y = p.k AND x.y <> x.k GROUP BY ALL), c AS (SELECT y, count(*) AS n FROM e WHERE y < 10 GROUP BY y)
+SELECT round(avg(v), 9) AS macro_ovo, round(sum(v * (s.n + t.n)) / sum(s.n + t.n), 9) AS weighted_ovo FROM a JOIN c s ON s.y = a.k JOIN c t ON t.y = a.neg""")
 def multiclass_auc_ovo(spark, sf_dir):
-    """AUC of every ordered pair of classes, plain mean."""
+    """AUC of every ordered pair of classes, plain and weighted by the rows of both."""
     cells = _classes(spark, sf_dir).where("y < 10").select("y", F.posexplode("scores").alias("k", "s"))
     own = cells.where("y = k").select("k", "s", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("neg"), F.lit(1).alias("t")).where("neg <> k")
     other = cells.where("y <> k").select("k", "s", F.col("y").alias("neg"), F.lit(0).alias("t"))
-    return M.roc_auc(own.unionByName(other), "t", "s", ("k", "neg")).agg(F.round(F.avg("roc_auc"), 9).alias("macro_ovo"))
+    sizes = lambda k, n: F.broadcast(cells.where("k = 0").groupBy(F.col("y").cast("int").alias(k)).agg(F.count("*").alias(n)))  # noqa: E731  a row a class
+    pairs = M.roc_auc(own.unionByName(other), "t", "s", ("k", "neg")).where("roc_auc is not null").join(sizes("k", "n_k"), "k").join(sizes("neg", "n_neg"), "neg")
+    n = F.col("n_k") + F.col("n_neg")
+    return pairs.agg(F.round(F.avg("roc_auc"), 9).alias("macro_ovo"), F.round(F.sum(F.col("roc_auc") * n) / F.sum(n), 9).alias("weighted_ovo"))
 
 
 @query("SELECT CASE WHEN regexp_extract(d.text, '(A|B|C|D)', 1) <> '' THEN regexp_extract(d.text, '(A|B|C|D)', 1) END AS choice, count(*) AS n, round(avg(CAST(toxic = 1 AS INT)), 9) AS share FROM documents d JOIN labels USING (doc_id) GROUP BY 1")
@@ -111,6 +114,33 @@ def corpus_words(spark, sf_dir):
     return u.groupBy("doc_id", "word").count().groupBy("word").agg(F.sum("count").alias("n"), F.count("*").alias("docs")).where("docs >= 20")
 
 
+_CHOICE = lambda x: f"coalesce(nullif(regexp_extract({x}, '(A|B|C|D)', 1), ''), trim({x}))"
+
+
+@query(f"""WITH r AS (SELECT conv_id, {_CHOICE('arg_min(text, turn)')} AS p, {_CHOICE('arg_max(text, turn)')} AS y FROM conversations GROUP BY conv_id), f AS (SELECT * FROM r WHERE p IN ('A', 'B', 'C', 'D') AND y IN ('A', 'B', 'C', 'D')),
+k AS (SELECT c, (SELECT count(*) FROM f WHERE p = c AND y = c) AS tp, (SELECT count(*) FROM f WHERE p = c) AS np, (SELECT count(*) FROM f WHERE y = c) AS nt FROM (SELECT unnest(['A', 'B', 'C', 'D']) AS c))
+SELECT round((SELECT avg(CAST(p = y AS INT)) FROM r), 9) AS em, round(sum(coalesce(2 * tp / nullif(np + nt, 0), 0) * nt) / nullif(sum(nt), 0), 9) AS f1_weighted, CAST(sum(nt) AS BIGINT) AS n_choices FROM k""")
+def choice_scores(spark, sf_dir):
+    """Exact match of two answers over all rows, and F1 weighted by class over those where both are a capital from A to D."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(T.multiple_choice(F.min_by("text", "turn")).alias("predicted"), T.multiple_choice(F.max_by("text", "turn")).alias("y"))
+    em = c.agg(F.round(F.avg((F.col("predicted") == F.col("y")).cast("double")), 9).alias("em"))
+    both = c.where(F.col("predicted").isin(*"ABCD") & F.col("y").isin(*"ABCD"))
+    f1 = M.multiclass_metrics(both).agg(F.round(F.max("f1_weighted"), 9).alias("f1_weighted"), F.coalesce(F.max("n"), F.lit(0)).alias("n_choices"))
+    return em.join(f1)  # one row each
+
+
+_SPLIT = lambda x: f"list_filter(string_split(trim(regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g')), ' '), lambda w: w <> '')"
+
+
+@query(f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'yes' ELSE split_part(text, chr(10), 1) END AS a, CASE WHEN doc_id % 5 = 0 THEN 'yes' ELSE coalesce(nullif(substr(text, strpos(text, chr(10)) + 1), ''), text) END AS c FROM documents), g AS (SELECT *, {_SPLIT('a')} AS x, {_SPLIT('c')} AS y FROM p),
+u AS (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, unnest(x) AS k FROM g) GROUP BY ALL), v AS (SELECT doc_id, k, count(*) AS n FROM (SELECT doc_id, unnest(y) AS k FROM g) GROUP BY ALL), s AS (SELECT doc_id, sum(least(u.n, v.n)) AS s FROM u JOIN v USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN a <> c AND (a IN ('yes', 'no', 'noanswer') OR c IN ('yes', 'no', 'noanswer')) THEN 0 WHEN len(x) + len(y) > 0 THEN 2 * coalesce(s, 0) / (len(x) + len(y)) ELSE 0 END, 9) AS f1 FROM g LEFT JOIN s USING (doc_id)""")
+def answer_f1_scores(spark, sf_dir):
+    """Word F1 of answers, 0 where they differ and one is a fixed answer; every third prediction and fifth truth is yes."""
+    p = _pairs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "yes").otherwise(F.col("a")).alias("p"), F.when(F.col("doc_id") % 5 == 0, "yes").otherwise(F.col("c")).alias("g"))
+    return T.answer_f1(p, "doc_id", "p", "g").select("doc_id", F.round("f1", 9).alias("f1"))
+
+
 @query()
 def generation_scores(spark, sf_dir):
     """BLEU-4 by characters of the first line against the second, SARI of the first line as a short form of the text, and the text's reading grade; all of whole strings."""

@@ -161,6 +161,29 @@ def topk_precision5(spark, sf_dir):
     return _rounded(M.topk_precision(_cells(spark, sf_dir), "row", 5))
 
 
+@query(f"""{_C}, r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, label) AS r FROM p) SELECT right(label, 1) AS kind, round(avg(CAST(r <= 5 AS INT)), 9) AS accuracy, count(*) AS n FROM r WHERE y = 1 GROUP BY 1""")
+def topk_hits5(spark, sf_dir):
+    """True brands among the five best of their order, by the last digit of the brand."""
+    cells = _cells(spark, sf_dir).withColumn("kind", F.right("label", F.lit(1)))
+    return _rounded(M.topk_hits(cells, "row", 5, ("kind",)), "kind")
+
+
+_AP = lambda g: f"SELECT {g} AS g, sum(pos * tp / n) / sum(pos) AS v, sum(pos) AS n FROM (SELECT {g}, pos, sum(pos) OVER w AS tp, sum(all_) OVER w AS n FROM (SELECT {g}, score, sum(y) AS pos, count(*) AS all_ FROM (SELECT *, 0 AS one FROM p) GROUP BY ALL) WINDOW w AS (PARTITION BY {g} ORDER BY score DESC)) GROUP BY {g} HAVING sum(pos) > 0"
+
+
+@query(f"""{_C}, l1 AS ({_AP('label')}), r1 AS ({_AP('row')}), o1 AS ({_AP('one')})
+SELECT round((SELECT v FROM o1), 9) AS micro, round((SELECT avg(v) FROM l1), 9) AS macro, round((SELECT sum(v * n) / sum(n) FROM l1), 9) AS weighted, round((SELECT avg(v) FROM r1), 9) AS samples""")
+def multilabel_average_precision(spark, sf_dir):
+    return _rounded(M.average_precisions(_cells(spark, sf_dir), "row"))
+
+
+@query(f"{_C} SELECT round(sum(predicted) / count(DISTINCT row), 9) AS mean_predicted, count(DISTINCT row) AS n FROM p")
+def predicted_set_size(spark, sf_dir):
+    """Predicted labels a row, on average."""
+    per = _cells(spark, sf_dir).groupBy("row").agg(F.sum("predicted").alias("k"))
+    return per.agg(F.round(F.avg("k"), 9).alias("mean_predicted"), F.count("*").alias("n"))
+
+
 @query(f"""{_C}, s AS (SELECT score, sum(y) AS pos, sum(1 - y) AS neg FROM p GROUP BY score), w AS (SELECT pos, neg, sum(neg) OVER (ORDER BY score) - neg AS below FROM s) SELECT round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 9) AS roc_auc FROM w""")
 def multilabel_auc_micro(spark, sf_dir):
     return M.roc_auc(_cells(spark, sf_dir)).select(F.round("roc_auc", 9).alias("roc_auc"))
