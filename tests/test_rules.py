@@ -188,3 +188,11 @@ def test_entity_matches_in_blocks(spark, monkeypatch):
     d = spark.createDataFrame([("Red-hot.",), ("a concatenation",), (None,), ("x",)], "d string")
     assert {r["item_id"]: r["matched"] for r in M.entity_matches(d, q, "item_id").collect()} == {0: 2, 1: 0, 2: 0, 3: 0, 4: 0}
     assert M.entity_matches(d, q.limit(0), "item_id").count() == 0
+
+
+def test_swapped_history(spark):
+    from vitalgrid.operators import cohort as C
+
+    df = spark.createDataFrame([(1, [["p"]], ["d"], [["h"]])], "visit_id long, procedures array<array<string>>, drugs array<string>, drugs_hist array<array<string>>")
+    row = C.swapped_history(df).first()
+    assert (row["procedures"], row["drugs"], row["drugs_hist"]) == ([["h"]], [["p"]], [["h"]])

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import shared_dir
 
 LlmFn = Callable[[pd.Series], pd.Series]
 
@@ -49,9 +50,9 @@ def subqueries(question: Column, reply: Column, most: int = 3) -> Column:
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """Written to the folder of spark.checkpoint.dir and read back, so a level is never computed twice."""
+    """Written to the shared folder and read back, so a level is never computed twice."""
     spark = df.sparkSession
-    at = f"{spark.conf.get('spark.checkpoint.dir')}/{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

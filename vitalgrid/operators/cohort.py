@@ -127,3 +127,14 @@ def build_samples(visits: DataFrame, task: str, least: int = 1, history: tuple[s
     rows = rows.where(keep & F.col("has_next")) if needs_next else rows.where(keep)
     rows = rows.withColumn("label", label if label is not None else rule())
     return with_history(at_least(rows, least), *history, "visit_id")
+
+
+def with_notes(visits: DataFrame, notes: DataFrame, keys: list[str], column: str, size: int) -> DataFrame:
+    """Visits with the vector ``column`` of their note, found by ``keys``; ``size`` zeros where there is none."""
+    none = F.array_repeat(F.lit(0.0), size)
+    return visits.join(notes.select(*keys, F.col(column).cast("array<double>").alias(column)), keys, "left").withColumn(column, F.coalesce(column, none))
+
+
+def swapped_history(samples: DataFrame) -> DataFrame:
+    """Samples of a source that records drugs as procedures: ``procedures`` becomes the drug history, ``drugs`` the last procedures."""
+    return samples.withColumns({"procedures": F.col("drugs_hist"), "drugs": F.col("procedures")})

@@ -44,11 +44,11 @@ def hashed(*parts: Column | str) -> Column:
 def hashed_position(rows: DataFrame, key: str, seed: int, group: str | None = None) -> DataFrame:
     """Adds ``position``, a row's place in the hashed order of ``key`` (in its group, if given), and ``total``, the number of rows.
 
-    The order is cut by the first two hex digits: a position is a count of earlier buckets (256 numbers a
-    group) and a number within the bucket, so no task sorts a whole table or group.
+    The order is cut by the first four hex digits: a position is a count of earlier buckets (65,536 numbers a
+    group at most) and a number within the bucket, so no task sorts a whole table or group.
     """
     by = [group] if group else []
-    h = rows.withColumn("_h", hashed(key, F.lit(seed))).withColumn("_b", F.substring("_h", 1, 2))
+    h = rows.withColumn("_h", hashed(key, F.lit(seed))).withColumn("_b", F.substring("_h", 1, 4))
     sizes = h.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     over = Window.partitionBy(*by).orderBy("_b")
     before = sizes.select(*by, "_b", (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("total"))

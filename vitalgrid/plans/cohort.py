@@ -129,3 +129,12 @@ def completeness_groups(spark, sf_dir):
     cut = lambda f: F.floor(F.col("top") * f)
     grp = F.when(F.col("n_missing") <= cut(1 / 6), "G1").when(F.col("n_missing") <= cut(1 / 3), "G2").when(F.col("n_missing") <= cut(1 / 2), "G3").when(F.col("n_missing") <= cut(2 / 3), "G4")
     return m.join(top).select("patient_id", "n_missing", grp.alias("grp"))
+
+
+@query("""SELECT o_custkey AS patient_id, o_orderkey AS visit_id, CASE WHEN embedding IS NULL THEN 64 ELSE len(embedding) END::INT AS size, round(CASE WHEN embedding IS NULL THEN 0 ELSE CAST(embedding[1] AS DOUBLE) + CAST(embedding[64] AS DOUBLE) END, 6) AS ends FROM orders LEFT JOIN embeddings ON vec_id = o_orderkey""")
+def visit_notes(spark, sf_dir):
+    """The note vector of each visit, zeros where it has none; vectors are notes of the order with their number."""
+    v = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("visit_id"))
+    notes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("visit_id"), "embedding").join(v, "visit_id")
+    out = C.with_notes(v, notes, ["patient_id", "visit_id"], "embedding", 64)
+    return out.select("patient_id", "visit_id", F.size("embedding").alias("size"), F.round(F.col("embedding")[0] + F.col("embedding")[63], 6).alias("ends"))

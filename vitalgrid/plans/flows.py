@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import agent as A
@@ -23,8 +21,6 @@ def event_session_visits(spark, sf_dir):
 @query()
 def agent_trace_stub(spark, sf_dir):
     """The question loop with the stub model over all user turns; context is the conversation's first text."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-"))
     c = table(spark, sf_dir, "conversations")
     questions = c.where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), F.col("text").alias("question"))
     first = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("context")).select(F.col("conv_id").cast("string").alias("_c"), "context")
