@@ -439,6 +439,36 @@ def test_pipeline_stages(spark, sf):
     assert packed.agg(F.sum("length")).first()[0] == packed.where("start = 0").agg(F.sum("doc_tokens")).first()[0]
 
 
+def test_pipeline_stages_on_awkward_rows(spark, docs, sf):
+    """Nulls, empty and repeated rows, very long texts, clashing columns; and each stage on an empty table."""
+    import corpus_pipeline as P
+
+    stages = dict(P.STAGES)
+    table = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for name in ("toxicity", "jaccard_join", "substring_dedup", "mixing"):
+        assert stages[name](spark, docs.limit(0), sf).count() == 0, name
+    assert stages["packing"](spark, docs.limit(0), sf).count() == 0
+    assert rows_of(stages["toxicity"](spark, docs, sf), *docs.columns) == rows_of(docs, *docs.columns)  # none is toxic
+    near = stages["jaccard_join"](spark, docs, sf)
+    shingles = lambda t: {tuple(w[j : j + 5]) for w in [words((t or "").lower())] for j in range(len(w) - 4)} or ({tuple(words(t.lower()))} if words(t) else set())
+    sets = {i: shingles(t) for i, t in table if i is not None}
+    up = {i: i for i in sets}
+    for _ in range(len(sets)):
+        for a in sets:
+            for b in sets:
+                if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    up[a] = up[b] = min(up[a], up[b])
+    leads = {i for i in sets if up[i] == i}
+    want = Counter({(i, t): 1 for i, t in table if i is None or i in leads})
+    assert rows_of(near, "doc_id", "text") == want and near.columns == docs.columns
+    cut = stages["substring_dedup"](spark, docs, sf)
+    assert cut.columns == docs.columns and cut.where("doc_id is null").count() == 2 and cut.where("doc_id = 7").count() == 0  # all of it stands in 3
+    taken = stages["mixing"](spark, docs, sf)
+    assert taken.columns == docs.columns and set(rows_of(taken, "doc_id", "text")) == set(table)
+    packed = stages["packing"](spark, docs, sf)
+    assert packed.where("start = 0").count() == len(table)
+
+
 def test_license_query_meets_its_sql(spark, sf):
     from oracle import compare
 
