@@ -163,9 +163,9 @@ def content_words(s: Column | str) -> Column:
 
 def match_ratio(answer: Column | str, document: Column | str) -> Column:
     """Content words of the answer that are substrings of the document without signs, over twice their number; 0 without any."""
-    content = content_words(answer)
-    low = F.translate(F.lower(document), MATCH_PUNCTUATION, "")
-    return F.when(F.size(content) > 0, F.size(F.filter(content, lambda w: F.contains(low, w))) / (2 * F.size(content))).otherwise(F.lit(0.0))
+    both = F.array(F.struct(F.translate(F.lower(document), MATCH_PUNCTUATION, "").alias("d"), content_words(answer).alias("k")))  # each made once, not for every word
+    ratio = lambda x: F.size(F.filter(x["k"], lambda w: F.contains(x["d"], w))) / (2 * F.size(x["k"]))
+    return F.element_at(F.transform(both, lambda x: F.when(F.size(x["k"]) > 0, ratio(x)).otherwise(F.lit(0.0))), 1)
 
 
 def token_overlap(a: Column | str, b: Column | str) -> Column:
