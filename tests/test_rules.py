@@ -196,3 +196,50 @@ def test_swapped_history(spark):
     df = spark.createDataFrame([(1, [["p"]], ["d"], [["h"]])], "visit_id long, procedures array<array<string>>, drugs array<string>, drugs_hist array<array<string>>")
     row = C.swapped_history(df).first()
     assert (row["procedures"], row["drugs"], row["drugs_hist"]) == ([["h"]], [["p"]], [["h"]])
+
+
+def test_other_readers_and_writers(spark, tmp_path):
+    (tmp_path / "s.csv").write_text('input,target,input_tokens,target_tokens\n"a, b\nc",t,3,1\nonly,,1,\n')
+    assert [tuple(r) for r in files.summaries(spark, str(tmp_path / "s.csv")).collect()] == [("a, b\nc", "t", 3, 1)]
+    (tmp_path / "q.csv").write_text("question,answer\nx,y\n")
+    pairs = files.question_pairs(spark, str(tmp_path / "q.csv"), str(tmp_path / "q.csv"), "question string, answer string")
+    assert sorted(map(tuple, pairs.collect())) == [("x", "y", "test"), ("x", "y", "train")]
+    (tmp_path / "r.json").write_text('{"q": "one", "i": 1}\n\nbroken\n{"q": "two", "i": 2}\n')
+    long = files.long_names(spark, str(tmp_path / "r.json"), "q string, i int", {"q": "query", "i": "pmid"}, "two")
+    assert [r.asDict() for r in long.collect()] == [{"query": "two", "pmid": 2}]
+    assert files.long_names(spark, str(tmp_path / "r.json"), "q string, i int", {"q": "query"}).count() == 2
+    (tmp_path / "nodes.csv").write_text("node_id,node_type,node_name\n1,drug,D\n")
+    (tmp_path / "kg.csv").write_text("x_id,x_type,relation,y_id,y_type\n1,drug,treats,2,disease\n")
+    nodes, triples = files.graph_tables(spark, str(tmp_path))
+    assert (tuple(nodes.first()), tuple(triples.first())) == (("1", "drug", "D"), ("1", "drug", "treats", "2", "disease"))
+    files.write_test_rows(spark.createDataFrame([("q", "t")], "query string, groundtruth string"), str(tmp_path / "t"))
+    assert files.json_lines(spark, str(tmp_path / "t"), "instruction string, input string, output string").first() == ("", "q", "t")
+    files.write_csv(spark.createDataFrame([('a "b", c', 1)], "x string, n int"), str(tmp_path / "w"))
+    assert tuple(spark.read.csv(str(tmp_path / "w"), header=True, escape='"').first()) == ('a "b", c', "1")
+
+
+def test_profile_of_nested_columns(spark):
+    df = spark.createDataFrame([(1, [[1.0]], {"k": ["v"]}, (1, [2])), (2, None, None, None), (3, [], None, None)], "a int, b array<array<double>>, c map<string,array<string>>, d struct<x:int,y:array<int>>")
+    got = {r["column"]: (r["level"], r["least"], r["most"]) for r in files.schema_profile(df).collect()}
+    assert got == {"a": (0, None, None), "b": (2, 0, 1), "c": (2, None, None), "d": (2, None, None)}
+    assert {r["least"] for r in files.schema_profile(df.where("a > 3")).collect()} == {None}
+
+
+def test_training_rows_of_baselines_and_policies(spark):
+    rows = spark.createDataFrame([(1, "q1", "t1", "yes", "k", "n", True), (2, "q2", "t2", "no", None, "n", False), (3, "q3", "t3", "no", "k", "n", None)], "id int, query string, groundtruth string, decision string, kg_results string, naive_results string, ok boolean")
+    assert sorted(map(tuple, R.gated_rows(rows, "id", F.col("ok")).collect())) == [
+        (1, "decision", "decide:\nq1", "yes"), (1, "pure_path", "q1", "t1"), (1, "rag", "answer:\nq1\nk\nn", "t1"),
+        (2, "pure_path", "q2", "t2"), (2, "wrong", "q2", "t2"), (3, "pure_path", "q3", "t3"), (3, "wrong", "q3", "t3"),
+    ]
+    step = ("LLM", "s", "a", "no", [], "h", "f")
+    t = spark.createDataFrame([(1, "q", "t", [step, (*step[:5], "last", "f")]), (2, "q", "t", [])], f"id int, query string, groundtruth string, path array<{R.STEP}>")
+    assert sorted(map(tuple, R.policy_rows(t, "id", F.lit("own")).collect())) == [(1, "no_gold_path", "q", "own"), (1, "terminal", "q\nlast", "own"), (2, "no_gold_path", "q", "own")]
+    p = spark.createDataFrame([(" ".join("abcdefghij"),), (" ".join("abcdefghijk"),), ("  ",), (None,)], "a string").select(R.length_penalty(F.col("a"))).collect()
+    assert [r[0] for r in p] == [0.0, -0.5, 0.0, 0.0]
+
+
+def test_small_groups_stay_whole(spark):
+    rows = spark.createDataFrame([("big", i) for i in range(10)] + [("small", i) for i in range(4)] + [(None, 1)], "g string, k int")
+    got = {r["g"]: r["n"] for r in G.sample_if_many(rows, "g", "k", 5, 3, 1).groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert got == {"big": 3, "small": 4, None: 1}
+    assert [tuple(r) for r in G.smallest_groups(rows, "g", 2).collect()] == [(None, 1), ("small", 4)]

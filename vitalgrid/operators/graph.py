@@ -72,3 +72,9 @@ def induced(edge_rows: DataFrame, kept: DataFrame, src: str = "src", dst: str =
     """Edges with both ends among ``kept`` (node)."""
     a, b = kept.select(F.col("node").alias(src)).distinct(), kept.select(F.col("node").alias(dst)).distinct()
     return edge_rows.join(a, src, "left_semi").join(b, dst, "left_semi")
+
+
+def names_in_chunks(nodes: DataFrame, size: int = 1000) -> DataFrame:
+    """(node_type, chunk, names): names of a type in the order of new_index, ``size`` in a row, so no row grows with the graph."""
+    parts = nodes.groupBy("node_type", F.floor(F.col("new_index") / size).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("new_index", "node_name"))).alias("x"))
+    return parts.select("node_type", "chunk", F.transform("x", lambda v: v["node_name"]).alias("names"))

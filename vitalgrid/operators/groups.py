@@ -45,15 +45,18 @@ def hashed_position(rows: DataFrame, key: str, seed: int, group: str | None = No
     """Adds ``position``, a row's place in the hashed order of ``key`` (in its group, if given), and ``total``, the number of rows.
 
     The order is cut by the first four hex digits: a position is a count of earlier buckets (65,536 numbers a
-    group at most) and a number within the bucket, so no task sorts a whole table or group.
+    group at most) and a number within the bucket, so no task sorts a whole table or group. Rows without a group are one group.
     """
     by = [group] if group else []
     h = rows.withColumn("_h", hashed(key, F.lit(seed))).withColumn("_b", F.substring("_h", 1, 4))
     sizes = h.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     over = Window.partitionBy(*by).orderBy("_b")
-    before = sizes.select(*by, "_b", (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("total"))
+    before = sizes.select(*(F.col(c).alias("_g") for c in by), F.col("_b").alias("_c"), (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("total"))
     inner = h.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", key)))
-    return inner.join(before, [*by, "_b"]).withColumn("position", F.col("_before") + F.col("_r") - 1).drop("_h", "_b", "_r", "_before")
+    same = F.col("_b") == F.col("_c")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col("_g"))
+    return inner.join(before, same).withColumn("position", F.col("_before") + F.col("_r") - 1).drop("_h", "_b", "_r", "_before", "_c", "_g")
 
 
 def split_keys(keys: DataFrame, key: str, ratios: tuple[float, float], seed: int) -> DataFrame:
@@ -75,6 +78,17 @@ def per_group_sample(rows: DataFrame, group: str, key: str, n: int, seed: int) -
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def sample_if_many(rows: DataFrame, group: str, key: str, most: int, n: int, seed: int) -> DataFrame:
+    """Groups of fewer than ``most`` rows whole, of larger ones the first ``n`` in hashed order."""
+    placed = hashed_position(rows, key, seed, group)
+    return placed.where((F.col("total") < most) | (F.col("position") < n)).drop("position", "total")
+
+
+def smallest_groups(rows: DataFrame, label: str, k: int) -> DataFrame:
+    """(label, n): the ``k`` labels of fewest rows, ties by label."""
+    return rows.groupBy(label).agg(F.count("*").alias("n")).orderBy("n", label).limit(k)
+
+
 def bernoulli(key: str, seed: int, p: float) -> Column:
     """True with chance ``p``, from the hash of the key: its first eight hex digits against p * 2**32."""
     return F.conv(F.substring(hashed(key, F.lit(seed)), 1, 8), 16, 10).cast("long") < F.lit(int(p * 2**32))

@@ -52,6 +52,17 @@ def top_k(queries: DataFrame, store: DataFrame, k: int, by: str | None = None, q
     return ranked.withColumnRenamed("by", by) if by else ranked
 
 
+def graph_hits(queries: DataFrame, nodes: DataFrame, edges: DataFrame, paths: list[tuple], k: int) -> DataFrame:
+    """(qid, part, kind, item, distance, rank): the k nearest nodes of each type that a chosen path (source, relation, target) ends in,
+    and the k nearest edges of each chosen relation.
+
+    ``nodes`` and ``edges`` have id, embedding and kind (a node's type, an edge's relation).
+    """
+    kinds = {"node": sorted({x for a, _, b in paths for x in (a, b)}), "edge": sorted({r for _, r, _ in paths})}
+    part = lambda store, name: top_k(queries, store.where(F.col("kind").isin(*kinds[name])), k, by="kind").withColumn("part", F.lit(name))
+    return part(nodes, "node").unionByName(part(edges, "edge")).select("qid", "part", "kind", "item", "distance", "rank")
+
+
 def best_overall(hits: DataFrame, keep: int) -> DataFrame:
     """The ``keep`` nearest hits of each query over all kinds."""
     w = Window.partitionBy("qid").orderBy("distance", "item")

@@ -41,6 +41,46 @@ def instruction_rows(traces: DataFrame, key: str) -> DataFrame:
     return rows.unionByName(empty)
 
 
+def policy_rows(traces: DataFrame, key: str, final: Column) -> DataFrame:
+    """(key, kind, input, output): what a policy is trained on, retrieved knowledge left out.
+
+    Every trace gives a row without history, one with steps also its terminal row; both end in ``final``, the policy's own answer.
+    """
+    last = F.try_element_at("path", F.lit(-1))["history"]
+    row = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("input"), final.alias("output"))
+    rows = F.array(row("no_gold_path", F.col("query")), F.when(F.size("path") > 0, row("terminal", F.concat_ws("\n", "query", last))))
+    return traces.select(key, F.explode(F.array_compact(rows)).alias("r")).select(key, "r.*")
+
+
+#: What a baseline's right answers give beside their outcome pair: kind -> (input, output)
+GATED = {
+    "decision": (lambda: F.concat_ws("\n", F.lit("decide:"), "query"), lambda: F.col("decision")),
+    "rag": (lambda: F.concat_ws("\n", F.lit("answer:"), "query", "kg_results", "naive_results"), lambda: F.col("groundtruth")),
+}
+
+
+def gated_rows(rows: DataFrame, key: str, right: Column, kinds: dict = GATED) -> DataFrame:
+    """(key, kind, input, output): rows of ``kinds`` where ``right``, else a row ``wrong`` of query and truth; and ``pure_path`` for every row.
+
+    A null ``right`` counts as false.
+    """
+    ok, pair = F.coalesce(right, F.lit(False)), (F.col("query"), F.col("groundtruth"))
+    made = lambda when, kind, x: F.when(when, F.struct(F.lit(kind).alias("kind"), x[0].alias("input"), x[1].alias("output")))
+    all_ = [made(ok, k, (a(), b())) for k, (a, b) in kinds.items()] + [made(~ok, "wrong", pair), made(F.lit(True), "pure_path", pair)]
+    return rows.select(key, F.explode(F.array_compact(F.array(*all_))).alias("r")).select(key, "r.*")
+
+
+def plain_rows(rows: DataFrame, key: str, split: str) -> DataFrame:
+    """(key, kind, instruction, input, output): query and truth as they are; train rows as pure_path and all_data, others as pure_path_test."""
+    kinds = F.when(F.col(split) == "train", F.array(F.lit("pure_path"), F.lit("all_data"))).otherwise(F.array(F.lit("pure_path_test")))
+    return rows.select(key, F.explode(kinds).alias("kind"), F.lit("").alias("instruction"), F.col("query").alias("input"), F.col("groundtruth").alias("output"))
+
+
+def length_penalty(answer: Column, most: int = 10) -> Column:
+    """-0.5 for an answer of more than ``most`` words, else 0; a null one has none."""
+    return F.when(F.size(F.filter(F.split(F.coalesce(answer, F.lit("")), "\\s+"), lambda w: w != "")) > most, -0.5).otherwise(0.0)
+
+
 def length_reward(n_steps: Column) -> Column:
     """0 for up to three steps, half less for each more."""
     return 1 - 0.5 * (F.greatest(n_steps, F.lit(3)) - 1)

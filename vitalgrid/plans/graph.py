@@ -77,12 +77,11 @@ def kg_edge_text(spark, sf_dir):
     return G.edge_text(e, n).select("metapath_id", "src", "dst", "text")
 
 
-@query(f"WITH {_NODES} SELECT node_type, count(*) AS n, md5(string_agg(node_name, '|' ORDER BY new_index)) AS names_md5 FROM rn WHERE node_type IN ('region', 'nation') GROUP BY node_type")
+@query(f"WITH {_NODES} SELECT node_type, new_index // 1000 AS chunk, count(*) AS n, md5(string_agg(node_name, '|' ORDER BY new_index)) AS names_md5 FROM rn GROUP BY ALL")
 def kg_names_by_type(spark, sf_dir):
-    """Names of a type in index order; the two types of fixed size."""
-    n = G.reindex(_nodes(spark, sf_dir).where(F.col("node_type").isin("region", "nation")))
-    x = n.groupBy("node_type").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("new_index", "node_name"))).alias("x"))
-    return x.select("node_type", "n", F.md5(F.array_join(F.transform("x", lambda v: v["node_name"]), "|")).alias("names_md5"))
+    """Names of every type in index order, 1000 in a row."""
+    x = G.names_in_chunks(G.reindex(_nodes(spark, sf_dir)))
+    return x.select("node_type", "chunk", F.size("names").cast("long").alias("n"), F.md5(F.array_join("names", "|")).alias("names_md5"))
 
 
 @query(f"WITH {_NODES} SELECT DISTINCT a.x_id AS start, c.y_id AS id FROM triples a JOIN triples b ON b.x_id = a.y_id AND b.relation = 'in_region' JOIN (SELECT DISTINCT y_id FROM triples WHERE relation = 'in_region') c ON c.y_id = b.y_id WHERE a.relation = 'located_in'")
@@ -142,6 +141,25 @@ def vector_topk_reranked(spark, sf_dir):
     return R.best_overall(R.top_k(*_vectors(spark, sf_dir), 2, by="label"), 6).select("qid", "item", "rank")
 
 
+_PATHS = [(0, 5, 1), (1, 6, 3)]
+
+
+@query(f"""{_HITS} SELECT qid, part, kind, item, CAST(rank AS INT) AS rank FROM (SELECT qid, CASE WHEN label < 5 THEN 'node' ELSE 'edge' END AS part, label AS kind, item, row_number() OVER (PARTITION BY qid, label ORDER BY distance, item) AS rank FROM d WHERE label IN (0, 1, 3, 5, 6)) WHERE rank <= 2""")
+def graph_vector_hits(spark, sf_dir):
+    """Nearest nodes and edges of two chosen paths; labels below five stand for node types, the others for relations."""
+    queries, store = _vectors(spark, sf_dir)
+    store = store.withColumnRenamed("label", "kind")
+    return R.graph_hits(queries, store.where("kind < 5"), store.where("kind >= 5"), _PATHS, 2).drop("distance")
+
+
+@query(f"""WITH {_NODES}, p AS (SELECT node_type, node_id, row_number() OVER (PARTITION BY node_type ORDER BY md5(node_id || '-4'), node_id) AS r, count(*) OVER (PARTITION BY node_type) AS n FROM nodes) SELECT node_type, node_id FROM p WHERE n < 30 OR r <= 3""")
+def sampled_nodes(spark, sf_dir):
+    """Nodes of a type, three of them where there are 30 or more."""
+    from ..operators.groups import sample_if_many
+
+    return sample_if_many(_nodes(spark, sf_dir).select("node_type", "node_id"), "node_type", "node_id", 30, 3, 4)
+
+
 @query()
 def kmeans_communities(spark, sf_dir):
     """Vectors in ten communities by seeded k-means."""

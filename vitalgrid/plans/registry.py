@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cohort, extra, flows, graph, groups, metrics, text, traces  # noqa: F401
+from . import cohort, extra, flows, graph, groups, metrics, reshape, text, traces  # noqa: F401
 from .common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

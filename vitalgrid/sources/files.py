@@ -57,6 +57,32 @@ def reward_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.size(f) == 4).select(*(F.trim(f[i]).alias(n) for i, n in enumerate(("predicted", "gold", "reward", "parts"))))
 
 
+def long_names(spark: SparkSession, path: str, schema: str, names: dict[str, str], query: str | None = None) -> DataFrame:
+    """Result JSON lines whose keys were shortened, under their long names; only rows of ``query`` if given."""
+    rows = json_lines(spark, path, schema).withColumnsRenamed(names)
+    return rows if query is None else rows.where(F.col("query") == query)
+
+
+def schema_profile(df: DataFrame) -> DataFrame:
+    """(column, type, level, least, most): nesting depth and, of arrays, the sizes of the outer one; one pass over the table.
+
+    A column without arrays, or without any that is not null, has null sizes.
+    """
+    fields = df.schema.fields
+    size = lambda f: F.size(f.name) if isinstance(f.dataType, T.ArrayType) else F.lit(None).cast("int")
+    ends = df.agg(*(g(F.when(F.col(f.name).isNotNull(), size(f))).alias(f"{n}{i}") for i, f in enumerate(fields) for n, g in (("a", F.min), ("b", F.max))))
+    rows = [F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"), F.lit(_depth(f.dataType)).alias("level"), F.col(f"a{i}").alias("least"), F.col(f"b{i}").alias("most")) for i, f in enumerate(fields)]
+    return ends.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def _depth(kind: T.DataType) -> int:
+    if isinstance(kind, T.ArrayType):
+        return 1 + _depth(kind.elementType)
+    if isinstance(kind, T.MapType):
+        return 1 + _depth(kind.valueType)
+    return 1 + max((_depth(f.dataType) for f in kind.fields), default=0) if isinstance(kind, T.StructType) else 0
+
+
 def articles(xml: DataFrame, column: str = "xml") -> DataFrame:
     """Article records from markup: id, title, abstract (labelled parts as a map, else a text), three authors, journal."""
     x = lambda p: F.xpath(column, F.lit(p))
