@@ -176,6 +176,56 @@ def test_fingerprints(docs):
     assert document_fingerprints(docs.limit(0)).count() == 0
 
 
+def test_fingerprints_against_plain_trees_and_counts(spark):
+    """Roots and digests from the lines themselves; likeness from the pieces' marks, counted as they stand in the string."""
+    from vitalgrid.llm.fingerprint import document_fingerprints
+
+    rng = np.random.default_rng(6)
+    texts = [None, "", "\n\n", "a", "é\n" * 40] + ["\n".join(base_text(int(x), int(rng.integers(1, 30))) for x in rng.integers(0, 40, int(rng.integers(1, 25)))) for _ in range(40)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(document_fingerprints(rows, rows_a_bucket=7).collect())
+    digest = lambda x: hashlib.blake2b(x, digest_size=16)
+    marks = lambda f: Counter(m[i : i + 4] for s in f.partition(":")[2].split(";") for q in s.partition("/")[2].split(",") for m in [q.partition("=")[2]] for i in range(0, len(m), 4))
+
+    def near(a, b):
+        if a.partition(":")[0] == b.partition(":")[0]:
+            return 1.0
+        x, y = marks(a), marks(b)
+        return min(2 * (x & y).total() / (x.total() + y.total()), 1 - 1e-9) if x or y else 1 - 1e-9
+
+    for r, text, after in zip(got, texts, got[1:] + got[:1]):
+        lines = [digest(x).digest() for x in (text or "").encode().split(b"\n")]
+        sections, run = [], []
+        for i, d in enumerate(lines):
+            run.append(d)
+            if d[0] % 4 == 0 or i == len(lines) - 1:
+                sections.append(digest(b"".join(run)).digest())
+                run = []
+        root, _, body = r["fingerprint"].partition(":")
+        assert root == digest(b"".join(sections)).hexdigest()
+        assert [x.partition("/")[0] for x in body.split(";")] == [x.hex()[:8] for x in sections]
+        assert [q.partition("=")[0] for x in body.split(";") for q in x.partition("/")[2].split(",")] == [x.hex()[:8] for x in lines]
+        assert r["near_edited"] == near(r["fingerprint"], r["edited_fingerprint"]) and r["near_next"] == near(r["fingerprint"], after["fingerprint"])
+
+
+def test_empty_tables_long_texts_and_clashing_names(spark, docs):
+    """Row-wise operators: as many rows as given, ids as given, nulls as empty; names of their own results in the input do no harm."""
+    from vitalgrid.llm.htmltext import extract_pages
+    from vitalgrid.llm.licenses import license_scan
+    from vitalgrid.llm.quality import quality_rules
+    from vitalgrid.llm.tokens import token_counts
+
+    own = dict.fromkeys("low known sentence_ids n_sentences licenses n_bytes n_tokens over_limit n_words word_chars n_symbols base_failed kept score predicted held_out html_ rate posteriors".split(), F.lit("z"))
+    clash = docs.drop("n_words", "tokens").withColumns(own)
+    for op in (license_scan, token_counts, quality_rules):
+        assert rows_of(op(clash), *(out := op(docs).columns)) == rows_of(op(docs), *out), op.__name__
+        assert rows_of(op(clash), "doc_id") == rows_of(docs, "doc_id") and op(clash.limit(0)).count() == 0, op.__name__
+    long = "A sentence of some words that has no link at all in it. " * 40_000
+    pages = spark.createDataFrame([(1, "u", f"<nav><a href=1>Home</a></nav><p>{long}</p>", 1), (2, "u", "", 1), (3, None, None, 1)], "page_id long, url string, html string, n_chars int")
+    assert rows_of(extract_pages(pages), "page_id", "url", "text", "n_chars") == Counter({(1, "u", long.strip(), len(long) - 1): 1, (2, "u", "", 0): 1, (3, None, "", 0): 1})
+    assert extract_pages(pages.limit(0)).count() == 0
+
+
 def test_quality_counts(docs):
     from vitalgrid.llm.quality import RULES, quality_rules
 
