@@ -69,6 +69,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mixing_rates, op4_packing, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_license_scan)}
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids, read back from files of entropy-coded blocks; null texts have the end id alone."""
+    from .rans import token_file_digests
+
+    return token_file_digests(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mixing_rates, op4_packing, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_license_scan, op11_token_files)}
 
 ORACLES: dict[str, str] = {"op10_license_scan": licenses.ORACLE}
