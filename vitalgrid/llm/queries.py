@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, licenses
+from . import common, licenses, manifest
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,13 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digests(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mixing_rates, op4_packing, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_license_scan, op11_token_files)}
+def op12_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root, proof and tamper check of every document; nulls have a digest of their own."""
+    from .manifest import dataset_manifest
 
-ORACLES: dict[str, str] = {"op10_license_scan": licenses.ORACLE}
+    return dataset_manifest(common.table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mixing_rates, op4_packing, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_license_scan, op11_token_files, op12_dataset_manifest)}
+
+ORACLES: dict[str, str] = {"op10_license_scan": licenses.ORACLE, "op12_dataset_manifest": manifest.ORACLE}
