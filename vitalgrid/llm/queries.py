@@ -83,6 +83,13 @@ def op12_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset_manifest(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mixing_rates, op4_packing, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_license_scan, op11_token_files, op12_dataset_manifest)}
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight whitened components of every whole vector; a deviation beyond a long is an error."""
+    from .whitening import whitened_components
+
+    return whitened_components(common.table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_substring_dedup, op3_mixing_rates, op4_packing, op5_token_counts, op6_fingerprints, op7_jaccard_join, op8_toxicity, op9_quality_rules, op10_license_scan, op11_token_files, op12_dataset_manifest, op13_whitening)}
 
 ORACLES: dict[str, str] = {"op10_license_scan": licenses.ORACLE, "op12_dataset_manifest": manifest.ORACLE}
