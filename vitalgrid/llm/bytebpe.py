@@ -108,11 +108,48 @@ class ByteMerges(Merges):
         vocab, pairs = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.inner = self.final = np.array([vocab[x] for x in byte_symbols()], np.int64)
         self._tabulate(vocab, pairs)
+        # pairs by hash, so that most pairs that never merge are told by one look
+        self.shift = np.uint64(64 - self.TABLE_BITS)
+        self.slots, self.slot_ranks = np.full(1 << self.TABLE_BITS, -1, np.int64), np.full(1 << self.TABLE_BITS, self.none, np.int32)
+        key, rank, at = self.keys, self.ranks, self._slot(self.keys)
+        while len(key):
+            free = np.flatnonzero(self.slots[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.slots[at[put]], self.slot_ranks[at[put]] = key[put], rank[put]
+            left = np.ones(len(key), bool)
+            left[put] = False
+            key, rank, at = key[left], rank[left], (at[left] + 1) & ((1 << self.TABLE_BITS) - 1)
+
+    #: Slots of the table of pairs, some five for each.
+    TABLE_BITS = 18
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left * self.width + right
+        at = self._slot(key)
+        have = self.slots[at]
+        out = self.slot_ranks[at]
+        other = np.flatnonzero((have != key) & (have >= 0))
+        out[have != key] = self.none
+        at = at[other]
+        while len(other):
+            at = (at + 1) & ((1 << self.TABLE_BITS) - 1)
+            have = self.slots[at]
+            hit = have == key[other]
+            out[other[hit]] = self.slot_ranks[at[hit]]
+            on = ~hit & (have >= 0)
+            other, at = other[on], at[on]
+        return out
 
 
 class ByteIds(WordIds):
     """Ids of texts by units."""
 
+    SLOTS = 1 << 21
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer

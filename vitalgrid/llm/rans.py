@@ -234,8 +234,7 @@ def id_counts(rows: DataFrame, width: int) -> np.ndarray:
     def run(batches):
         total = np.zeros(width, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=width)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=width)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["id", "count"])
 
