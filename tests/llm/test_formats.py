@@ -215,7 +215,7 @@ def test_whitening(spark):
 
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(12).tolist()) for i in range(300)]
-    rows += [(900 + i, [1.5] * 12) for i in range(100)] + [(None, [0.25] * 12), (5, [300.0] * 12)]
+    rows += [(900 + i, [1.5] * 12) for i in range(100)] + [(None, [0.25] * 12), (700, [300.0] * 12)]
     rows += [(1, None), (2, []), (3, [1.0] * 11 + [None]), (4, [1.0] * 11 + [float("nan")]), (6, [float("-inf")] + [1.0] * 11)]
     schema = "vec_id long, embedding array<double>, n string, component string, cell string, d string, value string, label string"
     df = spark.createDataFrame([(*r, *["x"] * 6) for r in rows], schema).repartition(5)
