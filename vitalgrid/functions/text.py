@@ -117,10 +117,23 @@ def clean_subqueries(parts: Column) -> Column:
     return F.array_distinct(asked)
 
 
+#: White space of any script, as a class of regular expressions of Java and of RE2.
+WHITE = "[\\t-\\r \\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+
+
+def stripped(s: Column) -> Column:
+    """Without white space of any script at the ends."""
+    return F.regexp_replace(s, f"^{WHITE}+|{WHITE}+$", "")
+
+
 def numbered_items(s: Column | str) -> Column:
-    """The items of a numbered list 1 to 5, line by line; parts of digits only are no items."""
-    parts = F.flatten(F.transform(F.split(s, "\\b[1-5][ \\t\\n]*[.][ \\t\\n]*"), lambda x: F.split(x, "\n")))
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike("^[0-9]+$"))
+    """The items of a numbered list, line by line: a number is 1 to 5, no part of a word, before a dot or white space.
+
+    Parts between numbers that are digits only are left out whole; lines are stripped, empty ones left out.
+    """
+    parts = F.split(s, f"(?<![\\p{{L}}\\p{{N}}_])[1-5]{WHITE}*(?:[.]|{WHITE}){WHITE}*")
+    kept = F.filter(parts, lambda x: ~F.rlike(stripped(x), F.lit("^\\p{Nd}*$")))
+    return F.filter(F.transform(F.flatten(F.transform(kept, lambda x: F.split(x, "\n"))), stripped), lambda x: x != "")
 
 
 def fallback_subqueries(s: Column | str) -> Column:
@@ -173,10 +186,12 @@ def token_overlap(a: Column | str, b: Column | str) -> Column:
     return F.size(F.array_intersect(*(F.filter(F.split(squeeze(F.col(x) if isinstance(x, str) else x), " "), lambda w: w != "") for x in (a, b))))
 
 
-def last_paragraph_answer(s: Column | str) -> Column:
-    """The last paragraph, from behind 'Answer: ' or 'The answer is: ' if it has one."""
-    last = F.element_at(F.split(s, "\n"), -1)
-    return F.trim(F.regexp_replace(last, "^.*(Answer: |The answer is: )", ""))
+def last_paragraph_answer(s: Column | str, gold: bool = False) -> Column:
+    """The last paragraph (after two line breaks), from behind its last 'Answer: ', then behind the last 'The answer is: ' of that; normalised, a gold one in lower case only."""
+    last = F.element_at(F.split(s, "\n\n"), -1)
+    for mark in ("Answer: ", "The answer is: "):
+        last = F.element_at(F.split(last, mark), -1)
+    return F.lower(last) if gold else normalize_answer(last)
 
 
 def character_overlap(a: Column | str, b: Column | str) -> Column:

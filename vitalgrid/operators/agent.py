@@ -45,8 +45,9 @@ def chosen_paths(reply: Column, known: int, share: float) -> Column:
 
 
 def subqueries(question: Column, reply: Column, most: int = 3) -> Column:
-    """Cleaned items of a numbered reply, filled up from the question itself; ``most`` at most."""
-    return F.slice(F.array_distinct(F.concat(T.clean_subqueries(T.numbered_items(reply)), T.fallback_subqueries(question))), 1, most)
+    """Cleaned items of a numbered reply; if these are fewer than three, then those made from the question itself; ``most`` at most."""
+    made = T.clean_subqueries(T.numbered_items(reply))
+    return F.slice(F.when(F.size(made) < 3, F.concat(made, T.fallback_subqueries(question))).otherwise(made), 1, most)
 
 
 def _stored(df: DataFrame) -> DataFrame:

@@ -122,24 +122,34 @@ def answer_rank(gold: Column, query: Column, own: Column, negative: Column) -> C
 
 
 def rank_reward(own: Column, positive: Column, negative: Column) -> Column:
-    """0.1 if the answer shares more words with the positive trace than with the negative one, else -0.1; 0 if either is absent."""
+    """0.1 if the own last history shares more words with the positive trace's than with the negative one's, else -0.1; 0 without a positive trace.
+
+    A null own or negative history has no words.
+    """
     from ..functions.text import token_overlap as shared
 
-    return F.when(positive.isNull() | negative.isNull(), 0.0).when(shared(own, positive) > shared(own, negative), 0.1).otherwise(-0.1)
+    own, negative = F.coalesce(own, F.lit("")), F.coalesce(negative, F.lit(""))
+    return F.when(positive.isNull(), 0.0).when(shared(own, positive) > shared(own, negative), 0.1).otherwise(-0.1)
+
 
+def rewards(traces: DataFrame, key: str, legal: list[int], task: str = "binary") -> DataFrame:
+    """(key, length, path, retrieval, outcome, rank, total): all rewards of a trace, in one pass over its steps.
 
-def rewards(traces: DataFrame, key: str, legal: list[int]) -> DataFrame:
-    """(key, length, path, retrieval, outcome, rank, total): all rewards of a trace, in one pass over its steps."""
+    ``positive`` and ``negative`` are the last histories of the other two traces. The outcome compares the last
+    sub-answer with the truth as ``task`` has it (see ``parsed_answers``); a trace without steps has no outcome.
+    """
     s = steps(traces, key)
     rag = F.col("source") == "RAG"
     per = s.withColumn("r", F.when(rag, retrieval_reward(F.col("subanswer"), F.col("query"), F.col("subquery"), F.col("groundtruth"))))
-    sums = per.groupBy(key).agg(F.avg("r").alias("retrieval"), F.collect_list(F.when(rag, F.col("chosen"))).alias("chosen"), F.max("n_steps").alias("n_steps"), F.max_by("subanswer", "step").alias("answer"))
+    sums = per.groupBy(key).agg(
+        F.avg("r").alias("retrieval"), F.collect_list(F.when(rag, F.col("chosen"))).alias("chosen"), F.max("n_steps").alias("n_steps"), F.max_by("subanswer", "step").alias("answer"), F.max_by("history", "step").alias("own")
+    )
     rows = traces.select(key, "groundtruth", "positive", "negative").join(sums, key, "left")
     none = F.col("n_steps").isNull()
     choice = F.coalesce("chosen", F.array().cast("array<array<int>>"))
     out = rows.select(
         key, F.when(none, 0.0).otherwise(length_reward(F.col("n_steps"))).alias("length"), F.when(none, 0.0).otherwise(path_reward(choice, F.array(*map(F.lit, legal)))).alias("path"),
-        F.coalesce("retrieval", F.lit(0.0)).alias("retrieval"), F.when(none, 0.0).otherwise(outcome_reward(F.col("answer"), F.col("groundtruth"))).alias("outcome"),
-        F.when(none, 0.0).otherwise(rank_reward(F.col("answer"), F.col("positive"), F.col("negative"))).alias("rank"),
+        F.coalesce("retrieval", F.lit(0.0)).alias("retrieval"), F.when(none, 0.0).otherwise(outcome_reward(F.col("answer"), F.col("groundtruth"), task)).alias("outcome"),
+        rank_reward(F.col("own"), F.col("positive"), F.col("negative")).alias("rank"),
     )
     return out.withColumn("total", F.col("length") + F.col("path") + F.col("retrieval") + F.col("outcome") + F.col("rank"))

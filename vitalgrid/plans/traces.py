@@ -18,7 +18,7 @@ def _traces(spark, sf_dir):
     t, half = F.col("turn").cast("int"), F.expr("int(length(text) div 2)")
     step = F.struct(
         t.alias("turn"), F.when(F.col("role") == "user", "RAG").otherwise("LLM").alias("source"), F.left("text", half).alias("subquery"), F.expr("substring(text, length(text) div 2 + 1)").alias("subanswer"),
-        F.when(F.col("role") == "user", "yes").otherwise("no").alias("decision"), F.array((t % 7).cast("int"), (F.length("text") % 12).cast("int")).alias("chosen"), F.md5("text").alias("history"), F.right("text", F.lit(10)).alias("final"),
+        F.when(F.col("role") == "user", "yes").otherwise("no").alias("decision"), F.array((t % 7).cast("int"), (F.length("text") % 12).cast("int")).alias("chosen"), F.col("text").alias("history"), F.right("text", F.lit(10)).alias("final"),
     )
     g = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"), F.max_by("text", "turn").alias("last"), F.array_sort(F.collect_list(F.when(F.col("role") != "system", step))).alias("path"))
     path = F.when(F.col("conv_id") % 5 == 0, F.array().cast(f"array<{R.STEP}>")).otherwise(F.transform("path", lambda s: F.struct(*(s[c].alias(c) for c in ("source", "subquery", "subanswer", "decision", "chosen", "history", "final")))))
@@ -27,7 +27,7 @@ def _traces(spark, sf_dir):
 
 _T = """WITH c AS (SELECT conv_id, CAST(turn AS INT) AS turn, role, text FROM conversations), g AS (SELECT conv_id, arg_min(text, turn) AS query, substr(arg_max(text, turn), length(arg_max(text, turn)) // 2 + 1) AS groundtruth FROM c GROUP BY 1),
 s AS (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INT) AS step, count(*) OVER (PARTITION BY conv_id) AS n_steps, CASE WHEN role = 'user' THEN 'RAG' ELSE 'LLM' END AS source, left(text, length(text) // 2) AS subquery, substr(text, length(text) // 2 + 1) AS subanswer, CASE WHEN role = 'user' THEN 'yes' ELSE 'no' END AS decision,
- [turn % 7, CAST(length(text) % 12 AS INT)] AS chosen, md5(text) AS history, right(text, 10) AS final FROM c WHERE role <> 'system' AND conv_id % 5 <> 0),
+ [turn % 7, CAST(length(text) % 12 AS INT)] AS chosen, text AS history, right(text, 10) AS final FROM c WHERE role <> 'system' AND conv_id % 5 <> 0),
 st AS (SELECT s.*, query, groundtruth, coalesce(lag(history) OVER (PARTITION BY s.conv_id ORDER BY step), '') AS before, step = n_steps - 1 AS terminal FROM s JOIN g USING (conv_id))"""
 
 
@@ -47,10 +47,10 @@ _ONE = lambda x: f"regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g')"  # noqa: E
 @query(f"""{_T}, r AS (SELECT *, CASE WHEN source = 'RAG' AND length(subanswer) > 0 THEN CASE WHEN (2 * ({_OV('subanswer', 'query')} + {_OV('subanswer', 'subquery')}) + 10 * {_OV('subanswer', 'groundtruth')}) / length(subanswer) < 0.15 THEN -0.5 ELSE 0.5 END END AS r FROM st),
 one AS (SELECT conv_id, step, x, count(*) AS n FROM (SELECT conv_id, step, unnest(chosen) AS x FROM st WHERE source = 'RAG') GROUP BY ALL),
 ch AS (SELECT conv_id, count(DISTINCT step) AS rag, sum(CASE WHEN x < 10 THEN 1 ELSE -0.5 END - CASE WHEN n > 1 THEN 0.5 ELSE 0 END) AS value FROM one GROUP BY conv_id),
-a AS (SELECT conv_id, avg(r) AS retrieval, max(n_steps) AS n, arg_max(subanswer, step) AS answer FROM r GROUP BY conv_id),
-b AS (SELECT g.*, retrieval, n, answer, rag, value, {_NORM(_LOC(_ONE('answer')))} AS p, {_NORM('groundtruth')} AS t FROM g LEFT JOIN a USING (conv_id) LEFT JOIN ch USING (conv_id)),
+a AS (SELECT conv_id, avg(r) AS retrieval, max(n_steps) AS n, arg_max(subanswer, step) AS answer, arg_max(history, step) AS own FROM r GROUP BY conv_id),
+b AS (SELECT g.*, retrieval, n, coalesce(own, '') AS own, rag, value, {_NORM(_LOC(_ONE('answer')))} AS p, {_NORM('groundtruth')} AS t FROM g LEFT JOIN a USING (conv_id) LEFT JOIN ch USING (conv_id)),
 v AS (SELECT conv_id, CASE WHEN n IS NULL THEN 0 ELSE 1 - 0.5 * (greatest(n, 3) - 1) END AS length, CASE WHEN n IS NULL OR rag IS NULL THEN 0 WHEN value / rag / (10 * 0.3) < 0.1 THEN -0.5 ELSE 1 END AS path, coalesce(retrieval, 0) AS retrieval,
- CASE WHEN n IS NOT NULL AND CAST(contains(p, 'yes') AS INT) = CAST(t = 'yes' AS INT) THEN 5 ELSE 0 END AS outcome, CASE WHEN n IS NULL OR conv_id % 2 <> 0 THEN 0 WHEN {_OV('answer', 'query')} > {_OV('answer', "'the of and'")} THEN 0.1 ELSE -0.1 END AS rank FROM b)
+ CASE WHEN n IS NOT NULL AND CAST(contains(p, 'yes') AS INT) = CAST(t = 'yes' AS INT) THEN 5 ELSE 0 END AS outcome, CASE WHEN conv_id % 2 <> 0 THEN 0 WHEN {_OV('own', 'query')} > {_OV('own', "'the of and'")} THEN 0.1 ELSE -0.1 END AS rank FROM b)
 SELECT conv_id, CAST(length AS DOUBLE) AS length, CAST(path AS DOUBLE) AS path, CAST(round(retrieval, 9) AS DOUBLE) AS retrieval, CAST(outcome AS DOUBLE) AS outcome, CAST(rank AS DOUBLE) AS rank, round(CAST(length AS DOUBLE) + path + retrieval + outcome + rank, 9) AS total FROM v""")
 def reward_table(spark, sf_dir):
     """Length, path, retrieval, outcome and rank rewards, and their sum."""
@@ -58,6 +58,23 @@ def reward_table(spark, sf_dir):
     return r.select("conv_id", "length", "path", F.round("retrieval", 9).alias("retrieval"), "outcome", "rank", F.round("total", 9).alias("total"))
 
 
+_OUTCOMES = {
+    "binary": (lambda p: f"CAST(contains({_NORM(p)}, 'yes') AS INT)", f"CAST({_NORM('t')} = 'yes' AS INT)"),
+    "stay": (lambda p: f"coalesce(CASE WHEN TRY_CAST(list_last(regexp_extract_all({_NORM(p)}, '[0-9]+')) AS BIGINT) < 10 THEN TRY_CAST(list_last(regexp_extract_all({_NORM(p)}, '[0-9]+')) AS BIGINT) END, 0)", f"TRY_CAST(list_last(regexp_extract_all({_NORM('t')}, '[0-9]+')) AS BIGINT)"),
+    "single": (lambda p: f"coalesce(nullif(regexp_extract({p}, '(A|B|C|D)', 1), ''), nullif(trim({p}), ''), 'A')", "coalesce(nullif(regexp_extract(t, '(A|B|C|D)', 1), ''), trim(t))"),
+    "summary": (lambda p: f"coalesce(nullif({_NORM(p)}, ''), 'NA')", _NORM("t")),
+}
+
+
+@query(f"""WITH r AS (SELECT conv_id, substr(arg_min(text, turn), length(arg_min(text, turn)) // 2 + 1) AS p, arg_max(text, turn) AS t FROM conversations GROUP BY 1), l AS (SELECT conv_id, t, {_LOC(_ONE('p'))} AS p FROM r)
+SELECT conv_id, {', '.join(f"CASE WHEN {f('p')} = {t} THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS {n}" for n, (f, t) in _OUTCOMES.items())} FROM l""")
+def outcome_rewards(spark, sf_dir):
+    """The outcome reward of a conversation's first text against its last, as each kind of task compares them."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("t"))
+    p = F.expr("substring(first, length(first) div 2 + 1)")
+    return c.select("conv_id", *(R.outcome_reward(p, F.col("t"), task).alias(task) for task in _OUTCOMES))
+
+
 @query("WITH h AS (SELECT n_chars // 500 * 500 AS start, count(*) AS n FROM documents GROUP BY 1) SELECT start, n, CAST(sum(n) OVER (ORDER BY start) AS BIGINT) AS cumulative, round(sum(n) OVER (ORDER BY start) / sum(n) OVER (), 9) AS share FROM h")
 def length_cdf(spark, sf_dir):
     return S.length_cdf(table(spark, sf_dir, "documents"), "n_chars", 500).withColumn("share", F.round("share", 9))
