@@ -204,35 +204,33 @@ def safe_name(*parts: Column | str) -> Column:
     return F.regexp_replace(F.concat_ws("_", *parts), "/", "_")
 
 
-def ngrams(w: Column, n: int) -> Column:
-    """Runs of n words; the array is read once for each of the n places, not once for each run."""
-    size = F.greatest(F.size(w) - (n - 1), F.lit(0))
-    out = F.slice(w, 1, size)
-    for j in range(2, n + 1):
-        out = F.zip_with(out, F.slice(w, j, size), lambda x, y: F.concat(x, F.lit(" "), y))
-    return out
-
-
 def bag_f1(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
     """(key, f1): F1 of two array columns as bags, 0 where both are empty."""
-    side = lambda c, s: rows.select(key, F.explode(c).alias("_k"), F.lit(s).alias("_s"))
-    counts = side(a, 1).union(side(b, 0)).groupBy(key, "_k").agg(F.count_if(F.col("_s") == 1).alias("_a"), F.count_if(F.col("_s") == 0).alias("_b"))
-    f1 = counts.groupBy(key).agg((2 * F.sum(F.least("_a", "_b")) / F.sum(F.col("_a") + F.col("_b"))).alias("f1"))
-    return rows.select(key).join(f1, key, "left").select(key, F.coalesce("f1", F.lit(0.0)).alias("f1"))
+    from ..operators.overlap import run_scores
 
+    return run_scores(rows, key, a, b).select(key, "f1")
+
+
+def answer_scores(rows: DataFrame, key: str, predicted: str, gold: str) -> DataFrame:
+    """(key, f1, precision, recall) of the words of two answers; 0 where they differ and either is yes, no or noanswer."""
+    from ..operators.overlap import run_scores
 
-def answer_f1(rows: DataFrame, key: str, predicted: str, gold: str) -> DataFrame:
-    """(key, f1): F1 of the words of two answers; 0 where they differ and either is yes, no or noanswer."""
-    bags = rows.select(key, *(F.filter(F.split(squeeze(F.col(c)), " "), lambda w: w != "").alias(x) for c, x in ((predicted, "a"), (gold, "b"))))
     fixed = ("yes", "no", "noanswer")
     lost = (F.col(predicted) != F.col(gold)) & (F.col(predicted).isin(*fixed) | F.col(gold).isin(*fixed))
-    f1 = bag_f1(bags, key, "a", "b").join(rows.select(key, F.coalesce(lost, F.lit(False)).alias("_lost")), key)
-    return f1.select(key, F.when(F.col("_lost"), 0.0).otherwise(F.col("f1")).alias("f1"))
+    bags = rows.select(key, *(F.when(~F.coalesce(lost, F.lit(False)), F.filter(F.split(squeeze(F.col(c)), " "), lambda w: w != "")).alias(x) for c, x in ((predicted, "a"), (gold, "b"))))
+    return run_scores(bags, key, "a", "b")
+
+
+def answer_f1(rows: DataFrame, key: str, predicted: str, gold: str) -> DataFrame:
+    """(key, f1) of ``answer_scores``."""
+    return answer_scores(rows, key, predicted, gold).select(key, "f1")
 
 
 def rouge_n(rows: DataFrame, key: str, a: str, b: str, n: int) -> DataFrame:
-    """(key, f1): ROUGE-n of two word-array columns, unstemmed."""
-    return bag_f1(rows.select(key, ngrams(F.col(a), n).alias("a"), ngrams(F.col(b), n).alias("b")), key, "a", "b")
+    """(key, f1): ROUGE-n of two word-array columns as they are."""
+    from ..operators.overlap import run_scores
+
+    return run_scores(rows, key, a, b, n).select(key, "f1")
 
 
 def coleman_liau(s: Column | str) -> Column:

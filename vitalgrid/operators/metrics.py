@@ -20,22 +20,65 @@ def _by_score(rows: DataFrame, y: str, score: str, group: list[str]) -> DataFram
     return rows.groupBy(*group, F.col(score).alias("_s")).agg(F.sum(y).cast("double").alias("_pos"), F.sum(1 - F.col(y)).cast("double").alias("_neg"))
 
 
-def roc_auc(rows: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
-    """Chance that a positive outranks a negative, ties half; null without both classes."""
-    g = _by_score(rows, y, score, list(by))
-    below = F.coalesce(F.sum("_neg").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    g = g.withColumn("_w", F.col("_pos") * (below + F.col("_neg") / 2))
+#: Scores fall into so many parts of the range from 0 to 1, those outside into its ends.
+SCORE_PARTS = 4096
+
+
+def sums_below(rows: DataFrame, score: str, sums: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, for each of ``sums``, below_<c>: its sum over rows of lower score (within ``by``), and total_<c>.
+
+    Scores within ``by`` are distinct, as after a grouping. Sums run in two levels: within a part of the scores' range,
+    and over the sums of the parts (``SCORE_PARTS`` at most), so no task has all scores. Parts are even for scores
+    from 0 to 1; others are right too, but those below 0 or above 1 share a part. NaN is above all, null below.
+    """
+    s = F.col(score)
+    part = F.when(s.isNull(), -1).when(F.isnan(s.cast("double")), SCORE_PARTS + 1).otherwise(F.floor(F.least(F.greatest(s.cast("double"), F.lit(0.0)), F.lit(1.0)) * SCORE_PARTS))
+    parted = rows.withColumn("_part", part.cast("int"))
+    inner = Window.partitionBy(*by, "_part").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    along = Window.partitionBy(F.lit(0), *by).orderBy("_part")  # a row a part
+    names = [f"_by{i}" for i in range(len(by))]
+    parts = parted.groupBy(*by, "_part").agg(*(F.sum(c).alias(f"_p_{c}") for c in sums))
+    parts = parts.select(
+        *(F.col(c).alias(n) for c, n in zip(by, names)), F.col("_part").alias("_at"),
+        *(x for c in sums for x in ((F.sum(f"_p_{c}").over(along) - F.col(f"_p_{c}")).alias(f"_b_{c}"), F.sum(f"_p_{c}").over(Window.partitionBy(F.lit(0), *by)).alias(f"total_{c}"))),
+    )
+    same = F.col("_part") == F.col("_at")
+    for c, n in zip(by, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    out = parted.withColumns({f"_i_{c}": F.coalesce(F.sum(c).over(inner), F.lit(0)) for c in sums}).join(parts, same)
+    return out.withColumns({f"below_{c}": F.col(f"_i_{c}") + F.col(f"_b_{c}") for c in sums}).drop("_part", "_at", *names, *(f"_{k}_{c}" for k in "ib" for c in sums))
+
+
+def _few_below(rows: DataFrame, score: str, sums: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """As ``sums_below``, for groups of few scores: one window a group."""
+    before = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({f"below_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums} | {f"total_{c}": F.sum(c).over(Window.partitionBy(*by)) for c in sums})
+
+
+def roc_auc(rows: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = (), small_groups: bool = False) -> DataFrame:
+    """Chance that a positive outranks a negative, ties half; null without both classes. ``small_groups``: no group is large."""
+    g = (_few_below if small_groups else sums_below)(_by_score(rows, y, score, list(by)), "_s", ("_neg",), tuple(by))
+    g = g.withColumn("_w", F.col("_pos") * (F.col("below__neg") + F.col("_neg") / 2))
     return g.groupBy(*by).agg(ratio(F.sum("_w"), F.sum("_pos") * F.sum("_neg"), None).alias("roc_auc"))
 
 
-def average_precision(rows: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = ()) -> DataFrame:
-    """Sum of precision at each distinct score times the recall gained there; null without positives."""
-    g = _by_score(rows, y, score, list(by))
-    down = Window.partitionBy(*by).orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumn("_p", F.sum("_pos").over(down) / (F.sum("_pos").over(down) + F.sum("_neg").over(down)))
+def average_precision(rows: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = (), small_groups: bool = False) -> DataFrame:
+    """Sum of precision at each distinct score times the recall gained there; null without positives. ``small_groups``: no group is large."""
+    g = (_few_below if small_groups else sums_below)(_by_score(rows, y, score, list(by)), "_s", ("_pos", "_neg"), tuple(by))
+    upto = {c: F.col(f"total_{c}") - F.col(f"below_{c}") for c in ("_pos", "_neg")}  # at this score and above
+    g = g.withColumn("_p", upto["_pos"] / (upto["_pos"] + upto["_neg"]))
     return g.groupBy(*by).agg(ratio(F.sum(F.col("_pos") * F.col("_p")), F.sum("_pos"), None).alias("pr_auc"))
 
 
+def roc_aucs(rows: DataFrame, key: str, label: str = "label", y: str = "y", score: str = "score") -> DataFrame:
+    """AUC over all cells, over labels plain and weighted by their true cells, and over rows; labels and rows without both classes are left out."""
+    count = rows.groupBy(label).agg(F.sum(y).alias("_n"))
+    labels = roc_auc(rows, y, score, (label,)).join(count, label).where("roc_auc is not null")
+    spread = labels.agg(F.avg("roc_auc").alias("macro"), (F.sum(F.col("roc_auc") * F.col("_n")) / F.sum("_n")).alias("weighted"))
+    samples = roc_auc(rows, y, score, (key,), small_groups=True).agg(F.avg("roc_auc").alias("samples"))
+    return roc_auc(rows, y, score).select(F.col("roc_auc").alias("micro")).join(spread).join(samples)  # one row each
+
+
 def binary_metrics(rows: DataFrame, y: str = "y", predicted: str = "predicted", by: tuple[str, ...] = ()) -> DataFrame:
     """Counts and the usual ratios of 0/1 predictions; ratios without a denominator are 0."""
     t, p = F.col(y) == 1, F.col(predicted) == 1
@@ -59,16 +102,38 @@ def calibration_error(rows: DataFrame, y: str = "y", score: str = "score", bins:
     return g.agg((F.sum(F.col("_n") * F.abs(F.col("_y") - F.col("_c"))) / F.sum("_n")).alias("ece"))
 
 
-def adaptive_calibration_error(rows: DataFrame, key: str, y: str = "y", score: str = "score", bins: int = 20) -> DataFrame:
-    """The same over bins of equal size by score; rows of one score are ordered by key.
+def equal_size_bins(rows: DataFrame, key: str, score: str, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds _b: the number of a row's bin of equal size by score (within ``by``); rows of one score are ordered by key.
 
     Positions come from counts of distinct scores and a number within a score, so rows are not sorted as a whole.
     """
-    s = rows.groupBy(score).agg(F.count("*").alias("_n"))
-    s = s.select(score, (F.sum("_n").over(Window.orderBy(score)) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    r = rows.join(s, score).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(score).orderBy(key)) - 1)
-    g = r.groupBy(F.floor(F.col("_r") * bins / F.col("_total")).alias("_b")).agg(F.count("*").alias("_n"), F.avg(F.col(y).cast("double")).alias("_y"), F.avg(score).alias("_c"))
-    return g.agg((F.sum(F.col("_n") * F.abs(F.col("_y") - F.col("_c"))) / F.sum("_n")).alias("ece"))
+    s = sums_below(rows.groupBy(*by, score).agg(F.count("*").alias("_n")), score, ("_n",), by).drop("_n")
+    r = rows.join(s, [*by, score]).withColumn("_r", F.col("below__n") + F.row_number().over(Window.partitionBy(*by, score).orderBy(key)) - 1)
+    return r.withColumn("_b", F.floor(F.col("_r") * bins / F.col("total__n"))).drop("_r", "below__n", "total__n")
+
+
+def _gaps(binned: DataFrame, y: str, score: str, by: tuple[str, ...] = ()) -> DataFrame:
+    g = binned.groupBy(*by, "_b").agg(F.count("*").alias("_n"), F.avg(F.col(y).cast("double")).alias("_y"), F.avg(score).alias("_c"))
+    return g.groupBy(*by).agg((F.sum(F.col("_n") * F.abs(F.col("_y") - F.col("_c"))) / F.sum("_n")).alias("ece"))
+
+
+def adaptive_calibration_error(rows: DataFrame, key: str, y: str = "y", score: str = "score", bins: int = 20) -> DataFrame:
+    """The same over bins of equal size by score; rows of one score are ordered by key."""
+    return _gaps(equal_size_bins(rows, key, score, bins), y, score)
+
+
+def classwise_calibration_error(rows: DataFrame, key: str, y: str = "y", scores: str = "scores", bins: int = 20, threshold: float | None = None, adaptive: bool = False) -> DataFrame:
+    """(ece, classes): calibration error of each class's probability against its truth, averaged over classes.
+
+    ``scores`` is an array with a probability for each class from 0 on. Probabilities below ``threshold`` (default: the
+    smaller of 0.01 and one over the number of classes) are left out, and so are classes without any. Bins are of equal
+    width, or, with ``adaptive``, of equal size within a class.
+    """
+    cells = rows.select(key, F.col(y).alias("_t"), F.size(scores).alias("_k"), F.posexplode(scores).alias("class", "conf")).withColumn("hit", (F.col("_t") == F.col("class")).cast("int"))
+    least = F.least(F.lit(0.01), 1 / F.col("_k")) if threshold is None else F.lit(threshold)
+    cells = cells.where(F.col("conf") >= least).select(key, "class", "conf", "hit")
+    binned = equal_size_bins(cells, key, "conf", bins, ("class",)) if adaptive else cells.withColumn("_b", F.least(F.floor(F.col("conf") * bins), F.lit(bins - 1)))
+    return _gaps(binned, "hit", "conf", ("class",)).agg(F.avg("ece").alias("ece"), F.count("*").alias("classes"))
 
 
 def confusion(rows: DataFrame, y: str = "y", predicted: str = "predicted", by: tuple[str, ...] = ()) -> DataFrame:
@@ -143,7 +208,7 @@ def average_precisions(rows: DataFrame, key: str, label: str = "label", y: str =
     count = lambda c: rows.groupBy(c).agg(F.sum(y).alias("_n"))
     labels = average_precision(rows, y, score, (label,)).join(count(label), label).where("_n > 0")
     spread = labels.agg(F.avg("pr_auc").alias("macro"), (F.sum(F.col("pr_auc") * F.col("_n")) / F.sum("_n")).alias("weighted"))
-    samples = average_precision(rows, y, score, (key,)).agg(F.avg("pr_auc").alias("samples"))
+    samples = average_precision(rows, y, score, (key,), small_groups=True).agg(F.avg("pr_auc").alias("samples"))
     return average_precision(rows, y, score).select(F.col("pr_auc").alias("micro")).join(spread).join(samples)  # one row each
 
 
@@ -152,10 +217,17 @@ def regression_metrics(rows: DataFrame, y: str = "y", predicted: str = "predicte
     return rows.groupBy(*by).agg(F.avg(d * d).alias("mse"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), (1 - F.sum(d * d) / (F.var_pop(F.col(y).cast("double")) * F.count("*"))).alias("r2"))
 
 
+def prediction_sets_by_class(rows: DataFrame, contents: str = "members", y: str = "y") -> DataFrame:
+    """(class, n, miscoverage, error): rows of each true class, share of their sets without it, and of their one-label sets that are another label (null without such sets)."""
+    one, miss = F.size(contents) == 1, ~F.array_contains(contents, F.col(y))
+    return rows.groupBy(F.col(y).alias("class")).agg(F.count("*").alias("n"), F.avg(miss.cast("double")).alias("miscoverage"), F.avg(F.when(one, miss.cast("double"))).alias("error"))
+
+
 def prediction_sets(rows: DataFrame, contents: str = "members", y: str = "y") -> DataFrame:
-    """Share of rows whose set is not one label, mean set size, share of sets without the truth, and error of single labels."""
+    """Share of rows whose set is not one label, mean set size, share of sets without the truth, and error of single labels; the last two also as means over true classes."""
     one, miss = F.size(contents) == 1, ~F.array_contains(contents, F.col(y))
-    return rows.agg(F.avg((~one).cast("double")).alias("rejection_rate"), F.avg(F.size(contents)).alias("set_size"), F.avg(miss.cast("double")).alias("miscoverage"), F.avg(F.when(one, miss.cast("double"))).alias("error"))
+    all_ = rows.agg(F.avg((~one).cast("double")).alias("rejection_rate"), F.avg(F.size(contents)).alias("set_size"), F.avg(miss.cast("double")).alias("miscoverage"), F.avg(F.when(one, miss.cast("double"))).alias("error"))
+    return all_.join(prediction_sets_by_class(rows, contents, y).agg(F.avg("miscoverage").alias("miscoverage_mean"), F.avg("error").alias("error_mean")))  # one row each
 
 
 def pair_rate(rows: DataFrame, pairs: DataFrame, key: str, item: str) -> DataFrame:

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 
@@ -55,20 +53,9 @@ def smoothed(values: Column, weight: Column) -> Column:
     return F.aggregate(values, start, add, lambda acc: acc["out"])
 
 
-@F.pandas_udf(DoubleType())
-def rouge_l(a: pd.Series, b: pd.Series) -> pd.Series:
+def rouge_l(a: Column | str, b: Column | str) -> Column:
     """F1 of the longest common word subsequence; 0 without words."""
+    from .overlap import subsequence
 
-    def one(x, y):
-        if x is None or y is None or not len(x) or not len(y):
-            return 0.0
-        row = [0] * (len(y) + 1)
-        for p in x:
-            left = 0
-            for j, q in enumerate(y):
-                up = row[j + 1]
-                row[j + 1] = left + 1 if p == q else max(up, row[j])
-                left = up
-        return 2 * row[-1] / (len(x) + len(y))
-
-    return pd.Series([one(list(x) if x is not None else None, list(y) if y is not None else None) for x, y in zip(a, b)])
+    n = sum(F.coalesce(F.size(x), F.lit(0)) for x in (a, b))
+    return F.when(n > 0, 2 * subsequence(a, b) / n).otherwise(F.lit(0.0))

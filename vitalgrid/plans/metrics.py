@@ -102,12 +102,42 @@ def hits_mrr(spark, sf_dir):
 
 
 @query(f"""{_E}, m AS (SELECT y, list_filter(range(0, 10), lambda i: scores[i + 1] > 0.1) AS members FROM e)
-SELECT round(avg(CAST(len(members) <> 1 AS INT)), 9) AS rejection_rate, round(avg(len(members)), 9) AS set_size, round(avg(CAST(NOT list_contains(members, y) AS INT)), 9) AS miscoverage, round(avg(CASE WHEN len(members) = 1 THEN CAST(NOT list_contains(members, y) AS INT) END), 9) AS error FROM m""")
+SELECT round(avg(CAST(len(members) <> 1 AS INT)), 9) AS rejection_rate, round(avg(len(members)), 9) AS set_size, round(avg(CAST(NOT list_contains(members, y) AS INT)), 9) AS miscoverage, round(avg(CASE WHEN len(members) = 1 THEN CAST(NOT list_contains(members, y) AS INT) END), 9) AS error,
+ (SELECT round(avg(v), 9) FROM (SELECT avg(CAST(NOT list_contains(members, y) AS INT)) AS v FROM m GROUP BY y)) AS miscoverage_mean, (SELECT round(avg(v), 9) FROM (SELECT avg(CAST(NOT list_contains(members, y) AS INT)) AS v FROM m WHERE len(members) = 1 GROUP BY y)) AS error_mean FROM m""")
 def prediction_set_metrics(spark, sf_dir):
     members = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: F.get("scores", i) > F.lit(0.1))
     return _rounded(M.prediction_sets(_classes(spark, sf_dir).select("y", members.alias("members"))))
 
 
+@query(f"""{_E}, m AS (SELECT y, list_filter(range(0, 10), lambda i: scores[i + 1] > 0.1) AS members FROM e)
+SELECT y AS class, count(*) AS n, round(avg(CAST(NOT list_contains(members, y) AS INT)), 9) AS miscoverage, round(avg(CASE WHEN len(members) = 1 THEN CAST(NOT list_contains(members, y) AS INT) END), 9) AS error FROM m GROUP BY y""")
+def prediction_sets_by_class(spark, sf_dir):
+    members = F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: F.get("scores", i) > F.lit(0.1))
+    return _rounded(M.prediction_sets_by_class(_classes(spark, sf_dir).select("y", members.alias("members"))), "class", "n")
+
+
+def _shares(spark, sf_dir):
+    """The first ten coordinates of a vector as probabilities: squares over their sum."""
+    e = _classes(spark, sf_dir)
+    squares = F.transform("scores", lambda s: s.cast("double") * s.cast("double"))
+    return e.withColumn("q", squares).select("vec_id", "y", F.transform("q", lambda x: F.round(x / F.aggregate("q", F.lit(0.0), lambda a, b: a + b), 6)).alias("scores"))
+
+
+_Q = f"{_E}, q AS (SELECT vec_id, y, list_transform(scores, lambda s: s::DOUBLE * s::DOUBLE) AS q FROM e), c AS (SELECT vec_id, i AS k, CAST(y = i AS INT) AS hit, round(q[i + 1] / list_sum(q), 6) AS p FROM q, range(0, 10) r(i)), t AS (SELECT * FROM c WHERE p >= 0.01)"
+
+
+@query(f"{_Q}, g AS (SELECT k, least(CAST(floor(p * 20) AS INT), 19) AS b, count(*) AS n, avg(hit) AS t, avg(p) AS s FROM t GROUP BY ALL), l AS (SELECT k, sum(n * abs(t - s)) / sum(n) AS v FROM g GROUP BY k) SELECT round(avg(v), 9) AS ece, count(*) AS classes FROM l")
+def classwise_ece20(spark, sf_dir):
+    """Calibration error class by class, bins of equal width."""
+    return M.classwise_calibration_error(_shares(spark, sf_dir), "vec_id").select(F.round("ece", 9).alias("ece"), "classes")
+
+
+@query(f"{_Q}, r AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY p, vec_id) - 1) * 20 // count(*) OVER (PARTITION BY k) AS b FROM t), g AS (SELECT k, b, count(*) AS n, avg(hit) AS t, avg(p) AS s FROM r GROUP BY ALL), l AS (SELECT k, sum(n * abs(t - s)) / sum(n) AS v FROM g GROUP BY k) SELECT round(avg(v), 9) AS ece, count(*) AS classes FROM l")
+def classwise_ece20_adaptive(spark, sf_dir):
+    """The same with bins of equal size."""
+    return M.classwise_calibration_error(_shares(spark, sf_dir), "vec_id", adaptive=True).select(F.round("ece", 9).alias("ece"), "classes")
+
+
 _AUC1 = "(SELECT c.k, avg(CASE WHEN p.s > q.s THEN 1.0 WHEN p.s = q.s THEN 0.5 ELSE 0.0 END) AS v FROM c JOIN o p ON p.k = c.k AND p.y = c.k JOIN o q ON q.k = c.k AND q.y <> c.k GROUP BY c.k)"
 
 
@@ -189,6 +219,16 @@ def multilabel_auc_micro(spark, sf_dir):
     return M.roc_auc(_cells(spark, sf_dir)).select(F.round("roc_auc", 9).alias("roc_auc"))
 
 
+_RA = lambda g: f"SELECT {g} AS g, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS v, sum(pos) AS n FROM (SELECT *, sum(neg) OVER (PARTITION BY {g} ORDER BY score) - neg AS below FROM (SELECT {g}, score, sum(y) AS pos, sum(1 - y) AS neg FROM (SELECT *, 0 AS one FROM p) GROUP BY ALL)) GROUP BY {g} HAVING sum(pos) > 0 AND sum(neg) > 0"
+
+
+@query(f"""{_C}, l1 AS ({_RA('label')}), r1 AS ({_RA('row')}), o1 AS ({_RA('one')})
+SELECT round((SELECT v FROM o1), 9) AS micro, round((SELECT avg(v) FROM l1), 9) AS macro, round((SELECT sum(v * n) / sum(n) FROM l1), 9) AS weighted, round((SELECT avg(v) FROM r1), 9) AS samples""")
+def multilabel_auc_averages(spark, sf_dir):
+    """AUC over all cells, by label plain and weighted, and by order."""
+    return _rounded(M.roc_aucs(_cells(spark, sf_dir), "row"))
+
+
 @query(f"""{_C}, s AS (SELECT label, score, sum(y) AS pos, sum(1 - y) AS neg FROM p GROUP BY label, score), w AS (SELECT label, pos, neg, sum(neg) OVER (PARTITION BY label ORDER BY score) - neg AS below FROM s), a AS (SELECT label, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS v FROM w GROUP BY label) SELECT label, round(v, 9) AS roc_auc FROM a""")
 def multilabel_auc_by_label(spark, sf_dir):
     return M.roc_auc(_cells(spark, sf_dir), by=("label",)).select("label", F.round("roc_auc", 9).alias("roc_auc"))
