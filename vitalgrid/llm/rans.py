@@ -330,7 +330,7 @@ def _pieces(spark: SparkSession, at: str, yields, schema: str) -> DataFrame:
                 k = len(size)
                 yield pa.RecordBatch.from_arrays([pa.array([part] * k, pa.int32()), pa.array([first] * k, pa.int64()), docs, starts, lengths, yields(ids, stops - size, stops)], ["part", "first", "doc_id", "doc_start", "length", "got"])
 
-    return batched(blocks.select(*BLOCK_COLUMNS), 4, 8 << 20).mapInArrow(run, f"part int, first long, doc_id {kind}, doc_start long, length long, got {schema}")
+    return batched(blocks.select(*BLOCK_COLUMNS)).mapInArrow(run, f"part int, first long, doc_id {kind}, doc_start long, length long, got {schema}")
 
 
 def read_ids(spark: SparkSession, at: str) -> DataFrame:
