@@ -234,11 +234,47 @@ def rouge_n(rows: DataFrame, key: str, a: str, b: str, n: int) -> DataFrame:
 
 
 def coleman_liau(s: Column | str) -> Column:
-    """0.0588 letters and -0.296 sentences per 100 words, less 15.8; null without words."""
+    """0.0588 letters and -0.296 sentences per 100 words, less 15.8; 0 without words, null for null."""
     w = F.size(words(s))
     letters = F.length(F.regexp_replace(s, "[^a-zA-Z]", ""))
-    sentences = F.greatest(F.lit(1), F.size(F.regexp_extract_all(s, F.lit("([.!?]+)"), 1)))
-    return F.when(w > 0, 0.0588 * (100.0 * letters / w) - 0.296 * (100.0 * sentences / w) - 15.8)
+    return F.when(w > 0, 0.0588 * (100.0 * letters / w) - 0.296 * (100.0 * sentence_count(s) / w) - 15.8).when(w == 0, 0.0)
+
+
+def sentence_count(s: Column | str) -> Column:
+    """Runs of signs that end a sentence; one at least."""
+    return F.greatest(F.lit(1), F.regexp_count(F.col(s) if isinstance(s, str) else s, F.lit("[.!?]+")))
+
+
+#: Runs of vowels, and a silent e at the end of a word (not in le).
+VOWELS, SILENT = "[aeiouyáéíóúèêàäöü]+", "[^l]e$"
+
+
+def syllables(word: Column) -> Column:
+    """Runs of vowels of a word in lower case, less a silent final e; one at least."""
+    return F.greatest(F.lit(1), F.regexp_count(word, F.lit(VOWELS)) - F.rlike(word, F.lit(SILENT)).cast("int"))
+
+
+def reading_grade(s: Column | str) -> Column:
+    """Flesch-Kincaid grade by runs of letters as words: 0.39 words a sentence and 11.8 syllables a word, less 15.59; 0 without words, null for null."""
+    w = F.regexp_extract_all(F.lower(s), F.lit("(\\p{L}+)"), 1)
+    n = F.size(w)
+    many = F.aggregate(F.transform(w, syllables), F.lit(0), lambda a, b: a + b)
+    return F.when(n > 0, 0.39 * n / sentence_count(s) + 11.8 * many / n - 15.59).when(n == 0, 0.0)
+
+
+def dale_chall(rows: DataFrame, key: str, text: str, familiar: DataFrame, word: str = "word") -> DataFrame:
+    """(key, dale_chall): 0.1579 times the percentage of words that are not in ``familiar`` and 0.0496 words a sentence; 3.6365 more above five per cent; 0 without words.
+
+    ``familiar`` has words in lower case. Each distinct word of a text is looked up once; null texts have no words.
+    """
+    s = F.coalesce(F.col(text), F.lit(""))
+    w = rows.select(key, F.regexp_extract_all(F.lower(s), F.lit("(\\p{L}+)"), 1).alias("_w"), sentence_count(s).alias("_s"))
+    seen = w.select(key, F.explode("_w").alias("_k")).groupBy(key, "_k").agg(F.count("*").alias("_n"))
+    known = familiar.select(F.col(word).alias("_k")).distinct().withColumn("_known", F.lit(1))
+    hard = seen.join(known, "_k", "left").groupBy(key).agg(F.sum(F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)).alias("_hard"), F.sum("_n").alias("_all"))
+    share, length = 100 * F.col("_hard") / F.col("_all"), F.col("_all") / F.col("_s")
+    score = 0.1579 * share + 0.0496 * length + F.when(share > 5, 3.6365).otherwise(0.0)
+    return w.select(key, "_s").join(hard, key, "left").select(key, F.coalesce(F.when(F.col("_all") > 0, score), F.lit(0.0)).alias("dale_chall"))
 
 
 def initials(name: Column) -> Column:

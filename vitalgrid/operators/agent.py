@@ -26,6 +26,12 @@ def echo_llm(prompts: pd.Series) -> pd.Series:
     return prompts.map(lambda p: f"{'yes' if bit(p) else 'no'}: {' '.join(p.split()[-5:])}")
 
 
+def checking_llm(prompts: pd.Series) -> pd.Series:
+    """The same stub, whose checks are complete or not by the hash of the prompt."""
+    bit = lambda p: int(hashlib.md5(p.encode()).hexdigest()[2:4], 16) % 4
+    return prompts.map(lambda p: f"{'Complete' if bit(p) == 0 else 'Incomplete'}: {' '.join(p.split()[-3:])}" if p.startswith("check:") else echo_llm(pd.Series([p])).iloc[0])
+
+
 def ask(prompt: Column, llm: LlmFn) -> Column:
     @F.pandas_udf("string")
     def call(p: pd.Series) -> pd.Series:

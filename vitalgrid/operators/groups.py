@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -59,6 +59,27 @@ def hashed_position(rows: DataFrame, key: str, seed: int, group: str | None = No
     return inner.join(before, same).withColumn("position", F.col("_before") + F.col("_r") - 1).drop("_h", "_b", "_r", "_before", "_c", "_g")
 
 
+def ordered_position(rows: DataFrame, key: str, group: str | None = None) -> DataFrame:
+    """Adds ``position``, a row's place by ``key`` (in its group, if given), and ``total``, the number of rows.
+
+    Rows are dealt into ranges of group and key and written to the shared folder; a position is the number of rows of
+    the group in earlier ranges and a number within the range, so no task orders a whole table or group. Equal keys
+    may take any order among themselves.
+    """
+    from .agent import _stored
+
+    by = [group] if group else []
+    ranged = _stored(rows.repartitionByRange(*by, key, F.monotonically_increasing_id()).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    over = Window.partitionBy(F.lit(0), *by).orderBy("_range")  # a row a range
+    before = sizes.select(*(F.col(c).alias("_g") for c in by), F.col("_range").alias("_c"), (F.sum("_n").over(over) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0), *by)).alias("total"))
+    same = F.col("_range") == F.col("_c")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col("_g"))
+    inner = ranged.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_range").orderBy(key)))
+    return inner.join(before, same).withColumn("position", F.col("_before") + F.col("_r") - 1).drop("_range", "_r", "_before", "_c", "_g")
+
+
 def split_keys(keys: DataFrame, key: str, ratios: tuple[float, float], seed: int) -> DataFrame:
     """``split`` train, val or test: the hashed order cut at int(n * r0) and int(n * (r0 + r1))."""
     r = hashed_position(keys, key, seed)
@@ -128,3 +149,56 @@ def interleave(parts: list[DataFrame], key: str, until: str = "under", seed: int
         n = n.drop("most", "least", "total", "position")
         out = n if out is None else out.unionByName(n)
     return out
+
+
+#: Draws that are counted together.
+DRAW_BLOCK = 4096
+
+
+def _draws(spark: SparkSession, n: int, weights: list[float], seed: int) -> DataFrame:
+    """turn (from 0 below ``n``), its block, and part: the one in whose share of the weights the hash of turn and seed falls."""
+    total, upto, cut = sum(weights), 0.0, []
+    for w in weights:
+        upto += w
+        cut.append(int(upto / total * 2**32))
+    at = F.conv(F.substring(hashed("turn", F.lit(seed)), 1, 8), 16, 10).cast("long")
+    part = F.lit(len(weights) - 1)
+    for i in range(len(weights) - 2, -1, -1):
+        part = F.when(at < cut[i], i).otherwise(part)
+    return spark.range(n).select(F.col("id").alias("turn")).withColumn("part", part.cast("int")).withColumn("block", F.floor(F.col("turn") / DRAW_BLOCK))
+
+
+def interleave_by_weight(parts: list[DataFrame], weights: list[float], key: str, until: str = "under", seed: int = 0) -> DataFrame:
+    """Rows of several tables in a seeded random order, each turn from the table that is drawn with its weight.
+
+    The k-th turn of a table takes its k-th row in hashed order, from the start again after the last. ``under`` ends
+    with the turn that takes the last row of any table, ``over`` with the first turn by which every table has given all
+    its rows. Adds turn (from 0) and part. Turns are drawn and counted block by block, so no task orders them all. A
+    table without rows ends ``under`` at once and is left out of ``over``; all weights are above 0.
+    """
+    if len(parts) != len(weights) or min(weights) <= 0:
+        raise ValueError("a weight above 0 for each table")
+    spark = parts[0].sparkSession
+    numbered = [hashed_position(p, key, seed).withColumn("part", F.lit(i)) for i, p in enumerate(parts)]
+    have = [p.count() for p in parts]  # one number a table
+    live = [i for i, n in enumerate(have) if n]
+    rows = None
+    for n in numbered:
+        rows = n if rows is None else rows.unionByName(n)
+    if not live or (until == "under" and len(live) < len(parts)):
+        return rows.drop("position", "total").withColumn("turn", F.lit(0).cast("long")).limit(0)
+    ask = max if until == "over" else min
+    n, total = int(1.2 * ask(have[i] / weights[i] for i in live) * sum(weights)) + DRAW_BLOCK, None
+    while True:
+        draws = _draws(spark, n, weights, seed)
+        per = draws.groupBy("part", "block").agg(F.count("*").alias("n"))
+        before = per.withColumn("before", F.sum("n").over(Window.partitionBy("part").orderBy("block")) - F.col("n"))
+        placed = draws.withColumn("_k", F.row_number().over(Window.partitionBy("part", "block").orderBy("turn"))).join(before.drop("n"), ["part", "block"]).withColumn("nth", F.col("before") + F.col("_k") - 1)
+        size = F.element_at(F.array(*(F.lit(h).cast("long") for h in have)), F.col("part") + 1)
+        ends = {r["part"]: r["turn"] for r in placed.where(F.col("nth") == size - 1).select("part", "turn").collect()}  # a row a table
+        if (until == "over" and all(i in ends for i in live)) or (until != "over" and ends):
+            total = ask(ends[i] for i in live if i in ends)
+            break
+        n *= 2
+    chosen = placed.where(F.col("turn") <= total).where(size > 0).withColumn("position", F.col("nth") % size).select("turn", "part", "position")
+    return rows.drop("total").join(chosen, ["part", "position"]).drop("position")

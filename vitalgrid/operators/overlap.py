@@ -39,19 +39,68 @@ def _runs(sides: list[tuple[np.ndarray, np.ndarray]], n: int) -> list[tuple[np.n
             on = nth + k < size[row] if len(row) else np.zeros(0, bool)
             joined.append(np.stack([first[on], word[begin[row[on]] + nth[on] + k]]))
             rows.append(row[on])
-        _, numbers = np.unique(np.concatenate(joined, axis=1), axis=1, return_inverse=True)
+        pairs = np.concatenate(joined, axis=1)
+        _, numbers = np.unique(pairs[0] * (pairs[1].max(initial=0) + 1) + pairs[1], return_inverse=True)
         out = list(zip(np.split(numbers.ravel(), np.cumsum([j.shape[1] for j in joined])[:-1]), rows))
     return out
 
 
 def common_runs(a: pa.Array, b: pa.Array, n: int = 1) -> np.ndarray:
     """For each row how many runs of ``n`` words of one list are matched one to one by equal runs of the other; nulls have none."""
-    (x, row_x), (y, row_y) = _runs(_numbered(a, b), n)
+    return _matched(_numbered(a, b), n, len(a))
+
+
+def _matched(sides: list[tuple[np.ndarray, np.ndarray]], n: int, rows: int) -> np.ndarray:
+    (x, row_x), (y, row_y) = _runs(sides, n)
     width = max(x.max(initial=0), y.max(initial=0)) + 1
     kx, nx = np.unique(row_x * width + x, return_counts=True)
     ky, ny = np.unique(row_y * width + y, return_counts=True)
     both, i, j = np.intersect1d(kx, ky, assume_unique=True, return_indices=True)
-    return np.bincount(both // width, np.minimum(nx[i], ny[j]), len(a)).astype(np.int64)
+    return np.bincount(both // width, np.minimum(nx[i], ny[j]), rows).astype(np.int64)
+
+
+def _characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of strings and their rows; nulls have none."""
+    texts = [(x or "").encode("utf-32-le") for x in column.to_pylist()]
+    return np.frombuffer(b"".join(texts), np.uint32).astype(np.int64), np.repeat(np.arange(len(texts)), [len(t) // 4 for t in texts])
+
+
+@F.arrow_udf(DoubleType())
+def character_bleu(candidate: pa.Array, reference: pa.Array) -> pa.Array:
+    """BLEU-4 by characters: geometric mean of n-gram precisions, from two characters on smoothed by one, with the brevity penalty; 0 without a character in common."""
+    n, sides = len(candidate), [_characters(candidate), _characters(reference)]
+    size, other = (np.bincount(row, minlength=n) for _, row in sides)
+    logs, none = np.zeros(n), np.zeros(n, bool)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for k in range(1, 5):
+            hit, total = _matched(sides, k, n), np.maximum(size - (k - 1), 0)
+            none |= hit == 0 if k == 1 else False
+            logs += np.log((hit + (k > 1)) / (total + (k > 1)))
+        score = np.exp(logs / 4 + np.minimum(0.0, 1 - other / size))
+    return pa.array(np.where(none, 0.0, score))
+
+
+@F.arrow_udf(DoubleType())
+def sari(source: pa.Array, candidate: pa.Array, reference: pa.Array) -> pa.Array:
+    """Mean over n up to 4 of the F1 of kept and of added n-grams of words and the precision of deleted ones; ratios of nothing are 1."""
+    rows, sides = len(source), _numbered(source, candidate, reference)
+    total = np.zeros(rows)
+    for n in range(1, 5):
+        runs = _runs(sides, n)
+        width = max(x.max(initial=0) for x, _ in runs) + 1
+        s, c, r = (np.unique(row * width + x) for x, row in runs)
+        many = lambda keys: np.bincount(keys // width, minlength=rows)
+        both = lambda a, b: np.intersect1d(a, b, assume_unique=True)
+        less = lambda a, b: np.setdiff1d(a, b, assume_unique=True)
+        ratio = lambda a, b: np.where(b > 0, a / np.maximum(b, 1), 1.0)
+        part = np.zeros(rows)
+        for got, want in ((both(c, s), both(r, s)), (less(c, s), less(r, s))):
+            hit = many(both(got, want))
+            p, q = ratio(hit, many(got)), ratio(hit, many(want))
+            part += np.where(p + q > 0, 2 * p * q / np.where(p + q > 0, p + q, 1), 0.0)
+        gone = less(s, c)
+        total += (part + ratio(many(less(gone, r)), many(gone))) / 3
+    return pa.array(total / 4)
 
 
 @cache

@@ -2,33 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .agent import _stored
+
 #: Bytes of query vectors that one pass over the store takes; more queries are cut into several passes.
 QUERY_BYTES = 32 << 20
 
 
-def top_k(queries: DataFrame, store: DataFrame, k: int, by: str | None = None, query_id: str = "qid", vector: str = "embedding", item: str = "id") -> DataFrame:
-    """(qid, [by,] item, distance, rank): the k nearest items of each query, in each kind ``by`` if given; ties by item.
+def query_passes(queries: DataFrame, query_id: str, vector: str, near: Callable[[np.ndarray, np.ndarray], DataFrame]) -> DataFrame:
+    """The union of what ``near`` finds for the ids and vectors of each pass of queries.
 
-    Query vectors of one pass are bounded by ``QUERY_BYTES`` and go to every task of the store. A task keeps the k
-    best of each of its batches, so what is shuffled does not grow with the pairs. The store's items are integers.
+    A pass is bounded by ``QUERY_BYTES``. With several, the result of each is written to the shared folder before the
+    next is collected, so the driver and the plan hold one pass at a time.
     """
     q = queries.select(query_id, vector)
     size = q.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("d")).first()
     passes = max(1, -(-(size["n"] * (size["d"] or 1) * 8) // QUERY_BYTES))
     out = None
-    kind = store.schema[by].dataType.simpleString() if by else None
     for i in range(passes):
         part = (q.where(F.pmod(F.xxhash64(query_id), F.lit(passes)) == i) if passes > 1 else q).toArrow()
         ids = part.column(query_id).to_numpy()
         x = np.array(part.column(vector).to_pylist(), np.float64).reshape(len(ids), -1)
+        found = near(ids, x) if passes == 1 else _stored(near(ids, x))
+        out = found if out is None else out.union(found)
+    return out
+
+
+def best_of(found: DataFrame, k: int, by: str | None = None) -> DataFrame:
+    """Of hits (qid, item, distance and by) the ``k`` nearest of each query, in each kind if ``by`` is given; ties by item."""
+    w = Window.partitionBy("qid", *(["by"] if by else [])).orderBy("distance", "item")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.withColumnRenamed("by", by) if by else ranked
+
 
-        def near(batches, ids=ids, x=x):
+def top_k(queries: DataFrame, store: DataFrame, k: int, by: str | None = None, query_id: str = "qid", vector: str = "embedding", item: str = "id") -> DataFrame:
+    """(qid, [by,] item, distance, rank): the k nearest items of each query, in each kind ``by`` if given; ties by item.
+
+    Query vectors of one pass are bounded by ``QUERY_BYTES`` and go to every task of the store. A task keeps the k
+    best of each of its batches, so what is shuffled does not grow with the pairs. The store's items are integers.
+    """
+    kind = store.schema[by].dataType.simpleString() if by else None
+
+    def nearest(ids: np.ndarray, x: np.ndarray) -> DataFrame:
+        def near(batches):
             for batch in batches:
                 if not batch.num_rows or not len(ids):
                     continue
@@ -45,11 +68,9 @@ def top_k(queries: DataFrame, store: DataFrame, k: int, by: str | None = None, q
                         cols = [pa.array(ids[rows]), pa.array(items[at][best.ravel()]), pa.array(np.take_along_axis(d, best, 1).ravel())]
                         yield pa.RecordBatch.from_arrays(cols + ([pa.array([g] * len(rows), batch.column(2).type)] if by else []), ["qid", "item", "distance", "by"][: 3 + bool(by)])
 
-        found = store.select(item, vector, *([by] if by else [])).mapInArrow(near, "qid long, item long, distance double" + (f", by {kind}" if by else ""))
-        out = found if out is None else out.union(found)
-    w = Window.partitionBy("qid", *(["by"] if by else [])).orderBy("distance", "item")
-    ranked = out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.withColumnRenamed("by", by) if by else ranked
+        return store.select(item, vector, *([by] if by else [])).mapInArrow(near, "qid long, item long, distance double" + (f", by {kind}" if by else ""))
+
+    return best_of(query_passes(queries, query_id, vector, nearest), k, by)
 
 
 def graph_hits(queries: DataFrame, nodes: DataFrame, edges: DataFrame, paths: list[tuple], k: int) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.stores import VectorStore
+from ..session import shared_dir
 from ..sources.tables import table
 from .common import query
 
@@ -160,6 +164,36 @@ def sampled_nodes(spark, sf_dir):
     return sample_if_many(_nodes(spark, sf_dir).select("node_type", "node_id"), "node_type", "node_id", 30, 3, 4)
 
 
+def _store(spark, sf_dir):
+    """A new store of all vectors: made of those with an even id, the others added."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.col("label").alias("kind"))
+    store = VectorStore.make(rows.where("id % 2 = 0"), f"{shared_dir(spark)}/{uuid.uuid4().hex}", cells=16)
+    store.add(rows.where("id % 2 <> 0"))
+    queries = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), "vector")
+    return store, queries
+
+
+@query()
+def kept_store_search(spark, sf_dir):
+    """The three nearest among the lists that a query probes, of a store that was made of half the vectors and added to."""
+    store, queries = _store(spark, sf_dir)
+    return store.search(queries, 3).select("qid", "item", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"{_HITS} SELECT qid, item, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance, item) AS rank FROM d) WHERE rank <= 3")
+def kept_store_exact(spark, sf_dir):
+    """The exact search of the same store."""
+    store, queries = _store(spark, sf_dir)
+    return store.exact(queries, 3).select("qid", "item", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"{_HITS} SELECT qid, label AS kind, item, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY distance, item) AS rank FROM d) WHERE rank <= 2")
+def kept_store_by_type(spark, sf_dir):
+    """The two nearest of each kind in the store, all lists read."""
+    store, queries = _store(spark, sf_dir)
+    return store.search(queries, 2, by="kind", probes=16).select("qid", "kind", "item", "rank")
+
+
 @query()
 def kmeans_communities(spark, sf_dir):
     """Vectors in ten communities by seeded k-means."""

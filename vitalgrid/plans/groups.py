@@ -170,3 +170,31 @@ def mix_concat_capped(spark, sf_dir):
     cap = F.broadcast(t.agg(F.floor(F.count_if(F.col("role").isin("user", "system")) / 5).alias("cap")))  # one row
     r = G.hashed_position(t, "key", 0, "role").join(cap)
     return r.where((F.col("role") == "assistant") | (F.col("position") < F.col("cap"))).select("conv_id", "turn", "role")
+
+
+_WEIGHTS = [0.5, 0.2, 0.3]
+
+
+def _weighted_sql(until: str) -> str:
+    """Draws of a turn from the hash of turn and seed, numbered by source; the first turn at which the stop rule holds."""
+    d = f"d AS (SELECT t, CASE WHEN h < {int(0.5 * 2**32)} THEN 0 WHEN h < {int(0.7 * 2**32)} THEN 1 ELSE 2 END AS part FROM (SELECT t, CAST('0x' || substr(md5(t || '-5'), 1, 8) AS BIGINT) AS h FROM range(0, 20 * (SELECT count(*) FROM documents)) r(t)))"
+    p = f"p AS (SELECT doc_id, part, row_number() OVER (PARTITION BY part ORDER BY {_HASH.format(k='doc_id', s=5)}, doc_id) - 1 AS p, count(*) OVER (PARTITION BY part) AS n FROM (SELECT doc_id, CASE lang WHEN 'fr' THEN 0 WHEN 'es' THEN 1 ELSE 2 END AS part FROM documents WHERE lang IN ('fr', 'es', 'de')))"
+    return f"""WITH {d}, {p}, k AS (SELECT t, part, row_number() OVER (PARTITION BY part ORDER BY t) - 1 AS k FROM d), e AS (SELECT {until}(t) AS last FROM k JOIN (SELECT DISTINCT part, n FROM p) USING (part) WHERE k = n - 1)
+SELECT doc_id, k.part AS part, t AS turn FROM k JOIN p ON p.part = k.part AND p.p = k.k % p.n, e WHERE t <= last"""
+
+
+def _three(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return [d.where(F.col("lang") == x).select("doc_id") for x in ("fr", "es", "de")]
+
+
+@query(_weighted_sql("min"))
+def mix_by_weight_under(spark, sf_dir):
+    """Three sources by chance with given weights, until the first has given all its rows."""
+    return G.interleave_by_weight(_three(spark, sf_dir), _WEIGHTS, "doc_id", seed=5).select("doc_id", "part", "turn")
+
+
+@query(_weighted_sql("max"))
+def mix_by_weight_over(spark, sf_dir):
+    """The same until all have given all their rows; shorter ones start again."""
+    return G.interleave_by_weight(_three(spark, sf_dir), _WEIGHTS, "doc_id", "over", 5).select("doc_id", "part", "turn")

@@ -190,11 +190,32 @@ def rouge2_scores(spark, sf_dir):
     return T.rouge_n(rows, "doc_id", "a", "b", 2).select("doc_id", F.round("f1", 9).alias("f1"))
 
 
-@query(f"SELECT doc_id, round(CASE WHEN len(w) > 0 THEN 0.0588::DOUBLE * (100.0::DOUBLE * l / len(w)) - 0.296::DOUBLE * (100.0::DOUBLE * s / len(w)) - 15.8::DOUBLE END, 9) AS cli FROM (SELECT doc_id, {_WORDS('text')} AS w, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS l, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS s FROM documents)")
+@query(f"SELECT doc_id, round(CASE WHEN len(w) > 0 THEN 0.0588::DOUBLE * (100.0::DOUBLE * l / len(w)) - 0.296::DOUBLE * (100.0::DOUBLE * s / len(w)) - 15.8::DOUBLE ELSE 0 END, 9)::DOUBLE AS cli FROM (SELECT doc_id, {_WORDS('text')} AS w, length(regexp_replace(text, '[^a-zA-Z]', '', 'g')) AS l, greatest(1, len(regexp_extract_all(text, '[.!?]+'))) AS s FROM documents)")
 def coleman_liau_scores(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.round(T.coleman_liau("text"), 9).alias("cli"))
 
 
+_LETTERS = "regexp_extract_all(lower(text), '\\p{L}+')"
+_SENTENCES = "greatest(1, len(regexp_extract_all(text, '[.!?]+')))"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_LETTERS} AS w, {_SENTENCES} AS s FROM documents), y AS (SELECT doc_id, s, len(w) AS n, list_sum(list_transform(w, lambda x: greatest(1, len(regexp_extract_all(x, '{T.VOWELS}')) - regexp_matches(x, '{T.SILENT}')::INT))) AS y FROM w)
+SELECT doc_id, round(CASE WHEN n > 0 THEN 0.39::DOUBLE * n / s + 11.8::DOUBLE * y / n - 15.59::DOUBLE ELSE 0 END, 9)::DOUBLE AS grade FROM y""")
+def reading_grades(spark, sf_dir):
+    """Flesch-Kincaid grade of a text."""
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.reading_grade("text"), 9).alias("grade"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest({_LETTERS}) AS k FROM documents), f AS (SELECT k FROM w GROUP BY k HAVING count(DISTINCT doc_id) >= 50), h AS (SELECT doc_id, count(*) FILTER (f.k IS NULL) AS hard, count(*) AS n FROM w LEFT JOIN f ON f.k = w.k GROUP BY doc_id)
+SELECT doc_id, round(CASE WHEN n > 0 THEN 0.1579::DOUBLE * (100.0::DOUBLE * hard / n) + 0.0496::DOUBLE * n / {_SENTENCES} + CASE WHEN 100.0::DOUBLE * hard / n > 5 THEN 3.6365::DOUBLE ELSE 0 END ELSE 0 END, 9)::DOUBLE AS dale_chall FROM documents LEFT JOIN h USING (doc_id)""")
+def dale_chall_scores(spark, sf_dir):
+    """Dale-Chall score of a text; words that 50 texts have stand for the familiar ones."""
+    d = _docs(spark, sf_dir)
+    words = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(\\p{L}+)"), 1))).alias("word"))
+    familiar = words.groupBy("word").count().where("count >= 50").select("word")
+    return T.dale_chall(d, "doc_id", "text", familiar).select("doc_id", F.round("dale_chall", 9).alias("dale_chall"))
+
+
 @query("SELECT doc_id, right(text, 2047) AS tail FROM documents")
 def query_tail(spark, sf_dir):
     """The last 2,047 characters of a query."""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .registry import Dataset, Registry  # noqa: F401
+
 
 def summaries(spark: SparkSession, path: str) -> DataFrame:
     """Summary CSV with a header: input, target, input_tokens, target_tokens; rows with any null go."""
@@ -100,39 +100,6 @@ def chunk_text() -> Column:
     return F.coalesce("abstract_text", F.array_join(F.transform(F.map_entries("abstract_sections"), lambda e: F.concat(e["key"], F.lit(": "), e["value"])), ", "))
 
 
-@dataclass(frozen=True)
-class Dataset:
-    """Where a training dataset is and how its columns map to prompt, query, response and the like."""
-
-    path: str
-    format: str = "json"
-    columns: dict[str, str] = field(default_factory=lambda: {"prompt": "instruction", "query": "input", "response": "output"})
-    options: dict[str, str] = field(default_factory=dict)
-
-
-class Registry:
-    """Named datasets; loading gives the mapped columns, missing ones as null strings."""
-
-    ROLES = ("prompt", "query", "response", "history", "system", "tools", "chosen", "rejected", "kto_tag")
-
-    def __init__(self, **datasets: Dataset):
-        self.datasets = datasets
-
-    def load(self, spark: SparkSession, name: str, most: int | None = None) -> DataFrame:
-        d = self.datasets[name]
-        rows = spark.read.format(d.format).options(**d.options).load(d.path)
-        out = rows.select(*(F.col(d.columns[r]).alias(r) if d.columns.get(r) in rows.columns else F.lit(None).cast("string").alias(r) for r in self.ROLES))
-        return out.limit(most) if most else out
-
-    def mix(self, spark: SparkSession, *names: str) -> DataFrame:
-        """All rows of several datasets with their name."""
-        out = None
-        for n in names:
-            part = self.load(spark, n).withColumn("dataset", F.lit(n))
-            out = part if out is None else out.unionByName(part)
-        return out
-
-
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object a line; nulls are written."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
