@@ -525,3 +525,15 @@ def test_license_query_meets_its_sql(spark, sf):
     from vitalgrid.llm import queries
 
     compare(queries.QUERIES["op10_license_scan"](spark, sf), queries.ORACLES["op10_license_scan"], sf)
+
+
+@pytest.mark.parametrize("page", ['<a b=" ' * 150_001, "<div>" * 100_000 + "</x>" * 60_000, "<span>" * 60_000 + "<a>" * 60_000, "<a><div>" + "<span>" * 60_000 + "<a>" * 60_000, "<a<a" * 250_000 + '"', "<a " * 300_000 + '"', "<b>" + "<div>" * 60_000 + "</b>" * 60_000, "<p>x</p>" * 60_000])
+def test_hostile_pages_take_time_in_proportion(page):
+    """Pages of about a megabyte that open, leave open or never close what they can."""
+    import time
+
+    from vitalgrid.llm.htmltext import main_text
+
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 20

@@ -107,11 +107,13 @@ class ByteMerges(Merges):
             model = json.load(f)["model"]
         vocab, pairs = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.inner = self.final = np.array([vocab[x] for x in byte_symbols()], np.int64)
-        self._tabulate(vocab, pairs)
+        self.width, self.none = max(vocab.values()) + 1, np.int32(len(pairs))
+        self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        key, rank = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64), np.arange(len(pairs), dtype=np.int32)
         # pairs by hash, so that most pairs that never merge are told by one look
         self.shift = np.uint64(64 - self.TABLE_BITS)
         self.slots, self.slot_ranks = np.full(1 << self.TABLE_BITS, -1, np.int64), np.full(1 << self.TABLE_BITS, self.none, np.int32)
-        key, rank, at = self.keys, self.ranks, self._slot(self.keys)
+        at = self._slot(key)
         while len(key):
             free = np.flatnonzero(self.slots[at] < 0)
             _, one = np.unique(at[free], return_index=True)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -24,6 +26,8 @@ CLOSES = {
 }
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u span".split())
 _SCOPE = BLOCKS - {"p"} | {"td", "th"}
+_P, _A = frozenset("p"), frozenset("a")
+CLOSES = {tag: (frozenset(what), frozenset(bounds)) for tag, (what, bounds) in CLOSES.items()}
 
 #: Words of class, id and role that mark what stands around an article.
 NOISE = re.compile(
@@ -37,7 +41,8 @@ ANSWERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|reply|replie
 #: Words of a layout that say what stands beside, such as no-sidebar.
 _LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with|without)[_-]\w+", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
+_OTHER = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)", re.S)
+_NAME, _SPECIAL = re.compile(r"[\s/>]"), re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
 
@@ -57,47 +62,148 @@ class Node:
     density_sum: float = 0.0
 
 
+class Markup:
+    """Where the tags of a page are; every part of the page is looked at a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.specials = array("q", (m.start() for m in _SPECIAL.finditer(page)))  # brackets and quotes
+        self.ends: dict[int, int] = {}  # a bracket or quote outside of quotes -> where its tag ends, -1 if in a quote that is never closed
+        self.name = (0, -1)  # from, to: the next end of a name for all places between
+
+    def _after_name(self, at: int) -> int:
+        if not self.name[0] <= at <= self.name[1]:
+            m = _NAME.search(self.page, at)
+            self.name = (at, m.start() if m else len(self.page))
+        return self.name[1]
+
+    def _end(self, at: int) -> int:
+        """The end of a tag whose attributes begin at ``at``: behind the next bracket outside of quotes, or the page's end."""
+        page, passed, end = self.page, [], None
+        while end is None:
+            k = bisect.bisect_left(self.specials, at)
+            if k == len(self.specials):
+                end = len(page)
+            elif (at := self.specials[k]) in self.ends:
+                end = self.ends[at]
+            elif page[at] == ">":
+                end = at + 1
+            else:
+                passed.append(at)
+                close = page.find(page[at], at + 1)
+                if close < 0:
+                    end = -1
+                at = close + 1
+        for x in passed:
+            self.ends[x] = end
+        return end
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str]:
+        """(begin, end, name, closing, attributes) of the next tag from ``at``; other markup has no name, the page's end begins where it ends."""
+        page, n = self.page, len(self.page)
+        while (at := page.find("<", at)) >= 0:
+            if page[at + 1 : at + 2] in ("!", "?"):
+                m = _OTHER.match(page, at)
+                return at, m.end(), None, False, ""
+            begin = at + 1 + (page[at + 1 : at + 2] == "/")
+            if page[begin : begin + 1].isascii() and page[begin : begin + 1].isalpha():
+                to = self._after_name(begin + 1)
+                end = self._end(to)
+                if end >= 0:
+                    return at, end, page[begin:to].lower(), begin > at + 1, page[to : end - (page[end - 1] == ">")]
+            at += 1
+        return n, n, None, False, ""
+
+
+class Open:
+    """The open elements of a page, outermost first, with the depths of each kind."""
+
+    def __init__(self, root: Node):
+        self.path, self.depths = [root], {}
+        self.groups: dict[frozenset[str], list[int]] = {BLOCKS: [], _SCOPE: []}  # depths of the large kinds together
+
+    @property
+    def node(self) -> Node:
+        return self.path[-1]
+
+    def push(self, node: Node) -> None:
+        depth = len(self.path)
+        self.depths.setdefault(node.tag, []).append(depth)
+        for tags, depths in self.groups.items():
+            if node.tag in tags:
+                depths.append(depth)
+        self.path.append(node)
+
+    def cut(self, depth: int) -> None:
+        """Close all from ``depth`` on."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.depths[tag].pop()
+            for tags, depths in self.groups.items():
+                if tag in tags:
+                    depths.pop()
+
+    def deepest(self, tags) -> int:
+        if tags in self.groups:
+            return self.groups[tags][-1] if self.groups[tags] else 0
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
+
+    def end(self, what: frozenset[str], bounds: frozenset[str]) -> None:
+        """Close from the outermost of ``what`` that is open below the nearest bound (of paragraphs: the innermost)."""
+        last = self.deepest(what)
+        if not last or (bound := self.deepest(bounds)) > last:
+            return
+        if "p" in what:
+            return self.cut(last)
+        first = [d[i] for t in what if (d := self.depths.get(t)) and (i := bisect.bisect_right(d, bound)) < len(d)]
+        self.cut(min(first))
+
+    def close(self, tag: str) -> None:
+        """An end tag: the innermost such element; one of formatting does not close blocks, a stray one nothing."""
+        depth = d[-1] if (d := self.depths.get(tag)) else 0
+        if depth and not (tag in FORMATTING and self.deepest(BLOCKS) > depth):
+            self.cut(depth)
+
+
 def parse(page: str) -> Node:
     """The tree of a page, with omitted end tags closed as browsers do for paragraphs, items and cells."""
-    root = node = Node("html", None)
+    root = Node("html", None)
+    marks, here, body = Markup(page), Open(root), False
     at, n = 0, len(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            node.parts.append(page[at:])
-            break
-        if m.start() > at:
-            node.parts.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        begin, end, tag, closing, attributes = marks.next(at)
+        if begin > at:
+            here.node.parts.append(page[at:begin])
+        at = end
         if tag is None:
-            if m[0].startswith("<![CDATA["):
-                node.parts.append(html.escape(m[0][9:].removesuffix("]]>"), False))
+            if page.startswith("<![CDATA[", begin):
+                here.node.parts.append(html.escape(page[begin + 9 : end].removesuffix("]]>"), False))
             continue
-        tag = tag.lower()
-        if m[1]:
-            node = _close(node, tag)
+        if closing:
+            here.close(tag)
             continue
         if tag in ("html", "body"):
-            if tag == "body" and not any(isinstance(x, Node) and x.tag == "body" for x in root.parts):
-                node = _open(root, tag, "")
+            if tag == "body" and not body:
+                here.cut(1)
+                here.push(_open(root, tag, ""))
+                body = True
             continue
         if tag in BLOCKS:
-            node = _end(node, {"p"}, _SCOPE)
+            here.end(_P, _SCOPE)
         if tag in CLOSES:
-            node = _end(node, *CLOSES[tag])
+            here.end(*CLOSES[tag])
         elif tag == "a":
-            node = _end(node, {"a"}, BLOCKS)
-        child = _open(node, tag, m[3])
+            here.end(_A, BLOCKS)
+        child = _open(here.node, tag, attributes)
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>|</{re.escape(tag)}$", re.I).search(page, at)
-            child.parts.append(page[at : end.start() if end else n])
-            at = end.end() if end else n
+            stop = re.compile(rf"</{re.escape(tag)}\s*>|</{re.escape(tag)}$", re.I).search(page, at)
+            child.parts.append(page[at : stop.start() if stop else n])
+            at = stop.end() if stop else n
             continue
-        if not m[3].rstrip().endswith("/") or tag in BLOCKS or tag in FORMATTING:
-            node = child
+        if not attributes.rstrip().endswith("/") or tag in BLOCKS or tag in FORMATTING:
+            here.push(child)
     return root
 
 
@@ -117,31 +223,6 @@ def _open(parent: Node, tag: str, attributes: str) -> Node:
     return child
 
 
-def _end(node: Node, what: set[str], bounds: set[str] | frozenset[str]) -> Node:
-    """Close up to the outermost of ``what`` that is open below the nearest bound."""
-    at, found = node, None
-    while at is not None and at.parent is not None:
-        if at.tag in what:
-            found = at
-            if "p" in what:
-                break
-        elif at.tag in bounds:
-            break
-        at = at.parent
-    return found.parent if found is not None else node
-
-
-def _close(node: Node, tag: str) -> Node:
-    at = node
-    while at is not None and at.parent is not None:
-        if at.tag == tag:
-            return at.parent
-        if tag in FORMATTING and at.tag in BLOCKS:
-            return node  # a stray end tag does not close blocks
-        at = at.parent
-    return node
-
-
 def _walk(root: Node) -> list[Node]:
     """Nodes, parents first."""
     out, stack = [], [root]

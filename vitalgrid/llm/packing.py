@@ -37,9 +37,6 @@ class Merges:
         symbols = byte_symbols()
         self.inner = np.array([vocab[x] for x in symbols], np.int64)
         self.final = np.array([vocab[x + suffix] for x in symbols], np.int64)
-        self._tabulate(vocab, pairs)
-
-    def _tabulate(self, vocab: dict[str, int], pairs: list[tuple[str, str]]) -> None:
         self.width = max(vocab.values()) + 1
         keys = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
