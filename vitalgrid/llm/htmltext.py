@@ -42,6 +42,8 @@ ANSWERS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|reply|replie
 _LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:no|has|with|without)[_-]\w+", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _OTHER = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)", re.S)
+#: A tag whose quotes are all closed; once one is not, the page is read by ``Markup``'s own tables.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _NAME, _SPECIAL = re.compile(r"[\s/>]"), re.compile("[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 
@@ -67,7 +69,7 @@ class Markup:
 
     def __init__(self, page: str):
         self.page = page
-        self.specials = array("q", (m.start() for m in _SPECIAL.finditer(page)))  # brackets and quotes
+        self.specials: array | None = None  # brackets and quotes, from the first tag on that is not well formed
         self.ends: dict[int, int] = {}  # a bracket or quote outside of quotes -> where its tag ends, -1 if in a quote that is never closed
         self.name = (0, -1)  # from, to: the next end of a name for all places between
 
@@ -105,8 +107,12 @@ class Markup:
             if page[at + 1 : at + 2] in ("!", "?"):
                 m = _OTHER.match(page, at)
                 return at, m.end(), None, False, ""
+            if self.specials is None and (m := _TAG.match(page, at)):
+                return at, m.end(), m[2].lower(), bool(m[1]), m[3]
             begin = at + 1 + (page[at + 1 : at + 2] == "/")
             if page[begin : begin + 1].isascii() and page[begin : begin + 1].isalpha():
+                if self.specials is None:
+                    self.specials = array("q", (m.start() for m in _SPECIAL.finditer(page)))
                 to = self._after_name(begin + 1)
                 end = self._end(to)
                 if end >= 0:
