@@ -56,7 +56,7 @@ def test_stems(spark):
 
     got = spark.createDataFrame([(STEMS[::2],)], "w array<string>").select(stemmed("w")).first()[0]
     assert [x for x in zip(STEMS[::2], got, STEMS[1::2]) if x[1] != x[2]] == []
-    assert one(spark, sentences("t"), t="One here. Two!\nThree  x? \n\n4") == ["One here.", "Two!", "Three  x? ", "4"] or one(spark, F.size(sentences("t")), t="One here. Two!\nThree  x? \n\n4") == 4
+    assert one(spark, sentences("t"), t="One here. Two!\nThree  x?\n \n4") == ["One here.", "Two!", "Three  x?", "4"]
 
 
 def plain_places(r, c):
@@ -447,3 +447,42 @@ def test_evaluation_by_task(spark):
             evaluate(pairs, **bad)
     a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,), (3,)], "k int")
     assert sorted(map(tuple, unmatched(a, b, "k").collect())) == [(1, "prediction"), (3, "truth"), (3, "truth")]
+
+
+def test_normal_forms(spark):
+    from vitalgrid.functions.text import normal_output, normalize_answer, spaced_normal, unify
+
+    assert one(spark, normalize_answer("t"), t="L’a b, The a an Theo a_b é a") == "l’ b theo ab é" and one(spark, normalize_answer("t"), t="the an a") == ""
+    assert one(spark, normalize_answer("t"), t="l’a b") == "l’ b" and one(spark, normalize_answer("t"), t="a the an x1 a") == "x1"
+    text = "“q” ‘s’ – — −\x0b5′ 6″ 7‴ 8⁗ x… y\xadz ⁄ ～ ˜ ?? !!! \x01\x1b\x10"
+    assert one(spark, unify("t"), t=text) == "\"q\" 's' - - - 5' 6'' 7''' 8'''' x... yz / ~ ~ ? ! \x10"
+    assert one(spark, normal_output("t"), t="The “A” – an end… a") == '" " - end...' and one(spark, spaced_normal("t"), t="The “A” – an end… a") == "end"
+
+
+def test_task_samples(spark):
+    from vitalgrid.operators.cohort import MODES, SOURCES, task_samples
+
+    assert {t for tasks in SOURCES.values() for t in tasks} == {"PHE", "DIAG", "REC", "LOS", "MOR", "REA", "IHM"} <= set(MODES)
+    for source, task in (("MIV", "DIAG"), ("PIC", "LOS"), ("none", "LOS"), ("MIII", "PHE")):
+        with pytest.raises(ValueError):
+            task_samples(spark.range(1), source, task)
+
+
+def test_training_mix(spark):
+    from vitalgrid.operators.groups import training_mix, validation_split
+
+    kinds = ["rewrite", "followup", "sub_response", "meta_chose", "final_answer", "decision", "other"]
+    rows = [(f"{k}{i}", k, "x") for k in kinds for i in range(9)] + [(f"t{i}", "terminal", "yes" if i < 4 else "no") for i in range(20)] + [(f"n{i}", "no_gold_path", "x") for i in range(5)]
+    df = spark.createDataFrame(rows, "key string, kind string, output string")
+    count = lambda *a, **k: Counter(r["kind"] for r in training_mix(df, "key", *a, **k).collect())
+    full = {"terminal": 20, "no_gold_path": 5}
+    assert count("MIII-IHM", divisor=10) == {**full, **dict.fromkeys(kinds[:6], 2)} and count("MIII-IHM") == full
+    assert count("eICU-LOS", divisor=5) == {**full, "rewrite": 5, "followup": 5, "final_answer": 5, "decision": 5}
+    assert count("X-SUMMARY", divisor=5) == {**full, "final_answer": 5, "decision": 5}
+    twice = training_mix(df, "key", "MIII-IHM", label="yes", times=3, divisor=10).where("kind = 'terminal'").collect()
+    assert Counter((r["output"], r["copy"]) for r in twice) == {("yes", 1): 4, ("yes", 2): 4, ("yes", 3): 4, ("no", 1): 4}
+    assert count("MIII-REA", label="yes", times=3, divisor=10) == {**full, **dict.fromkeys(kinds[:5], 2)}
+    split = lambda n: Counter(r["split"] for r in validation_split(spark.range(10), "id", n).collect())
+    assert split(3) == {"val": 3, "train": 7} and split(0.25) == {"val": 3, "train": 7} and split(0) == {"train": 10} and split(99) == {"val": 9, "train": 1}
+    with pytest.raises(ValueError):
+        validation_split(spark.range(1), "id", 1.5)

@@ -22,10 +22,14 @@ def without_punctuation(s: Column | str) -> Column:
     return F.translate(s, ASCII_PUNCTUATION, "")
 
 
+def without_articles(s: Column) -> Column:
+    """Articles as words of their own become spaces; letters, digits and underscores of any script belong to words."""
+    return F.regexp_replace(s, "(?<![\\p{L}\\p{N}_])(?:a|an|the)(?![\\p{L}\\p{N}_])", " ")
+
+
 def normalize_answer(s: Column | str) -> Column:
     """Lower case, no ASCII punctuation, no articles, single spaces."""
-    words = F.split(squeeze(without_punctuation(F.lower(s))), " ")
-    return F.array_join(F.filter(words, lambda w: ~w.isin("a", "an", "the") & (w != "")), " ")
+    return squeeze(without_articles(without_punctuation(F.lower(s))))
 
 
 def multiple_choice(s: Column | str) -> Column:
@@ -84,22 +88,33 @@ def parsed_answers(predicted: Column | str, gold: Column | str, task: str) -> Co
     return F.struct(*(x.alias(n) for x, n in zip(forms, ("predicted", "gold", "no_answer"))))
 
 
-#: Characters that are written in several ways, and their plain forms.
-_ONE_TO_ONE = ("‐‑‒–—−‘’‚‛“”„‟´`⁄∕～∼′″", "------''''\"\"\"\"''//~~'\"")
+#: Characters that are written in several ways, and their plain forms, one for one.
+_PLAIN = (
+    ("‐‑‒–—―⁃", "-"), ("−－⁻", "-"), ("“”„‟", '"'), ("‘’‚‛", "'"), ("՚Ꞌꞌ＇", "'"), ("`´", "'"), ("′‵", "'"),
+    ("⁄∕", "/"), ("˜⁓∼∽∿〜～", "~"), ("\x0b\x0c\x85", " "),
+)
+_ONE_TO_ONE = ("".join(a for a, _ in _PLAIN), "".join(b * len(a) for a, b in _PLAIN))
+#: Characters that become several, and those that go.
+_SEVERAL = (("″", "''"), ("‶", "''"), ("‴", "'''"), ("‷", "'''"), ("⁗", "''''"), ("…", "..."), (" . . . ", " ... "))
+_GONE = "[\\x01-\\x08\\x0e\\x0f\\x11-\\x1b\\x{ad}]"
 
 
 def unify(s: Column | str) -> Column:
-    """Controls out, hyphens, quotes, slashes and tildes in one form, ellipsis as dots, repeated marks once."""
-    out = F.translate(s, *_ONE_TO_ONE)
-    out = F.regexp_replace(out, "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "")
-    out = F.replace(out, F.lit("…"), F.lit("..."))
+    """Controls and soft hyphens out, hyphens, quotes, primes, slashes and tildes in one form, ellipsis as dots, repeated question and exclamation marks once."""
+    out = F.translate(F.regexp_replace(s, _GONE, ""), *_ONE_TO_ONE)
+    for mark, plain in _SEVERAL:
+        out = F.replace(out, F.lit(mark), F.lit(plain))
     return F.regexp_replace(F.regexp_replace(out, "[?]{2,}", "?"), "[!]{2,}", "!")
 
 
+def normal_output(s: Column | str) -> Column:
+    """Lower case, unified, no articles, single spaces; punctuation stays."""
+    return squeeze(without_articles(unify(F.lower(s))))
+
+
 def spaced_normal(s: Column | str) -> Column:
-    """As normalize_answer, but punctuation becomes space."""
-    low = F.translate(F.lower(s), ASCII_PUNCTUATION, " " * len(ASCII_PUNCTUATION))
-    return F.array_join(F.filter(F.split(squeeze(low), " "), lambda w: ~w.isin("a", "an", "the") & (w != "")), " ")
+    """As ``normal_output``, and ASCII punctuation becomes space."""
+    return squeeze(without_articles(F.translate(unify(F.lower(s)), ASCII_PUNCTUATION, " " * len(ASCII_PUNCTUATION))))
 
 
 def any_answer_in(text: Column, answers: Column) -> Column:

@@ -129,6 +129,56 @@ def build_samples(visits: DataFrame, task: str, least: int = 1, history: tuple[s
     return with_history(at_least(rows, least), *history, "visit_id")
 
 
+def phenotype_samples(visits: DataFrame, groups: DataFrame, key: str = "visit_id") -> DataFrame:
+    """(visit_id, label): the groups that ``groups`` (code, grp) has for the next visit's conditions; visits without a next one or with an empty role give none."""
+    rows = with_next(visits, "conditions").where(nonempty("conditions", "procedures", "drugs") & F.col("has_next"))
+    return map_groups(rows, "next_conditions", groups, key).withColumnRenamed("groups", "label")
+
+
+def next_code_samples(visits: DataFrame, most: int = 20, least: int = 3) -> DataFrame:
+    """Samples whose label is the next visit's conditions; the latest ``most`` of a patient, and patients with ``least`` or more."""
+    rows = with_next(visits, "conditions").where(nonempty("conditions", "procedures", "drugs") & (F.size("next_conditions") > 0))
+    return with_history(at_least(last_samples(rows, most), least), "visit_id").withColumn("label", F.col("next_conditions"))
+
+
+def drug_samples(visits: DataFrame, least: int = 1, characters: int = 4) -> DataFrame:
+    """Samples whose label is the visit's own drugs, cut to ``characters``; their history hides them."""
+    rows = visits.where(nonempty("conditions", "procedures", "drugs")).withColumn("drugs", truncate_codes(F.col("drugs"), characters))
+    return with_masked_history(at_least(rows, least), "drugs").withColumn("label", F.col("drugs"))
+
+
+#: Task -> kind of its metric, kind of its prompts.
+MODES = {
+    "PHE": ("multilabel", "ehr"), "DIAG": ("multilabel", "ehr"), "REC": ("multilabel", "ehr"), "LOS": ("multiclass", "ehr"), "MOR": ("binary", "ehr"), "REA": ("binary", "ehr"), "IHM": ("binary", "ehr"),
+    "SUMMARY": ("text", "summary"), "MULTIPLE": ("multilabel", "mqa"), "SINGLE": ("multiclass", "qa"),
+}
+#: Which cohort tasks each source has.
+SOURCES = {
+    "MIII": ("PHE", "LOS", "MOR", "IHM", "REA", "REC"), "MIV": ("LOS", "MOR", "IHM", "REA", "REC"), "MIV-Note": ("PHE", "REC"), "eICU": ("PHE", "LOS", "MOR", "IHM", "REA", "REC"),
+    "EHR-SHOT": ("DIAG",), "OMOP": ("DIAG",), "PIC": (), "OMIX": (),
+}
+
+
+def task_samples(visits: DataFrame, source: str, task: str, least: int = 1, groups: DataFrame | None = None) -> DataFrame:
+    """The samples of a source's task, all with a column ``label``; ``groups`` (code, grp) is needed for PHE.
+
+    An unknown source or task, and a task that the source does not have, is an error.
+    """
+    if source not in SOURCES or task not in MODES:
+        raise ValueError(f"no such source or task: {source}, {task}")
+    if task not in SOURCES[source]:
+        raise ValueError(f"{source} has no {task}")
+    if task == "PHE":
+        if groups is None:
+            raise ValueError("PHE needs a table of codes and their groups")
+        return phenotype_samples(visits, groups)
+    if task == "DIAG":
+        return next_code_samples(visits)
+    if task == "REC":
+        return drug_samples(visits, least)
+    return build_samples(visits, {"REA": "readmission", "IHM": "next_mortality", "MOR": "mortality", "LOS": "stay"}[task], least)
+
+
 def with_notes(visits: DataFrame, notes: DataFrame, keys: list[str], column: str, size: int) -> DataFrame:
     """Visits with the vector ``column`` of their note, found by ``keys``; ``size`` zeros where there is none."""
     none = F.array_repeat(F.lit(0.0), size)

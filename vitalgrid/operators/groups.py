@@ -202,3 +202,48 @@ def interleave_by_weight(parts: list[DataFrame], weights: list[float], key: str,
         n *= 2
     chosen = placed.where(F.col("turn") <= total).where(size > 0).withColumn("position", F.col("nth") % size).select("turn", "part", "position")
     return rows.drop("total").join(chosen, ["part", "position"]).drop("position")
+
+
+def validation_split(rows: DataFrame, key: str, size: float, seed: int = 0) -> DataFrame:
+    """``split`` val or train: ``size`` rows (from 1 on) or that fraction of the rows, rounded up, for validation, in hashed order.
+
+    At least one row stays in train; a size of 0 gives train rows only.
+    """
+    if size < 0 or (size >= 1 and size != int(size)):
+        raise ValueError("a whole number of rows, or a fraction below 1")
+    r = hashed_position(rows, key, seed)
+    n = F.lit(int(size)) if size >= 1 else F.ceil(F.col("total") * F.lit(float(size)))
+    return r.withColumn("split", F.when(F.col("position") < F.least(n.cast("long"), F.col("total") - 1), "val").otherwise("train")).drop("position", "total")
+
+
+#: Terminal and pathless rows for each row of a capped kind, by source and task; a hundred elsewhere.
+CAP_DIVISORS = {"MIII-LOS": 200, "MIV-LOS": 500}
+#: Kinds of rows that some sources and tasks leave out of their mix.
+LEFT_OUT = {"MIV-MOR": ("sub_response",), "eICU-LOS": ("sub_response", "meta_chose")}
+
+
+def training_mix(rows: DataFrame, key: str, name: str, label: str | None = None, times: int = 1, divisor: int | None = None, seed: int = 0, kind: str = "kind", output: str = "output") -> DataFrame:
+    """Instruction rows of all kinds as one training set; adds ``copy`` (from 1) and ``place``, a hash to order them by.
+
+    ``name`` is source and task (``MIII-LOS``). Kinds rewrite, followup, sub_response, meta_chose, final_answer and
+    decision have as many rows, in hashed order, as there are terminal and no_gold_path rows for ``divisor`` (see
+    ``CAP_DIVISORS``); summaries have of these final_answer and decision only. Terminal and no_gold_path rows are all
+    taken. With a ``label`` (yes or no) decisions go, and if ``times`` is above 1 (other than for readmission) terminal rows are balanced: as many of that output as of
+    all others, ``times`` times. Unknown kinds go; keys tell rows of a kind apart.
+    """
+    source_task = name.split("-")[-1]
+    short = {"final_answer"} | (set() if source_task == "SUMMARY" else {"rewrite", "followup", "sub_response", "meta_chose"} - set(LEFT_OUT.get(name, ())))
+    if label not in ("yes", "no"):
+        short.add("decision")
+    balanced = label in ("yes", "no") and times > 1 and name not in ("MIII-REA", "MIV-REA")
+    right = F.col(output) == F.lit(label)
+    group = F.concat_ws("/", F.col(kind), F.when(F.lit(balanced) & (F.col(kind) == "terminal"), F.when(right, "own").otherwise("other")).otherwise(""))
+    placed = hashed_position(rows.withColumn("_group", group), key, seed, "_group")
+    counts = rows.agg(F.count_if(F.col(kind).isin("terminal", "no_gold_path")).alias("_all"), F.least(F.count_if((F.col(kind) == "terminal") & right), F.count_if((F.col(kind) == "terminal") & ~F.coalesce(right, F.lit(False)))).alias("_least"))
+    joined = placed.join(F.broadcast(counts))  # one row
+    cap = F.floor(F.col("_all") / (divisor or CAP_DIVISORS.get(name, 100)))
+    terminal = (F.col("position") < F.col("_least")) if balanced else F.lit(True)
+    keep = (F.col(kind).isin(*sorted(short)) & (F.col("position") < cap)) | ((F.col(kind) == "terminal") & terminal) | (F.col(kind) == "no_gold_path")
+    many = F.when(F.lit(balanced) & (F.col(kind) == "terminal") & right, times).otherwise(1)
+    out = oversample(joined.where(keep), many).withColumn("place", hashed(key, "copy", F.lit(seed)))
+    return out.drop("_group", "position", "total", "_all", "_least")

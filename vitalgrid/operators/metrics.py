@@ -181,12 +181,16 @@ def multilabel_metrics(rows: DataFrame, key: str, label: str = "label", y: str =
     def four(e: float) -> dict[str, Column]:
         return {"f1": ratio(2 * tp, n_p + n_t, e), "precision": ratio(tp, n_p), "recall": ratio(tp, n_t), "jaccard": ratio(tp, n_p + n_t - tp, e)}
 
-    labels = rows.groupBy(label).agg(*cells)
-    total = labels.agg(F.sum("tp").alias("tp"), F.sum("np").alias("np"), F.sum("nt").alias("nt")).select(*(c.alias(f"{n}_micro") for n, c in four(0.0).items()))
-    spread = labels.agg(*(F.avg(c).alias(f"{n}_macro") for n, c in four(0.0).items()), *((F.sum(c * n_t) / F.sum(n_t)).alias(f"{n}_weighted") for n, c in four(0.0).items()))
-    samples = rows.groupBy(key).agg(*cells).agg(*(F.avg(c).alias(f"{n}_samples") for n, c in four(1.0).items()))
-    flat = rows.agg(F.avg((t == p).cast("double")).alias("accuracy"), F.avg((t != p).cast("double")).alias("hamming_loss"), F.count_if(t & p).alias("tp"), F.count_if(~t & p).alias("fp"))
-    return total.join(spread).join(samples).join(flat)  # one row each
+    # one pass over the cells: counts by label, by row and over all
+    sets = rows.groupingSets([[F.col(label)], [F.col(key)], []], F.col(label), F.col(key)).agg(F.grouping_id().alias("_g"), *cells, F.count("*").alias("n"), F.count_if(t == p).alias("same"))
+    where = lambda g, c: F.when(F.col("_g") == g, c)
+    by_label, by_row, all_ = 1, 2, 3
+    out = []
+    for n, c in four(0.0).items():
+        out += [F.max(where(all_, c)).alias(f"{n}_micro"), F.avg(where(by_label, c)).alias(f"{n}_macro"), (F.sum(where(by_label, c * n_t)) / F.sum(where(by_label, n_t))).alias(f"{n}_weighted")]
+    out += [F.avg(where(by_row, c)).alias(f"{n}_samples") for n, c in four(1.0).items()]
+    whole = lambda c: F.max(where(all_, c))
+    return sets.agg(*out, whole(F.col("same") / F.col("n")).alias("accuracy"), whole(1 - F.col("same") / F.col("n")).alias("hamming_loss"), whole(tp).alias("tp"), whole(n_p - tp).alias("fp"))
 
 
 def topk_precision(rows: DataFrame, key: str, k: int, label: str = "label", y: str = "y", score: str = "score") -> DataFrame:

@@ -66,29 +66,25 @@ SELECT patient_id, visit_id, array_to_string(list_transform(drugs, lambda x: x[1
   array_to_string(list_concat(['<pad>|<pad>|<pad>'], coalesce(list_transform(list(drugs) OVER (PARTITION BY patient_id ORDER BY encounter_time, visit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), lambda x: array_to_string(list_transform(x, lambda y: y[1:4]), '|')), [])), ';') AS drugs_hist FROM s""")
 def rec_history(spark, sf_dir):
     """Current drugs as the label, with a shifted history that hides them; codes cut to four characters."""
-    v = order_visits(spark, sf_dir).where(C.nonempty("conditions", "procedures", "drugs")).withColumn("drugs", C.truncate_codes(F.col("drugs"), 4))
-    s = C.with_masked_history(C.at_least(v, 1), "drugs")
-    return s.select("patient_id", "visit_id", joined("drugs").alias("labels"), nested("drugs_hist").alias("drugs_hist"))
+    s = C.task_samples(order_visits(spark, sf_dir), "MIV", "REC")
+    return s.select("patient_id", "visit_id", joined("label").alias("labels"), nested("drugs_hist").alias("drugs_hist"))
 
 
 @query(f"""{_NEXT}, f AS (SELECT * FROM n WHERE {_FULL} AND next_time IS NOT NULL), u AS (SELECT visit_id, patient_id, unnest(next_conditions) AS code FROM f)
 SELECT visit_id, string_agg(DISTINCT grp, '|' ORDER BY grp) AS labels FROM (SELECT visit_id, 'G' || CAST(ascii(code[7:7]) % 3 AS VARCHAR) AS grp FROM u) GROUP BY visit_id""")
 def phe_labels(spark, sf_dir):
     """Groups of the next visit's conditions by a lookup table of codes."""
-    v = order_visits(spark, sf_dir)
     codes = table(spark, sf_dir, "part").select(F.col("p_brand").alias("code")).distinct()
     groups = codes.withColumn("grp", F.concat(F.lit("G"), (F.ascii(F.substring("code", 7, 1)) % 3).cast("string")))
-    rows = C.with_next(v, "conditions").where(C.nonempty("conditions", "procedures", "drugs") & F.col("has_next"))
-    return C.map_groups(rows, "next_conditions", groups).select("visit_id", joined("groups").alias("labels"))
+    return C.task_samples(order_visits(spark, sf_dir), "MIII", "PHE", groups=groups).select("visit_id", joined("label").alias("labels"))
 
 
 @query(f"""{_NEXT}, f AS (SELECT * FROM n WHERE {_FULL} AND len(next_conditions) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY encounter_time DESC, visit_id DESC) AS r FROM f), k AS (SELECT * FROM r WHERE r <= 20), {_least('k', 3)}
 SELECT patient_id, visit_id, array_to_string(next_conditions, '|') AS labels, len(list(visit_id) OVER w) AS n_hist FROM s {_W}""")
 def diag_samples(spark, sf_dir):
     """Next visit's codes as the label; only the last 20 samples of a patient, and patients with three or more."""
-    rows = C.with_next(order_visits(spark, sf_dir), "conditions").where(C.nonempty("conditions", "procedures", "drugs") & (F.size("next_conditions") > 0))
-    s = C.with_history(C.at_least(C.last_samples(rows, 20), 3), "visit_id")
-    return s.select("patient_id", "visit_id", joined("next_conditions").alias("labels"), F.size("visit_id_hist").cast("long").alias("n_hist"))
+    s = C.task_samples(order_visits(spark, sf_dir), "OMOP", "DIAG")
+    return s.select("patient_id", "visit_id", joined("label").alias("labels"), F.size("visit_id_hist").cast("long").alias("n_hist"))
 
 
 @query(f"""WITH {VISITS_SQL}, f AS (SELECT * FROM visits WHERE {_FULL}), h AS (SELECT patient_id, visit_id, list(conditions) OVER w AS hist FROM f {_W})

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import communities as C
 from ..operators import evaluate as E
+from ..operators import groups as G
 from ..operators import retrieval as R
 from ..operators.agent import echo_llm
 from ..operators.groups import ordered_position
+from ..operators.traces import instruction_rows
 from ..sources.registry import Tags, chat_rows
 from ..sources.tables import table
 from .common import ORACLES, query
 from .graph import _NODES, _nodes
 from .metrics import _binary, _cells, _classes
+from .text import _WORDS
+from .traces import _traces
 
 
 def _values(task: str, mode: str, found: dict[str, tuple[str, ...]]) -> str:
@@ -90,3 +95,33 @@ def chat_dataset(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
     rows = chat_rows(c, "messages", Tags(role="role", content="text", user="user", assistant="assistant"))
     return rows.select("conv_id", "system", "prompt", "response", F.array_join("history", "|").alias("history"))
+
+
+@query(f"""WITH r AS ({ORACLES["trace_reshape"]}), q AS (SELECT *, conv_id || '-' || step || '-' || kind AS key FROM r), p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5(key || '-3'), key) - 1 AS p FROM q), c AS (SELECT count(*) FILTER (kind IN ('terminal', 'no_gold_path')) // 5 AS cap FROM q)
+SELECT kind, key FROM p, c WHERE kind IN ('terminal', 'no_gold_path') OR (p < cap AND kind IN ('rewrite', 'followup', 'meta_chose', 'final_answer', 'decision'))""")
+def training_mixture(spark, sf_dir):
+    """Instruction rows of all kinds, with caps; one kind is left out for this source and task."""
+    rows = instruction_rows(_traces(spark, sf_dir), "conv_id").withColumn("key", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("step").cast("string"), "kind"))
+    return G.training_mix(rows, "key", "MIV-MOR", divisor=5, seed=3).select("kind", "key")
+
+
+@query("""WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || '-2'), doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) SELECT doc_id, CASE WHEN p < 50 THEN 'val' ELSE 'train' END AS fixed, CASE WHEN p < ceil(n * 0.15::DOUBLE) THEN 'val' ELSE 'train' END AS share FROM p""")
+def validation_splits(spark, sf_dir):
+    """Fifty rows, and fifteen per cent of the rows, for validation."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    a, b = (G.validation_split(d, "doc_id", x, 2).withColumnRenamed("split", n) for x, n in ((50, "fixed"), (0.15, "share")))
+    return a.join(b, "doc_id")
+
+
+@query(f"""WITH {_NODES}, k AS (SELECT node_type, node_id, node_name, row_number() OVER (PARTITION BY node_type ORDER BY node_id) - 1 AS p FROM nodes WHERE node_type IN ('nation', 'supplier')) SELECT node_type AS community, p // 40 AS chunk, count(*)::INT AS n, string_agg(node_name, '|' ORDER BY node_id) AS texts FROM k GROUP BY ALL""")
+def subgraph_texts(spark, sf_dir):
+    """Names of the nodes of an induced subgraph by type, in chunks of forty."""
+    kept = _nodes(spark, sf_dir).where(F.col("node_type").isin("nation", "supplier"))
+    return C.community_chunks(kept, "node_type", "node_id", "node_name", 40).withColumn("texts", F.array_join("texts", "|"))
+
+
+@query(f"""WITH w AS (SELECT doc_id, len({_WORDS('text')}) AS n FROM documents) SELECT doc_id, n::INT AS n_words FROM w WHERE n >= 60 ORDER BY md5(doc_id || '-8'), doc_id LIMIT 1000""")
+def token_filtered(spark, sf_dir):
+    """Rows of sixty words or more, the first thousand in seeded order: the cap is the feature."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.size(T.words("text")).alias("n_words")).where("n_words >= 60")
+    return d.orderBy(G.hashed("doc_id", F.lit(8)), "doc_id").limit(1000)

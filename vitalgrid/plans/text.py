@@ -14,8 +14,21 @@ _PUNCT = T.ASCII_PUNCTUATION.replace("'", "''")
 _SQ = lambda x: f"trim(regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 _NOP = lambda x: f"translate({x}, '{_PUNCT}', '')"
 _WORDS = lambda x: f"list_filter(string_split({_SQ(_NOP('lower(' + x + ')'))}, ' '), lambda w: w <> '')"
-_NORM = lambda x: f"array_to_string(list_filter(string_split({_SQ(_NOP('lower(' + x + ')'))}, ' '), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')"
-_SPACED = lambda x: f"array_to_string(list_filter(string_split({_SQ('translate(lower(' + x + f'), {chr(39)}{_PUNCT}{chr(39)}, {chr(39)}' + ' ' * len(T.ASCII_PUNCTUATION) + chr(39) + ')')}, ' '), lambda w: w NOT IN ('a', 'an', 'the', '')), ' ')"
+_ARTICLE = "(^|[^\\p{L}\\p{N}_])(?:a|an|the)([^\\p{L}\\p{N}_]|$)"
+# RE2 looks at no character beside a match: it is taken along and put back, twice, as the one after a match can begin the next.
+_NOART = lambda x: f"regexp_replace(regexp_replace({x}, '{_ARTICLE}', '\\1 \\2', 'g'), '{_ARTICLE}', '\\1 \\2', 'g')"
+_NORM = lambda x: _SQ(_NOART(_NOP("lower(" + x + ")")))
+_QUOTED = lambda p: p.replace("'", "''")
+
+
+def _unified(x: str) -> str:
+    out = f"translate(regexp_replace({x}, '{T._GONE}', '', 'g'), '{_QUOTED(T._ONE_TO_ONE[0])}', '{_QUOTED(T._ONE_TO_ONE[1])}')"
+    for mark, plain in T._SEVERAL:
+        out = f"replace({out}, '{mark}', '{_QUOTED(plain)}')"
+    return f"regexp_replace(regexp_replace({out}, '[?]{{2,}}', '?', 'g'), '[!]{{2,}}', '!', 'g')"
+
+
+_SPACED = lambda x: _SQ(_NOART(f"translate({_unified('lower(' + x + ')')}, '{_PUNCT}', '{' ' * len(T.ASCII_PUNCTUATION)}')"))
 
 
 def _docs(spark, sf_dir):
@@ -39,9 +52,6 @@ def multichoice(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.multiple_choice("text").alias("choice"))
 
 
-_QUOTED = lambda p: p.replace("'", "''")
-
-
 @query(f"""WITH s AS (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, CASE {' '.join(f"WHEN regexp_matches(t, '{_QUOTED(p)}') THEN regexp_extract(t, '{_QUOTED(p)}', 1)" for p in T._LOCATE)} WHEN t IS NULL THEN 'NA' ELSE trim(t) END AS answer FROM s""")
 def locate_answers(spark, sf_dir):
@@ -59,9 +69,24 @@ def stay_answers(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.last_digit_class("text").alias("class"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(replace(regexp_replace(translate(text, '""" + T._ONE_TO_ONE[0] + "', '" + T._ONE_TO_ONE[1].replace("'", "''") + """'), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '…', '...'), '[?]{2,}', '?', 'g'), '[!]{2,}', '!', 'g') AS plain FROM documents""")
+_MESS = "replace(replace(replace(replace(text, ' a ', ' “a” – '), '. ', '… '), 'e', 'e' || chr(173)), 'the ', 'l’the″ ?? !! ')"
+
+
+def _messy(text):
+    """Texts with characters that are written in several ways."""
+    out = F.replace(F.replace(text, F.lit(" a "), F.lit(" “a” – ")), F.lit(". "), F.lit("… "))
+    return F.replace(F.replace(out, F.lit("e"), F.lit("e\xad")), F.lit("the "), F.lit("l’the″ ?? !! "))
+
+
+@query(f"SELECT doc_id, {_unified(_MESS)} AS plain FROM documents")
 def unify_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", T.unify("text").alias("plain"))
+    """Texts with several kinds of quotes, hyphens and dots in one form."""
+    return _docs(spark, sf_dir).select("doc_id", T.unify(_messy(F.col("text"))).alias("plain"))
+
+
+@query(f"SELECT doc_id, {_SQ(_NOART(_unified('lower(' + _MESS + ')')))} AS normal FROM documents")
+def output_normalize(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.normal_output(_messy(F.col("text"))).alias("normal"))
 
 
 @query(f"SELECT doc_id, {_SPACED('text')} AS normal FROM documents")
@@ -111,13 +136,13 @@ def between_markers(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", T.between("text", "the ", " of").alias("inner_text"))
 
 
-@query("""WITH k AS (SELECT item_id, regexp_replace(text, '[^a-zA-Z]', '', 'g') AS k FROM benchmark), d AS (SELECT doc_id, regexp_replace(split_part(text, chr(10), 1), '[^a-zA-Z]', '', 'g') AS k FROM documents), m AS (SELECT k, max(doc_id) AS doc_id FROM d WHERE k <> '' GROUP BY k), e AS (SELECT regexp_replace(split_part(text, chr(10), 1), '[^a-zA-Z]', '', 'g') AS k, item_id FROM benchmark)
-SELECT item_id, doc_id FROM e LEFT JOIN m USING (k)""")
+@query("""WITH k AS (SELECT doc_id, regexp_replace(text, '[^a-zA-Z]', '', 'g') AS k FROM documents), m AS (SELECT k, max(doc_id) AS record FROM k WHERE k <> '' AND doc_id % 2 = 1 GROUP BY k)
+SELECT doc_id, record FROM k LEFT JOIN m USING (k) WHERE doc_id % 2 = 0""")
 def letters_key_join(spark, sf_dir):
-    """Questions to records by letters only; the last writer wins, a miss is null."""
-    key = lambda c: T.letters_only(F.split_part(c, F.lit("\n"), F.lit(1)))
-    m = _docs(spark, sf_dir).select(key(F.col("text")).alias("k"), "doc_id").where("k <> ''").groupBy("k").agg(F.max_by("doc_id", "doc_id").alias("doc_id"))
-    return table(spark, sf_dir, "benchmark").select("item_id", key(F.col("text")).alias("k")).join(m, "k", "left").select("item_id", "doc_id")
+    """Texts of even ids to those of odd ids by their letters only; the last writer wins, a miss is null."""
+    k = _docs(spark, sf_dir).select("doc_id", F.md5(T.letters_only("text")).alias("k"), (T.letters_only("text") != "").alias("some"))
+    m = k.where("some and doc_id % 2 = 1").groupBy("k").agg(F.max("doc_id").alias("record"))
+    return k.where("doc_id % 2 = 0").join(m, "k", "left").select("doc_id", "record")
 
 
 _PAIR = "WITH p AS (SELECT doc_id, split_part(text, chr(10), 1) AS a, text AS b, coalesce(nullif(substr(text, strpos(text, chr(10)) + 1), ''), text) AS c FROM documents)"
@@ -222,11 +247,13 @@ def query_tail(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.right("text", F.lit(2047)).alias("tail"))
 
 
-@query("SELECT doc_id, CASE WHEN length(split_part(text, chr(10), 2)) < 2 THEN 'Question: ' || split_part(text, chr(10), 1) ELSE 'Context: ' || split_part(text, chr(10), 2) || chr(10) || 'Question: ' || split_part(text, chr(10), 1) END AS input FROM documents")
+@query("WITH p AS (SELECT doc_id, split_part(text, chr(10), 1) AS q, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS c FROM documents) SELECT doc_id, CASE WHEN length(c) < 2 THEN 'Question: ' || q ELSE 'Context: ' || c || chr(10) || 'Question: ' || q END AS input FROM p")
 def conditional_prompt(spark, sf_dir):
-    """A prompt with context where there is one."""
-    line = lambda i: F.split_part(F.col("text"), F.lit("\n"), F.lit(i))
-    return _docs(spark, sf_dir).select("doc_id", F.when(F.length(line(2)) < 2, F.concat(F.lit("Question: "), line(1))).otherwise(F.concat(F.lit("Context: "), line(2), F.lit("\nQuestion: "), line(1))).alias("input"))
+    """A prompt of the first line as question, with all that follows it as context where there is some."""
+    q = F.split_part(F.col("text"), F.lit("\n"), F.lit(1))
+    c = F.when(F.contains("text", F.lit("\n")), F.expr("substring(text, instr(text, '\n') + 1)")).otherwise(F.lit(""))
+    p = _docs(spark, sf_dir).select("doc_id", q.alias("q"), c.alias("c"))
+    return p.select("doc_id", F.when(F.length("c") < 2, F.concat(F.lit("Question: "), "q")).otherwise(F.concat(F.lit("Context: "), "c", F.lit("\nQuestion: "), "q")).alias("input"))
 
 
 @query("SELECT doc_id, '' AS instruction, text AS input, lang AS output FROM documents WHERE n_chars >= 500 AND text IS NOT NULL AND lang IS NOT NULL")
@@ -247,25 +274,25 @@ def chat_to_instruction(spark, sf_dir):
     return c.where("tag = 'human' and next_tag = 'gpt'").select("conv_id", "turn", F.col("text").alias("instruction"), F.col("reply").alias("output"), F.md5("hist").alias("history_md5"))
 
 
-@query("""WITH s AS (SELECT source, string_agg('Q: ' || split_part(text, chr(10), 1), chr(10) ORDER BY r) AS shots FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '-9'), doc_id) AS r FROM documents) WHERE r <= 3 GROUP BY source)
-SELECT doc_id, 'Questions on ' || source || chr(10) || shots || chr(10) || 'Q: ' || split_part(text, chr(10), 1) || chr(10) || 'A:' AS prompt FROM documents JOIN s USING (source)""")
+@query("""WITH s AS (SELECT source, string_agg('Q: ' || text, chr(10) ORDER BY r) AS shots FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '-9'), doc_id) AS r FROM documents) WHERE r <= 3 GROUP BY source)
+SELECT doc_id, md5('Questions on ' || source || chr(10) || shots || chr(10) || 'Q: ' || text || chr(10) || 'A:') AS prompt_md5 FROM documents JOIN s USING (source)""")
 def fewshot_prompt(spark, sf_dir):
     """A subject prefix, three support questions in seeded order, and the target."""
     from ..operators.groups import hashed, per_group_sample
 
-    d = _docs(spark, sf_dir).select("doc_id", "source", F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("q"))
+    d = _docs(spark, sf_dir).select("doc_id", "source", F.col("text").alias("q"))
     s = per_group_sample(d, "source", "doc_id", 3, 9).withColumn("h", hashed("doc_id", F.lit(9)))
     shots = s.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "q"))).alias("x")).select("source", F.array_join(F.transform("x", lambda x: F.concat(F.lit("Q: "), x["q"])), "\n").alias("shots"))
-    return d.join(shots, "source").select("doc_id", F.concat(F.lit("Questions on "), "source", F.lit("\n"), "shots", F.lit("\nQ: "), "q", F.lit("\nA:")).alias("prompt"))
+    return d.join(shots, "source").select("doc_id", F.md5(F.concat(F.lit("Questions on "), "source", F.lit("\n"), "shots", F.lit("\nQ: "), "q", F.lit("\nA:"))).alias("prompt_md5"))
 
 
-@query("""SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, array_to_string(regexp_extract_all(html, '<a href="([^"]*)">', 1)[1:3], '|') AS links, len(regexp_extract_all(html, '<p>')) AS n_paragraphs FROM pages""")
+@query("""SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, array_to_string(regexp_extract_all(html, '<a href="([^"]*)">', 1), '|') AS links, len(regexp_extract_all(html, '<p>')) AS n_paragraphs FROM pages""")
 def page_extract(spark, sf_dir):
-    """Records from markup: title, host, the first three links, number of paragraphs."""
+    """Records from markup: title, host, links, number of paragraphs."""
     p = table(spark, sf_dir, "pages")
     return p.select(
         "page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"),
-        F.array_join(F.slice(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), 1), 1, 3), "|").alias("links"), F.size(F.regexp_extract_all("html", F.lit("(<p>)"), 1)).cast("long").alias("n_paragraphs"),
+        F.array_join(F.regexp_extract_all("html", F.lit('<a href="([^"]*)">'), 1), "|").alias("links"), F.size(F.regexp_extract_all("html", F.lit("(<p>)"), 1)).cast("long").alias("n_paragraphs"),
     )
 
 
