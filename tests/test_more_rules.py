@@ -486,3 +486,20 @@ def test_training_mix(spark):
     assert split(3) == {"val": 3, "train": 7} and split(0.25) == {"val": 3, "train": 7} and split(0) == {"train": 10} and split(99) == {"val": 9, "train": 1}
     with pytest.raises(ValueError):
         validation_split(spark.range(1), "id", 1.5)
+
+
+def test_prompts(spark):
+    from vitalgrid.operators.prompts import FAMILIES, fill, found_chunks, found_graph, summary_prompts
+    from vitalgrid.sources.visits import names_at_level, names_without_dots
+
+    assert one(spark, fill("{a} and {b}{a}", a="x", b=F.col("y")), x="1", y=None) == "1 and 1"
+    with pytest.raises(ValueError):
+        fill(FAMILIES["answer"], context=F.lit("x"))
+    chunks = spark.createDataFrame([(1, 2, 0.5, "b"), (1, 1, 0.9, "a")], "qid int, rank int, score double, text string")
+    asked = spark.createDataFrame([(1, "why"), (2, "how")], "qid int, question string")
+    got = {r["qid"]: r["prompt"] for r in summary_prompts(asked, found_chunks(chunks)).collect()}
+    assert got[1] == "Question: why\n\nText found:\n- chunk 1 (score 0.9): a\n- chunk 2 (score 0.5): b\nSummarise what bears on the question." and "Nothing found." in got[2]
+    graph = spark.createDataFrame([(1, "node", "gene", 1, 7, "g7"), (1, "node", "drug", 1, 3, "d3")], "qid int, part string, kind string, rank int, item int, text string")
+    assert found_graph(graph).first()["found"] == "Nodes found:\n- drug\n  - 3: d3\n- gene\n  - 7: g7\nEdges found:\nnone"
+    names = spark.createDataFrame([("A", "x"), ("A01", "y"), ("01.2", "z")], "code string, name string")
+    assert [r["code"] for r in names_at_level(names, 2).collect()] == ["A01"] and "012" in [r["code"] for r in names_without_dots(names).collect()]

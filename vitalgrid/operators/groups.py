@@ -80,11 +80,25 @@ def ordered_position(rows: DataFrame, key: str, group: str | None = None) -> Dat
     return inner.join(before, same).withColumn("position", F.col("_before") + F.col("_r") - 1).drop("_range", "_r", "_before", "_c", "_g")
 
 
-def split_keys(keys: DataFrame, key: str, ratios: tuple[float, float], seed: int) -> DataFrame:
-    """``split`` train, val or test: the hashed order cut at int(n * r0) and int(n * (r0 + r1))."""
+def split_keys(keys: DataFrame, key: str, ratios: tuple[float, float], seed: int, train_ratio: float = 1.0) -> DataFrame:
+    """``split`` train, val or test: the hashed order cut at int(n * r0) and int(n * (r0 + r1)).
+
+    With a ``train_ratio`` below 1 only int(train keys * train_ratio) stay in train; the others are ``unused``.
+    """
     r = hashed_position(keys, key, seed)
     cut = lambda x: (F.col("total") * F.lit(x)).cast("long")
-    return r.withColumn("split", F.when(F.col("position") < cut(ratios[0]), "train").when(F.col("position") < cut(ratios[0] + ratios[1]), "val").otherwise("test"))
+    own = (cut(ratios[0]) * F.lit(train_ratio)).cast("long")
+    return r.withColumn("split", F.when(F.col("position") < own, "train").when(F.col("position") < cut(ratios[0]), "unused").when(F.col("position") < cut(ratios[0] + ratios[1]), "val").otherwise("test"))
+
+
+def row_indexes(rows: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, indexes, n, least): the places of each group's rows in the order of ``key`` among all rows, and the fewest that any group has.
+
+    Groups are patients: their rows are few.
+    """
+    placed = ordered_position(rows.select(group, key), key)
+    g = placed.groupBy(group).agg(F.array_sort(F.collect_list("position")).alias("indexes"), F.count("*").alias("n"))
+    return g.join(F.broadcast(g.agg(F.min("n").alias("least"))))  # one row
 
 
 def drop_last(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:

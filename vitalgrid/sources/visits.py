@@ -48,3 +48,13 @@ VISITS_SQL = """visits AS (
   FROM orders LEFT JOIN (
     SELECT l_orderkey, max(l_shipdate) AS discharge_time, list_sort(list(DISTINCT p_brand)) AS conditions, list_sort(list(DISTINCT p_type)) AS procedures, list_sort(list(DISTINCT p_name)) AS drugs
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"""
+
+
+def names_at_level(names: DataFrame, level: int, code: str = "code") -> DataFrame:
+    """The name map of one level of a coding whose codes have a character more at each level: codes of ``level`` + 1 characters."""
+    return names.where(F.length(code) == level + 1)
+
+
+def names_without_dots(names: DataFrame, code: str = "code") -> DataFrame:
+    """The name map with the dots taken out of its codes."""
+    return names.withColumn(code, F.replace(code, F.lit(".")))
