@@ -537,3 +537,24 @@ def test_hostile_pages_take_time_in_proportion(page):
     began = time.process_time()
     main_text(page)
     assert time.process_time() - began < 20
+
+
+def test_pipeline_runs_whole_and_on_nothing(spark, sf, tmp_path):
+    """Every piece of the packed corpus lies in one place of one sequence; an empty table gives none."""
+    import corpus_pipeline
+
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    by = defaultdict(list)
+    for p in pieces:
+        by[p["sequence_id"]].append((p["offset"], p["length"]))
+    for parts in by.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    assert pieces and {p["doc_id"] for p in pieces} <= {r["doc_id"] for r in documents.select("doc_id").collect()}
+    documents.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
