@@ -9,12 +9,14 @@ from . import common, licenses, manifest
 
 
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page as lines; null, empty and textless pages give an empty text, repeated rows a row each."""
     from .htmltext import extract_pages
 
     return extract_pages(common.table(spark, sf_dir, "pages"))
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words removed from every document because a window of 13 words starts in one of smaller id; null texts have no words, null ids neither lose nor claim windows."""
     from .dedup import without_repeats
 
     return without_repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
@@ -30,42 +32,49 @@ def op3_mixing_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 4096 ids; null and empty texts are the end id alone, repeated rows are packed each."""
     from .packing import pack_documents
 
     return pack_documents(common.table(spark, sf_dir, "documents"))
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text; null and empty texts have none."""
     from .tokens import token_counts
 
     return token_counts(common.table(spark, sf_dir, "documents"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness; ids are numbers, null ones come first, null texts are empty."""
     from .fingerprint import document_fingerprints
 
     return document_fingerprints(common.table(spark, sf_dir, "documents"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; null texts and those without words link with nothing, null ids have no component."""
     from .jaccard import jaccard_components
 
     return jaccard_components(common.table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction for every text; null and empty ones are scored as texts without words."""
     from .toxicity import toxicity_scores
 
     return toxicity_scores(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict for every text; null and empty ones have zeros and fail the base check."""
     from .quality import quality_rules
 
     return quality_rules(common.table(spark, sf_dir, "documents"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in every text; null and empty ones have none."""
     return licenses.license_scan(common.table(spark, sf_dir, "documents"))
 
 
