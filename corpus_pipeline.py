@@ -30,7 +30,10 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Windows of 13 words that a document with a smaller id has are cut; what is left becomes the text."""
+    """Windows of 13 words that a document with a smaller id has are cut; what is left becomes the text.
+
+    A document of which nothing is left goes; null and empty texts and null ids stay as they are.
+    """
     cut = without_repeats(docs).where("n_words = 0 or n_removed < n_words")
     changed = cut.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return changed.select(*docs.columns)

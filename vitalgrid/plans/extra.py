@@ -90,7 +90,7 @@ def brier_top1(spark, sf_dir):
 @query(f"""{_E}, o AS (SELECT vec_id, y, i AS k, scores[i + 1] AS s FROM e, range(0, 10) r(i) WHERE y < 10), a AS (SELECT x.k AS k, x.y AS neg, avg(CASE WHEN p.s > x.s THEN 1.0 WHEN p.s = x.s THEN 0.5 ELSE 0.0 END) AS v FROM o p JOIN o x ON x.k = p.k AND p.y = p.k AND x.y <> x.k GROUP BY ALL), c AS (SELECT y, count(*) AS n FROM e WHERE y < 10 GROUP BY y)
 SELECT round(avg(v), 9) AS macro_ovo, round(sum(v * (s.n + t.n)) / sum(s.n + t.n), 9) AS weighted_ovo FROM a JOIN c s ON s.y = a.k JOIN c t ON t.y = a.neg""")
 def multiclass_auc_ovo(spark, sf_dir):
-    """AUC of every ordered pair of classes, plain and weighted by the rows of both."""
+    """AUC of every ordered pair of the ten classes that have a score, plain and weighted by the rows of both; vectors of other labels are in no pair."""
     cells = _classes(spark, sf_dir).where("y < 10").select("y", F.posexplode("scores").alias("k", "s"))
     own = cells.where("y = k").select("k", "s", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("neg"), F.lit(1).alias("t")).where("neg <> k")
     other = cells.where("y <> k").select("k", "s", F.col("y").alias("neg"), F.lit(0).alias("t"))

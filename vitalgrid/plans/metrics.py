@@ -98,6 +98,7 @@ def _ranks(spark, sf_dir):
 @query(f"""{_E}, r AS (SELECT len(list_filter(scores, lambda s: s > scores[y + 1])) + 1 AS rank FROM e WHERE y < 10)
 SELECT round(avg(CAST(rank <= 1 AS INT)), 9) AS hits_1, round(avg(CAST(rank <= 5 AS INT)), 9) AS hits_5, round(avg(CAST(rank <= 10 AS INT)), 9) AS hits_10, round(avg(rank), 9) AS mean_rank, round(avg(1.0 / rank), 9) AS mrr FROM r""")
 def hits_mrr(spark, sf_dir):
+    """Ranks of the true class among the ten that have a score; vectors of other labels have no rank and are left out."""
     return _rounded(M.rank_metrics(_ranks(spark, sf_dir)))
 
 
@@ -144,7 +145,7 @@ _AUC1 = "(SELECT c.k, avg(CASE WHEN p.s > q.s THEN 1.0 WHEN p.s = q.s THEN 0.5 E
 @query(f"""{_E}, o AS (SELECT vec_id, y, i AS k, scores[i + 1] AS s FROM e, range(0, 10) r(i)), c AS (SELECT y AS k, count(*) AS n FROM e WHERE y < 10 GROUP BY y), v AS {_AUC1}
 SELECT round(avg(v), 9) AS macro_ovr, round(sum(v * n) / sum(n), 9) AS weighted_ovr FROM v JOIN c USING (k)""")
 def multiclass_auc_ovr(spark, sf_dir):
-    """One-vs-rest AUC, plain and weighted by class size."""
+    """One-vs-rest AUC of the ten classes that have a score, plain and weighted by class size; vectors of other labels count as rest only."""
     cells = _classes(spark, sf_dir).select("y", F.posexplode("scores").alias("k", "s")).withColumn("t", (F.col("y") == F.col("k")).cast("int"))
     auc = M.roc_auc(cells, "t", "s", ("k",)).join(cells.groupBy("k").agg(F.sum("t").alias("n")), "k").where("roc_auc is not null")
     return auc.agg(F.round(F.avg("roc_auc"), 9).alias("macro_ovr"), F.round(F.sum(F.col("roc_auc") * F.col("n")) / F.sum("n"), 9).alias("weighted_ovr"))
