@@ -503,3 +503,24 @@ def test_prompts(spark):
     assert found_graph(graph).first()["found"] == "Nodes found:\n- drug\n  - 3: d3\n- gene\n  - 7: g7\nEdges found:\nnone"
     names = spark.createDataFrame([("A", "x"), ("A01", "y"), ("01.2", "z")], "code string, name string")
     assert [r["code"] for r in names_at_level(names, 2).collect()] == ["A01"] and "012" in [r["code"] for r in names_without_dots(names).collect()]
+
+
+def test_answers_from_texts(spark):
+    from vitalgrid.functions.text import author_name, chat_question, journal_text, match_words
+    from vitalgrid.operators.evaluate import evaluate_answers
+
+    value = lambda rows, task: {r["metric"]: r["value"] for r in evaluate_answers(spark.createDataFrame(rows, "key int, predicted string, gold string, source string"), task).collect()}
+    got = value([(1, "The answer is: yes.", "yes", ""), (2, "Answer: no", "yes", ""), (3, "hm", "no", ""), (4, None, "no", "")], "REA")
+    assert got["accuracy"] == 0.75 and got["recall"] == 0.5 and got["precision"] == 1 and got["no_answer"] == 0.5
+    stay = value([(1, "3 days", "3days", ""), (2, "some 12", "0days", ""), (3, "9", "4days", "")], "LOS")
+    assert stay["accuracy"] == pytest.approx(2 / 3)
+    assert value([(1, "It is B", "B", ""), (2, "Answer: C", "A", "")], "SINGLE")["em"] == 0.5
+    assert value([(1, "the cat sat", "a cat sat", "cat sat there")], "SUMMARY")["rouge1"] == 1.0
+    with pytest.raises(KeyError):
+        value([(1, "x", "y", "")], "MULTI")
+    chat = "x<|start_header_id|>user<|end_header_id|>\n\n Why\n  so ⋮?<|start_header_id|>assistant<|end_header_id|>a"
+    assert one(spark, chat_question("t"), t=chat) == "Why so ?" and one(spark, chat_question("t"), t="none") == ""
+    assert one(spark, author_name(F.col("a"), F.col("b")), a="Doe", b="Ann  Mary") == "Doe AM" and one(spark, author_name(F.col("a"), F.col("b")), a="Doe", b=None) == "Doe"
+    journal = lambda t, y: one(spark, journal_text(F.col("t"), F.col("y")), t=t, y=y)
+    assert journal("The Journal of Very Long Names Indeed", "2020") == "Journal Very Long Names Indeed, 2020" and journal("Cell", None) == "Cell" and journal(None, "1999") == "1999" and journal(None, None) is None
+    assert one(spark, match_words("t"), t="A-b, (C) d") == ["ab", "c", "d"]

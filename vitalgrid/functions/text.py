@@ -299,3 +299,43 @@ def initials(name: Column) -> Column:
 def short_name(s: Column | str, longer_than: int = 3, most: int = 30) -> Column:
     """Words of more than three characters, 30 characters in all at most."""
     return F.substring(F.array_join(F.filter(F.split(s, " "), lambda w: F.length(w) > longer_than), " "), 1, most)
+
+
+def author_name(last: Column, fore: Column) -> Column:
+    """The last name, and behind it the initials of the fore names if there are any."""
+    own = initials(squeeze(F.coalesce(fore, F.lit(""))))
+    return F.when(own != "", F.concat(last, F.lit(" "), own)).otherwise(last)
+
+
+def journal_text(title: Column, year: Column) -> Column:
+    """A journal's title (of more than two words: in its short form) and the year, parted by a comma; null without both."""
+    many = F.size(F.filter(F.split(squeeze(title), " "), lambda w: w != "")) > 2
+    name = F.when(many, short_name(squeeze(title))).otherwise(title)
+    return F.nullif(F.concat_ws(", ", F.nullif(name, F.lit("")), F.nullif(year, F.lit(""))), F.lit(""))
+
+
+#: What stands before and behind a question in a rendered chat, and a sign that is taken out of it.
+_CHAT = ("<|start_header_id|>user<|end_header_id|>", "<|start_header_id|>assistant<|end_header_id|>", "⋮")
+
+
+def chat_question(s: Column | str) -> Column:
+    """The first user text of a rendered chat, white space made single; empty if there is none."""
+    return stripped(F.replace(F.regexp_replace(between(s, *_CHAT[:2]), f"{WHITE}+", " "), F.lit(_CHAT[2])))
+
+
+def without_match_signs(s: Column | str) -> Column:
+    """Without the signs that are taken out before matching."""
+    return F.translate(s, MATCH_PUNCTUATION, "")
+
+
+def match_words(s: Column | str) -> Column:
+    """Words in lower case without those signs."""
+    return F.filter(F.split(F.regexp_replace(F.lower(without_match_signs(s)), f"{WHITE}+", " "), " "), lambda w: w != "")
+
+
+def path_list(number: str, path: str, description: str | None = None) -> Column:
+    """Meta-paths (few) as the text of a prompt, by number: an aggregate."""
+    parts = [F.lit("ID: "), F.col(number).cast("string"), F.lit("\nMeta_path: "), F.col(path), F.lit("\n")]
+    if description:
+        parts += [F.lit("Description: "), F.col(description), F.lit("\n")]
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(number).alias("n"), F.concat(*parts).alias("t")))), lambda x: x["t"]), "\n")

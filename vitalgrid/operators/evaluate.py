@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from . import metrics as M
 from . import overlap as O
+from .agent import _stored
 
 
 #: kind of metric -> its metrics
@@ -123,3 +124,35 @@ def unmatched(predictions: DataFrame, truths: DataFrame, key: str) -> DataFrame:
     """(key, side): keys that only predictions or only truths have, so that a join by key loses nothing unseen; null keys match nothing."""
     only = lambda a, b, side: a.select(key).join(b.select(key).distinct(), key, "left_anti").select(key, F.lit(side).alias("side"))
     return only(predictions, truths, "prediction").unionByName(only(truths, predictions, "truth"))
+
+
+#: task -> how its answers are parsed
+PARSED = {"MOR": "binary", "REA": "binary", "IHM": "binary", "LOS": "stay", "SINGLE": "single", "SUMMARY": "summary"}
+
+
+def parsed_predictions(rows: DataFrame, task: str, predicted: str = "predicted", gold: str = "gold") -> DataFrame:
+    """``rows`` with p, y (the compared forms of what was generated and of the truth, as text) and no_answer."""
+    if task not in PARSED:
+        raise ValueError(f"answers of {task} are not parsed")
+    return rows.withColumn("_f", T.parsed_answers(T.locate_answer(predicted), gold, PARSED[task])).withColumns({"p": F.col("_f.predicted"), "y": F.col("_f.gold"), "no_answer": F.col("_f.no_answer")}).drop("_f")
+
+
+def evaluate_answers(rows: DataFrame, task: str, key: str = "key", predicted: str = "predicted", gold: str = "gold", source: str = "source") -> DataFrame:
+    """(metric, value): generated texts against truths, from parsing to the metrics of the task, and the share of rows without an answer.
+
+    A yes or no is its own score, a class of stay the one score of its class. Summaries need ``source``, their input.
+    What was parsed is written to the shared folder: each metric reads it, none parses again.
+    """
+    held = [key, source] if PARSED[task] == "summary" else []
+    rows = _stored(parsed_predictions(rows, task, predicted, gold).select(*held, "p", "y", "no_answer"))
+    if PARSED[task] == "binary":
+        shaped = rows.select(F.col("y").cast("int").alias("y"), F.col("p").cast("double").alias("score"), F.col("p").cast("int").alias("predicted"))
+    elif PARSED[task] == "stay":
+        one = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.when(i == F.col("p").cast("int"), 1.0).otherwise(0.0))
+        shaped = rows.select(F.col("y").cast("int").alias("y"), one.alias("scores"))
+    elif PARSED[task] == "single":
+        shaped = rows.select(F.col("p").alias("predicted"), "y")
+    else:
+        shaped = rows.select(F.col(key).alias("key"), F.col("p").alias("predicted"), "y", F.col(source).alias("source"))
+    silent = rows.agg(F.avg(F.col("no_answer").cast("double")).alias("value")).select(F.lit("no_answer").alias("metric"), "value")
+    return evaluate(shaped, task).unionByName(silent)

@@ -17,8 +17,8 @@ from ..sources.tables import table
 from .common import ORACLES, query
 from .graph import _NODES, _nodes
 from .metrics import _binary, _cells, _classes
-from .text import _WORDS
-from .traces import _traces
+from .text import _NORM, _SQ, _WORDS
+from .traces import _LOC, _ONE, _traces
 
 
 def _values(task: str, mode: str, found: dict[str, tuple[str, ...]]) -> str:
@@ -125,3 +125,43 @@ def token_filtered(spark, sf_dir):
     """Rows of sixty words or more, the first thousand in seeded order: the cap is the feature."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.size(T.words("text")).alias("n_words")).where("n_words >= 60")
     return d.orderBy(G.hashed("doc_id", F.lit(8)), "doc_id").limit(1000)
+
+
+@query(f"""WITH r AS (SELECT conv_id, arg_max(text, turn) AS t, CASE WHEN conv_id % 3 = 0 THEN 'yes' ELSE 'no' END AS g FROM conversations GROUP BY 1), l AS (SELECT g, {_LOC(_ONE('t'))} AS a FROM r), x AS (SELECT (g = 'yes')::INT AS y, contains({_NORM('a')}, 'yes')::INT AS p, NOT contains({_NORM('a')}, 'yes') AND NOT contains({_NORM('a')}, 'no') AS none FROM l),
+c AS (SELECT count(*) FILTER (y = 1 AND p = 1)::DOUBLE AS tp, count(*) FILTER (y = 0 AND p = 1)::DOUBLE AS fp, count(*) FILTER (y = 1 AND p = 0)::DOUBLE AS fn, count(*) FILTER (y = 0 AND p = 0)::DOUBLE AS tn, avg(none::INT) AS no_answer FROM x),
+d AS (SELECT *, tp / nullif(tp + fn, 0) AS tpr, tn / nullif(tn + fp, 0) AS tnr, tp + fp + fn + tn AS n FROM c)
+SELECT 'roc_auc' AS metric, round((tpr + tnr) / 2, 9) AS value FROM d UNION ALL SELECT 'pr_auc', round(coalesce(tp / nullif(tp + fp, 0), 0) * tpr + (tp + fn) / n * (1 - tpr), 9) FROM d UNION ALL SELECT 'precision', round(coalesce(tp / nullif(tp + fp, 0), 0), 9) FROM d UNION ALL SELECT 'recall', round(coalesce(tpr, 0), 9) FROM d
+UNION ALL SELECT 'accuracy', round((tp + tn) / n, 9) FROM d UNION ALL SELECT 'balanced_accuracy', round((coalesce(tpr, 0) + coalesce(tnr, 0)) / 2, 9) FROM d UNION ALL SELECT 'no_answer', round(no_answer, 9) FROM d""")
+def answer_evaluation(spark, sf_dir):
+    """The last texts of conversations as answers to a yes-or-no task, from parsing to its metrics."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("predicted"))
+    rows = c.withColumn("gold", F.when(F.col("conv_id") % 3 == 0, "yes").otherwise("no"))
+    return E.evaluate_answers(rows, "REA").select("metric", F.round("value", 9).alias("value"))
+
+
+@query(f"""SELECT conv_id, turn, {_SQ("replace(text, '⋮', '')")} AS question FROM conversations""")
+def chat_questions(spark, sf_dir):
+    """The question of a rendered chat; each text is rendered between the headers of user and assistant."""
+    c = table(spark, sf_dir, "conversations")
+    chat = F.concat(F.lit("<|start_header_id|>system<|end_header_id|>s" + T._CHAT[0] + " ⋮ "), "text", F.lit("\n" + T._CHAT[1] + " a" + T._CHAT[0]))
+    return c.select("conv_id", "turn", T.chat_question(chat).alias("question"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS t, (2000 + page_id % 20)::VARCHAR AS y FROM pages), w AS (SELECT *, list_filter(string_split(trim(regexp_replace(t, '[ \\t\\n\\r\\f]+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM p)
+SELECT page_id, concat_ws(', ', nullif(CASE WHEN len(w) > 2 THEN left(array_to_string(list_filter(w, lambda x: length(x) > 3), ' '), 30) ELSE t END, ''), y) AS journal, CASE WHEN len(w) > 1 THEN w[1] || ' ' || array_to_string(list_transform(w[2:], lambda x: left(x, 1)), '') ELSE coalesce(w[1], '') END AS author FROM w""")
+def journal_names(spark, sf_dir):
+    """Short forms of titles with a year, and the first word of a title with the initials of the others."""
+    title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
+    words = T.squeeze(title)
+    last = F.split_part(words, F.lit(" "), F.lit(1))
+    p = table(spark, sf_dir, "pages").select("page_id", title.alias("t"), last.alias("last"), F.regexp_replace(words, "^[^ ]*", "").alias("fore"), (2000 + F.col("page_id") % 20).cast("string").alias("y"))
+    return p.select("page_id", T.journal_text(F.col("t"), F.col("y")).alias("journal"), T.author_name(F.col("last"), F.col("fore")).alias("author"))
+
+
+@query(f"""WITH {_NODES} SELECT string_agg('ID: ' || metapath_id || chr(10) || 'Meta_path: ' || path || chr(10), chr(10) ORDER BY metapath_id) AS text FROM mp""")
+def metapath_text(spark, sf_dir):
+    """The meta-paths of the graph as the text of a prompt."""
+    from ..operators.graph import metapath_catalog
+    from .graph import _triples
+
+    return metapath_catalog(_triples(spark, sf_dir)).agg(T.path_list("metapath_id", "path").alias("text"))

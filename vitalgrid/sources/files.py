@@ -21,6 +21,11 @@ def question_pairs(spark: SparkSession, train: str, test: str, schema: str) -> D
     return read(train, "train").unionByName(read(test, "test"))
 
 
+def question_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One CSV of questions with a header."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+
+
 def split_questions(spark: SparkSession, path: str) -> DataFrame:
     """Question JSON lines with a map of options: question, options as lines 'A. text', answer."""
     q = spark.read.schema("question string, options map<string,string>, answer_idx string").json(path, mode="DROPMALFORMED")
@@ -112,3 +117,8 @@ def write_test_rows(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, escape='"')
+
+
+def write_predictions(df: DataFrame, path: str, prompt: str = "prompt", predict: str = "predict", label: str = "label") -> None:
+    """Generated texts as JSON lines of prompt, predict and label."""
+    write_json_lines(df.select(F.col(prompt).alias("prompt"), F.col(predict).alias("predict"), F.col(label).alias("label")), path)
