@@ -163,6 +163,7 @@ def test_sums_below_of_odd_scores(spark):
 def plain_sample(llm, question, context, gold, right, seeds, rewrite, most):
     """The queue of one question, item by item."""
     queue, golden, negative, taken = deque((s, [], "") for s in seeds), [], [], 0
+    chosen = {"own": [], "rag": [1, 5]}
     while queue and taken < most:
         sub, path, history = queue.popleft()
         own, rag = llm(f"answer:  {history} {sub}"), llm(f"answer: {context} {history} {sub}")
@@ -175,10 +176,10 @@ def plain_sample(llm, question, context, gold, right, seeds, rewrite, most):
             steps[name] = [source, sub, answer, choice, "" if name == "own" else context, rewrite, h, check]
         if ok["own"] or ok["rag"]:
             a, b = ("own", "rag") if ok["own"] else ("rag", "own")
-            golden.append([*path, [*steps[a], ""]])
-            negative.append([*path, [*steps[b], ""]])
+            golden.append([*path, [*steps[a], "", chosen[a]]])
+            negative.append([*path, [*steps[b], "", chosen[b]]])
             break
-        whole = {n: [*steps[n], follow[n]] for n in steps}
+        whole = {n: [*steps[n], follow[n], chosen[n]] for n in steps}
         negative += [[*path, whole["rag"]], [*path, whole["own"]]]
         queue += [(follow["own"], [*path, whole["own"]], h_own), (follow["rag"], [*path, whole["rag"]], h_rag)]
         taken += 1
@@ -187,13 +188,15 @@ def plain_sample(llm, question, context, gold, right, seeds, rewrite, most):
 
 def test_sampled_paths(spark):
     from vitalgrid.operators.agent import ask, echo_llm, subqueries
-    from vitalgrid.operators.paths import PROMPTS, sample_paths
+    from vitalgrid.operators.paths import PROMPTS, sample_paths, traces_from_paths
+    from vitalgrid.operators.traces import instruction_rows, rewards
 
     rows = [(i, f"Why does item {i} work and how? Or when {i}", ("yes", "no", "zzz")[i % 3]) for i in range(12)] + [(50, "plain words here", "zzz"), (51, "", "yes"), (52, "one", None)]
     q = spark.createDataFrame(rows, "qid long, question string, groundtruth string")
-    retrieve = lambda df: df.withColumn("context", F.concat(F.lit("ctx "), F.col("qid").cast("string")))
+    retrieve = lambda df: df.withColumn("context", F.concat(F.lit("ctx "), F.col("qid").cast("string"))).withColumn("chosen", F.array(F.lit(1), F.lit(5)))
+    sampled = sample_paths(q, retrieve, "binary", most=5)
     paths: dict = {}
-    for r in sample_paths(q, retrieve, "binary", most=5).orderBy("qid", "kind", "n").collect():
+    for r in sampled.orderBy("qid", "kind", "n").collect():
         paths.setdefault((r["qid"], r["kind"]), []).append([list(s) for s in r["path"]])
     made = {r["qid"]: r["m"] for r in q.select("qid", subqueries(F.col("question"), ask(PROMPTS["rewrite"](F.col("question")), echo_llm)).alias("m")).collect()}
     llm = lambda p: echo_llm(pd.Series([p])).iloc[0]
@@ -206,6 +209,15 @@ def test_sampled_paths(spark):
         assert paths.get((i, "golden"), []) == golden and paths.get((i, "negative"), []) == negative, i
         ended[len(golden), len(negative) > 1] += 1
     assert len(ended) > 2  # ends at once, later and never
+    traces = traces_from_paths(q, sampled)
+    for r in traces.collect():
+        golden, negative = paths.get((r["qid"], "golden"), [[]])[0], paths.get((r["qid"], "negative"), [[]])[0]
+        assert [list(s) for s in r["path"]] == [[s[0], s[1], s[2], s[3], s[9], s[6], s[7]] for s in golden]
+        assert (r["positive"], r["negative"]) == (golden[-1][6] if golden else None, negative[-1][6] if negative else None)
+    kinds = Counter(r["kind"] for r in instruction_rows(traces, "qid").collect())
+    some = sum(1 for i, *_ in rows if (i, "golden") in paths)
+    assert kinds["no_gold_path"] == len(rows) - some and kinds["terminal"] == kinds["final_answer"] == some
+    assert {r["rank"] for r in rewards(traces, "qid", [1, 2]).collect()} <= {0.0, 0.1, -0.1}
 
 
 def plain_predict(llm, qid, question, context, seeds, rewrite, most):
@@ -222,10 +234,10 @@ def plain_predict(llm, qid, question, context, seeds, rewrite, most):
         history = past + f"\n{len(path)}. {sub}\nAnswer{answer}"
         check, follow = llm(f"check: {history} {question}"), llm(f"follow: {history} {sub}")
         done = "incomplete" not in check.lower()
-        step = [source, sub, answer, "yes" if rag else "no", known, rewrite, history, check, "" if done else follow]
+        step = [source, sub, answer, "yes" if rag else "no", known, rewrite, history, check, "" if done else follow, []]
         if done:
             if int(hashlib.md5(f"{qid}-{taken}-0".encode()).hexdigest()[:2], 16) < 128:
-                other = ["LLM" if rag else "RAG", sub, "", "yes" if rag else "no", "", rewrite, history + f"\n{len(path)}. {sub}\nAnswer", "", ""]
+                other = ["LLM" if rag else "RAG", sub, "", "yes" if rag else "no", "", rewrite, history + f"\n{len(path)}. {sub}\nAnswer", "", "", []]
                 return check, [*path, step], [*negatives, [*path, other]]
             return check, [*path, step], [*negatives, [*path, step]]
         negatives.append([*path, step])

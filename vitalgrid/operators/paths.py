@@ -16,8 +16,9 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from .agent import LlmFn, _stored, ask, decision, echo_llm, subqueries
+from .traces import STEP as TRACE_STEP
 
-STEP = "struct<source:string,subquery:string,subanswer:string,decision:string,context:string,rewrite:string,history:string,final_check:string,follow:string>"
+STEP = "struct<source:string,subquery:string,subanswer:string,decision:string,context:string,rewrite:string,history:string,final_check:string,follow:string,chosen:array<int>>"
 
 #: How prompts are built from their parts.
 PROMPTS: dict[str, Callable[..., Column]] = {
@@ -63,9 +64,20 @@ def told(history: Column, path: Column, subquery: Column, answer: Column) -> Col
     return F.concat(history, F.lit("\n"), F.size(path).cast("string"), F.lit(". "), subquery, F.lit("\nAnswer"), answer)
 
 
-def _step(source: str | Column, subanswer: Column, choice: str | Column, context: Column, history: Column, check: Column, follow: Column) -> Column:
+def _no_choices() -> Column:
+    return F.array().cast("array<int>")
+
+
+def _retrieved(retrieve: Callable[[DataFrame], DataFrame], rows: DataFrame, where: Column) -> DataFrame:
+    """``rows`` with context and chosen: what ``retrieve`` adds where asked for, else and for nulls an empty text and no choices."""
+    known = retrieve(rows)
+    chosen = F.coalesce(F.col("chosen").cast("array<int>"), _no_choices()) if "chosen" in known.columns else _no_choices()
+    return known.withColumns({"context": F.when(where, F.coalesce("context", F.lit(""))).otherwise(F.lit("")), "chosen": F.when(where, chosen).otherwise(_no_choices())})
+
+
+def _step(source: str | Column, subanswer: Column, choice: str | Column, context: Column, history: Column, check: Column, follow: Column, chosen: Column) -> Column:
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    fields = (lit(source), F.col("subquery"), subanswer, lit(choice), context, F.col("rewrite"), history, check, follow)
+    fields = (lit(source), F.col("subquery"), subanswer, lit(choice), context, F.col("rewrite"), history, check, follow, chosen)
     return F.struct(*fields).cast(STEP)
 
 
@@ -75,7 +87,7 @@ _OPEN = ("qid", "question", "groundtruth", "rewrite", "width", "n", "subquery",
 def sample_paths(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame], task: str, llm: LlmFn = echo_llm, most: int = 6, prompts: dict = PROMPTS) -> DataFrame:
     """(qid, kind, n, path): golden and negative paths of every question, n in the order in which they are found.
 
-    ``questions`` has qid, question and groundtruth; ``retrieve`` adds ``context`` to rows with a ``subquery``. Two
+    ``questions`` has qid, question and groundtruth; ``retrieve`` adds ``context``, and ``chosen`` paths if it has them, to rows with a ``subquery``. Two
     sub-queries of a question are the seeds. Every item taken from the queue is answered by the model alone and with
     retrieval; each answer is checked against the truth. The first item with a right one ends the question: its path with
     that answer is golden (the model's own, if both are right) and the other one negative. Else both are negative,
@@ -91,7 +103,7 @@ def sample_paths(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame
         # before this depth a question has taken (2**level - 1) items for each of its seeds
         open_ = open_.withColumn("turn", F.col("n") + F.col("width") * ((1 << level) - 1))
         rows = open_.where(F.col("turn") < most)
-        known = retrieve(rows).withColumn("context", F.coalesce("context", F.lit("")))
+        known = _retrieved(retrieve, rows, F.lit(True))
         sub, past = F.col("subquery"), F.col("history")
         known = known.withColumn("own", ask(prompts["answer"](sub, past, F.lit("")), llm)).withColumn("rag", ask(prompts["answer"](sub, past, F.col("context")), llm))
         known = known.withColumn("h_own", told(past, F.col("path"), sub, F.col("own"))).withColumn("h_rag", told(F.col("h_own"), F.col("path"), sub, F.col("rag")))
@@ -102,8 +114,8 @@ def sample_paths(questions: DataFrame, retrieve: Callable[[DataFrame], DataFrame
         level_rows = _stored(known.withColumn("won", won).where("won is null or n <= won"))
         ended = F.col("ok_own") | F.col("ok_rag")
         follow = lambda x: F.when(ended, F.lit("")).otherwise(F.col(f"f_{x}"))
-        own = _step("LLM", F.col("own"), "no", F.lit(""), F.col("h_own"), F.col("c_own"), follow("own"))
-        rag = _step("RAG", F.col("rag"), "yes", F.col("context"), F.col("h_rag"), F.col("c_rag"), follow("rag"))
+        own = _step("LLM", F.col("own"), "no", F.lit(""), F.col("h_own"), F.col("c_own"), follow("own"), _no_choices())
+        rag = _step("RAG", F.col("rag"), "yes", F.col("context"), F.col("h_rag"), F.col("c_rag"), follow("rag"), F.col("chosen"))
         first, second = F.when(F.col("ok_own"), own).otherwise(rag), F.when(F.col("ok_own"), rag).otherwise(own)
         kind = lambda name, place, step: F.struct(F.lit(name).alias("kind"), (2 * F.col("turn") + place).alias("place"), F.concat("path", F.array(step)).alias("path"))
         found = F.when(ended, F.array(kind("golden", 0, first), kind("negative", 1, second))).otherwise(F.array(kind("negative", 0, rag), kind("negative", 1, own)))
@@ -149,22 +161,35 @@ def predict_paths(questions: DataFrame, retrieve: Callable[[DataFrame], DataFram
         sub, past = F.col("subquery"), F.col("history")
         routed = rows.withColumn("source", decision(ask(prompts["decide"](sub, past), llm)))
         rag = F.col("source") == "RAG"
-        known = retrieve(routed).withColumn("context", F.when(rag, F.coalesce("context", F.lit(""))).otherwise(F.lit("")))
+        known = _retrieved(retrieve, routed, rag)
         known = known.withColumn("own", ask(prompts["answer"](sub, past, F.col("context")), llm)).withColumn("told", told(past, F.col("path"), sub, F.col("own")))
         known = known.withColumn("check", ask(prompts["check"](F.col("question"), F.col("told")), llm)).withColumn("follow", ask(prompts["follow"](sub, F.col("told")), llm))
         ok = ~incomplete(F.col("check"))
         won = F.min(F.when(ok, F.col("n"))).over(Window.partitionBy("qid"))  # a queue's rows are few
         known = _stored(known.withColumns({"ok": ok, "won": won}).where("won is null or n <= won"))
         levels = known if levels is None else levels.unionByName(known)
-        step = _step(F.col("source"), F.col("own"), F.when(rag, "yes").otherwise("no"), F.col("context"), F.col("told"), F.col("check"), F.when(F.col("ok"), F.lit("")).otherwise(F.col("follow")))
+        step = _step(F.col("source"), F.col("own"), F.when(rag, "yes").otherwise("no"), F.col("context"), F.col("told"), F.col("check"), F.when(F.col("ok"), F.lit("")).otherwise(F.col("follow")), F.col("chosen"))
         open_ = known.where("won is null").select("qid", "question", "rewrite", "width", "n", F.col("follow").alias("subquery"), F.col("told").alias("history"), F.concat("path", F.array(step)).alias("path"))
         level += 1
     rag = F.col("source") == "RAG"
-    step = _step(F.col("source"), F.col("own"), F.when(rag, "yes").otherwise("no"), F.col("context"), F.col("told"), F.col("check"), F.when(F.col("ok"), F.lit("")).otherwise(F.col("follow")))
-    other = _step(F.when(rag, "LLM").otherwise("RAG"), F.lit(""), F.when(rag, "yes").otherwise("no"), F.lit(""), told(F.col("told"), F.col("path"), F.col("subquery"), F.lit("")), F.lit(""), F.lit(""))
+    step = _step(F.col("source"), F.col("own"), F.when(rag, "yes").otherwise("no"), F.col("context"), F.col("told"), F.col("check"), F.when(F.col("ok"), F.lit("")).otherwise(F.col("follow")), F.col("chosen"))
+    other = _step(F.when(rag, "LLM").otherwise("RAG"), F.lit(""), F.when(rag, "yes").otherwise("no"), F.lit(""), told(F.col("told"), F.col("path"), F.col("subquery"), F.lit("")), F.lit(""), F.lit(""), _no_choices())
     swapped = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("qid").cast("string"), F.col("turn").cast("string"), F.lit(str(seed)))), 1, 2), 16, 10).cast("int") < 128
     negative = F.concat("path", F.array(F.when(F.col("ok") & swapped, other).otherwise(step)))
     per = levels.select("qid", "question", "turn", "ok", "check", "told", "path", F.concat("path", F.array(step)).alias("whole"), negative.alias("negative"))
     ends = per.groupBy("qid").agg(F.max_by(F.struct("question", "ok", "check", "told", "path", "whole"), "turn").alias("e"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "negative"))), lambda x: x["negative"]).alias("negatives"))
     last = ends.select("qid", "e.*", "negatives").withColumn("again", ask(prompts["check"](F.col("question"), F.col("told")), llm))
     return done.unionByName(last.select("qid", F.when(F.col("ok"), F.col("check")).otherwise(F.col("again")).alias("answer"), F.when(F.col("ok"), F.col("whole")).otherwise(F.col("path")).alias("golden"), "negatives"))
+
+
+def traces_from_paths(questions: DataFrame, paths: DataFrame) -> DataFrame:
+    """(qid, query, groundtruth, path, positive, negative): sampled paths as traces, of which instruction rows and rewards are made.
+
+    ``path`` is a question's first golden path, empty without one; ``positive`` is its last history (null without one),
+    ``negative`` that of the first negative path.
+    """
+    last = lambda p: F.try_element_at(p, F.lit(-1))["history"]
+    first = paths.where("n = 0").groupBy("qid").agg(*(F.any_value(F.when(F.col("kind") == k, F.struct("path")), True).alias(k) for k in ("golden", "negative")))
+    step = F.transform("golden.path", lambda s: F.struct(s["source"].alias("source"), s["subquery"].alias("subquery"), s["subanswer"].alias("subanswer"), s["decision"].alias("decision"), s["chosen"].alias("chosen"), s["history"].alias("history"), s["final_check"].alias("final")))
+    rows = questions.select("qid", F.col("question").alias("query"), "groundtruth").join(first, "qid", "left")
+    return rows.select("qid", "query", "groundtruth", F.coalesce(step, F.array().cast(f"array<{TRACE_STEP}>")).alias("path"), last(F.col("golden.path")).alias("positive"), last(F.col("negative.path")).alias("negative"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agent as A
 from ..operators import paths as P
+from ..operators.traces import instruction_rows
 from ..sources.tables import table
 from ..streaming.sessions import event_sessions
 from .common import query
@@ -43,6 +44,14 @@ def sampled_paths(spark, sf_dir):
     return p.select("qid", "kind", "n", F.array_join(F.transform("path", lambda s: s["source"]), ">").alias("sources"), F.md5(F.element_at("path", -1)["history"]).alias("history_md5"))
 
 
+@query()
+def generated_instructions(spark, sf_dir):
+    """Instruction rows of the golden paths of all user turns, sampled with the stub model."""
+    questions, retrieve = _asked(spark, sf_dir)
+    traces = P.traces_from_paths(questions, P.sample_paths(questions, retrieve, "binary"))
+    return instruction_rows(traces, "qid").select("qid", "step", "kind", F.md5("input").alias("input_md5"), F.md5("output").alias("output_md5"))
+
+
 @query()
 def predicted_paths(spark, sf_dir):
     """The answering loop with the stub model over all user turns: answer, the golden path's sources, and negative paths."""
