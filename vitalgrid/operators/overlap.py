@@ -7,7 +7,7 @@ words numbers of pairs of numbers, and bags are compared after one sort.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import cache, wraps
 from math import isqrt
 
 import numpy as np
@@ -16,6 +16,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
 
+from ..session import small_batches
+
+
+#: Rows that a step of a batch takes, so that what it makes of their words stays small.
+STEP_ROWS = 128
+
+
+def _by_steps(f: Callable) -> Callable:
+    """A function of arrays that works on some rows at a time."""
+
+    @wraps(f)
+    def run(*columns: pa.Array):
+        parts = [f(*(c.slice(at, STEP_ROWS) for c in columns)) for at in range(0, max(len(columns[0]), 1), STEP_ROWS)]
+        return np.concatenate(parts)
+
+    return run
+
 
 def _numbered(*lists: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each array of lists of words: the words' numbers (equal words, equal numbers in all of them) and their rows."""
@@ -68,6 +85,11 @@ def _characters(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 @F.arrow_udf(DoubleType())
 def character_bleu(candidate: pa.Array, reference: pa.Array) -> pa.Array:
     """BLEU-4 by characters: geometric mean of n-gram precisions, from two characters on smoothed by one, with the brevity penalty; 0 without a character in common."""
+    return pa.array(_character_bleu(candidate, reference))
+
+
+@_by_steps
+def _character_bleu(candidate: pa.Array, reference: pa.Array) -> np.ndarray:
     n, sides = len(candidate), [_characters(candidate), _characters(reference)]
     size, other = (np.bincount(row, minlength=n) for _, row in sides)
     logs, none = np.zeros(n), np.zeros(n, bool)
@@ -77,12 +99,17 @@ def character_bleu(candidate: pa.Array, reference: pa.Array) -> pa.Array:
             none |= hit == 0 if k == 1 else False
             logs += np.log((hit + (k > 1)) / (total + (k > 1)))
         score = np.exp(logs / 4 + np.minimum(0.0, 1 - other / size))
-    return pa.array(np.where(none, 0.0, score))
+    return np.where(none, 0.0, score)
 
 
 @F.arrow_udf(DoubleType())
 def sari(source: pa.Array, candidate: pa.Array, reference: pa.Array) -> pa.Array:
     """Mean over n up to 4 of the F1 of kept and of added n-grams of words and the precision of deleted ones; ratios of nothing are 1."""
+    return pa.array(_sari(source, candidate, reference))
+
+
+@_by_steps
+def _sari(source: pa.Array, candidate: pa.Array, reference: pa.Array) -> np.ndarray:
     rows, sides = len(source), _numbered(source, candidate, reference)
     total = np.zeros(rows)
     for n in range(1, 5):
@@ -100,14 +127,14 @@ def sari(source: pa.Array, candidate: pa.Array, reference: pa.Array) -> pa.Array
             part += np.where(p + q > 0, 2 * p * q / np.where(p + q > 0, p + q, 1), 0.0)
         gone = less(s, c)
         total += (part + ratio(many(less(gone, r)), many(gone))) / 3
-    return pa.array(total / 4)
+    return total / 4
 
 
 @cache
 def _common(n: int) -> Callable:
     @F.arrow_udf(LongType())
     def common(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(common_runs(a, b, n))
+        return pa.array(_by_steps(lambda x, y: common_runs(x, y, n))(a, b))
 
     return common
 
@@ -122,10 +149,18 @@ def overlap_scores(common: Column, size_a: Column, size_b: Column) -> list[Colum
 def run_scores(rows: DataFrame, key: str, a: str, b: str, n: int = 1) -> DataFrame:
     """(key, f1, precision, recall) of two word arrays as bags of runs of ``n`` words; 0 where nothing is in common."""
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)) - (n - 1), F.lit(0))
-    counted = rows.select(key, size(a).alias("_a"), size(b).alias("_b"), _common(n)(a, b).alias("_c"))
+    counted = small_batches(rows).select(key, size(a).alias("_a"), size(b).alias("_b"), _common(n)(a, b).alias("_c"))
     return counted.select(key, *overlap_scores(F.col("_c"), F.col("_a"), F.col("_b")))
 
 
+def rouge_runs(rows: DataFrame, key: str, a: str, b: str, most: int = 2) -> DataFrame:
+    """(key, rouge1, rouge2, ...): F1 of runs of one to ``most`` words of two word arrays, in one pass."""
+    size = lambda c, n: F.greatest(F.coalesce(F.size(c), F.lit(0)) - (n - 1), F.lit(0))
+    grams = range(1, most + 1)
+    counted = small_batches(rows).select(key, _clipped(most)(a, b).alias("_c"), *(size(c, n).alias(f"_{x}{n}") for n in grams for x, c in (("a", a), ("b", b))))
+    return counted.select(key, *(overlap_scores(F.col("_c")[n - 1], F.col(f"_a{n}"), F.col(f"_b{n}"))[0].alias(f"rouge{n}") for n in grams))
+
+
 def increments(symbols: dict[int, int], words: np.ndarray, state: int, mask: int) -> list[int]:
     """For each of ``words`` the bits at which the longest common subsequence with the other text's prefix grows by one.
 
@@ -228,7 +263,7 @@ def _sentences(column: pa.Array, other: pa.Array) -> list[list[list[np.ndarray]]
 @F.arrow_udf(LongType())
 def summary_common(gold: pa.Array, given: pa.Array) -> pa.Array:
     """``summary_hits`` of two arrays of sentences, each an array of words."""
-    return pa.array([summary_hits(a, b) for a, b in zip(*_sentences(gold, given))], pa.int64())
+    return pa.array(_by_steps(lambda x, y: np.array([summary_hits(a, b) for a, b in zip(*_sentences(x, y))], np.int64))(gold, given))
 
 
 @F.arrow_udf(LongType())
@@ -247,7 +282,7 @@ def rouge(rows: DataFrame, key: str, given: str, gold: str) -> DataFrame:
     from ..functions.stems import sentences, summary_words
 
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    w = rows.select(key, *(summary_words(text(c)).alias(f"_{n}") for n, c in (("a", given), ("b", gold))), *(sentences(text(c)).alias(f"_s{n}") for n, c in (("a", given), ("b", gold))))
+    w = small_batches(rows).select(key, *(summary_words(text(c)).alias(f"_{n}") for n, c in (("a", given), ("b", gold))), *(sentences(text(c)).alias(f"_s{n}") for n, c in (("a", given), ("b", gold))))
     # the words of a sentence are runs of the text's words, so each is stemmed once
     sizes = lambda s: F.transform(s, lambda x: F.size(F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]+)"), 1)))
     cut = lambda words, n: F.aggregate(n, F.struct(F.lit(1).alias("at"), F.array().cast("array<array<string>>").alias("out")), lambda acc, k: F.struct((acc["at"] + k).alias("at"), F.concat(acc["out"], F.array(F.slice(words, acc["at"], k))).alias("out")), lambda acc: acc["out"])
@@ -262,7 +297,8 @@ def rouge(rows: DataFrame, key: str, given: str, gold: str) -> DataFrame:
 def _clipped(most: int) -> Callable:
     @F.arrow_udf(ArrayType(LongType()))
     def clipped(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array(np.stack([common_runs(a, b, n) for n in range(1, most + 1)], axis=1).tolist(), pa.list_(pa.int64()))
+        runs = _by_steps(lambda x, y: np.stack([common_runs(x, y, n) for n in range(1, most + 1)], axis=1))
+        return pa.array(runs(a, b).tolist(), pa.list_(pa.int64()))
 
     return clipped
 
@@ -275,7 +311,7 @@ def corpus_bleu(rows: DataFrame, given: str, gold: str, by: tuple[str, ...] = ()
     """
     size = lambda c, n: F.greatest(F.coalesce(F.size(c), F.lit(0)) - (n - 1), F.lit(0))
     grams = range(1, most + 1)
-    counted = rows.select(*by, F.size(F.coalesce(F.col(gold), F.array().cast("array<string>"))).alias("_r"), _clipped(most)(given, gold).alias("_c"), *(size(given, n).alias(f"_t{n}") for n in grams))
+    counted = small_batches(rows).select(*by, F.size(F.coalesce(F.col(gold), F.array().cast("array<string>"))).alias("_r"), _clipped(most)(given, gold).alias("_c"), *(size(given, n).alias(f"_t{n}") for n in grams))
     s = counted.groupBy(*by).agg(F.count("*").alias("n"), F.sum("_r").alias("_r"), *(F.sum(F.col("_c")[n - 1]).alias(f"_c{n}") for n in grams), *(F.sum(f"_t{n}").alias(f"_t{n}") for n in grams))
     misses, precisions = F.lit(0), []
     for n in grams:

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import groups as G
 from ..operators import metrics as M
 from ..operators import overlap as O
+from ..session import small_batches
 from ..sources.tables import table
 from ..sources.visits import map_codes, visits_from_codes
 from .common import joined, query
@@ -145,7 +146,7 @@ def answer_f1_scores(spark, sf_dir):
 def generation_scores(spark, sf_dir):
     """BLEU-4 by characters of the first line against the second, SARI of the first line as a short form of the text, and the text's reading grade; all of whole strings."""
     p = _pairs(spark, sf_dir).select("doc_id", F.col("a").alias("ca"), F.col("c").alias("cc"), T.words("a").alias("a"), T.words("c").alias("c"), T.words("b").alias("b"), F.col("b").alias("text"))
-    return p.select("doc_id", F.round(O.character_bleu("ca", "cc"), 9).alias("bleu4"), F.round(O.sari("b", "a", "c"), 9).alias("sari"), F.round(T.reading_grade("text"), 9).alias("grade"))
+    return small_batches(p).select("doc_id", F.round(O.character_bleu("ca", "cc"), 9).alias("bleu4"), F.round(O.sari("b", "a", "c"), 9).alias("sari"), F.round(T.reading_grade("text"), 9).alias("grade"))
 
 
 @query(f"""SELECT doc_id, CASE WHEN CAST('0x' || substr(md5(doc_id || '-4'), 1, 8) AS BIGINT) < {int(0.1 * 2**32)} THEN 'val' ELSE 'train' END AS split FROM documents""")

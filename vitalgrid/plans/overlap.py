@@ -59,8 +59,7 @@ SELECT doc_id, round(coalesce(2 * c1.c / (len({_TOKENS('a')}) + len({_TOKENS('p.
 def stemmed_rouge_scores(spark, sf_dir):
     """ROUGE-1 and ROUGE-2 of stemmed words: the first line of a text against what follows it."""
     p = _pairs(spark, sf_dir).select("doc_id", P.summary_words("a").alias("a"), P.summary_words("c").alias("c"))
-    one = O.run_scores(p, "doc_id", "a", "c").select("doc_id", F.round("f1", 9).alias("rouge1"))
-    return one.join(O.run_scores(p, "doc_id", "a", "c", 2).select("doc_id", F.round("f1", 9).alias("rouge2")), "doc_id")
+    return O.rouge_runs(p, "doc_id", "a", "c").select("doc_id", *(F.round(c, 9).alias(c) for c in ("rouge1", "rouge2")))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import stats as S
 from ..operators import traces as R
+from ..session import small_batches
 from ..sources.tables import table
 from .common import query
 from .text import _CONTENT, _NORM, _QUOTED, _RUNS, _SIGNS, _WORDS, _pairs
@@ -118,7 +119,7 @@ def ema_smooth(spark, sf_dir):
 def rouge_l_scores(spark, sf_dir):
     """Longest common word subsequence of the first line and what follows it."""
     p = _pairs(spark, sf_dir).select("doc_id", T.words("a").alias("a"), T.words("c").alias("b"))
-    return p.select("doc_id", F.round(S.rouge_l("a", "b"), 9).alias("rouge_l"))
+    return small_batches(p).select("doc_id", F.round(S.rouge_l("a", "b"), 9).alias("rouge_l"))
 
 
 @query("SELECT event_type, round(sum(value * user_id) / sum(user_id), 6) AS mean FROM events GROUP BY 1")

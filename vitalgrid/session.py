@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "vitalgrid") -> SparkSession:
@@ -37,3 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     if context.applicationId not in _own_dirs:
         _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="spark-")
     return _own_dirs[context.applicationId]
+
+
+def small_batches(df: DataFrame, rows: int = 1000, size: int = 4 << 20) -> DataFrame:
+    """``df``, after telling its session to hand Python so many rows and bytes at a time at most: texts may be long."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+    return df
