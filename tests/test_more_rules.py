@@ -517,6 +517,41 @@ def test_prompts(spark):
     assert [r["code"] for r in names_at_level(names, 2).collect()] == ["A01"] and "012" in [r["code"] for r in names_without_dots(names).collect()]
 
 
+def test_fewshot_prompt(spark, tmp_path):
+    from oracle import TABLES, compare
+
+    from vitalgrid.plans.registry import ORACLES, QUERIES
+
+    rows = [(i, f"first {i}\nsecond, Q: {i}\n\nlast", "many") for i in range(2500)]
+    rows += [(3000, "a\nb", "few"), (3001, None, "few"), (3002, "", "few"), (3003, "x", None), (3004, None, "none"), (3005, None, "none"), (3006, None, "none"), (3007, None, "none")]
+    late = max(range(3004, 3008), key=lambda i: hashlib.md5(f"{i}-9".encode()).hexdigest())
+    rows = [(i, "a target", s) if i == late else (i, t, s) for i, t, s in rows]
+    for name in TABLES:
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string") if name == "documents" else spark.range(1)
+        table.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    made = QUERIES["fewshot_prompt"](spark, str(tmp_path))
+    compare(made, ORACLES["fewshot_prompt"], str(tmp_path))
+    got = {r["doc_id"]: r["prompt"] for r in made.collect()}
+    assert len(got) == len(rows) - 1 and 3003 not in got
+    shots = {s: sorted((hashlib.md5(f"{i}-9".encode()).hexdigest(), t) for i, t, g in rows if g == s)[:3] for s in ("many", "few")}
+    for i, t, s in rows:
+        if s in shots:
+            asked = "\n".join(f"Q: {x}" for _, x in shots[s] if x is not None)
+            assert got[i] == (None if t is None else f"Questions on {s}\n{asked}\nQ: {t}\nA:")
+    assert got[late] is None
+
+
+def test_join_group_rows(spark):
+    from vitalgrid.operators.groups import join_group_rows
+
+    rows = spark.createDataFrame([(i, "a" if i < 40 else "b" if i < 43 else "c" if i < 50 else None) for i in range(60)], "id int, g string")
+    one = spark.createDataFrame([("a", "x"), ("b", "y"), ("d", "z")], "g string, v string")
+    want = sorted((i, "a", "x") if i < 40 else (i, "b", "y") for i in range(43))
+    for most in (1, 7, 40, 1000):
+        got = join_group_rows(rows, one, "g", "id", most)
+        assert got.columns == ["g", "id", "v"] and sorted((r["id"], r["g"], r["v"]) for r in got.collect()) == want
+
+
 def test_answers_from_texts(spark):
     from vitalgrid.functions.text import author_name, chat_question, journal_text, match_words
     from vitalgrid.operators.evaluate import evaluate_answers

@@ -113,6 +113,19 @@ def per_group_sample(rows: DataFrame, group: str, key: str, n: int, seed: int) -
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def join_group_rows(rows: DataFrame, one: DataFrame, group: str, key: str, most: int = 1024) -> DataFrame:
+    """Rows with the columns of their group's only row in ``one``; rows whose group is null or not there go.
+
+    A group of more than ``most`` rows is dealt into parts by the hash of ``key``, and its row in ``one`` goes to each part, so
+    no task gets a large group whole. Broadcast are the names of such groups: one for ``most`` rows at most.
+    """
+    large = rows.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(group, F.ceil(F.col("_n") / most).alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(large), group, "left").withColumn("_part", F.pmod(F.xxhash64(key), parts)).drop("_parts")
+    copies = one.join(F.broadcast(large), group, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return dealt.join(copies, [group, "_part"]).drop("_part")
+
+
 def sample_if_many(rows: DataFrame, group: str, key: str, most: int, n: int, seed: int) -> DataFrame:
     """Groups of fewer than ``most`` rows whole, of larger ones the first ``n`` in hashed order."""
     placed = hashed_position(rows, key, seed, group)

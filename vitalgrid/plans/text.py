@@ -275,15 +275,18 @@ def chat_to_instruction(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT source, string_agg('Q: ' || text, chr(10) ORDER BY r) AS shots FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '-9'), doc_id) AS r FROM documents) WHERE r <= 3 GROUP BY source)
-SELECT doc_id, md5('Questions on ' || source || chr(10) || shots || chr(10) || 'Q: ' || text || chr(10) || 'A:') AS prompt_md5 FROM documents JOIN s USING (source)""")
+SELECT doc_id, 'Questions on ' || source || chr(10) || shots || chr(10) || 'Q: ' || text || chr(10) || 'A:' AS prompt FROM documents JOIN s USING (source)""")
 def fewshot_prompt(spark, sf_dir):
-    """A subject prefix, three support questions in seeded order, and the target."""
-    from ..operators.groups import hashed, per_group_sample
+    """A subject prefix, three support questions in seeded order, and the target, all as whole texts.
+
+    A support row without text is left out; a target without text, or a subject without any support text, has a null prompt.
+    """
+    from ..operators.groups import hashed, join_group_rows, per_group_sample
 
     d = _docs(spark, sf_dir).select("doc_id", "source", F.col("text").alias("q"))
     s = per_group_sample(d, "source", "doc_id", 3, 9).withColumn("h", hashed("doc_id", F.lit(9)))
-    shots = s.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "q"))).alias("x")).select("source", F.array_join(F.transform("x", lambda x: F.concat(F.lit("Q: "), x["q"])), "\n").alias("shots"))
-    return d.join(shots, "source").select("doc_id", F.md5(F.concat(F.lit("Questions on "), "source", F.lit("\n"), "shots", F.lit("\nQ: "), "q", F.lit("\nA:"))).alias("prompt_md5"))
+    shots = s.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("h", "doc_id", "q"))).alias("x")).select("source", F.nullif(F.array_join(F.transform("x", lambda x: F.concat(F.lit("Q: "), x["q"])), "\n"), F.lit("")).alias("shots"))
+    return join_group_rows(d, shots, "source", "doc_id").select("doc_id", F.concat(F.lit("Questions on "), "source", F.lit("\n"), "shots", F.lit("\nQ: "), "q", F.lit("\nA:")).alias("prompt"))
 
 
 @query("""SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1, 's') AS title, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, array_to_string(regexp_extract_all(html, '<a href="([^"]*)">', 1), '|') AS links, len(regexp_extract_all(html, '<p>')) AS n_paragraphs FROM pages""")
