@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import curves
+
 
 def ratio(a: Column, b: Column, empty: float | None = 0.0) -> Column:
     """a / b as a double, ``empty`` where b is 0."""
@@ -57,26 +59,37 @@ def _few_below(rows: DataFrame, score: str, sums: tuple[str, ...], by: tuple[str
 
 def roc_auc(rows: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = (), small_groups: bool = False) -> DataFrame:
     """Chance that a positive outranks a negative, ties half; null without both classes. ``small_groups``: no group is large."""
-    g = (_few_below if small_groups else sums_below)(_by_score(rows, y, score, list(by)), "_s", ("_neg",), tuple(by))
-    g = g.withColumn("_w", F.col("_pos") * (F.col("below__neg") + F.col("_neg") / 2))
-    return g.groupBy(*by).agg(ratio(F.sum("_w"), F.sum("_pos") * F.sum("_neg"), None).alias("roc_auc"))
+    return _ranked(_by_score(rows, y, score, list(by)), by, small_groups).select(*by, "roc_auc")
 
 
 def average_precision(rows: DataFrame, y: str = "y", score: str = "score", by: tuple[str, ...] = (), small_groups: bool = False) -> DataFrame:
     """Sum of precision at each distinct score times the recall gained there; null without positives. ``small_groups``: no group is large."""
-    g = (_few_below if small_groups else sums_below)(_by_score(rows, y, score, list(by)), "_s", ("_pos", "_neg"), tuple(by))
+    return _ranked(_by_score(rows, y, score, list(by)), by, small_groups).select(*by, "pr_auc")
+
+
+def _ranked(g: DataFrame, by: tuple[str, ...] = (), small_groups: bool = False) -> DataFrame:
+    """(by, roc_auc, pr_auc, n_true) of counts _pos and _neg of distinct scores _s; what a caller leaves out is not computed."""
+    g = (_few_below if small_groups else sums_below)(g, "_s", ("_pos", "_neg"), tuple(by))
     upto = {c: F.col(f"total_{c}") - F.col(f"below_{c}") for c in ("_pos", "_neg")}  # at this score and above
-    g = g.withColumn("_p", upto["_pos"] / (upto["_pos"] + upto["_neg"]))
-    return g.groupBy(*by).agg(ratio(F.sum(F.col("_pos") * F.col("_p")), F.sum("_pos"), None).alias("pr_auc"))
+    g = g.withColumns({"_w": F.col("_pos") * (F.col("below__neg") + F.col("_neg") / 2), "_p": upto["_pos"] / (upto["_pos"] + upto["_neg"])})
+    auc, ap = ratio(F.sum("_w"), F.sum("_pos") * F.sum("_neg"), None), ratio(F.sum(F.col("_pos") * F.col("_p")), F.sum("_pos"), None)
+    return g.groupBy(*by).agg(auc.alias("roc_auc"), ap.alias("pr_auc"), F.sum("_pos").alias("n_true"))
+
+
+def _averages(counts: DataFrame, rows: DataFrame, metric: str) -> DataFrame:
+    """A metric of ``_ranked`` over all cells (micro), over labels plain and weighted by their true cells, and over rows, from ``curves.counted``."""
+    g = lambda *by: counts.groupBy(*by, F.col("score").alias("_s")).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    labels = _ranked(g("label"), ("label",)).where(F.col(metric).isNotNull() & F.col("label").isNotNull())
+    spread = labels.agg(F.avg(metric).alias("macro"), (F.sum(F.col(metric) * F.col("n_true")) / F.sum("n_true")).alias("weighted"))
+    return _ranked(g()).select(F.col(metric).alias("micro")).join(spread).join(rows.select(F.col(f"{metric}_samples").alias("samples")))  # one row each
 
 
 def roc_aucs(rows: DataFrame, key: str, label: str = "label", y: str = "y", score: str = "score") -> DataFrame:
-    """AUC over all cells, over labels plain and weighted by their true cells, and over rows; labels and rows without both classes are left out."""
-    count = rows.groupBy(label).agg(F.sum(y).alias("_n"))
-    labels = roc_auc(rows, y, score, (label,)).join(count, label).where("roc_auc is not null")
-    spread = labels.agg(F.avg("roc_auc").alias("macro"), (F.sum(F.col("roc_auc") * F.col("_n")) / F.sum("_n")).alias("weighted"))
-    samples = roc_auc(rows, y, score, (key,), small_groups=True).agg(F.avg("roc_auc").alias("samples"))
-    return roc_auc(rows, y, score).select(F.col("roc_auc").alias("micro")).join(spread).join(samples)  # one row each
+    """AUC over all cells, over labels plain and weighted by their true cells, and over rows; labels and rows without both classes are left out.
+
+    Rows are cells, or have all cells of a key in arrays.
+    """
+    return _averages(*curves.counted(curves.gathered(rows, key, label, y, score)), "roc_auc")
 
 
 def binary_metrics(rows: DataFrame, y: str = "y", predicted: str = "predicted", by: tuple[str, ...] = ()) -> DataFrame:
@@ -208,12 +221,8 @@ def topk_hits(rows: DataFrame, key: str, k: int, by: tuple[str, ...] = (), label
 
 
 def average_precisions(rows: DataFrame, key: str, label: str = "label", y: str = "y", score: str = "score") -> DataFrame:
-    """Average precision over all cells, over labels plain and weighted by their true cells, and over rows; what has no true cell is left out."""
-    count = lambda c: rows.groupBy(c).agg(F.sum(y).alias("_n"))
-    labels = average_precision(rows, y, score, (label,)).join(count(label), label).where("_n > 0")
-    spread = labels.agg(F.avg("pr_auc").alias("macro"), (F.sum(F.col("pr_auc") * F.col("_n")) / F.sum("_n")).alias("weighted"))
-    samples = average_precision(rows, y, score, (key,), small_groups=True).agg(F.avg("pr_auc").alias("samples"))
-    return average_precision(rows, y, score).select(F.col("pr_auc").alias("micro")).join(spread).join(samples)  # one row each
+    """Average precision over all cells, over labels plain and weighted by their true cells, and over rows; what has no true cell is left out. Rows as in ``roc_aucs``."""
+    return _averages(*curves.counted(curves.gathered(rows, key, label, y, score)), "pr_auc")
 
 
 def regression_metrics(rows: DataFrame, y: str = "y", predicted: str = "predicted", by: tuple[str, ...] = ()) -> DataFrame:

@@ -157,14 +157,23 @@ def regression_scores(spark, sf_dir):
     return _rounded(M.regression_metrics(e))
 
 
-def _cells(spark, sf_dir):
-    """Orders by brands: true if the order has the brand; scores from a hash."""
+def _cell_rows(spark, sf_dir):
+    """Orders with all their cells, a brand each, in arrays: true if the order has the brand; scores from a hash.
+
+    Lines are dealt out by order once; an order's cells are made where its brands are.
+    """
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    true = lines.select(F.col("l_orderkey").alias("row"), F.col("p_brand").alias("label")).distinct().withColumn("y", F.lit(1))
-    labels = F.broadcast(table(spark, sf_dir, "part").select(F.col("p_brand").alias("label")).distinct())  # at most 25 brands by the table's definition
-    rows = true.select("row").distinct().join(labels)
-    h = F.conv(F.substring(F.md5(F.concat_ws("-", F.col("row").cast("string"), "label")), 1, 4), 16, 10).cast("int") / 65536
-    return rows.join(true, ["row", "label"], "left").withColumn("y", F.coalesce("y", F.lit(0))).withColumn("score", h).withColumn("predicted", (F.col("score") >= 0.4).cast("int"))
+    true = lines.select(F.col("l_orderkey").alias("row"), F.col("p_brand").alias("label")).repartition("row").groupBy("row").agg(F.collect_set("label").alias("_true"))
+    brands = [F.lit(r[0]).cast("string") for r in table(spark, sf_dir, "part").select("p_brand").distinct().collect()]  # at most 25 by the table's definition
+    y = F.transform(F.array(*brands), lambda c: F.coalesce(F.col("row").isNotNull() & F.array_contains("_true", c), F.lit(False)).cast("int"))
+    score = lambda c: F.conv(F.substring(F.md5(F.concat_ws("-", F.col("row").cast("string"), c)), 1, 4), 16, 10).cast("int") / 65536
+    return true.select("row", F.array(*brands).cast("array<string>").alias("label"), y.cast("array<int>").alias("y"), F.array(*map(score, brands)).cast("array<double>").alias("score"))
+
+
+def _cells(spark, sf_dir):
+    """The same, a cell a row."""
+    cells = _cell_rows(spark, sf_dir).select("row", F.inline(F.arrays_zip("label", "y", "score")))
+    return cells.withColumn("predicted", (F.col("score") >= 0.4).cast("int"))
 
 
 _C = """WITH t AS (SELECT DISTINCT l_orderkey AS row, p_brand AS label FROM lineitem JOIN part ON l_partkey = p_partkey), l AS (SELECT DISTINCT p_brand AS label FROM part), o AS (SELECT DISTINCT row FROM t),
@@ -205,7 +214,7 @@ _AP = lambda g: f"SELECT {g} AS g, sum(pos * tp / n) / sum(pos) AS v, sum(pos) A
 @query(f"""{_C}, l1 AS ({_AP('label')}), r1 AS ({_AP('row')}), o1 AS ({_AP('one')})
 SELECT round((SELECT v FROM o1), 9) AS micro, round((SELECT avg(v) FROM l1), 9) AS macro, round((SELECT sum(v * n) / sum(n) FROM l1), 9) AS weighted, round((SELECT avg(v) FROM r1), 9) AS samples""")
 def multilabel_average_precision(spark, sf_dir):
-    return _rounded(M.average_precisions(_cells(spark, sf_dir), "row"))
+    return _rounded(M.average_precisions(_cell_rows(spark, sf_dir), "row"))
 
 
 @query(f"{_C} SELECT round(sum(predicted) / count(DISTINCT row), 9) AS mean_predicted, count(DISTINCT row) AS n FROM p")
