@@ -19,7 +19,7 @@ def written(spark, run) -> int:
     return sum(n for f, n in sizes().items() if f not in before)
 
 
-@pytest.mark.parametrize("name", ["multilabel_average_precision"])
+@pytest.mark.parametrize("name", ["multilabel_average_precision", "multilabel_auc_averages"])
 def test_cells_are_not_shuffled(spark, name):
     from vitalgrid.plans.registry import QUERIES
 

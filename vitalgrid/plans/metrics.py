@@ -236,7 +236,7 @@ _RA = lambda g: f"SELECT {g} AS g, sum(pos * (below + neg / 2)) / (sum(pos) * su
 SELECT round((SELECT v FROM o1), 9) AS micro, round((SELECT avg(v) FROM l1), 9) AS macro, round((SELECT sum(v * n) / sum(n) FROM l1), 9) AS weighted, round((SELECT avg(v) FROM r1), 9) AS samples""")
 def multilabel_auc_averages(spark, sf_dir):
     """AUC over all cells, by label plain and weighted, and by order."""
-    return _rounded(M.roc_aucs(_cells(spark, sf_dir), "row"))
+    return _rounded(M.roc_aucs(_cell_rows(spark, sf_dir), "row"))
 
 
 @query(f"""{_C}, s AS (SELECT label, score, sum(y) AS pos, sum(1 - y) AS neg FROM p GROUP BY label, score), w AS (SELECT label, pos, neg, sum(neg) OVER (PARTITION BY label ORDER BY score) - neg AS below FROM s), a AS (SELECT label, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS v FROM w GROUP BY label) SELECT label, round(v, 9) AS roc_auc FROM a""")
