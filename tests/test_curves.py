@@ -19,7 +19,7 @@ def written(spark, run) -> int:
     return sum(n for f, n in sizes().items() if f not in before)
 
 
-@pytest.mark.parametrize("name", ["multilabel_average_precision", "multilabel_auc_averages"])
+@pytest.mark.parametrize("name", ["multilabel_average_precision", "multilabel_auc_averages", "task_evaluations"])
 def test_cells_are_not_shuffled(spark, name):
     from vitalgrid.plans.registry import QUERIES
 
@@ -68,3 +68,21 @@ def test_cells_of_odd_scores(spark, monkeypatch, held):
             assert f(shape, "k").select("micro", "macro", "weighted", "samples").first() == pytest.approx(_want(rows, plain))
     empty = average_precisions(df.limit(0), "k").first()
     assert list(empty) == [None] * 4
+
+
+def test_cells_evaluated_by_row(spark):
+    from pyspark.sql import functions as F
+    from vitalgrid.operators.evaluate import evaluate
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), "abcd"[i % 4], [0, 0, 1, None][rng.integers(4)], float(rng.integers(4)), [0, 1, None][rng.integers(3)]) for i, k in enumerate(rng.integers(0, 30, 200))]
+    rows += [(90, "a", 0, 0.5, 0), (91, "a", 1, 0.5, 1)]
+    df = spark.createDataFrame(rows, "row int, label string, y int, score double, predicted int")
+    names = ("label", "y", "score", "predicted")
+    arrays = df.groupBy("row").agg(F.collect_list(F.struct(*names)).alias("c")).select("row", *(F.col(f"c.{n}").alias(n) for n in names))
+    values = lambda d: {r["metric"]: r["value"] for r in d.collect()}
+    whole = values(evaluate(df, mode="multilabel"))
+    assert values(evaluate(arrays, mode="multilabel")) == pytest.approx(whole)
+    got = values(evaluate(arrays, "REC"))
+    assert len(got) == 6 and got == pytest.approx({m: whole[m] for m in got})
+    assert values(evaluate(df, "REC")) == pytest.approx(got)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import curves
 from . import metrics as M
 from . import overlap as O
 from .agent import _stored
@@ -29,6 +30,9 @@ NAMES: dict[str, tuple[str, ...]] = {
 }
 
 
+_SAMPLES = ("jaccard_samples", "f1_samples", "pr_auc_samples", "roc_auc_samples", "precision_samples", "recall_samples")
+
+
 def long(row: DataFrame, *names: str) -> DataFrame:
     """The columns of a one-row table as rows (metric, value)."""
     pairs = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))
@@ -52,12 +56,19 @@ def _multiclass(rows: DataFrame) -> DataFrame:
 
 
 def _multilabel(rows: DataFrame) -> DataFrame:
-    """Cells of row, label, y (0 or 1), score and predicted (0 or 1)."""
+    """Cells of row, label, y (0 or 1), score and predicted (0 or 1); or rows with arrays of label, y, score and predicted, all cells of each."""
+    if dict(rows.dtypes)["score"].startswith("array"):
+        rows = rows.select("row", F.inline(F.arrays_zip("label", "y", "score", "predicted")))
     prefixed = lambda df, name: df.select(*(F.col(c).alias(f"{name}_{c}") for c in df.columns))
     one = M.multilabel_metrics(rows, "row").join(prefixed(M.average_precisions(rows, "row"), "pr_auc")).join(prefixed(M.roc_aucs(rows, "row"), "roc_auc"))  # one row each
     return long(one, *NAMES["multilabel"])
 
 
+def _multilabel_by_row(rows: DataFrame) -> DataFrame:
+    """The metrics of ``_multilabel`` that are means over rows: nothing is counted by label or over all cells."""
+    return long(curves.row_averages(curves.gathered(rows, "row", predicted="predicted")), *_SAMPLES)
+
+
 def _regression(rows: DataFrame) -> DataFrame:
     """Rows of y and predicted."""
     return long(M.regression_metrics(rows), *NAMES["regression"])
@@ -86,7 +97,8 @@ def _summary(rows: DataFrame) -> DataFrame:
 
 #: kind of metric -> function of a table
 MODES: dict[str, Callable[[DataFrame], DataFrame]] = {"binary": _binary, "multiclass": _multiclass, "multilabel": _multilabel, "regression": _regression, "qa": _qa, "words": _words, "summary": _summary}
-_SAMPLES = ("jaccard_samples", "f1_samples", "pr_auc_samples", "roc_auc_samples", "precision_samples", "recall_samples")
+#: kind of metric -> metrics for which less than all of the kind is computed, and the function that gives those
+PARTS: dict[str, tuple[tuple[str, ...], Callable[[DataFrame], DataFrame]]] = {"multilabel": (_SAMPLES, _multilabel_by_row)}
 _RATES = ("roc_auc", "pr_auc", "precision", "recall", "accuracy", "balanced_accuracy")
 #: task -> kind of metric and the metrics it reports; regression and words are asked for by kind.
 TASKS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -112,11 +124,13 @@ def evaluate(rows: DataFrame, task: str | None = None, mode: str | None = None,
         mode, own = TASKS[task]
     if mode not in MODES:
         raise ValueError(f"no such kind of metric: {mode}")
-    out, wanted = MODES[mode](rows), metrics or own
+    wanted = metrics or own
     if not wanted:
-        return out
+        return MODES[mode](rows)
     if missing := set(wanted) - set(NAMES[mode]):
         raise ValueError(f"no such metrics of {mode}: {sorted(missing)}")
+    part, function = PARTS.get(mode, ((), None))
+    out = function(rows) if set(wanted) <= set(part) else MODES[mode](rows)
     return out.where(F.col("metric").isin(*wanted))
 
 

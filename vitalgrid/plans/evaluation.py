@@ -16,7 +16,7 @@ from ..sources.registry import Tags, chat_rows
 from ..sources.tables import table
 from .common import ORACLES, query
 from .graph import _NODES, _nodes
-from .metrics import _binary, _cells, _classes
+from .metrics import _binary, _cell_rows, _classes
 from .text import _NORM, _SQ, _WORDS
 from .traces import _LOC, _ONE, _traces
 
@@ -41,7 +41,8 @@ _SAMPLES = ("jaccard_samples", "f1_samples", "precision_samples", "recall_sample
 ]))
 def task_evaluations(spark, sf_dir):
     """The metrics that three tasks report, each from its kind of table."""
-    rows = {"REA": _binary(spark, sf_dir), "LOS": _classes(spark, sf_dir).select("y", "scores"), "REC": _cells(spark, sf_dir)}
+    cells = _cell_rows(spark, sf_dir).withColumn("predicted", F.transform("score", lambda s: (s >= 0.4).cast("int")))
+    rows = {"REA": _binary(spark, sf_dir), "LOS": _classes(spark, sf_dir).select("y", "scores"), "REC": cells}
     out = None
     for task, df in rows.items():
         part = E.evaluate(df, task).select(F.lit(task).alias("task"), "metric", F.round("value", 9).alias("value"))
