@@ -6,6 +6,8 @@ left holds. A step reads each word once (an array is transformed step by step),
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -122,3 +124,52 @@ def summary_words(s: Column | str) -> Column:
 def sentences(s: Column | str) -> Column:
     """Lines, cut further behind signs that end a sentence before white space; empty ones left out."""
     return F.filter(F.split(F.regexp_replace(s, "([.!?]+)[ \\t\\r\\f]+", "$1\n"), "\n"), lambda x: F.trim(x) != "")
+
+
+#: A word in lower case, or the end of a sentence as in ``sentences``, of UTF-8.
+TOKENS = re.compile(rb"[a-z0-9]+|[.!?](?=[ \t\r\f])|\n")
+_RE = {c: re.compile(c.replace("$", r"\Z")) for c in (VOWEL, MORE_THAN_0, IS_1, MORE_THAN_1, SHORT)}
+_TWICE, _FIRM = re.compile(r"(?:bb|cc|dd|ff|gg|hh|jj|kk|mm|nn|pp|qq|rr|tt|vv|ww|xx|[aeiou]yy|00|11|22|33|44|55|66|77|88|99)\Z"), re.compile(r"(?:ll|ss|zz)\Z")
+_IES, _LONE_Y = re.compile(r".ies\Z"), re.compile(r".+(?:[^aeiouy]|[aeiou]y)y\Z")
+
+
+def _met(left: str, condition: str) -> bool:
+    return not condition or _RE[condition].search(left) is not None
+
+
+_ENDS = {rules: tuple(x for x, _, _ in rules) for rules in (PLURALS, MENDED, DOUBLE, SINGLE, LAST)}
+
+
+def _ruled(w: str, rules: tuple, otherwise: str | None = None) -> str:
+    for suffix, put, condition in rules if w.endswith(_ENDS[rules]) else ():
+        if w.endswith(suffix):
+            left = w[: len(w) - len(suffix)]
+            return left + put if _met(left + put if suffix in ("sion", "tion") else left, condition) else w
+    return w if otherwise is None else otherwise
+
+
+def stem(w: str, longer_than: int = 3) -> str:
+    """``stemmed`` of one word of ASCII letters and digits: for what reads each distinct word of many once."""
+    if len(w) <= max(2, longer_than):
+        return w
+    if w in IRREGULAR:
+        return IRREGULAR[w]
+    w = w[:3] if _IES.match(w) else _ruled(w, PLURALS)
+    if w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
+        w = w[:-1] if _met(w[:-3], MORE_THAN_0) else w
+    else:
+        x = w[:-2] if w.endswith("ed") and _met(w[:-2], VOWEL) else w[:-3] if w.endswith("ing") and _met(w[:-3], VOWEL) else None
+        if x is not None:
+            short = _met(x, IS_1) and _met(x, SHORT)
+            w = _ruled(x, MENDED, x[:-1] if _TWICE.search(x) else x if _FIRM.search(x) else x + "e" if short else x)
+    if _LONE_Y.match(w):
+        w = w[:-1] + "i"
+    if w.endswith("alli") and _met(w[:-4], MORE_THAN_0):
+        w = w[:-4] + "al"
+    w = _ruled(w, DOUBLE, w[:-1] if w.endswith("logi") and _met(w[:-3], MORE_THAN_0) else w)
+    w = _ruled(_ruled(w, SINGLE), LAST)
+    if w.endswith("e") and (_met(w[:-1], MORE_THAN_1) or _met(w[:-1], IS_1) and not _met(w[:-1], SHORT)):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _met(w[:-1], MORE_THAN_1) else w
